@@ -6,16 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import license_scan, quality_rules, url_filter
 from .common import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     docs = lambda s, d: table(s, d, "documents")
     return {
+        "op9_license_scan": lambda s, d: license_scan.query(docs(s, d)),
+        "op7_url_filter": lambda s, d: url_filter.query(table(s, d, "pages")),
         "op8_quality_rules": lambda s, d: quality_rules.query(docs(s, d)),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_quality_rules": quality_rules.sql()}
+    return {
+        "op8_quality_rules": quality_rules.sql(),
+        "op9_license_scan": license_scan.sql(),
+    }
