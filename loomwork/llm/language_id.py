@@ -10,13 +10,16 @@ each. Prediction reads the whole text, whatever its length.
 
 Defined results: null text, empty text and text without a letter give ``und``
 with score 0 and are rejected. Without any labelled document every text gives
-``und``. Equal sizes give the language that sorts first, and are rejected. Every
+``und``. Where sizes are as good as equal, the language whose dictionary has
+more of the text's words is taken; if that is a tie too, the one that sorts
+first is predicted and the document is rejected. Every
 input row gives one output row, repeated rows included; other columns are
 ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +35,7 @@ LEVEL = 3
 #: Reject where the next size is larger by less than so many bytes, or less than this share.
 MIN_BYTES, MIN_SHARE = 1, 0.002
 UNKNOWN = "und"
+NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
 def sample(
@@ -53,39 +57,53 @@ def sample(
 
 
 def dictionaries(rows: list[tuple[str, str]], size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
-    """Raw dictionary content by language: sampled texts in lower case, cut at ``size`` bytes."""
+    """Raw dictionary content by language: sampled texts, cut at ``size`` bytes."""
     by: dict[str, list[bytes]] = {}
     for lang, text in rows:
-        by.setdefault(lang, []).append(text.lower().encode("utf-8", "replace"))
+        by.setdefault(lang, []).append(normal(text))
     return {lang: b"\n".join(parts)[:size] for lang, parts in sorted(by.items())}
 
 
-def has_letter(text: str) -> bool:
-    return any(map(str.isalpha, text))
+def normal(text: str) -> bytes:
+    """The distinct words of the whole text, lower case, letters only, in order of first appearance.
+
+    Digits, symbols and repeats cost the same bits in every language and only
+    blur the comparison.
+    """
+    return " ".join(dict.fromkeys(NOT_LETTERS.sub(" ", text.lower()).split())).encode("utf-8", "replace")
 
 
-def coders(contents: dict[str, bytes], level: int = LEVEL) -> dict[str, zstandard.ZstdCompressor]:
+def coders(contents: dict[str, bytes], level: int = LEVEL) -> dict[str, tuple[zstandard.ZstdCompressor, set[bytes]]]:
+    """By language: a compressor with its dictionary, and the dictionary's words, which settle narrow margins."""
     made = {}
     for lang, content in contents.items():
         data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         data.precompute_compress(level=level)
-        made[lang] = zstandard.ZstdCompressor(
+        coder = zstandard.ZstdCompressor(
             dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False
         )
+        made[lang] = coder, set(content.split())
     return made
 
 
-def verdict(text: str | None, by_lang: dict[str, zstandard.ZstdCompressor]) -> tuple[str, float, bool]:
+def verdict(text: str | None, by_lang: dict) -> tuple[str, float, bool]:
     """(language, score, rejected) of one whole text."""
-    if not text or not by_lang or not has_letter(text):
+    raw = normal(text) if text and by_lang else b""
+    if not raw or not any(map(str.isalpha, raw.decode("utf-8"))):
         return UNKNOWN, 0.0, True
-    raw = text.lower().encode("utf-8", "replace")
-    sizes = np.array([len(c.compress(raw)) for c in by_lang.values()], dtype=np.int64)
+    langs = list(by_lang)
+    sizes = np.array([len(c.compress(raw)) for c, _ in by_lang.values()], dtype=np.int64)
     order = np.argsort(sizes, kind="stable")
     best = int(sizes[order[0]])
     second = int(sizes[order[1]]) if len(sizes) > 1 else best + 8
     score = float(1.0 / np.exp2(-np.minimum(sizes - best, 60)).sum())
-    return list(by_lang)[order[0]], score, second - best < max(MIN_BYTES, MIN_SHARE * second)
+    if second - best >= max(MIN_BYTES, MIN_SHARE * second):
+        return langs[order[0]], score, False
+    # Too narrow for the sizes alone: bytes of words that a dictionary has, among the languages as small.
+    found = raw.split()
+    near = [k for k in order if sizes[k] - best < max(MIN_BYTES, MIN_SHARE * second)]
+    known = sorted(((sum(len(w) for w in found if w in by_lang[langs[k]][1]), -n, k) for n, k in enumerate(near)), reverse=True)
+    return langs[known[0][2]], score, len(known) > 1 and known[0][0] == known[1][0]
 
 
 def held_out(doc_id="doc_id"):
