@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, license_scan, quality_rules, url_filter
+from . import decontaminate, language_id, license_scan, quality_rules, substring_dedup, url_filter
 from .common import table
 
 
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_license_scan": lambda s, d: license_scan.query(docs(s, d)),
         "op1_language_id": lambda s, d: language_id.query(docs(s, d)),
         "op2_decontaminate": lambda s, d: decontaminate.query(docs(s, d), table(s, d, "benchmark")),
+        "op3_substring_dedup": lambda s, d: substring_dedup.query(docs(s, d)),
         "op7_url_filter": lambda s, d: url_filter.query(table(s, d, "pages")),
         "op8_quality_rules": lambda s, d: quality_rules.query(docs(s, d)),
     }
