@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,3 +60,11 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint in the shared folder."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def worker_cache(key, make):
+    """What ``make`` gives, kept for later tasks of the same Python worker."""
+    cache = sys.__dict__.setdefault("_loomwork_cache", {})
+    if key not in cache:
+        cache[key] = make()
+    return cache[key]
