@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_chunks, decontaminate, language_id, license_scan, quality_rules, substring_dedup, suffix_dedup, url_filter
+from . import bpe_chunks, decontaminate, language_id, license_scan, pii_crf, quality_rules, substring_dedup, suffix_dedup, url_filter
 from .common import table
 
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_decontaminate": lambda s, d: decontaminate.query(docs(s, d), table(s, d, "benchmark")),
         "op3_substring_dedup": lambda s, d: substring_dedup.query(docs(s, d)),
         "op4_bpe_chunks": lambda s, d: bpe_chunks.query(docs(s, d)),
+        "op5_pii_crf": lambda s, d: pii_crf.query(docs(s, d)),
         "op6_suffix_dedup": lambda s, d: suffix_dedup.query(docs(s, d)),
         "op7_url_filter": lambda s, d: url_filter.query(table(s, d, "pages")),
         "op8_quality_rules": lambda s, d: quality_rules.query(docs(s, d)),
