@@ -73,8 +73,8 @@ def contamination(
     side = F.broadcast(keys) if keys.count() <= MAX_BROADCAST_WINDOWS else keys
     plain = texts(docs).select("doc_id", words(template(marked(F.col("text")))).alias("t"))
     hits = (
-        plain.select("doc_id", template_windows(F.col("t"), window).alias("x"))
-        .select("doc_id", F.explode("x").alias("x"))
+        # Outer, since a plain explode makes the optimizer push a copy of the whole expression below it.
+        plain.select("doc_id", F.explode_outer(template_windows(F.col("t"), window)).alias("x"))
         .select("doc_id", F.col("x.hash").alias("hash"))
         .join(side, "hash")
     )
@@ -116,8 +116,7 @@ def slot_changes(docs: DataFrame, pairs: DataFrame, slotted: DataFrame, window:
     )
     hashes = slotted.select("hash").distinct()
     rows = (
-        toks.select("doc_id", grams.alias("g"))
-        .select("doc_id", F.explode("g").alias("x"))
+        toks.select("doc_id", F.explode_outer(grams).alias("x"))
         .select("doc_id", F.col("x.hash").alias("hash"), F.col("x.pos").alias("pos"), F.col("x.d_raw").alias("d_raw"))
         .join(hashes, "hash", "left_semi")
         .join(slotted, "hash")
