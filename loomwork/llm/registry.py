@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_chunks, decontaminate, language_id, license_scan, pii_crf, quality_rules, substring_dedup, suffix_dedup, url_filter
+from . import bpe_chunks, decontaminate, language_id, license_scan, near_dup, pii_crf, quality_rules, substring_dedup, suffix_dedup, url_filter
 from .common import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    import corpus_pipeline
+
     docs = lambda s, d: table(s, d, "documents")
     return {
+        "op10_near_dup": lambda s, d: near_dup.query(docs(s, d)),
+        "pipeline": corpus_pipeline.run,
         "op9_license_scan": lambda s, d: license_scan.query(docs(s, d)),
         "op1_language_id": lambda s, d: language_id.query(docs(s, d)),
         "op2_decontaminate": lambda s, d: decontaminate.query(docs(s, d), table(s, d, "benchmark")),
