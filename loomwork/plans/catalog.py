@@ -1,13 +1,23 @@
 """All queries of the engine, by name."""
 
+from __future__ import annotations
 
-def flagship(spark, sf_dir):
-    return queries()["bm25_top5"](spark, sf_dir)
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from . import run_queries
+
+GROUPS = [run_queries.QUERIES]
 
 
-def queries():
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: q[0] for group in GROUPS for name, q in group.items()}
 
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {name: q[1] for group in GROUPS for name, q in group.items() if q[1]}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queries()["bm25_top5"](spark, sf_dir)
