@@ -108,14 +108,6 @@ def pieces(n: int, window: int, step: int = 1 << 21) -> Iterator[tuple[int, int]
         yield a, min(a + step + window - 1, n)
 
 
-def runs(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Maximal runs of consecutive integers in a sorted array: first and last of each."""
-    if not len(places):
-        return places, places
-    cut = np.flatnonzero(np.diff(places) > 1)
-    return places[np.concatenate([[0], cut + 1])], places[np.concatenate([cut, [len(places) - 1]])]
-
-
 def covered(starts: np.ndarray, length: int, n: int) -> np.ndarray:
     """True for each of ``n`` places that lies in [start, start + length) of some start."""
     step = np.zeros(n + 1, dtype=np.int32)
@@ -131,11 +123,11 @@ PACKED = "block int, local boolean, keys binary, docs binary, places binary, cou
 PACKED_ARROW = pa.schema(
     [("block", pa.int32()), ("local", pa.bool_()), *[(c, pa.binary()) for c in ("keys", "docs", "places", "counts", "text")]]
 )
-#: ``places`` are little-endian int64: a start, or a start and a length as start << 32 | length.
-HITS = "doc_id long, places binary"
-HITS_ARROW = pa.schema([("doc_id", pa.int64()), ("places", pa.binary())])
-#: The document id under which frequent keys are reported.
-FREQUENT = -(1 << 62)
+#: ``places`` are int64: a start, or a start and a length as start << 32 | length.
+HITS = "bucket int, docs binary, places binary"
+HITS_ARROW = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("places", pa.binary())])
+#: The bucket in which frequent keys are reported.
+FREQUENT = -1
 
 
 def squeeze(array: np.ndarray) -> bytes:
@@ -216,27 +208,22 @@ def packed_batches(rows: list[tuple], size: int = 500) -> list[pa.RecordBatch]:
     ]
 
 
-def slices(rows: list, size: int) -> Iterator[list]:
-    for i in range(0, len(rows), size):
-        yield rows[i : i + size]
-
-
 def block_of(keys: np.ndarray, blocks: int) -> np.ndarray:
     return (mix(keys[:, 0] ^ U64(0x5851F42D4C957F2D)) % U64(blocks)).astype(np.int64)
 
 
-def repeated_places(packed: DataFrame, width: int, sketch_bits: int | None = None, frequent: int | None = None) -> DataFrame:
-    """(doc_id, places): the places whose key stands more than once in the corpus.
+def repeated_places(packed: DataFrame, buckets: int, width: int, sketch_bits: int | None = None, frequent: int | None = None) -> DataFrame:
+    """Hits (see ``gather``): the places whose key stands more than once in the corpus.
 
     With ``sketch_bits`` the keys are counted in a count-min sketch of two rows
     of that many bits for each block, merged from the tasks' counts: estimates
     are never too small, so places may be reported too often but none is lost.
     Without it keys are compared in full. Keys that stand more than ``frequent``
-    times are reported too, under the document id ``FREQUENT``.
+    times are reported too, in the bucket ``FREQUENT``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hits = HitPacker()
+        hits = HitPacker(buckets)
         for rows in by_block(batches):
             entries = []
             for _, local, keys, docs, places, counts, _ in rows:
@@ -249,8 +236,7 @@ def repeated_places(packed: DataFrame, width: int, sketch_bits: int | None = Non
                 total = estimates(keys[:, 0], counts, sketch_bits) if sketch_bits else exact_totals(keys, counts)
                 hits.add(docs[total > 1], places[total > 1])
                 if frequent is not None:
-                    many = np.unique(keys[total > frequent, 0]).view(np.int64)
-                    hits.add(np.full(len(many), FREQUENT), many)
+                    hits.often.append(np.unique(keys[total > frequent, 0]).view(np.int64))
             if hits.held > 2_000_000:
                 yield from hits.packets()
         yield from hits.packets()
@@ -300,11 +286,13 @@ def estimates(keys: np.ndarray, counts: np.ndarray, bits: int) -> np.ndarray:
 
 
 class HitPacker:
-    """Collects reported places and packs them by document."""
+    """Collects reported places and packs them by buckets of documents, one row for each task and bucket."""
 
-    def __init__(self) -> None:
+    def __init__(self, buckets: int) -> None:
+        self.buckets = buckets
         self.docs: list[np.ndarray] = []
         self.places: list[np.ndarray] = []
+        self.often: list[np.ndarray] = []
         self.held = 0
 
     def add(self, docs: np.ndarray, places: np.ndarray) -> None:
@@ -313,28 +301,69 @@ class HitPacker:
         self.held += len(docs)
 
     def packets(self) -> Iterator[pa.RecordBatch]:
-        if not self.held:
-            return
-        docs, places = np.concatenate(self.docs), np.concatenate(self.places)
-        self.docs, self.places, self.held = [], [], 0
-        order = np.lexsort((places, docs))
-        docs, places = docs[order], places[order]
-        edges = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1], [True]]))
-        for part in slices(list(zip(edges[:-1], edges[1:])), 5000):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([int(docs[a]) for a, _ in part], pa.int64()), pa.array([places[a:b].tobytes() for a, b in part], pa.binary())],
-                schema=HITS_ARROW,
-            )
+        rows = []
+        often = np.concatenate(self.often) if self.often else np.empty(0, np.int64)
+        if len(often):
+            rows.append((FREQUENT, squeeze(often), squeeze(often)))
+        if self.held:
+            docs, places = np.concatenate(self.docs), np.concatenate(self.places)
+            bucket = (mix(docs.astype(U64)) % U64(self.buckets)).astype(np.int64)
+            order = np.lexsort((places, docs, bucket))
+            docs, places, bucket = docs[order], places[order], bucket[order]
+            edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+            rows += [(int(bucket[a]), squeeze(delta(docs[a:b])), squeeze(delta(places[a:b]))) for a, b in zip(edges[:-1], edges[1:])]
+        self.docs, self.places, self.often, self.held = [], [], [], 0
+        for i in range(0, len(rows), 500):
+            part = list(zip(*rows[i : i + 500]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(part, HITS_ARROW)], schema=HITS_ARROW)
+
+
+def buckets_for(size: int) -> int:
+    """Buckets of documents, one for about 8 MB of text."""
+    return max(16, size // 8_000_000)
 
 
 def gather(hits: DataFrame) -> DataFrame:
-    """One row for each document: (doc_id, places), a list as long as the document at most."""
-    return hits.groupBy("doc_id").agg(F.collect_list("places").alias("places"))
-
+    """(doc_id, places): one row for each document with hits, its distinct places packed."""
 
-def all_places(parts: list[bytes] | None) -> np.ndarray:
-    """The distinct places of a gathered row, sorted."""
-    return np.unique(np.frombuffer(b"".join(parts or []), dtype=np.int64))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for bucket, docs, places in zip(*[c.to_pylist() for c in batch.columns]):
+                if bucket != now and held:
+                    yield from by_document(held)
+                    held = []
+                now = bucket
+                held.append((undo(docs), undo(places)))
+        if held:
+            yield from by_document(held)
+
+    known = hits.where(F.col("bucket") != FREQUENT)
+    return known.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc_id long, places binary")
+
+
+def by_document(held: list) -> Iterator[pa.RecordBatch]:
+    docs, places = map(np.concatenate, zip(*held))
+    order = np.lexsort((places, docs))
+    docs, places = docs[order], places[order]
+    new = np.concatenate([[True], (docs[1:] != docs[:-1]) | (places[1:] != places[:-1])])
+    docs, places = docs[new], places[new]
+    edges = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1], [True]]))
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(docs[edges[:-1]]), pa.array([squeeze(delta(places[a:b])) for a, b in zip(edges[:-1], edges[1:])], pa.binary())],
+        names=["doc_id", "places"],
+    )
+
+
+def all_places(packed: bytes | None) -> np.ndarray:
+    """The places of a gathered row, sorted."""
+    return undo(packed) if packed else np.empty(0, dtype=np.int64)
+
+
+def frequent_keys(hits: DataFrame) -> np.ndarray:
+    """The frequent keys among hits; their limit bounds how many there are."""
+    rows = hits.where(F.col("bucket") == FREQUENT).select("docs").collect()
+    return np.unique(np.concatenate([np.empty(0, np.int64), *[expand(r.docs, np.int64) for r in rows]]))
 
 
 def squeezed(docs: DataFrame) -> DataFrame:

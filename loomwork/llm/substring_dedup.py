@@ -38,11 +38,12 @@ KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text
 
 
 def repeated_windows(docs: DataFrame, window: int, gram: int) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, places) of windows that start elsewhere too, the groups of equal texts)."""
+    """(hits: windows that start elsewhere too, the groups of equal texts)."""
     named = docs.where("doc_id is not null")
     shared, size = spans.text_groups(named)
     # Two packs of keys, dealt to blocks that grow in number with the input.
     n_anchor = max(16, size // 6 * 2 // (window - gram + 2) // BLOCK_ENTRIES)
+    buckets = spans.buckets_for(size)
     n_window = max(16, size // 6 // 4 // BLOCK_ENTRIES)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,7 +59,7 @@ def repeated_windows(docs: DataFrame, window: int, gram: int) -> tuple[DataFrame
                     yield from keys.packets()
         yield from keys.packets()
 
-    likely = spans.gather(spans.repeated_places(named.mapInArrow(sketch, spans.PACKED), 1, SKETCH_BITS))
+    likely = spans.gather(spans.repeated_places(named.mapInArrow(sketch, spans.PACKED), buckets, 1, SKETCH_BITS))
     followers = shared.where("not lead").select("doc_id")
     chosen_docs = likely.join(followers, "doc_id", "left_anti").join(spans.squeezed(named), "doc_id")
 
@@ -80,7 +81,7 @@ def repeated_windows(docs: DataFrame, window: int, gram: int) -> tuple[DataFrame
         yield from keys.packets()
 
     packed = chosen_docs.select("doc_id", "places", "z").mapInArrow(exact, spans.PACKED)
-    return spans.repeated_places(packed, 2), shared
+    return spans.repeated_places(packed, buckets, 2), shared
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:

@@ -119,10 +119,11 @@ def group_repeats(rows: list[tuple[bytes, int, int, int]], length: int) -> Itera
 
 
 def repeated_spans(docs: DataFrame, length: int, gram: int, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, places: start << 32 | length) of repeats, the groups of equal texts)."""
+    """(hits: start << 32 | length of repeats, the groups of equal texts)."""
     named = docs.where("doc_id is not null")
     shared, size = spans.text_groups(named)
     n_anchor = max(16, size * 2 // (length - gram + 2) // BLOCK_ENTRIES)
+    buckets = spans.buckets_for(size)
     n_group = max(16, size // 4 // (length - gram) // 2_000)
     frequent_limit = limit or max(1_000, size * 2 // (length - gram + 2) // MAX_FREQUENT)
 
@@ -139,10 +140,10 @@ def repeated_spans(docs: DataFrame, length: int, gram: int, limit: int | None =
                     yield from keys.packets()
         yield from keys.packets()
 
-    hits = cut(spans.repeated_places(named.mapInArrow(sketch, spans.PACKED), 1, SKETCH_BITS, frequent_limit))
+    hits = cut(spans.repeated_places(named.mapInArrow(sketch, spans.PACKED), buckets, 1, SKETCH_BITS, frequent_limit))
     # Keys above the limit: no more than all anchors / limit, whatever the input.
-    frequent = spans.all_places([r.places for r in hits.where(F.col("doc_id") == spans.FREQUENT).select("places").collect()])
-    likely = spans.gather(hits.where(F.col("doc_id") != spans.FREQUENT))
+    frequent = spans.frequent_keys(hits)
+    likely = spans.gather(hits)
     followers = shared.where("not lead").select("doc_id")
     chosen_docs = likely.join(followers, "doc_id", "left_anti").join(spans.squeezed(named), "doc_id")
 
@@ -178,7 +179,7 @@ def repeated_spans(docs: DataFrame, length: int, gram: int, limit: int | None =
         yield from run_packets(runs, n_group, length)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = spans.HitPacker()
+        out = spans.HitPacker(buckets)
         for rows in spans.by_block(batches):
             groups: dict[int, list] = {}
             entries = []
