@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,21 +12,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 # Schemas of the monitoring tables.
-PAGES = T.StructType.fromDDL(
+PAGES = (
     "page_id string, url string, title string, content string, version_hash string, last_modified string, last_checked string,"
     " last_ingested string, doc_embedding array<float>, status string, duplicate_of string"
 )
-CHUNKS = T.StructType.fromDDL(
+CHUNKS = (
     "chunk_id string, page_id string, chunk_text string, chunk_embedding array<float>, chunk_index int, section_heading string"
 )
-EDGES = T.StructType.fromDDL("source_page_id string, target_page_id string, edge_type string, weight double")
-REGISTRY = T.StructType.fromDDL(
+EDGES = "source_page_id string, target_page_id string, edge_type string, weight double"
+REGISTRY = (
     "source_id string, url string, title string, source_type string, importance string, check_frequency string, notes string, force_selenium string"
 )
-FEEDBACK = T.StructType.fromDDL(
+FEEDBACK = (
     "run_id string, page_id string, source_id string, category string, comment string, email_subject string, email_date string, ingested_at string"
 )
-REPORT = T.StructType.fromDDL(
+REPORT = (
     "run_id string, ipfr_page_id string, verdict string, confidence double, reasoning string, suggested_changes array<string>, model string,"
     " prompt_tokens int, completion_tokens int, total_tokens int, processing_time_seconds double, retries int, schema_valid boolean, generated_at string"
 )
