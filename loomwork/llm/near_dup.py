@@ -189,9 +189,11 @@ def similar_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The documents that stay: the smallest id of each group of near-duplicates. All columns stay."""
+    """The documents that stay: the smallest id of each group of near-duplicates. All columns stay.
+
+    Repeated rows of one id count as one document."""
     kept = similar_groups(docs, shingle, percent).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
 
 
 def query(docs: DataFrame) -> DataFrame:
