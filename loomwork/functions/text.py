@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,8 +33,6 @@ def normal_space(text: Column) -> Column:
 
 def nfc(text: Column) -> Column:
     """Unicode normal form C, for which Spark has no function."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def compose(values: pd.Series) -> pd.Series:
         import unicodedata
@@ -45,8 +44,6 @@ def nfc(text: Column) -> Column:
 
 def unescape(text: Column) -> Column:
     """HTML entities decoded."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def decode(values: pd.Series) -> pd.Series:
         import html

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -57,8 +58,6 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 
 def vectors(blob: Column) -> Column:
     """A little-endian float32 blob as an array; empty or null means no vector."""
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def decode(values: pd.Series) -> pd.Series:
         import numpy as np
