@@ -6,16 +6,31 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Phrases of bot checks and of blocked pages, lower case.
-CAPTCHA = ["captcha", "are you a robot", "verify you are human", "unusual traffic", "enable javascript and cookies"]
-STUB = ["page not found", "this page has moved", "content coming soon"]
-# Patterns of legally meaningful text.
+# Phrases of bot checks, lower case.
+CAPTCHA = ["captcha", "verify you are human", "robot check", "please enable javascript", "enable cookies", "checking your browser"]
+# Strings of pages that block robots, lower case.
+BLOCK = [
+    "just a moment",
+    "ddos protection by cloudflare",
+    "checking if the site connection is secure",
+    "verifying you are human",
+    "enable javascript and cookies to continue",
+    "please enable javascript",
+    "enable cookies",
+    "checking your browser",
+    "captcha",
+    "verify you are human",
+    "robot check",
+    "this site can't be reached",
+    "err_http2_protocol_error",
+]
+# Patterns of legally meaningful text. "inforce" is what the pattern for "in force" has always matched.
 FINGERPRINTS = {
-    "defined_terms": r'"([A-Z][^"]{1,60})" (?:means|has the meaning)',
-    "numerical": r"(?:\$ ?[0-9][0-9,.]*|[0-9][0-9,.]*(?: ?%| percent| days| months| years))",
-    "dates": r"[0-9]{1,2} (?:January|February|March|April|May|June|July|August|September|October|November|December) [0-9]{4}",
-    "cross_references": r"(?i:section|part|schedule|clause|regulation) [0-9]+[A-Z]{0,2}",
-    "modal_verbs": r"(?i:\bmust not\b|\bmust\b|\bshall\b|\bmay not\b|\bis required to\b)",
+    "defined_terms": r"\b([A-Z][a-zA-Z]+(?: [A-Z][a-zA-Z]+){1,5})\b",
+    "numerical": r"(?iU)(?:\$[\d,]+(?:\.\d+)?|\d+(?:\.\d+)?%|\b\d{1,3}(?:,\d{3})+\b|\bsection\s+\d+[\w.]*|\bs\.\s*\d+[\w.]*|\b\d+\s*(?:days?|months?|years?|weeks?)\b)",
+    "dates": r"(?iU)(?:\b\d{1,2}\s+(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{4}\b|\b(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{4}\b|\b\d{4}-\d{2}-\d{2}\b|\bcommences?\b|\bcommencement\b|\binforce\b)",
+    "cross_references": r"(?iU)(?:\b(?:the\s+)?[A-Z][A-Za-z\s]+(?:Act|Regulation|Regulations|Rules|Code|Ordinance|Determination)\s+\d{4}\b|\bAct\s+No\b|\bsee\s+(?:also\s+)?section\b|\bpursuant\s+to\b|\bas\s+amended\s+by\b)",
+    "modal_verbs": r"(?iU)\b(must|shall|may\s+not|must\s+not|should|ought\s+to)\b",
 }
 
 
@@ -107,14 +122,25 @@ def warnings(text: Column, previous_length: Column) -> Column:
     )
 
 
-def is_stub(text: Column, least: int = 500) -> Column:
+def is_stub(text: Column, least: int = 500, phrases: list[str] | None = None) -> Column:
+    """A page without content: missing, short, or with one of the phrases."""
     lower = F.lower(text)
-    out = text.isNull() | (F.length(F.trim(text)) < least)
-    for phrase in STUB:
-        out = out | lower.contains(phrase)
+    out = text.isNull() | (F.length(text) < least)
+    for phrase in phrases or []:
+        out = out | lower.contains(phrase.lower())
     return out
 
 
+def is_blocked(html: Column, short: int = 5000) -> Column:
+    """A page that keeps robots out; ``access denied`` only counts on short pages or as the whole title."""
+    lower = F.lower(html)
+    out = F.lit(False)
+    for phrase in BLOCK:
+        out = out | lower.contains(phrase)
+    denied = lower.contains("access denied") & ((F.length(html) < short) | html.rlike(r"(?is)<title[^>]*>\s*access\s+denied\s*</title>"))
+    return out | denied
+
+
 def page_id(url: Column) -> Column:
     """The last path part in upper case if it is an id like B1000, else X and five digits of the url's digest."""
     last = F.upper(F.regexp_extract(url, r"/([^/?#]+)/?(?:[?#].*)?$", 1))
@@ -122,13 +148,19 @@ def page_id(url: Column) -> Column:
 
 
 def until_heading(text: Column, phrases: list[str], longest: int = 100) -> Column:
-    """The lines before the first short line that has one of the phrases."""
+    """The text before the first short line that has one of the phrases, trimmed; all of it if there is none."""
     lines = F.split(text, "\n")
-    stop = lambda x: (F.length(x) <= longest) & F.array_contains(
-        F.transform(F.array(*[F.lit(p) for p in phrases]), lambda p: F.contains(F.lower(x), p)), True
-    )
-    at = F.array_position(F.transform(lines, stop), True)
-    return F.array_join(F.when(at > 0, F.slice(lines, 1, (at - 1).cast("int"))).otherwise(lines), "\n")
+
+    def stops(line: Column) -> Column:
+        bare = F.lower(F.regexp_replace(line, r"^\s+|\s+$", ""))
+        found = F.lit(False)
+        for phrase in phrases:
+            found = found | bare.contains(phrase.lower())
+        return found & F.length(bare).between(1, longest)
+
+    at = F.array_position(F.transform(lines, stops), True)
+    before = F.array_join(F.slice(lines, 1, F.greatest(at - 1, F.lit(0)).cast("int")), "\n")
+    return F.when(at > 0, F.regexp_replace(before, r"^\s+|\s+$", "")).otherwise(text)
 
 
 def estimated_tokens(text: Column) -> Column:

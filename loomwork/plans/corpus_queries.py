@@ -49,7 +49,7 @@ def chunks(s, d):
 
 def checked(s, d):
     w = T.warnings(F.col("text"), F.col("doc_id") % 900)
-    return docs(s, d).select("doc_id", F.array_join(w, ",").alias("warnings"), T.is_stub(F.col("text")).alias("stub"))
+    return docs(s, d).select("doc_id", F.array_join(w, ",").alias("warnings"), T.is_stub(F.col("text"), 500, ["nicht"]).alias("stub"))
 
 
 def url_ids(s, d):
@@ -199,9 +199,9 @@ select new_id, old_id, round(score, 6) as score from (select *, row_number() ove
     "validation_warnings": (
         checked,
         """select doc_id, array_to_string(list_filter([case when length(text) < 200 then 'too_short' end,
-  case when regexp_matches(lower(text), 'captcha|are you a robot|verify you are human|unusual traffic|enable javascript and cookies') then 'captcha' end,
+  case when regexp_matches(lower(text), 'captcha|verify you are human|robot check|please enable javascript|enable cookies|checking your browser') then 'captcha' end,
   case when doc_id % 900 > 0 and (length(text) / (doc_id % 900) < 0.30 or length(text) / (doc_id % 900) > 3.00) then 'size_change' end], lambda x: x is not null), ',') as warnings,
-  length(trim(text, ' ')) < 500 or regexp_matches(lower(text), 'page not found|this page has moved|content coming soon') as stub from documents""",
+  length(text) < 500 or contains(lower(text), 'nicht') as stub from documents""",
     ),
     "page_ids": (
         url_ids,
