@@ -237,3 +237,30 @@ def test_due(spark):
     rows = [("daily", "2024-01-09"), ("weekly", "2024-01-09"), ("odd", "2024-01-01"), ("weekly", None), ("weekly", "x")]
     got = RUNS.due(frame(spark, rows, "check_frequency string, last_checked string"), "2024-01-10").collect()
     assert [r.due for r in got] == [True, False, True, True, True]
+
+
+def test_natural_chunks():
+    from loomwork.operators import monitoring as M
+
+    text = ("A short sentence about rivers. " * 20 + "\n\n") * 6
+    found = M.split_text(text, [], 1400, 200, 160, 200)
+    assert all(len(c) <= 2100 for c, _ in found) and found[0][0].startswith("A short") and found[0][0].endswith(".")
+    cut = M.split_text("Title\n\nBody text here.Next\n\nMore", [(0, "Title"), (22, "Next")], 1400, 200, 160, 0)
+    assert cut == [("Body text here.", "Title"), ("More", "Next")]
+    tail = M.split_text("x" * 1000 + "\n\n" + "y" * 30, [], 1000, 0, 0, 200)
+    assert len(tail) == 1
+    assert M.split_text("", [], 10, 2, 2, 1) == [] and M.split_text("  \n ", [], 10, 2, 2, 1) == []
+
+
+def test_instruments(spark):
+    from loomwork.operators import monitoring as M
+
+    reason = "affect string, affected string, affected_series string, amended string, amended_series string, markdown string"
+    rows = [
+        (1, "C2020A1", [("Amend", "C2021A2", "Act", "C2020A1", None, None), ("Other", "C9", None, None, None, None)]),
+        (2, "F1", [("Amend", None, None, None, None, "see C2019A7.")]),
+        (3, None, None),
+    ]
+    df = frame(spark, rows, f"id int, register_id string, reasons array<struct<{reason.replace(' string', ':string')}>>")
+    got = {(r.id, r.title_id, r.series) for r in M.amending_instruments(df).collect()}
+    assert got == {(1, "C2020A1", "Act"), (1, "C2021A2", "Act"), (2, "C2019A7", "")}
