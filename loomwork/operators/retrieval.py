@@ -10,34 +10,36 @@ from ..functions.text import tokens
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
-def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, term, tf); a document without words has the one term ``__empty__``."""
+def words_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, t): the words of each document; one without words has the one word ``__empty__``."""
     t = tokens(F.coalesce(F.col(text_col), F.lit("")))
-    words = F.when(F.size(t) > 0, t).otherwise(F.array(F.lit("__empty__")))
-    return docs.select(id_col, F.explode(words).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
+    return docs.select(id_col, F.when(F.size(t) > 0, t).otherwise(F.array(F.lit("__empty__"))).alias("t"))
 
 
 def bm25(docs: DataFrame, query: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) for every document that has a term of ``query`` (term, n: how often it is asked for).
 
-    Okapi weights; terms of negative weight get a share of the mean weight.
+    Okapi weights; terms of negative weight get a share of the mean weight. The
+    text is read twice: once for the statistics of all terms, which combine in
+    the map tasks, and once for the terms asked for, the only ones that are
+    grouped by document.
     """
-    index = postings(docs, id_col, text_col)
-    lengths = index.groupBy(id_col).agg(F.sum("tf").alias("dl"))
-    n, avgdl = lengths.agg(F.count("*"), F.avg("dl")).first()
+    texts = words_of(docs, id_col, text_col)
+    n = docs.count()
     if not n:
         return docs.sparkSession.createDataFrame([], f"{id_col} long, score double")
     raw = F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    terms = index.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", raw)
-    floor = EPSILON * terms.agg(F.avg("idf")).first()[0]
-    weighted = terms.join(query, "term").select("term", "n", F.when(F.col("idf") < 0, floor).otherwise(F.col("idf")).alias("idf"))
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
-    return (
-        index.join(weighted, "term")
-        .join(lengths, id_col)
-        .groupBy(id_col)
-        .agg(F.sum(part * F.col("n")).alias("score"))
-    )
+    # A null term carries the lengths through the same grouping.
+    once = F.transform(F.array_distinct("t"), lambda w: F.struct(w.alias("term"), F.lit(0).alias("dl")))
+    length = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.size("t").alias("dl")))
+    terms = texts.select(F.inline(F.concat(once, length))).groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("dl"))
+    mean, total = terms.agg(F.avg(F.when(F.col("term").isNotNull(), raw)), F.sum("dl")).first()
+    asked = texts.select(id_col, F.size("t").alias("dl"), F.explode_outer("t").alias("term")).join(query, "term")
+    index = asked.groupBy(id_col, "dl", "term", "n").agg(F.count("*").alias("tf"))
+    df = index.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.when(raw < 0, EPSILON * mean).otherwise(raw)
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / (total / n)))
+    return index.join(df, "term").groupBy(id_col).agg(F.sum(part * F.col("n")).alias("score"))
 
 
 def query_terms(texts: DataFrame, text_col: str = "text") -> DataFrame:
