@@ -73,49 +73,64 @@ def intervals(lcp: list[int]) -> Iterator[tuple[int, int, int]]:
             stack.append((now, first))
 
 
-def maximal_repeats(runs: list[tuple[bytes, int]], length: int) -> list[tuple[int, list[tuple[int, int]]]]:
-    """(length, [(run, offset)]) of the maximal repeats of ``length`` bytes or more among distinct runs.
+def repeat_intervals(runs: list[tuple[bytes, int]], length: int) -> tuple[list[tuple[int, int]], Iterator[tuple[int, int, int]]]:
+    """((run, offset) of the suffixes in order, (length, first, last) of the maximal repeats among them).
 
     A run is its bytes and how many suffixes of it count; what stands left of a
     run is not known, so its first suffix is taken as different from any other.
+    Longer repeats come before the shorter ones that enclose them.
     """
     suffixes = sorted((data[j:], r, j) for r, (data, n) in enumerate(runs) for j in range(n))
     lcp = [0] + [common_prefix(a[0], b[0], length) for a, b in zip(suffixes, suffixes[1:])]
-    # left[i]: a number that changes between neighbours whose left bytes differ.
-    left, changes = None, [0]
-    for _, r, j in suffixes:
-        now = (r, -1) if j == 0 else runs[r][0][j - 1]
-        changes.append(changes[-1] + (left is not None and now != left))
-        left = now
-    out = []
-    for size, first, last in intervals(lcp):
-        if changes[last + 1] > changes[first + 1]:
-            out.append((size, [suffixes[i][1:] for i in range(first, last + 1)]))
-    return out
+    places = [s[1:] for s in suffixes]
+    del suffixes
+    # A number for each suffix that changes where the byte on its left does.
+    changes = [0]
+    for (r, j), (q, k) in zip(places, places[1:]):
+        differ = j == 0 or k == 0 or runs[r][0][j - 1] != runs[q][0][k - 1]
+        changes.append(changes[-1] + differ)
+    return places, ((size, a, b) for size, a, b in intervals(lcp) if changes[b] > changes[a])
+
+
+def maximal_repeats(runs: list[tuple[bytes, int]], length: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+    """(length, [(run, offset)]): the maximal repeats of ``length`` bytes or more, with all occurrences."""
+    places, found = repeat_intervals(runs, length)
+    return ((size, places[a : b + 1]) for size, a, b in found)
 
 
 def group_repeats(rows: list[tuple[bytes, int, int, int]], length: int) -> Iterator[tuple[int, int, int]]:
-    """(document, start, length) of the repeats among the runs (bytes, suffixes, document, start) of one anchor."""
+    """(document, start, length) of the longest repeat at each place of the runs (bytes, suffixes, document, start) of one anchor."""
     places: dict[bytes, list[tuple[int, int]]] = {}
     count: dict[bytes, int] = {}
     for data, n, doc, start in rows:
         places.setdefault(data, []).append((doc, start))
         count[data] = n
-    found: dict[tuple[bytes, int], int] = {}
-    runs = [(data, n) for data, n in count.items()]
+    runs = list(count.items())
     for data, n in runs:
         if len(places[data]) > 1:  # the whole run repeats
             for doc, start in places[data]:
                 yield doc, start, n + length - 1
     if len(runs) < 2:
         return
-    for size, hits in maximal_repeats(runs, length):
-        for r, j in hits:
-            key = runs[r][0], j
-            found[key] = max(found.get(key, 0), size)
-    for (data, j), size in found.items():
-        for doc, start in places[data]:
-            yield doc, start + j, size
+    order, found = repeat_intervals(runs, length)
+    # Enclosing repeats come later and are shorter, so the first that has a suffix is its
+    # longest; what is settled is skipped, and nested repeats cost no more than one pass.
+    after = list(range(len(order) + 1))
+
+    def unsettled(k: int) -> int:
+        while after[k] != k:
+            after[k] = after[after[k]]
+            k = after[k]
+        return k
+
+    for size, first, last in found:
+        k = unsettled(first)
+        while k <= last:
+            r, j = order[k]
+            for doc, start in places[runs[r][0]]:
+                yield doc, start + j, size
+            after[k] = k + 1
+            k = unsettled(k + 1)
 
 
 def repeated_spans(docs: DataFrame, length: int, gram: int, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -195,10 +210,11 @@ def repeated_spans(docs: DataFrame, length: int, gram: int, limit: int | None =
                 keys, ids, places, counts = map(np.concatenate, zip(*entries))
                 twice = spans.exact_totals(keys, counts) > 1
                 out.add(ids[twice], places[twice])
-            found = [x for g in groups.values() if len(g) > 1 for x in group_repeats(g, length)]
-            if found:
-                ids, starts, sizes = np.array(found, dtype=np.int64).T
-                out.add(ids, (starts << 32) | sizes)
+            for group in groups.values():
+                found = list(group_repeats(group, length)) if len(group) > 1 else []
+                if found:
+                    ids, starts, sizes = np.array(found, dtype=np.int64).T
+                    out.add(ids, (starts << 32) | sizes)
             if out.held > 2_000_000:
                 yield from out.packets()
         yield from out.packets()
