@@ -7,13 +7,17 @@ after as many rounds as there are bins, round COORDS + b throws every element
 into bin b, so each coordinate fills, and long documents fill in one round.
 Bands of ``ROWS`` coordinates give candidates, and candidates are verified on
 full sets: 100 * intersection >= 80 * union. Two sets at similarity 0.8 share no
-band with probability (1 - 0.8**4)**40, below 1e-9.
+band with probability (1 - 0.8**6)**64, below 1e-8; sets that share a few common
+phrases (similarity 0.03) share one with probability below 1e-7, so candidates do
+not grow with the square of the corpus.
 
 Groups. Equal sets are one class, counted by digest. In a band's bucket every
-class is compared with the bucket's hub (its smallest class); classes that are
-not linked to the hub are compared with those of the bucket that are not yet
-known to be connected with them. So a group of thousands of near copies costs
-its size in comparisons, and no link between different components is lost.
+class is compared with the bucket's hub (its smallest class), which costs a
+group of near copies its size. Classes that share buckets form a candidate
+group; those of it that are outside its largest component are then compared
+with all of the group, in blocks: a task holds two blocks of sets, counts
+intersections by posting lists and reports a spanning forest of the links it
+finds. No pair is a row, and no link between different components is lost.
 Components are found by joins (smallest neighbour, then pointer jumping).
 
 Defined results: without words or text the set is empty and linked with nothing.
@@ -37,7 +41,9 @@ from . import spans
 from .common import ascii_lower, cut, texts
 
 SHINGLE, PERCENT = 5, 80
-ROWS, BANDS = 4, 40
+ROWS, BANDS = 6, 64
+#: Classes in a block of the exact comparison across components.
+BLOCK = 256
 COORDS = ROWS * BANDS
 U64 = np.uint64
 
@@ -148,38 +154,78 @@ def verified(pairs: DataFrame, sets: DataFrame, shingle: int, percent: int) -> D
     )
 
 
+def block_links(left: list, right: list, shingle: int, percent: int) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the links between two blocks of (id, root, z); pairs of one root are left out."""
+    reader = zstandard.ZstdDecompressor()
+    sets = [shingle_set(reader.decompress(x["z"]), shingle) for x in right]
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    every = np.concatenate(sets)
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]  # posting lists: the sets that have an element stand together
+    ids = np.array([x["id"] for x in right])
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    for x in left:
+        mine = shingle_set(reader.decompress(x["z"]), shingle)
+        a, b = np.searchsorted(every, mine, "left"), np.searchsorted(every, mine, "right")
+        found = np.repeat(a - np.concatenate([[0], np.cumsum(b - a)[:-1]]), b - a) + np.arange((b - a).sum())
+        common = np.bincount(owner[found], minlength=len(sets))
+        for k in np.flatnonzero(100 * common >= percent * (sizes + len(mine) - common)):
+            p, q = root(x["root"]), root(right[k]["root"])
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+                yield x["id"], int(ids[k])
+
+
+def across_components(group: DataFrame, sets: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links (a, b) between different components of a candidate group. Input: (g, id, root), groups of several roots only."""
+    sizes = group.groupBy("g", "root").agg(F.count("*").alias("c"))
+    main = sizes.groupBy("g").agg(F.max(F.struct("c", "root")).alias("x"), F.sum("c").alias("n"), F.count("*").alias("k"))
+    main = main.where("k > 1").select("g", "n", F.col("x.root").alias("main"))
+    rows = group.join(main, "g").join(sets, "id")
+    # A group's members are dealt to blocks by hash, so a block has about BLOCK of them.
+    block = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)).alias("block")
+    packed = lambda df, name: df.groupBy("g", block).agg(F.collect_list(F.struct("id", "root", "z")).alias(name)).drop("block")
+    pairs = packed(rows.where("root != main"), "left").join(packed(rows, "right"), "g").select("left", "right")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                found = list(block_links(batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), shingle, percent))
+                if found:
+                    a, b = zip(*found)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return pairs.mapInArrow(run, "a long, b long")
+
+
 def similar_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each document."""
     rows = texts(docs).where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), ascii_lower(F.col("text")).alias("text"))
     marks = cut(sketches(rows, shingle).dropDuplicates(["doc_id"]))
     filled = marks.where("digest is not null")
     # Classes of equal sets; the map tasks combine, so a set that a third of the documents have is no hot group.
-    classes = filled.groupBy("digest").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    classes = cut(classes.select("id", "digest", "n", "bands"))
-    keys = classes.select("id", "n", F.explode("bands").alias("key"))
+    classes = cut(filled.groupBy("digest").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n")))
+    keys = filled.join(classes.select("id"), filled["doc_id"] == classes["id"], "left_semi").select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("size")).where("size > 1")
-    # (key, id, n, hub): members of buckets with company.
-    members = cut(keys.join(buckets.select("key", "hub"), "key"))
-    sizes = classes.select(F.col("id").alias("a"), F.col("n").alias("hub_n"))
-    fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    spokes = members.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b"), "n").distinct()
-    spokes = cut(spokes.join(sizes, "a").where(fits(F.col("n"), F.col("hub_n"))).select("a", "b"))
-    wanted = members.select(F.col("id").alias("doc_id")).distinct()
+    # Members of buckets with company, as edges to the bucket's hub.
+    near = cut(keys.join(buckets.select("key", "hub"), "key").where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
+    sizes = lambda side, name: classes.select(F.col("id").alias(side), F.col("n").alias(name))
+    small, large = F.least("na", "nb"), F.greatest("na", "nb")
+    spokes = near.join(sizes("a", "na"), "a").join(sizes("b", "nb"), "b").where(100 * small >= percent * large).select("a", "b")
+    wanted = near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id"))).distinct()
     sets = spans.squeezed(rows).join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = cut(sets.select(F.col("doc_id").alias("id"), "z"))
     links = cut(verified(spokes, sets, shingle, percent))
     roots = components(links)
-    # Buckets whose classes are all connected are finished. In the others, members outside
-    # the largest component are compared with all that are not connected with them.
-    labelled = members.join(roots, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
-    counts = labelled.groupBy("key", "root").agg(F.count("*").alias("c"))
-    main = counts.groupBy("key").agg(F.max(F.struct("c", "root")).alias("x"), F.count("*").alias("k")).where("k > 1")
-    rest = cut(labelled.join(main.select("key", F.col("x.root").alias("main")), "key"))
-    minor = rest.where("root != main").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    across = rest.join(minor, "key").where(fits(F.col("n"), F.col("na")) & (F.col("root") != F.col("ra")))
-    across = across.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-    fresh = cut(across.join(spokes, ["a", "b"], "left_anti"))
-    more = cut(verified(fresh, sets, shingle, percent))
+    group = components(near).select("id", F.col("root").alias("g")).join(roots, "id", "left").select("g", "id", F.coalesce("root", "id").alias("root"))
+    more = cut(across_components(cut(group), sets, shingle, percent))
     if not more.isEmpty():
         roots = components(links.union(more))
     names = classes.join(roots, "id", "left").select("digest", F.coalesce("root", "id").alias("component_id"))
