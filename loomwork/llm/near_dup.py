@@ -18,7 +18,7 @@ group; those of it that are outside its largest component are then compared
 with all of the group, in blocks: a task holds two blocks of sets, counts
 intersections by posting lists and reports a spanning forest of the links it
 finds. No pair is a row, and no link between different components is lost.
-Components are found by joins (smallest neighbour, then pointer jumping).
+Components are found by joins (smallest neighbour, then pointer doubling).
 
 Defined results: without words or text the set is empty and linked with nothing.
 Shorter texts than a shingle are one shingle. Rows that are equal in id and text
@@ -108,23 +108,26 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) for every id of ``edges`` (a, b): the smallest id that can be reached.
 
-    Each round points an id to the smallest of its neighbours' labels and then to
-    that label's own label, so the rounds grow with the logarithm of a path.
+    Each round points an id to its smallest smaller neighbour and links its other
+    smaller neighbours to that one instead, so the edges become fewer until each
+    id has one: a forest, whose pointers are then followed by doubling.
     """
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).where("a != b").distinct())
-    label = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).select(F.col("a").alias("id"), "root"))
+    hi, lo = F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")
+    left = cut(edges.where("a != b").select(hi, lo).distinct())
     while True:
-        near = both.join(label, both["b"] == label["id"]).groupBy("a").agg(F.min("root").alias("m"))
-        step = label.join(near, label["id"] == near["a"], "left").select("id", "root", F.least("root", F.coalesce("m", "root")).alias("m"))
-        # An id that learns a smaller root tells its former root too, which joins whole stars at once.
-        hooks = step.where("m < root").groupBy(F.col("root").alias("h")).agg(F.min("m").alias("hm"))
-        hooked = step.join(hooks, F.col("id") == F.col("h"), "left").select("id", "root", F.least("m", F.coalesce("hm", "m")).alias("m"))
-        jump = hooked.select(F.col("id").alias("j"), F.col("m").alias("jm"))
-        new = cut(hooked.join(jump, F.col("m") == F.col("j"), "left").select("id", F.col("root").alias("old"), F.least("m", F.coalesce("jm", "m")).alias("root")))
-        changed = not new.where("root < old").isEmpty()
+        least = cut(left.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("k")))
+        if least.where("k > 1").isEmpty():
+            break
+        open_ = left.join(least, "hi").where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        left = cut(least.select("hi", F.col("m").alias("lo")).union(open_).distinct())
+    label = least.select(F.col("hi").alias("id"), F.col("m").alias("root"))
+    while True:
+        above = label.select(F.col("id").alias("up"), F.col("root").alias("far"))
+        new = cut(label.join(above, F.col("root") == F.col("up"), "left").select("id", F.coalesce("far", "root").alias("root"), F.col("far").isNotNull().alias("moved")))
         label = new.select("id", "root")
-        if not changed:
-            return label
+        if new.where("moved").isEmpty():
+            # Roots themselves have no pointer.
+            return label.union(label.select(F.col("root").alias("id"), "root").distinct())
 
 
 def verified(pairs: DataFrame, sets: DataFrame, shingle: int, percent: int) -> DataFrame:
