@@ -179,15 +179,16 @@ with w as (
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from documents),
 ph as (select string_split(p, ' ') as p, label from (values {phrases}) v(p, label)),
-e as (select doc_id, w, unnest(range(1, len(w) + 1)) as i from w),
-b as (select distinct doc_id, i - 1 as i, label from e join ph on list_slice(w, i, i + len(p) - 1) = p),
+e as (select doc_id, unnest(w) as w0, unnest(range(0, len(w))) as i from w),
+f as (select doc_id, i, w0, lead(w0, 1) over o as w1, lead(w0, 2) over o as w2, lead(w0, 3) over o as w3
+  from e window o as (partition by doc_id order by i)),
+b as (select distinct doc_id, i, label from f join ph on p[1] = w0 and p[2] = w1 and (len(p) = 2 or p[3] = w2)),
 bb as (select doc_id, count(*) as n_base, min(i) as first_word, max(i) as last_word,
   list_sort(list_distinct(list(label))) as base from b group by doc_id),
 t as (select t, label, string_split(x, ' ') as x from (values {templates}) v(t, label, x)),
 g as (select t, label, len(x) as n, unnest(range(0, len(x) - {GRAM - 1})) as tp, x from t),
 gg as (select t, label, n, tp, list_slice(x, tp + 1, tp + {GRAM}) as g from g),
-h as (select doc_id, t, label, n, i - 1 as pos, tp, i - 1 - tp as d from
-  (select * from e where i + {GRAM - 1} <= len(w)) e join gg on list_slice(w, i, i + {GRAM - 1}) = g),
+h as (select doc_id, t, label, n, i as pos, tp, i - tp as d from f join gg on g[1] = w0 and g[2] = w1 and g[3] = w2 and g[4] = w3),
 d as (select doc_id, t, label, n, d from h group by all),
 s as (select *, sum(new) over (partition by doc_id, t order by d) as span from
   (select *, case when d - lag(d) over (partition by doc_id, t order by d) > {GAP} then 1 when lag(d) over (partition by doc_id, t order by d) is null then 1 else 0 end as new from d)),
