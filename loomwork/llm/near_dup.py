@@ -137,7 +137,7 @@ def verified(pairs: DataFrame, sets: DataFrame, shingle: int, percent: int) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = zstandard.ZstdDecompressor()
-        last, last_set = None, None  # rows of one hub follow each other
+        last, last_set = None, None  # a hub that repeats is read once
         for batch in batches:
             keep = []
             for a, za, zb in zip(*[batch.column(c).to_pylist() for c in ("a", "za", "zb")]):
