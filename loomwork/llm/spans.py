@@ -128,6 +128,8 @@ HITS = "bucket int, docs binary, places binary"
 HITS_ARROW = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("places", pa.binary())])
 #: The bucket in which frequent keys are reported.
 FREQUENT = -1
+#: Groups of equal texts that are broadcast, at most.
+MAX_HOT = 10_000
 
 
 def squeeze(array: np.ndarray) -> bytes:
@@ -380,14 +382,20 @@ def squeezed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, z binary")
 
 
-def text_groups(docs: DataFrame) -> tuple[DataFrame, int]:
+def text_groups(docs: DataFrame, limit: int | None = None) -> tuple[DataFrame, int]:
     """((doc_id, copies, lead) of documents that share their text with others, UTF-8 bytes in all).
 
     Only digests are shuffled; counting combines in the map tasks, so a text
-    that a third of the documents have is no hot group.
+    that a third of the documents have is no hot group. Groups of more copies
+    than ``limit`` are broadcast to the documents, the others joined by shuffle;
+    by default there are at most ``MAX_HOT`` of the former, whatever the input.
     """
     keyed = cut(docs.select("doc_id", F.unhex(F.md5("text")).alias("digest"), F.octet_length("text").cast("long").alias("n")))
-    groups = keyed.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    total = keyed.agg(F.sum("n")).first()[0] or 0
-    shared = keyed.join(groups, "digest").select("doc_id", "copies", (F.col("doc_id") == F.col("first")).alias("lead"))
-    return cut(shared.distinct()), int(total)
+    size = keyed.agg(F.sum("n").alias("total"), F.count("*").alias("rows")).first()
+    limit = limit or max(1_000, size.rows // MAX_HOT)
+    groups = cut(keyed.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1"))
+    hot = F.broadcast(groups.where(F.col("copies") > limit))
+    rest = keyed.join(hot, "digest", "left_anti")
+    found = keyed.join(hot, "digest").union(rest.join(groups.where(F.col("copies") <= limit), "digest"))
+    shared = found.select("doc_id", "copies", (F.col("doc_id") == F.col("first")).alias("lead"))
+    return cut(shared.distinct()), int(size.total or 0)

@@ -46,6 +46,19 @@ def test_suffix_dedup_equals_brute_force(sample):
         assert {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in got.items()} == want
 
 
+def test_hot_groups_of_equal_texts_join_as_the_others(sample):
+    frame, texts = sample
+    rows = frame.selectExpr("doc_id", "coalesce(text, '') text")
+    count = Counter(texts.values())
+    want = {i: count[t] for i, t in texts.items() if count[t] > 1}
+    for limit in (None, 2, 1):  # at 1 all groups are hot, at 2 those of more than two copies
+        shared, size = spans.text_groups(rows, limit)
+        got = shared.collect()
+        assert {r.doc_id: r.copies for r in got} == want and len(got) == len(want)
+        assert sum(r.lead for r in got) == sum(n > 1 for n in count.values())
+        assert size == sum(len(t.encode()) for t in texts.values())
+
+
 def test_maximal_repeats_of_a_small_string():
     runs = [(b"xabcabcy", 8), (b"zabcq", 5)]
     found = {(size, tuple(sorted(hits))) for size, hits in suffix_dedup.maximal_repeats(runs, 3)}
