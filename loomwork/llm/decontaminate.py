@@ -7,8 +7,16 @@ document and item is reported if enough of the item's windows occur and its
 slots are filled consistently: a value of the item always becomes the same
 value in the document.
 
-Defined results: null or empty text, and texts with fewer words than a window,
-match nothing, as do such items. Rows that are equal in id and text count once;
+A capitalised word that begins a sentence may be a name or not, so each text is
+read in two ways: such words are words (LITERAL) or name slots (NAMED). Windows
+that are mostly slots say nothing and are left out; an item that has no other
+windows, or fewer words than a window, is looked for with its values (EXACT):
+by windows, or by all its words in a row. Coverage is the share of the item's
+distinct windows of one reading; the first reading that suffices is reported.
+
+Defined results: texts without words match nothing, as do such items; a text
+shorter than an item matches no exact window of it. Rows that are equal in id
+and text count once;
 several rows of one item id with different texts count as one item. Other
 columns of both inputs are ignored. An empty table on either side gives an
 empty result.
@@ -23,22 +31,35 @@ from .common import cut, texts, windows, words
 
 # Marks of the placeholder types, private-use characters that texts do not have.
 NUMBER, NAME, UNIT = "\ue000", "\ue001", "\ue002"
+# Fixed value: mark of a capitalised word that begins a sentence.
+FIRST = "\ue003"
+# The readings of a text, bits of a mask.
+LITERAL, NAMED, EXACT = READINGS = 1, 2, 4
 # Units of measure, lower case.
 UNITS = "kg|mg|g|km|cm|mm|m|miles?|feet|foot|inch(?:es)?|lbs?|oz|litres?|liters?|ml|hours?|hrs?|minutes?|mins?|seconds?|secs?|days?|weeks?|months?|years?|dollars?|euros?|cents?|percent|mph|kmh"
 
 WINDOW, MIN_COVERAGE = 5, 0.5
-#: Benchmark windows up to this count are broadcast (16 bytes each); more are joined by a shuffle.
+#: Benchmark windows, and ids of documents found, up to this count are broadcast (16 bytes each); more are joined by a shuffle.
 MAX_BROADCAST_WINDOWS = 2_000_000
 
 
 def marked(text: Column) -> Column:
     """The text with each slot value behind its type's mark, lower-cased, without punctuation."""
-    out = F.regexp_replace(text, "[\ue000-\ue002]", "")
+    out = F.regexp_replace(text, "[\ue000-\ue003]", "")
     # A name: a capitalised word that does not begin a sentence.
     out = F.regexp_replace(out, r"(?<=[\p{Ll}\p{N},;:] )(\p{Lu}\p{Ll}+)", NAME + "$1")
     out = F.regexp_replace(out, r"(?<![\p{L}\p{N}])\p{Sc}?([0-9][0-9.,:/]*)", NUMBER + "$1")
     out = F.regexp_replace(out, rf"(?i)({NUMBER}\S*[ \t-\r])({UNITS})(?![\p{{L}}\p{{N}}])", "$1" + UNIT + "$2")
-    return F.regexp_replace(F.lower(out), r"[^\p{L}\p{M}\p{N}\ue000-\ue002 \t-\r]+", "")
+    out = F.regexp_replace(out, r"[^\p{L}\p{M}\p{N}\ue000-\ue002 \t-\r]+", "")
+    # What is left of the capitalised words; last, so that it changes none of the other slots.
+    return F.lower(F.regexp_replace(out, r"(?<![^ \t-\r])(?=\p{Lu}\p{Ll})", FIRST))
+
+
+def read_as(text: Column, reading: int) -> Column:
+    """A marked text in one reading; the exact one has no marks."""
+    if reading == EXACT:
+        return F.translate(text, NUMBER + NAME + UNIT + FIRST, "")
+    return F.translate(text, FIRST, NAME if reading == NAMED else "")
 
 
 def template(text: Column) -> Column:
@@ -46,21 +67,72 @@ def template(text: Column) -> Column:
     return F.regexp_replace(text, "([\ue000-\ue002])[^ \t-\r]*", "$1")
 
 
-def template_windows(tokens: Column, size: int) -> Column:
-    """(hash, pos) of each window; windows that are mostly slots say nothing and are left out by the join."""
-    return windows(tokens, size, lambda s, i: F.struct(F.xxhash64(s).alias("hash"), i.alias("pos")))
+def is_slot(word: Column) -> Column:
+    return word.rlike("^[\ue000-\ue002]")
+
+
+def gram(tokens: str, start: Column, size: int) -> Column:
+    """The hash of a slice, without the slice, which would copy all words for each window."""
+    return F.xxhash64(*[F.get(tokens, start + k) for k in range(size)])
+
+
+def template_windows(raw: Column, t: Column, size: int, reading: int) -> Column:
+    """(reading, n, hash, pos, raw) of each window that is not mostly slots."""
+    every = windows(t, size, lambda s, i: F.struct(
+        F.lit(reading).alias("reading"), F.lit(size).alias("n"), F.xxhash64(s).alias("hash"), i.alias("pos"), F.slice(raw, i + 1, size).alias("raw")
+    ))
+    return F.filter(every, lambda x: 2 * F.size(F.filter(x["raw"], is_slot)) <= size)
+
+
+def both_readings(rows: DataFrame, size: int) -> DataFrame:
+    """(..., literal, named): the template windows of a marked text ``m``, read in both ways."""
+    for name, reading in (("literal", LITERAL), ("named", NAMED)):
+        rows = rows.withColumn("raw", words(read_as(F.col("m"), reading))).withColumn("t", F.transform("raw", template))
+        rows = rows.withColumn(name, template_windows(F.col("raw"), F.col("t"), size, reading)).drop("raw", "t")
+    return rows
 
 
 def item_windows(benchmark: DataFrame, size: int) -> DataFrame:
-    """(item_id, hash, i_pos, slots): the benchmark's windows with their slots' values, mostly-slot windows left out."""
+    """(item_id, reading, n, hash, i_pos, i_raw): the benchmark's windows of n words with their slots' values."""
     items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).distinct()
-    toks = items.select("item_id", words(marked(F.col("text"))).alias("raw"))
-    toks = toks.withColumn("t", F.transform("raw", template))
-    return (
-        toks.select("item_id", "raw", F.explode(template_windows(F.col("t"), size)).alias("x"))
-        .select("item_id", F.col("x.hash").alias("hash"), F.col("x.pos").alias("i_pos"), F.slice("raw", F.col("x.pos") + 1, size).alias("i_raw"))
-        .where(2 * F.size(F.filter("i_raw", lambda w: w.rlike("^[\ue000-\ue002]"))) <= size)
-    )
+    toks = both_readings(items.select("item_id", marked(F.col("text")).alias("m")), size)
+    toks = toks.withColumn("plain", words(read_as(F.col("m"), EXACT)))
+    n = F.least(F.lit(size), F.size("plain"))
+    exact = windows(F.col("plain"), n, lambda s, i: F.struct(
+        F.lit(EXACT).alias("reading"), n.alias("n"), F.xxhash64(s).alias("hash"), i.alias("pos"), s.alias("raw")
+    ))
+    exact = F.when((F.size("literal") == 0) & (F.size("plain") > 0), exact).otherwise(F.slice("literal", 1, 0))
+    rows = toks.select("item_id", F.explode_outer(F.concat("literal", "named", exact)).alias("x")).where("x is not null")
+    return rows.select("item_id", "x.reading", "x.n", "x.hash", F.col("x.pos").alias("i_pos"), F.col("x.raw").alias("i_raw"))
+
+
+def doc_hashes(docs: DataFrame, size: int, lengths: list[int]) -> DataFrame:
+    """(doc_id, hash, mask): the distinct windows of each text and the readings that have them.
+
+    Exact windows are of the given lengths only, those that the benchmark asks for.
+    """
+    # Each step's columns are used several times by the next; written as one expression, each window would make them again.
+    rows = texts(docs).select("doc_id", marked(F.col("text")).alias("m"))
+    rows = rows.withColumns({"plain": words(read_as(F.col("m"), EXACT))} if lengths else {}).withColumn("t", words(template(F.col("m"))))
+    # Per word and not per window: the words that begin sentences are few.
+    spots = F.filter(F.transform("t", lambda w, i: F.when(w.startswith(FIRST), i)), lambda i: i.isNotNull())
+    starts = F.when(F.size("t") >= size, F.sequence(F.lit(0), F.size("t") - size)).otherwise(F.array().cast("array<int>"))
+    rows = rows.withColumns({
+        "first": spots,
+        "starts": starts,
+        "literal": F.transform("t", lambda w: F.when(w.startswith(FIRST), F.substring(w, 2, 1 << 30)).otherwise(w)),
+        "named": F.transform("t", lambda w: F.when(w.startswith(FIRST), F.lit(NAME)).otherwise(w)),
+    })
+    near = F.transform("first", lambda i: F.sequence(F.greatest(F.lit(0), i - size + 1), i))
+    rows = rows.withColumn("differ", F.array_intersect(F.flatten(near), "starts")).withColumn("same", F.array_except("starts", "differ"))
+    tagged = lambda hashes, mask: F.transform(F.array_distinct(hashes), lambda h: F.struct(h.alias("hash"), F.lit(mask).alias("mask")))
+    found = [
+        tagged(F.transform(at, lambda i: gram(t, i, size)), mask)
+        for at, t, mask in (("same", "literal", LITERAL | NAMED), ("differ", "literal", LITERAL), ("differ", "named", NAMED))
+    ]
+    found += [tagged(windows(F.col("plain"), n, lambda s, i: gram("plain", i, n)), EXACT) for n in lengths]
+    # Outer, since a plain explode makes the optimizer push a copy of the whole expression below it.
+    return rows.select("doc_id", F.explode_outer(F.concat(*found)).alias("x")).select("doc_id", "x.hash", "x.mask")
 
 
 def contamination(
@@ -68,80 +140,78 @@ def contamination(
 ) -> DataFrame:
     """doc_id, item_id, n_windows, coverage, n_slots, n_changed for each contaminated pair."""
     known = item_windows(benchmark, window)
-    sizes = known.groupBy("item_id").agg(F.countDistinct("hash").alias("n_item"))
-    keys = known.select("hash", "item_id").distinct()
+    sizes = known.groupBy("item_id", "reading").agg(F.countDistinct("hash").alias("n_item"))
+    keys = known.groupBy("hash", "item_id").agg(F.bit_or("reading").alias("asked"))
     side = F.broadcast(keys) if keys.count() <= MAX_BROADCAST_WINDOWS else keys
-    plain = texts(docs).select("doc_id", words(template(marked(F.col("text")))).alias("t"))
+    lengths = sorted(r.n for r in known.where(F.col("reading") == EXACT).select("n").distinct().collect())
     hits = (
-        # Outer, since a plain explode makes the optimizer push a copy of the whole expression below it.
-        plain.select("doc_id", F.explode_outer(template_windows(F.col("t"), window)).alias("x"))
-        .select("doc_id", F.col("x.hash").alias("hash"))
+        doc_hashes(docs, window, lengths)
         .join(side, "hash")
+        .select("doc_id", "item_id", "hash", F.col("mask").bitwiseAND(F.col("asked")).alias("mask"))
+        .where("mask != 0")
     )
     # Distinct hashes of the pair, so a phrase that a document repeats counts once.
+    distinct = hits.groupBy("doc_id", "item_id", "hash").agg(F.bit_or("mask").alias("mask"))
+    counts = distinct.groupBy("doc_id", "item_id").agg(*[F.count_if(F.col("mask").bitwiseAND(r) != 0).alias(f"n{r}") for r in READINGS])
+    by_reading = F.array(*[F.struct(F.lit(r).alias("reading"), F.col(f"n{r}").alias("n_windows")) for r in READINGS])
     pairs = (
-        hits.distinct()
-        .groupBy("doc_id", "item_id")
-        .agg(F.count("*").alias("n_windows"))
-        .join(sizes, "item_id")
+        counts.select("doc_id", "item_id", F.inline(by_reading))
+        .where("n_windows > 0")
+        .join(sizes, ["item_id", "reading"])
         .withColumn("coverage", F.col("n_windows") / F.col("n_item"))
         .where(F.col("coverage") >= min_coverage)
     )
     # Few rows, used several times below: without the cut, each use would scan the documents again.
     pairs = cut(pairs)
-    slotted = known.where(F.exists("i_raw", lambda w: w.rlike("^[\ue000-\ue002]")))
+    slotted = known.where((F.col("reading") != EXACT) & F.exists("i_raw", is_slot))
     if slotted.isEmpty():
-        slots = None
+        out = pairs.withColumn("n_slots", F.lit(0).cast("long")).withColumn("n_changed", F.lit(0).cast("long"))
     else:
-        slots = slot_changes(docs, pairs, slotted, window)
-    out = pairs.withColumn("n_slots", F.lit(0).cast("long")).withColumn("n_changed", F.lit(0).cast("long"))
-    if slots is not None:
-        out = pairs.join(slots, ["doc_id", "item_id"], "left").where(F.coalesce("consistent", F.lit(True)))
+        out = pairs.join(slot_changes(docs, pairs, slotted, window), ["doc_id", "item_id", "reading"], "left")
+        out = out.where(F.coalesce("consistent", F.lit(True)))
         out = out.withColumn("n_slots", F.coalesce("n_slots", F.lit(0))).withColumn("n_changed", F.coalesce("n_changed", F.lit(0)))
-    return out.select("doc_id", "item_id", "n_windows", "coverage", "n_slots", "n_changed")
+    # The first reading that suffices.
+    best = F.min(F.struct("reading", "n_windows", "coverage", "n_slots", "n_changed")).alias("x")
+    return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "x.n_windows", "x.coverage", "x.n_slots", "x.n_changed")
 
 
 def slot_changes(docs: DataFrame, pairs: DataFrame, slotted: DataFrame, window: int) -> DataFrame:
-    """doc_id, item_id, n_slots, n_changed, consistent: how each reported pair fills the item's slots.
+    """doc_id, item_id, reading, n_slots, n_changed, consistent: how each reported pair fills the item's slots.
 
     Only documents of a pair are read again for their slots' values.
     """
-    chosen = texts(docs).join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
-    toks = chosen.select("doc_id", words(marked(F.col("text"))).alias("raw"))
-    toks = toks.withColumn("t", F.transform("raw", template))
-    grams = windows(
-        F.col("t"),
-        window,
-        lambda s, i: F.struct(F.xxhash64(s).alias("hash"), i.alias("pos"), F.slice("raw", i + 1, window).alias("d_raw")),
-    )
-    hashes = slotted.select("hash").distinct()
+    ids = pairs.select("doc_id").distinct()
+    ids = F.broadcast(ids) if ids.count() <= MAX_BROADCAST_WINDOWS else ids
+    chosen = texts(docs).join(ids, "doc_id", "left_semi")
+    toks = both_readings(chosen.select("doc_id", marked(F.col("text")).alias("m")), window)
+    asked = slotted.select("hash", "reading").distinct()
     rows = (
-        toks.select("doc_id", F.explode_outer(grams).alias("x"))
-        .select("doc_id", F.col("x.hash").alias("hash"), F.col("x.pos").alias("pos"), F.col("x.d_raw").alias("d_raw"))
-        .join(hashes, "hash", "left_semi")
-        .join(slotted, "hash")
-        .join(pairs.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi")
+        toks.select("doc_id", F.explode_outer(F.concat("literal", "named")).alias("x"))
+        .select("doc_id", "x.reading", "x.hash", "x.pos", F.col("x.raw").alias("d_raw"))
+        .join(asked, ["hash", "reading"], "left_semi")
+        .join(slotted, ["hash", "reading"])
+        .join(pairs.select("doc_id", "item_id", "reading"), ["doc_id", "item_id", "reading"], "left_semi")
     )
     # Values side by side, one row for each slot of the item and place in the document.
     values = (
         rows.withColumn("diagonal", F.col("pos") - F.col("i_pos"))
-        .select("doc_id", "item_id", "diagonal", "i_pos", F.posexplode(F.arrays_zip("i_raw", "d_raw")).alias("k", "v"))
-        .where(F.col("v.i_raw").rlike("^[\ue000-\ue002]"))
-        .select("doc_id", "item_id", "diagonal", (F.col("i_pos") + F.col("k")).alias("slot"), F.col("v.i_raw").alias("a"), F.col("v.d_raw").alias("b"))
+        .select("doc_id", "item_id", "reading", "diagonal", "i_pos", F.posexplode(F.arrays_zip("i_raw", "d_raw")).alias("k", "v"))
+        .where(is_slot(F.col("v.i_raw")))
+        .select("doc_id", "item_id", "reading", "diagonal", (F.col("i_pos") + F.col("k")).alias("slot"), F.col("v.i_raw").alias("a"), F.col("v.d_raw").alias("b"))
         .distinct()
     )
     # Consistent along a diagonal: one value of the document for each value of the item.
-    by_value = values.groupBy("doc_id", "item_id", "diagonal", "a").agg(
+    by_value = values.groupBy("doc_id", "item_id", "reading", "diagonal", "a").agg(
         F.countDistinct("b").alias("n_b"), F.countDistinct("slot").alias("n"), F.max((F.col("a") != F.col("b")).cast("int")).alias("changed")
     )
-    by_diagonal = by_value.groupBy("doc_id", "item_id", "diagonal").agg(
+    by_diagonal = by_value.groupBy("doc_id", "item_id", "reading", "diagonal").agg(
         F.sum("n").alias("n_slots"), F.sum("changed").alias("n_changed"), (F.max("n_b") == 1).alias("consistent")
     )
     best = F.struct("consistent", "n_slots", (-F.col("n_changed")).alias("less"), "diagonal")
     return (
-        by_diagonal.groupBy("doc_id", "item_id")
+        by_diagonal.groupBy("doc_id", "item_id", "reading")
         .agg(F.max(best).alias("x"))
-        .select("doc_id", "item_id", F.col("x.n_slots").alias("n_slots"), (-F.col("x.less")).alias("n_changed"), F.col("x.consistent").alias("consistent"))
+        .select("doc_id", "item_id", "reading", F.col("x.n_slots").alias("n_slots"), (-F.col("x.less")).alias("n_changed"), F.col("x.consistent").alias("consistent"))
     )
 
 

@@ -72,6 +72,31 @@ def test_inconsistent_slots_are_let_go(spark):
     assert [r.doc_id for r in decontaminate.contamination(docs, bench).collect()] == [2]
 
 
+NAMES = "Anna has 3 apples. Anna buys 4 more pears. Anna eats 2 plums."
+SUM = "3 + 5 + 8 + 13 + 21 = 50"
+
+
+@pytest.mark.parametrize(
+    ("item", "text", "caught"),
+    [
+        (NAMES, "Peter has 7 apples. Peter buys 4 more pears. Peter eats 2 plums.", True),
+        (NAMES, "so it was that Peter has 7 apples. Peter buys 4 more pears. Peter eats 2 plums.", True),
+        (NAMES, "Peter has 7 apples. Paula buys 4 more pears. Peter eats 2 plums.", False),
+        (SUM, "what is 3 + 5 + 8 + 13 + 21 = 50 then", True),
+        (SUM, "what is 4 + 6 + 9 + 14 + 22 = 55 then", False),
+        ("Who wrote Faust?", "and who wrote Faust, he said", True),
+        ("Who wrote Faust?", "and who wrote Hamlet, he said", False),
+        ("12", "it is 12 now", True),
+        ("12", "it is 13 now", False),
+        ("...", "it is ... now", False),
+    ],
+)
+def test_names_that_begin_sentences_and_items_without_windows(spark, item, text, caught):
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    bench = spark.createDataFrame([(5, item), (6, ITEM)], "item_id long, text string")
+    assert [r.item_id for r in decontaminate.contamination(docs, bench).collect()] == [5] * caught
+
+
 def test_benchmark_passages_of_the_sample(spark, sample, sf_dir):
     frame, texts = sample
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
