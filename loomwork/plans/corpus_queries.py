@@ -135,12 +135,12 @@ def html(s, d):
 
 
 def points(s, d):
-    return table(s, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 2), lambda x: x.cast("double")).alias("point"))
+    return ml.projected(table(s, d, "embeddings"), "vec_id", "embedding", 2)
 
 
 def grouped(s, d):
-    p = points(s, d)
-    lab = ml.clusters(p, "vec_id", "point", 7, 10)
+    p = points(s, d).checkpoint()  # read in each round
+    lab = ml.clusters(p, "vec_id", "point", 7)
     return ml.cluster_summary(p.join(lab, "vec_id"), "point", 2)
 
 

@@ -226,6 +226,37 @@ def test_clusters_and_projection(spark):
     assert [r.point for r in ml.projected(df.limit(2), "id", "p", 2).collect()] == [[0.0, 0.0]] * 2
 
 
+def test_kmeans_query_equals_brute_force(spark, tmp_path):
+    """The third to eighth values separate the rows; the first two say nothing."""
+    import numpy as np
+
+    from loomwork.plans import catalog
+
+    rng = np.random.default_rng(2)
+    vectors = rng.normal(0, 0.01, (140, 8))
+    vectors[:, 2] += rng.uniform(-3, 3, 140)
+    vectors[:, 5] += rng.uniform(-2, 2, 140)
+    vectors = vectors.astype("float32").astype(float)
+    frame(spark, [(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted((r.n, r.c0, r.c1) for r in catalog.queries()["kmeans_clusters"](spark, str(tmp_path)).collect())
+
+    axes = np.linalg.eigh(np.cov(vectors.T))[1][:, ::-1][:, :2]
+    p = vectors @ axes
+    p = (p - p.min(0)) / (p.max(0) - p.min(0)) * 2 - 1
+    p *= np.where(p.mean(0) < 0, -1, 1)
+    centres = np.array([p[i * 140 // 7] for i in range(7)])
+    for rounds in range(100):
+        label = ((p[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+        new = np.array([p[label == k].mean(0) if (label == k).any() else centres[k] for k in range(7)])
+        if np.array_equal(new, centres):
+            break
+        centres = new
+    assert rounds > 10
+    want = sorted((int((label == k).sum()), *p[label == k].mean(0)) for k in range(7) if (label == k).any())
+    assert [x[0] for x in got] == [x[0] for x in want]
+    assert np.allclose(got, want, atol=1e-6)
+
+
 def test_streak_and_failures(spark):
     rows = [(1, i, o) for i, o in enumerate(["completed", "error", "error"])] + [(2, 9, "completed")]
     df = frame(spark, rows, "source_id long, event_id long, outcome string").withColumn("ts", F.col("event_id"))
