@@ -1,34 +1,43 @@
-"""Finding repeated windows by content-defined anchors, in numpy batches.
-
-Operators 3 and 6 ask which windows of a fixed length start more than once in
-the corpus. Sending one row for each window would multiply the data, so windows
-are first represented by anchors: of the grams inside a window the one with the
-smallest hash (leftmost of equal ones). Equal windows choose equal anchors at
-equal offsets, so a window that repeats has an anchor that repeats; the reverse
-is checked exactly afterwards. About 2 / (grams in a window + 1) of the grams
-are anchors of any window.
-
-Keys are dealt to blocks by hash and travel packed: one row for each task and
-block. A task sends a key once, with its first place; later places of the same
-key in that task are known to be repeated without any exchange. A key that
-stands in a third of all documents is therefore one entry for each task.
+"""Finding what repeats in a corpus, in numpy batches: packets, sketches, exact keys.
+
+Documents are packed into packets of a few megabytes, kept compressed in the
+shared folder, so that later passes read them by packet and never join on
+document ids. Operators 3 and 6 then work in two passes over the packets.
+
+First pass: each packet makes a count-min sketch of its keys (two rows of
+cells). A packet's sketch has few cells that are not zero, so it travels as the
+list of those, dealt to blocks of cells; merged by addition, the blocks answer
+each packet with the levels of its own cells only. An estimate is never too
+small. Second pass: only keys that are estimated as repeated leave their task.
+
+Exact keys travel packed too: one row for each task and block. A task sends a
+key once, with its first place; later places of the same key in that task are
+known to be repeated without any exchange. A key that stands in a third of all
+documents is therefore one entry for each task.
+
+Hashes. Words and windows are polynomials modulo the prime 2**61 - 1, for which
+two different sequences of n values agree for at most n of the 2**61 bases; two
+of them with different bases are a 128-bit key. The cheaper polynomials modulo
+2**64 only choose anchors, where equal hashes of different grams do no harm.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, worker_cache
 
 U64 = np.uint64
-#: Odd multipliers of the two rolling polynomials, and of the final mix.
-BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: Odd multiplier of the rolling polynomial modulo 2**64, and multipliers of the final mix.
+ODD = 0x9E3779B97F4A7C15
 MIX1, MIX2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 
 
@@ -48,8 +57,8 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out, dtype=U64)
 
 
-def window_hashes(values: np.ndarray, size: int, base: int = BASES[0]) -> np.ndarray:
-    """A 64-bit hash of each run of ``size`` values (uint64, already mixed)."""
+def window_hashes(values: np.ndarray, size: int, base: int = ODD) -> np.ndarray:
+    """A 64-bit hash of each run of ``size`` values (uint64, already mixed), for choosing anchors only."""
     n = len(values) - size + 1
     if n <= 0:
         return np.empty(0, dtype=U64)
@@ -67,13 +76,81 @@ def split_words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
 
 
+# -- hashes that hold ---------------------------------------------------------
+
+PRIME = (1 << 61) - 1
+M61, M31 = U64(PRIME), U64((1 << 31) - 1)
+#: Two bases, any numbers below the prime.
+BASES = (0x1A2F5C9B3D7E8461, 0x0F83B1D6A94C2E75)
+#: Values hashed at once, and bytes of a word above which its digest is taken instead of its polynomial.
+PIECE, LONG_WORD = 1 << 17, 1 << 14
+
+
+def reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & M61) + (x >> U64(61))
+    return np.where(x >= M61, x - M61, x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo the prime, both below it: 31-bit halves, 2**62 is 2 and 2**61 is 1."""
+    a1, a0, b1, b0 = a >> U64(31), a & M31, b >> U64(31), b & M31
+    mid = a1 * b0 + a0 * b1
+    return reduced((a1 * b1 << U64(1)) + (mid >> U64(30)) + ((mid & U64((1 << 30) - 1)) << U64(31)) + a0 * b0)
+
+
+def prime_powers(base: int) -> np.ndarray:
+    """base**0, base**1, ... modulo the prime, by doubling; kept in the worker (1 MB)."""
+
+    def make() -> np.ndarray:
+        out = np.ones(1, dtype=U64)
+        while len(out) <= PIECE + LONG_WORD:
+            out = np.concatenate([out, times(out, np.full(len(out), pow(base, len(out), PRIME), dtype=U64))])
+        return out[: PIECE + LONG_WORD + 1]
+
+    return worker_cache(("powers", base), make)
+
+
+def sums(low: np.ndarray, high: np.ndarray, starts: np.ndarray, ends: np.ndarray, up: np.ndarray) -> np.ndarray:
+    """Polynomials of [start, end) from 31-bit halves of the terms, moved to one exponent."""
+    low, high = (np.concatenate([np.zeros(1, dtype=U64), np.cumsum(x, dtype=U64)]) for x in (low, high))
+    a, b = reduced(low[ends] - low[starts]), reduced(high[ends] - high[starts])
+    turned = ((b & U64((1 << 30) - 1)) << U64(31)) + (b >> U64(30))  # b * 2**31
+    return times(reduced(a + turned), up[len(up) - 1 - starts])
+
+
 def word_hashes(text: bytes, starts: np.ndarray, ends: np.ndarray, base: int = BASES[0]) -> np.ndarray:
-    """A 64-bit hash of each word, by its bytes and length."""
-    raw = np.frombuffer(text, dtype=np.uint8).astype(U64) + U64(1)
-    up = powers(base, len(raw))
-    down = powers(pow(base, -1, 1 << 64), len(raw))
-    total = np.concatenate([np.zeros(1, dtype=U64), np.cumsum(raw * up, dtype=U64)])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64) * U64(0x9E3779B1))
+    """A hash below the prime for each word, by its bytes."""
+    up, out, i = prime_powers(base), np.empty(len(starts), dtype=U64), 0
+    raw = np.frombuffer(text, dtype=np.uint8)
+    low, high = up & M31, up >> U64(31)
+    long = set(np.flatnonzero(ends - starts > LONG_WORD).tolist())
+    stops = sorted({*long, *[k + 1 for k in long], len(starts)})
+    for stop in stops:
+        while i < stop:
+            if i in long:
+                digest = hashlib.blake2b(text[starts[i] : ends[i]], digest_size=8, key=base.to_bytes(8, "big")).digest()
+                out[i] = int.from_bytes(digest, "big") % PRIME
+                i += 1
+                continue
+            j = min(stop, max(i + 1, int(np.searchsorted(ends, starts[i] + PIECE, "right"))))
+            a, b = int(starts[i]), int(ends[j - 1])
+            values, n = raw[a:b].astype(U64) + U64(1), b - a
+            out[i:j] = sums(values * low[:n], values * high[:n], starts[i:j] - a, ends[i:j] - a, up)
+            i = j
+    return out
+
+
+def run_hashes(values: np.ndarray, size: int, base: int = BASES[0]) -> np.ndarray:
+    """A mixed 61-bit hash of each run of ``size`` values below the prime."""
+    up, found = prime_powers(base), []
+    for a, b in pieces(len(values), size, PIECE - size):
+        term = times(values[a:b], up[: b - a])
+        starts = np.arange(b - a - size + 1)
+        found.append(mix(sums(term & M31, term >> U64(31), starts, starts + size, up)))
+    return np.concatenate(found) if found else np.empty(0, dtype=U64)
+
+
+# -- anchors --------------------------------------------------------------------
 
 
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
@@ -116,6 +193,142 @@ def covered(starts: np.ndarray, length: int, n: int) -> np.ndarray:
     return np.cumsum(step[:n]) > 0
 
 
+# -- packets ----------------------------------------------------------------------
+
+PACKET = "part long, ids array<long>, sizes array<long>, n_bytes long, z binary"
+#: Bytes of text of a packet; a longer text is a packet of its own.
+PACKET_BYTES = 2_000_000
+
+
+def packets(docs: DataFrame) -> DataFrame:
+    """(part, ids, sizes, n_bytes, z): the texts of (doc_id, text), in order, each followed by a newline, compressed together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, number = zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId() << 32
+        ids, held, size = [], [], 0
+
+        def packet() -> pa.RecordBatch:
+            nonlocal number
+            number += 1
+            lengths = [len(x) for x in held]
+            z = coder.compress(b"".join([x + b"\n" for x in held]))
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary()]
+            columns = [pa.array([v], k) for v, k in zip((number, ids, lengths, sum(lengths), z), kinds)]
+            return pa.RecordBatch.from_arrays(columns, names=["part", "ids", "sizes", "n_bytes", "z"])
+
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0), batch.column(1).cast(pa.binary())):
+                text = text.as_py()
+                if held and size + len(text) > PACKET_BYTES:
+                    yield packet()
+                    ids, held, size = [], [], 0
+                ids.append(doc_id.as_py())
+                held.append(text)
+                size += len(text)
+        if held:
+            yield packet()
+
+    return docs.mapInArrow(run, PACKET)
+
+
+def packet_text(z: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(z)
+
+
+def packet_starts(sizes: list[int]) -> np.ndarray:
+    """Where each text of a packet begins, and the end."""
+    return np.concatenate([[0], np.cumsum(np.array(sizes, dtype=np.int64) + 1)])
+
+
+# -- count-min sketches -------------------------------------------------------------
+
+#: Cells of a block, cells for each key expected, and rows of a sketch.
+CELLS, CELLS_PER_KEY, ROWS = 1 << 22, 8, 2
+SKETCH = "block int, part long, piece int, cells binary, counts binary"
+LEVELS = "part long, block int, piece int, hot boolean, levels binary"
+
+
+def blocks_for(keys: int) -> int:
+    """Blocks of a row, for about so many keys in the corpus."""
+    return max(4, keys * CELLS_PER_KEY // CELLS)
+
+
+def cells_of(keys: np.ndarray, row: int, blocks: int) -> np.ndarray:
+    """The cell of each key in a row of the sketch: the block above, the cell in it below."""
+    h = mix(keys + U64((row + 1) * 0xD1B54A32D192ED03 % (1 << 64)))
+    return ((h >> U64(32)) % U64(blocks) * U64(CELLS) + (h & U64(CELLS - 1))).astype(np.int64)
+
+
+def by_blocks(codes: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(block, first, end) of the runs of sorted codes."""
+    edges = np.flatnonzero(np.concatenate([[True], np.diff(codes // CELLS) != 0, [True]])) if len(codes) else [0]
+    return ((int(codes[a] // CELLS), a, b) for a, b in zip(edges[:-1], edges[1:]))
+
+
+def partition_sketch(part: int, piece: int, keys: np.ndarray, blocks: int) -> Iterator[pa.RecordBatch]:
+    """A packet's sketch of its keys: the cells that are not zero, by block, and how many keys fell into each (255 stands for more)."""
+    rows = []
+    for row in range(ROWS):
+        codes, counts = np.unique(cells_of(keys, row, blocks), return_counts=True)
+        for block, a, b in by_blocks(codes):
+            cells = np.diff(codes[a:b] % CELLS, prepend=0).astype(np.uint32)
+            rows.append((row * blocks + block, part, piece, squeeze(cells), squeeze(np.minimum(counts[a:b], 255).astype(np.uint8))))
+    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+    for i in range(0, len(rows), 2_000):
+        columns = [pa.array(c, k) for c, k in zip(zip(*rows[i : i + 2_000]), kinds)]
+        yield pa.RecordBatch.from_arrays(columns, names=["block", "part", "piece", "cells", "counts"])
+
+
+def merged_levels(sketches: DataFrame, hot: int = 1 << 30) -> DataFrame:
+    """(part, answers, hot): the partition sketches added up, and for each packet the levels of its own cells.
+
+    A level is 0 for a cell of one key, 1 for one of two keys or more, 2 for one of more than ``hot``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, dtype=np.int64)
+        for rows in runs_of_first(batches):
+            total[:] = 0
+            for _, _, _, cells, counts in rows:
+                total[np.cumsum(expand(cells, np.uint32))] += expand(counts, np.uint8)  # a packet has a cell once
+            level = (total > 1).astype(np.uint8) + (total > hot)
+            for i in range(0, len(rows), 1_000):
+                few = rows[i : i + 1_000]
+                block, part, piece, cells, _ = zip(*few)
+                answers = [level[np.cumsum(expand(c, np.uint32))] for c in cells]
+                columns = [part, block, piece, [bool((x > 1).any()) for x in answers], [squeeze(x) for x in answers]]
+                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["part", "block", "piece", "hot", "levels"])
+
+    merged = sketches.repartition("block").sortWithinPartitions("block").mapInArrow(run, LEVELS)
+    return merged.groupBy("part").agg(F.collect_list(F.struct("piece", "block", "levels")).alias("answers"), F.max("hot").alias("hot"))
+
+
+def runs_of_first(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows with one value in the first column at a time, from batches sorted by it."""
+    now, held = None, []
+    for batch in batches:
+        for row in zip(*[c.to_pylist() for c in batch.columns]):
+            if held and row[0] != now:
+                yield held
+                held = []
+            now = row[0]
+            held.append(row)
+    if held:
+        yield held
+
+
+def estimated_levels(keys: np.ndarray, blocks: int, answers: list[dict], piece: int) -> np.ndarray:
+    """The level of each key of a packet: the smallest of its cells', which is never too small."""
+    known = {x["block"]: x["levels"] for x in answers if x["piece"] == piece}
+    best = None
+    for row in range(ROWS):
+        codes, at = np.unique(cells_of(keys, row, blocks), return_inverse=True)
+        level = np.concatenate([expand(known[row * blocks + block], np.uint8) for block, _, _ in by_blocks(codes)] or [np.empty(0, np.uint8)])
+        best = level[at] if best is None else np.minimum(best, level[at])
+    return best
+
+
 # -- packed keys ------------------------------------------------------------
 
 
@@ -126,10 +339,6 @@ PACKED_ARROW = pa.schema(
 #: ``places`` are int64: a start, or a start and a length as start << 32 | length.
 HITS = "bucket int, docs binary, places binary"
 HITS_ARROW = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("places", pa.binary())])
-#: The bucket in which frequent keys are reported.
-FREQUENT = -1
-#: Groups of equal texts that are broadcast, at most.
-MAX_HOT = 10_000
 
 
 def squeeze(array: np.ndarray) -> bytes:
@@ -214,15 +423,8 @@ def block_of(keys: np.ndarray, blocks: int) -> np.ndarray:
     return (mix(keys[:, 0] ^ U64(0x5851F42D4C957F2D)) % U64(blocks)).astype(np.int64)
 
 
-def repeated_places(packed: DataFrame, buckets: int, width: int, sketch_bits: int | None = None, frequent: int | None = None) -> DataFrame:
-    """Hits (see ``gather``): the places whose key stands more than once in the corpus.
-
-    With ``sketch_bits`` the keys are counted in a count-min sketch of two rows
-    of that many bits for each block, merged from the tasks' counts: estimates
-    are never too small, so places may be reported too often but none is lost.
-    Without it keys are compared in full. Keys that stand more than ``frequent``
-    times are reported too, in the bucket ``FREQUENT``.
-    """
+def repeated_places(packed: DataFrame, buckets: int, width: int) -> DataFrame:
+    """Hits (see ``gather``): the places whose key, compared in full, stands more than once in the corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hits = HitPacker(buckets)
@@ -235,10 +437,8 @@ def repeated_places(packed: DataFrame, buckets: int, width: int, sketch_bits: in
                     entries.append((np.frombuffer(keys, dtype=U64).reshape(-1, width), undo(docs), undo(places), expand(counts, np.int64)))
             if entries:
                 keys, docs, places, counts = map(np.concatenate, zip(*entries))
-                total = estimates(keys[:, 0], counts, sketch_bits) if sketch_bits else exact_totals(keys, counts)
+                total = exact_totals(keys, counts)
                 hits.add(docs[total > 1], places[total > 1])
-                if frequent is not None:
-                    hits.often.append(np.unique(keys[total > frequent, 0]).view(np.int64))
             if hits.held > 2_000_000:
                 yield from hits.packets()
         yield from hits.packets()
@@ -276,17 +476,6 @@ def exact_totals(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total
 
 
-def estimates(keys: np.ndarray, counts: np.ndarray, bits: int) -> np.ndarray:
-    """For each entry, the count-min estimate of how often its key stands in the corpus."""
-    mask = U64((1 << bits) - 1)
-    best = None
-    for row in range(2):
-        cell = ((mix(keys + U64(row + 1)) >> U64(20)) & mask).astype(np.int64)
-        found = np.bincount(cell, weights=counts, minlength=1 << bits)[cell]
-        best = found if best is None else np.minimum(best, found)
-    return best
-
-
 class HitPacker:
     """Collects reported places and packs them by buckets of documents, one row for each task and bucket."""
 
@@ -294,7 +483,6 @@ class HitPacker:
         self.buckets = buckets
         self.docs: list[np.ndarray] = []
         self.places: list[np.ndarray] = []
-        self.often: list[np.ndarray] = []
         self.held = 0
 
     def add(self, docs: np.ndarray, places: np.ndarray) -> None:
@@ -304,9 +492,6 @@ class HitPacker:
 
     def packets(self) -> Iterator[pa.RecordBatch]:
         rows = []
-        often = np.concatenate(self.often) if self.often else np.empty(0, np.int64)
-        if len(often):
-            rows.append((FREQUENT, squeeze(often), squeeze(often)))
         if self.held:
             docs, places = np.concatenate(self.docs), np.concatenate(self.places)
             bucket = (mix(docs.astype(U64)) % U64(self.buckets)).astype(np.int64)
@@ -314,7 +499,7 @@ class HitPacker:
             docs, places, bucket = docs[order], places[order], bucket[order]
             edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
             rows += [(int(bucket[a]), squeeze(delta(docs[a:b])), squeeze(delta(places[a:b]))) for a, b in zip(edges[:-1], edges[1:])]
-        self.docs, self.places, self.often, self.held = [], [], [], 0
+        self.docs, self.places, self.held = [], [], 0
         for i in range(0, len(rows), 500):
             part = list(zip(*rows[i : i + 500]))
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(part, HITS_ARROW)], schema=HITS_ARROW)
@@ -340,8 +525,7 @@ def gather(hits: DataFrame) -> DataFrame:
         if held:
             yield from by_document(held)
 
-    known = hits.where(F.col("bucket") != FREQUENT)
-    return known.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc_id long, places binary")
+    return hits.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc_id long, places binary")
 
 
 def by_document(held: list) -> Iterator[pa.RecordBatch]:
@@ -362,12 +546,6 @@ def all_places(packed: bytes | None) -> np.ndarray:
     return undo(packed) if packed else np.empty(0, dtype=np.int64)
 
 
-def frequent_keys(hits: DataFrame) -> np.ndarray:
-    """The frequent keys among hits; their limit bounds how many there are."""
-    rows = hits.where(F.col("bucket") == FREQUENT).select("docs").collect()
-    return np.unique(np.concatenate([np.empty(0, np.int64), *[expand(r.docs, np.int64) for r in rows]]))
-
-
 def squeezed(docs: DataFrame) -> DataFrame:
     """(doc_id, z): the texts as compressed UTF-8, so that shuffling them moves less than half."""
 
@@ -380,22 +558,3 @@ def squeezed(docs: DataFrame) -> DataFrame:
             )
 
     return docs.mapInArrow(run, "doc_id long, z binary")
-
-
-def text_groups(docs: DataFrame, limit: int | None = None) -> tuple[DataFrame, int]:
-    """((doc_id, copies, lead) of documents that share their text with others, UTF-8 bytes in all).
-
-    Only digests are shuffled; counting combines in the map tasks, so a text
-    that a third of the documents have is no hot group. Groups of more copies
-    than ``limit`` are broadcast to the documents, the others joined by shuffle;
-    by default there are at most ``MAX_HOT`` of the former, whatever the input.
-    """
-    keyed = cut(docs.select("doc_id", F.unhex(F.md5("text")).alias("digest"), F.octet_length("text").cast("long").alias("n")))
-    size = keyed.agg(F.sum("n").alias("total"), F.count("*").alias("rows")).first()
-    limit = limit or max(1_000, size.rows // MAX_HOT)
-    groups = cut(keyed.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1"))
-    hot = F.broadcast(groups.where(F.col("copies") > limit))
-    rest = keyed.join(hot, "digest", "left_anti")
-    found = keyed.join(hot, "digest").union(rest.join(groups.where(F.col("copies") <= limit), "digest"))
-    shared = found.select("doc_id", "copies", (F.col("doc_id") == F.col("first")).alias("lead"))
-    return cut(shared.distinct()), int(size.total or 0)

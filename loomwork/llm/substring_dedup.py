@@ -1,19 +1,17 @@
 """Operator 3, substring dedup by windows of words, with a count-min prefilter.
 
-First pass: every task counts the anchors of its windows (see ``spans``) in a
-partition sketch; merged, the sketches overestimate how often each window stands
-in the corpus. Second pass: windows estimated as repeated, and only those, are
-grouped exactly by 128-bit hashes of their words. Estimates are never too small,
-so no repeated window is lost. Words covered by a repeated window are removed.
-
-Documents with equal texts are one group: windows of the one with the smallest
-id stand for all of them, and all their windows are repeated.
+First pass: every packet of documents makes a count-min sketch of its windows of
+35 words; added up, the sketches overestimate how often each window stands in
+the corpus (see ``spans``). Second pass: only windows estimated as repeated leave
+their task, as 128-bit keys of their words, and are grouped exactly. Estimates
+are never too small, so no repeated window is lost. Words covered by a repeated
+window are removed.
 
 Defined results: null or empty text has no words. A document shorter than the
 window loses nothing. Repeated rows are copies of each other, so both lose all
-their windows; every input row gives one output row. doc_id names a text: rows
-with one id must have one text. Rows without an id are neither compared nor
-changed. Other columns are ignored. An empty table gives an empty result.
+their windows; every input row gives one output row, whatever its id, ids that
+repeat or are null included. Other columns are ignored. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -24,91 +22,81 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spans
-from .common import texts
+from .common import cut, texts
 
 WINDOW = 35
-#: Words of an anchor, and sketch bits of a block for about ``BLOCK_ENTRIES`` anchors.
-GRAM, SKETCH_BITS, BLOCK_ENTRIES = 16, 18, 30_000
+#: Repeated windows of a block of exact keys, and words of a packet that are worked on at once.
+BLOCK_ENTRIES, PIECE_WORDS = 30_000, 1 << 19
 KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
 
 
-def repeated_windows(docs: DataFrame, window: int, gram: int) -> tuple[DataFrame, DataFrame]:
-    """(hits: windows that start elsewhere too, the groups of equal texts)."""
-    named = docs.where("doc_id is not null")
-    shared, size = spans.text_groups(named)
-    # Two packs of keys, dealt to blocks that grow in number with the input.
-    n_anchor = max(16, size // 6 * 2 // (window - gram + 2) // BLOCK_ENTRIES)
-    buckets = spans.buckets_for(size)
-    n_window = max(16, size // 6 // 4 // BLOCK_ENTRIES)
+def windows_of(z: bytes, sizes: list[int], window: int, bases=spans.BASES[:1]) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+    """(piece, first words, a hash by each base) of the windows of a packet that lie in one document."""
+    text = spans.packet_text(z)
+    starts, ends = spans.split_words(text)
+    owner = np.searchsorted(spans.packet_starts(sizes), starts, side="right")
+    values = [spans.word_hashes(text, starts, ends, base) for base in bases]
+    for piece, (a, b) in enumerate(spans.pieces(len(starts), window, PIECE_WORDS)):
+        inside = np.flatnonzero(owner[a : b - window + 1] == owner[a + window - 1 : b])
+        yield piece, inside + a, [spans.run_hashes(v[a:b], window, base)[inside] for v, base in zip(values, bases)]
+
+
+def repeated_windows(stored: DataFrame, window: int) -> DataFrame:
+    """(part, places): for each packet the first words of windows that start elsewhere too."""
+    size = stored.agg(F.sum("n_bytes")).first()[0] or 0
+    blocks, buckets = spans.blocks_for(size // 6), spans.buckets_for(size)
+    n_exact = max(16, size // 6 // 4 // BLOCK_ENTRIES)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = spans.KeyPacker(n_anchor)
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-                values = spans.word_hashes(text, *spans.split_words(text))
-                for a, b in spans.pieces(len(values), window):
-                    chosen, grams = spans.anchors(values[a:b], window, gram)
-                    places = np.unique(chosen)
-                    keys.add(doc_id, grams[places], places + a)
-                if keys.full():
-                    yield from keys.packets()
-        yield from keys.packets()
-
-    likely = spans.gather(spans.repeated_places(named.mapInArrow(sketch, spans.PACKED), buckets, 1, SKETCH_BITS))
-    followers = shared.where("not lead").select("doc_id")
-    chosen_docs = likely.join(followers, "doc_id", "left_anti").join(spans.squeezed(named), "doc_id")
+            for part, sizes, z in zip(*[c.to_pylist() for c in batch.columns]):
+                for piece, _, (keys,) in windows_of(z, sizes, window):
+                    yield from spans.partition_sketch(part, piece, keys, blocks)
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, reader = spans.KeyPacker(n_window, width=2), zstandard.ZstdDecompressor()
+        found = spans.KeyPacker(n_exact, width=2)
         for batch in batches:
-            for doc_id, parts, z in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "places", "z")]):
-                text, hot = reader.decompress(z), spans.all_places(parts)
-                starts, ends = spans.split_words(text)
-                values = spans.word_hashes(text, starts, ends)
-                other = spans.word_hashes(text, starts, ends, spans.BASES[1])
-                for a, b in spans.pieces(len(values), window):
-                    chosen, _ = spans.anchors(values[a:b], window, gram)
-                    at = np.flatnonzero(np.isin(chosen + a, hot))
-                    pair = [spans.window_hashes(v[a:b], window, base)[at] for v, base in zip((values, other), spans.BASES)]
-                    keys.add(doc_id, np.stack(pair, axis=1), at + a)
-                    if keys.full():
-                        yield from keys.packets()
-        yield from keys.packets()
-
-    packed = chosen_docs.select("doc_id", "places", "z").mapInArrow(exact, spans.PACKED)
-    return spans.repeated_places(packed, buckets, 2), shared
-
-
-def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+            for part, sizes, z, answers in zip(*[c.to_pylist() for c in batch.columns]):
+                for piece, places, keys in windows_of(z, sizes, window, spans.BASES):
+                    likely = np.flatnonzero(spans.estimated_levels(keys[0], blocks, answers, piece))
+                    found.add(part, np.stack([k[likely] for k in keys], axis=1), places[likely])
+                    if found.full():
+                        yield from found.packets()
+        yield from found.packets()
+
+    few = stored.select("part", "sizes", "z")
+    answers = spans.merged_levels(few.mapInArrow(sketch, spans.SKETCH))
+    packed = few.join(answers.drop("hot"), "part").mapInArrow(exact, spans.PACKED)
+    return spans.gather(spans.repeated_places(packed, buckets, 2)).withColumnRenamed("doc_id", "part")
+
+
+def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and the kept words joined by blanks."""
-    rows = texts(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
-    found, shared = repeated_windows(rows, window, gram)
-    marks = spans.gather(found).join(shared.select("doc_id", "copies"), "doc_id", "full")
-    joined = spans.squeezed(rows).join(marks, "doc_id", "left").select("doc_id", "z", "places", "copies")
+    stored = cut(spans.packets(texts(docs).withColumn("doc_id", F.col("doc_id").cast("long"))))
+    joined = stored.join(repeated_windows(stored, window), "part", "left").select("ids", "sizes", "z", "places")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = zstandard.ZstdDecompressor()
         for batch in batches:
-            out = []
-            for doc_id, z, parts, copies in zip(*[c.to_pylist() for c in batch.columns]):
-                words = reader.decompress(z).split()  # bytes split at blank and \x09-\x0D
-                n = len(words)
-                if copies and n >= window:
-                    words = []
-                elif parts:
-                    gone = spans.covered(spans.all_places(parts), window, n)
-                    words = list(compress(words, ~gone))
-                kept = b" ".join(words)
-                out.append((doc_id, n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8")))
-            names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            columns = list(zip(*out)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+            for ids, sizes, z, parts in zip(*[c.to_pylist() for c in batch.columns]):
+                text, out, first = spans.packet_text(z), [], 0
+                edges = spans.packet_starts(sizes).tolist()
+                places = spans.all_places(parts)
+                for doc_id, a, b in zip(ids, edges, edges[1:]):
+                    words = text[a : b - 1].split()  # bytes split at blank and \x09-\x0D
+                    n = len(words)
+                    mine = places[np.searchsorted(places, first) : np.searchsorted(places, first + n)]
+                    if len(mine):
+                        words = list(compress(words, ~spans.covered(mine - first, window, n)))
+                    kept = b" ".join(words)
+                    out.append((doc_id, n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8")))
+                    first += n
+                names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
     return joined.mapInArrow(keep, KEPT)
 

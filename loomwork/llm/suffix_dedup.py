@@ -1,27 +1,30 @@
 """Operator 6, suffix-array dedup: maximal repeats from the common-prefix interval tree.
 
 The suffixes of the corpus are dealt to groups that can be sorted apart. Every
-200-byte window has an anchor (see ``spans``); windows that are equal have equal
-anchors, so suffixes of one anchor hash form a group, and groups whose anchor
-stands once are left out. A document sends, for a run of windows of one anchor,
-the bytes of that run. In its group each suffix of at least 200 bytes is sorted
-into a suffix array with common-prefix lengths; a stack scan gives the intervals
-of the common-prefix tree, and an interval whose suffixes have different bytes
-on their left is a maximal repeat, with all its occurrences. Bytes covered by
-one are removed.
+200-byte window has an anchor (see ``spans``): of the grams in it the one with
+the smallest hash. Windows that are equal have equal anchors at equal offsets,
+so suffixes of one anchor hash form a group. A packet sends, for a run of windows
+of one anchor, the bytes of that run. In its group each suffix of at least 200
+bytes is sorted into a suffix array with common-prefix lengths; a stack scan
+gives the intervals of the common-prefix tree, and an interval whose suffixes
+have different bytes on their left is a maximal repeat, with all its
+occurrences. Bytes covered by one are removed.
+
+Packets count their runs by anchor in count-min sketches first; runs whose anchor
+stands once stay where they are. A group has at most ``GROUP_RUNS`` different
+runs, whatever the input: an anchor that may have more is split by a deeper
+prefix. Its runs go to the next level, where anchors are longer grams of the
+same windows (``GRAMS``), so they are dealt to more groups. At the last level the
+gram is the whole window, a group's runs are equal, and it needs no bound. Each
+level uses the suffix array, and equal runs of a packet are sent once.
 
 Runs end where the anchor changes, so a repeat longer than a run is found in
 several groups; its parts overlap and are merged in each document.
 
-Hot groups: equal runs of one task are sent once. Anchors that stand more often
-than ``frequent_limit`` (by default so that there are at most ``MAX_FREQUENT`` of them) send their windows as 128-bit keys instead, which are counted
-exactly and combine in each task, so no group of suffixes grows with the corpus.
-
 Defined results: null text is empty. A document of fewer than 200 bytes loses
 nothing. Repeated rows are copies of each other, so both lose all; every input
-row gives one output row. doc_id names a text: rows with one id must have one
-text. Rows without an id are neither compared nor changed. Other columns are
-ignored. An empty table gives an empty result.
+row gives one output row, whatever its id, ids that repeat or are null included.
+Other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,13 +41,16 @@ from pyspark.sql import functions as F
 from . import spans
 from .common import cut, texts
 
-LENGTH, GRAM = 200, 100
-SKETCH_BITS, BLOCK_ENTRIES = 18, 30_000
-MAX_FREQUENT = 50_000
+LENGTH = 200
+#: Bytes of an anchor by level; the last is the whole window.
+GRAMS = (100, 150, 180, 200)
+#: Different runs in a group of suffixes, at most.
+GROUP_RUNS = 1_000
 #: A mixed 64-bit value for each byte value.
 BYTES = spans.mix(np.arange(1, 257, dtype=np.uint64))
-OTHER = spans.mix(np.arange(1001, 1257, dtype=np.uint64))
 KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+#: A packet of segments: whole documents at first, runs at deeper levels, and where each begins in the packet of documents (null: there).
+SEGMENTS = "part long, sizes array<long>, origins array<long>, z binary"
 
 
 def common_prefix(a: bytes, b: bytes, at_least: int) -> int:
@@ -133,105 +139,186 @@ def group_repeats(rows: list[tuple[bytes, int, int, int]], length: int) -> Itera
             k = unsettled(k + 1)
 
 
-def repeated_spans(docs: DataFrame, length: int, gram: int, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(hits: start << 32 | length of repeats, the groups of equal texts)."""
-    named = docs.where("doc_id is not null")
-    shared, size = spans.text_groups(named)
-    n_anchor = max(16, size * 2 // (length - gram + 2) // BLOCK_ENTRIES)
-    buckets = spans.buckets_for(size)
-    n_group = max(16, size // 4 // (length - gram) // 2_000)
-    frequent_limit = limit or max(1_000, size * 2 // (length - gram + 2) // MAX_FREQUENT)
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = spans.KeyPacker(n_anchor)
+def runs_of(z: bytes, sizes: list[int], origins: list[int] | None, length: int, gram: int) -> Iterator[tuple[int, dict[bytes, list]]]:
+    """(piece, {bytes of a run: [anchor hash, number of windows, places in the packet of documents...]}) of a packet of segments."""
+    text = spans.packet_text(z)
+    raw, edges = np.frombuffer(text, dtype=np.uint8), spans.packet_starts(sizes)
+    inside = np.zeros(len(raw) + 1, dtype=np.int32)
+    np.add.at(inside, edges[:-1], 1)
+    np.add.at(inside, np.maximum(edges[1:] - length, edges[:-1]), -1)  # the newline behind each segment counts as one byte of it
+    inside = np.cumsum(inside) > 0
+    shift = np.array(origins, dtype=np.int64) - edges[:-1] if origins else np.zeros(len(sizes), dtype=np.int64)
+    for piece, (a, b) in enumerate(spans.pieces(len(raw), length)):
+        chosen, grams = spans.anchors(BYTES[raw[a:b]], length, gram)
+        here = inside[a : a + len(chosen)]
+        cuts = np.flatnonzero(np.concatenate([[True], (chosen[1:] != chosen[:-1]) | (here[1:] != here[:-1]), [True]]))
+        first, end = cuts[:-1][here[cuts[:-1]]], cuts[1:][here[cuts[:-1]]]
+        keys = grams[chosen[first]].view(np.int64).tolist()
+        moved = (shift[np.searchsorted(edges, first + a, side="right") - 1] + first + a).tolist()
+        runs: dict[bytes, list] = {}
+        for s, e, key, place in zip((first + a).tolist(), (end + a).tolist(), keys, moved):
+            runs.setdefault(text[s : e + length - 1], [key, e - s]).append(place)
+        yield piece, runs
+
+
+def repeated_spans(stored: DataFrame, length: int, grams: tuple[int, ...], limit: int, every: bool = False) -> DataFrame:
+    """Hits (part, start << 32 | length) of repeats; with ``every`` the maximal repeats themselves, with all occurrences."""
+    size = stored.agg(F.sum("n_bytes")).first()[0] or 0
+    buckets, found = spans.buckets_for(size), []
+    n_group = max(16, size // 4 // (length - grams[0] + 1) // 2_000)
+    segments = stored.select("part", "sizes", F.lit(None).cast("array<long>").alias("origins"), "z")
+    for level, gram in enumerate(grams):
+        last = level == len(grams) - 1
+        answers = sketched(segments, size, length, gram, limit)
+        if not last:
+            answers = cut(answers)
+        chosen = segments.join(answers, "part")
+        sent = chosen.mapInArrow(sender(length, gram, size, n_group, last, every), spans.PACKED)
+        grouped = sent.repartition("block").sortWithinPartitions("block")
+        found.append(grouped.mapInArrow(listing(length), REPEATS) if every else grouped.mapInArrow(comparing(length, buckets), spans.HITS))
+        if last or answers.where("hot").isEmpty():
+            break
+        segments = cut(chosen.where("hot").mapInArrow(deeper(length, gram, size), SEGMENTS))
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out
+
+
+def sketched(segments: DataFrame, size: int, length: int, gram: int, limit: int) -> DataFrame:
+    """(part, answers, hot): the levels of each packet's anchors, and whether some may have more than ``limit`` runs."""
+    blocks = blocks_of(size, length, gram)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-                raw = np.frombuffer(text, dtype=np.uint8)
-                for a, b in spans.pieces(len(raw), length):
-                    chosen, grams = spans.anchors(BYTES[raw[a:b]], length, gram)
-                    places = np.unique(chosen)
-                    keys.add(doc_id, grams[places], places + a)
-                if keys.full():
-                    yield from keys.packets()
-        yield from keys.packets()
-
-    hits = cut(spans.repeated_places(named.mapInArrow(sketch, spans.PACKED), buckets, 1, SKETCH_BITS, frequent_limit))
-    # Keys above the limit: no more than all anchors / limit, whatever the input.
-    frequent = spans.frequent_keys(hits)
-    likely = spans.gather(hits)
-    followers = shared.where("not lead").select("doc_id")
-    chosen_docs = likely.join(followers, "doc_id", "left_anti").join(spans.squeezed(named), "doc_id")
-
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, reader = spans.KeyPacker(n_group, width=2), zstandard.ZstdDecompressor()
+            for part, sizes, origins, z in zip(*[c.to_pylist() for c in batch.columns]):
+                for piece, runs in runs_of(z, sizes, origins, length, gram):
+                    # Twice at most for equal runs: that shows a repeat, and copies do not make an anchor look varied.
+                    keys = np.array([k for k, _, *at in runs.values() for _ in at[:2]], dtype=np.int64).view(np.uint64)
+                    yield from spans.partition_sketch(part, piece, keys, blocks)
+
+    return spans.merged_levels(segments.mapInArrow(run, spans.SKETCH), limit)
+
+
+def blocks_of(size: int, length: int, gram: int) -> int:
+    return spans.blocks_for(2 * size // (length - gram + 2))
+
+
+def leveled(part_rows: tuple, length: int, gram: int, size: int) -> Iterator[tuple[bytes, list, int]]:
+    """(bytes, [key, windows, places...], level) of the runs of a packet with its answers."""
+    sizes, origins, z, answers = part_rows
+    for piece, runs in runs_of(z, sizes, origins, length, gram):
+        keys = np.array([x[0] for x in runs.values()], dtype=np.int64).view(np.uint64)
+        levels = spans.estimated_levels(keys, blocks_of(size, length, gram), answers, piece) if len(keys) else keys
+        for (data, run), level in zip(runs.items(), levels.tolist()):
+            yield data, run, level
+
+
+def sender(length: int, gram: int, size: int, n_group: int, last: bool, every: bool):
+    """Sends the runs whose anchor is estimated as repeated, but hot ones at the last level only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs: dict[tuple[int, bytes], list] = {}
         held = 0
         for batch in batches:
-            for doc_id, parts, z in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "places", "z")]):
-                text, hot = reader.decompress(z), spans.all_places(parts)
-                raw = np.frombuffer(text, dtype=np.uint8)
-                for a, b in spans.pieces(len(raw), length):
-                    chosen, grams = spans.anchors(BYTES[raw[a:b]], length, gram)
-                    edges = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1], [True]]))
-                    anchor = chosen[edges[:-1]]
-                    known = grams[anchor].view(np.int64)
-                    wanted = np.isin(anchor + a, hot)
-                    often = np.isin(known, frequent)
-                    for s, e, key in zip((edges[:-1] + a)[wanted & ~often].tolist(), (edges[1:] + a)[wanted & ~often].tolist(), known[wanted & ~often].tolist()):
-                        data = text[s : e + length - 1]
-                        runs.setdefault((key, data), [e - s]).append((doc_id, s))
-                        held += len(data)
-                    if (wanted & often).any():
-                        at = np.concatenate([np.arange(s, e) for s, e in zip(edges[:-1][wanted & often], edges[1:][wanted & often])])
-                        pair = [spans.window_hashes(v[raw[a:b]], length, base)[at] for v, base in zip((BYTES, OTHER), spans.BASES)]
-                        keys.add(doc_id, np.stack(pair, axis=1), (at + a << 32) | length)
-                if keys.full():
-                    yield from keys.packets()
+            for part, *rows in zip(*[batch.column(c).to_pylist() for c in ("part", "sizes", "origins", "z", "answers")]):
+                for data, (key, n, *places), level in leveled(rows, length, gram, size):
+                    if level == 1 or level == 2 and last:
+                        runs.setdefault((key, data), [n]).extend((part, s) for s in places)
+                        held += len(data) + 16 * len(places)
+                    elif level == 2 and len(places) > 1 and not every:  # the whole run repeats; only its first place goes on
+                        runs.setdefault((key, data), [None]).extend((part, s) for s in places)
+                        held += 16 * len(places)
                 if held > 48_000_000:
-                    yield from run_packets(runs, n_group, length)
+                    yield from run_packets(runs, n_group, length, every)
                     runs, held = {}, 0
-        yield from keys.packets()
-        yield from run_packets(runs, n_group, length)
+        yield from run_packets(runs, n_group, length, every)
+
+    return run
+
+
+def deeper(length: int, gram: int, size: int):
+    """Packets of the runs of hot anchors, each different one once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            for part, *rows in zip(*[batch.column(c).to_pylist() for c in ("part", "sizes", "origins", "z", "answers")]):
+                hot = [(data, run[2]) for data, run, level in leveled(rows, length, gram, size) if level == 2]
+                if hot:
+                    columns = [[part], [[len(d) for d, _ in hot]], [[s for _, s in hot]], [coder.compress(b"".join([d + b"\n" for d, _ in hot]))]]
+                    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["part", "sizes", "origins", "z"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return run
+
+
+def groups_of(rows: list[tuple], length: int) -> Iterator[tuple[int, list]]:
+    """(key, [(bytes, windows, part, place)]) of the groups of a block."""
+    groups: dict[int, list] = {}
+    for _, local, keys, parts, places, counts, text in rows:
+        if not local:
+            for key, n, part, start, data in unpack_runs(keys, parts, places, counts, text, length):
+                groups.setdefault(key, []).append((data, n, part, start))
+    return ((key, group) for key, group in groups.items() if len(group) > 1)
+
+
+def comparing(length: int, buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = spans.HitPacker(buckets)
         for rows in spans.by_block(batches):
-            groups: dict[int, list] = {}
-            entries = []
-            for _, local, keys, docs_, places, counts, text in rows:
+            for _, local, _, parts, places, _, _ in rows:
                 if local:
-                    out.add(spans.undo(docs_), spans.undo(places))
-                elif text is None:
-                    entries.append((np.frombuffer(keys, dtype=np.uint64).reshape(-1, 2), spans.undo(docs_), spans.undo(places), spans.expand(counts, np.int64)))
-                else:
-                    for key, n, doc, start, data in unpack_runs(keys, docs_, places, counts, text, length):
-                        groups.setdefault(key, []).append((data, n, doc, start))
-            if entries:
-                keys, ids, places, counts = map(np.concatenate, zip(*entries))
-                twice = spans.exact_totals(keys, counts) > 1
-                out.add(ids[twice], places[twice])
-            for group in groups.values():
-                found = list(group_repeats(group, length)) if len(group) > 1 else []
+                    out.add(spans.undo(parts), spans.undo(places))
+            for _, group in groups_of(rows, length):
+                found = list(group_repeats(group, length))
                 if found:
-                    ids, starts, sizes = np.array(found, dtype=np.int64).T
-                    out.add(ids, (starts << 32) | sizes)
+                    parts, starts, sizes = np.array(found, dtype=np.int64).T
+                    out.add(parts, (starts << 32) | sizes)
             if out.held > 2_000_000:
                 yield from out.packets()
         yield from out.packets()
 
-    packed = chosen_docs.select("doc_id", "places", "z").mapInArrow(exact, spans.PACKED)
-    return packed.repartition("block").sortWithinPartitions("block").mapInArrow(compare, spans.HITS), shared
+    return run
+
+
+REPEATS = "repeat binary, length int, part long, start long"
+
 
+def listing(length: int):
+    """Rows of the maximal repeats of each group: (repeat, length, part, start), one for each occurrence."""
 
-def run_packets(runs: dict, blocks: int, length: int) -> list[pa.RecordBatch]:
-    """A task's runs by block; a run that stands twice in the task is known to repeat."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in spans.by_block(batches):
+            for _, group in groups_of(rows, length):
+                places: dict[bytes, list] = {}
+                count: dict[bytes, int] = {}
+                for data, n, part, start in group:
+                    places.setdefault(data, []).append((part, start))
+                    count[data] = n
+                runs = list(count.items())
+                out = [(hashlib.md5(d).digest(), len(d), p, s) for d, at in places.items() if len(at) > 1 for p, s in at]
+                for size, members in maximal_repeats(runs, length):
+                    name = hashlib.md5(runs[members[0][0]][0][members[0][1] :][:size]).digest()
+                    out += [(name, size, p, s + j) for r, j in members for p, s in places[runs[r][0]]]
+                for i in range(0, len(out), 100_000):
+                    kinds = [pa.binary(), pa.int32(), pa.int64(), pa.int64()]
+                    columns = [pa.array(c, k) for c, k in zip(zip(*out[i : i + 100_000]), kinds)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["repeat", "length", "part", "start"])
+
+    return run
+
+
+def run_packets(runs: dict, blocks: int, length: int, every: bool = False) -> list[pa.RecordBatch]:
+    """A task's runs by block, each once (``every``: with all its places); a run that stands twice in the task is known to repeat."""
     by: dict[int, list] = {}
     docs, places = [], []
     for (key, data), (n, *at) in runs.items():
-        if len(at) > 1:
+        if len(at) > 1 and not every:
             docs += [d for d, _ in at]
-            places += [(s << 32) | (n + length - 1) for _, s in at]
-        by.setdefault(key % blocks, []).append((key, n, *at[0], data))
+            places += [(s << 32) | len(data) for _, s in at]
+        if n is not None:
+            by.setdefault(key % blocks, []).extend((key, n, *x, data) for x in (at if every else at[:1]))
     d, p = np.array(docs, dtype=np.int64), np.array(places, dtype=np.int64)
     rows = [spans.local_row(d[i : i + 4096], p[i : i + 4096], blocks) for i in range(0, len(d), 4096)]
     for block, found in by.items():
@@ -258,35 +345,54 @@ def unpack_runs(keys: bytes, docs: bytes, places: bytes, counts: bytes, text: by
         at = end
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, frequent_limit: int | None = None) -> DataFrame:
+def packed(docs: DataFrame) -> DataFrame:
+    return cut(spans.packets(texts(docs).withColumn("doc_id", F.col("doc_id").cast("long"))))
+
+
+def dedup(docs: DataFrame, length: int = LENGTH, grams: tuple[int, ...] = GRAMS, group_runs: int = GROUP_RUNS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes."""
-    rows = texts(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
-    found, shared = repeated_spans(rows, length, gram, frequent_limit)
-    marks = spans.gather(found).join(shared.select("doc_id", "copies"), "doc_id", "full")
-    joined = spans.squeezed(rows).join(marks, "doc_id", "left").select("doc_id", "z", "places", "copies")
+    stored = packed(docs)
+    marks = spans.gather(repeated_spans(stored, length, grams, group_runs)).withColumnRenamed("doc_id", "part")
+    joined = stored.join(marks, "part", "left").select("ids", "sizes", "z", "places")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = zstandard.ZstdDecompressor()
         for batch in batches:
-            out = []
-            for doc_id, z, parts, copies in zip(*[c.to_pylist() for c in batch.columns]):
-                text = reader.decompress(z)
-                n, removed, n_spans = len(text), 0, 0
-                if copies and n >= length:
-                    text, removed, n_spans = b"", n, 1
-                elif parts:
-                    places = spans.all_places(parts)
-                    gone = spans.covered(places >> 32, places & 0xFFFFFFFF, n)
-                    removed, n_spans = int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
-                    text = np.frombuffer(text, dtype=np.uint8)[~gone].tobytes()
-                out.append((doc_id, n, removed, n_spans, hashlib.sha256(text).hexdigest(), text))
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-            kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
-            columns = list(zip(*out)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+            for ids, sizes, z, parts in zip(*[c.to_pylist() for c in batch.columns]):
+                text, out = spans.packet_text(z), []
+                raw, edges = np.frombuffer(text, dtype=np.uint8), spans.packet_starts(sizes).tolist()
+                places = spans.all_places(parts)
+                gone = spans.covered(places >> 32, places & 0xFFFFFFFF, len(raw))
+                for doc_id, a, b in zip(ids, edges, edges[1:]):
+                    mine = gone[a : b - 1]
+                    removed = int(mine.sum())
+                    kept = raw[a : b - 1][~mine].tobytes() if removed else text[a : b - 1]
+                    n_spans = int((np.diff(mine.astype(np.int8), prepend=0) == 1).sum()) if removed else 0
+                    out.append((doc_id, b - 1 - a, removed, n_spans, hashlib.sha256(kept).hexdigest(), kept))
+                names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+                kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
     return joined.mapInArrow(keep, KEPT)
 
 
+def repeats(docs: DataFrame, length: int = LENGTH, grams: tuple[int, ...] = GRAMS) -> DataFrame:
+    """repeat (digest of its bytes), length, doc_id, start: the maximal repeat groups, a row for each occurrence.
+
+    Maximal within the runs of one anchor: a longer repeat is several groups
+    whose occurrences overlap.
+    """
+    stored = packed(docs)
+    # Runs of one anchor share a whole gram; all levels but the last would be hot only beyond any bound.
+    rows = repeated_spans(stored, length, grams, 1 << 29, every=True)
+    starts = stored.select("part", F.posexplode("ids").alias("k", "doc_id"), "sizes").select(
+        "part", "doc_id", F.aggregate(F.slice("sizes", 1, F.col("k")), F.lit(0).cast("long"), lambda a, n: a + n + 1).alias("at"), F.get("sizes", F.col("k")).alias("n")
+    )
+    return (
+        rows.join(starts, "part")
+        .where("start >= at and start < at + n")
+        .select("repeat", "length", "doc_id", (F.col("start") - F.col("at")).alias("start"))
+    )
+
+
 def query(docs: DataFrame) -> DataFrame:
     return dedup(docs).drop("kept")

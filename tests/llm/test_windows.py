@@ -19,10 +19,62 @@ def test_sliding_argmin_takes_the_leftmost_smallest():
 
 def test_count_min_never_underestimates():
     rng = np.random.default_rng(2)
-    keys = rng.integers(0, 500, 3000).astype(np.uint64)
-    true = Counter(keys.tolist())
-    estimate = spans.estimates(keys, np.ones(len(keys), dtype=np.int64), 6)
-    assert all(e >= true[k] for k, e in zip(keys.tolist(), estimate.tolist()))
+    blocks = 2
+    packets = [rng.integers(0, 500, 300).astype(np.uint64) for _ in range(10)]
+    total = {}
+    for keys in packets:
+        for batch in spans.partition_sketch(1, 0, keys, blocks):
+            for block, _, _, cells, counts in zip(*[c.to_pylist() for c in batch.columns]):
+                for cell, n in zip(np.cumsum(spans.expand(cells, np.uint32)).tolist(), spans.expand(counts, np.uint8).tolist()):
+                    total[block, cell] = total.get((block, cell), 0) + n
+    true = Counter(int(k) for keys in packets for k in keys)
+    for row in range(spans.ROWS):
+        for k, code in zip(true, spans.cells_of(np.array(list(true), dtype=np.uint64), row, blocks).tolist()):
+            assert total[row * blocks + code // spans.CELLS, code % spans.CELLS] >= true[k]
+
+
+def test_sums_modulo_the_prime():
+    rng = np.random.default_rng(6)
+    a, b = (rng.integers(0, spans.PRIME, 200).astype(np.uint64) for _ in range(2))
+    assert spans.times(a, b).tolist() == [int(x) * int(y) % spans.PRIME for x, y in zip(a, b)]
+    values = rng.integers(0, spans.PRIME, spans.PIECE + 300).astype(np.uint64)
+    whole = spans.run_hashes(values, 7)
+    at = spans.PIECE - 4
+    assert len(whole) == len(values) - 6 and whole[at : at + 3].tolist() == spans.run_hashes(values[at : at + 9], 7).tolist()
+    text = b"one " + b"x" * (spans.PIECE + 9) + b" one two " + b"y" * 20_000 + b" two"
+    found = spans.word_hashes(text, *spans.split_words(text)).tolist()
+    assert found[0] == found[2] and found[3] == found[5] and len(set(found)) == 4
+
+
+def twins(n=1024):
+    """Two words whose polynomials modulo 2**64 are equal for every odd base."""
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_a_power_of_two_confuses(spark):
+    one, two = twins()
+    rest = " ".join(f"w{i}" for i in range(34))
+    docs = spark.createDataFrame([(1, rest + " " + one), (2, rest + " " + two)], "doc_id long, text string")
+    assert {r.n_removed for r in substring_dedup.query(docs).collect()} == {0}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = by_id(suffix_dedup.query(docs))
+    assert {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in got.items()} == kept_bytes(texts, 200)
+    lone = spark.createDataFrame([(1, one), (2, two), (3, one)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_dup.query(lone).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_rows_of_one_id_and_without_id_are_rows_of_their_own(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (1, "other " * 3), (None, text), (2, "short")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in substring_dedup.query(docs).collect())
+    assert got == [(0, 60, 60), (1, 3, 0), (1, 60, 60), (2, 1, 0)]
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in suffix_dedup.query(docs).collect())
+    n = len(text)
+    assert got == [(0, n, n), (1, 18, 0), (1, n, n), (2, 5, 0)]
 
 
 def test_substring_dedup_equals_brute_force(sample):
@@ -41,30 +93,34 @@ def test_substring_dedup_inside_one_text(spark):
 def test_suffix_dedup_equals_brute_force(sample):
     frame, texts = sample
     want = kept_bytes(texts, 200)
-    for limit in (None, 1):  # with a limit of 1, repeated anchors take the way of frequent ones
-        got = by_id(suffix_dedup.dedup(frame, frequent_limit=limit))
+    for limit in (1_000, 1):  # with a limit of 1, repeated anchors go down to the last level
+        got = by_id(suffix_dedup.dedup(frame, group_runs=limit))
         assert {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in got.items()} == want
 
 
-def test_hot_groups_of_equal_texts_join_as_the_others(sample):
-    frame, texts = sample
-    rows = frame.selectExpr("doc_id", "coalesce(text, '') text")
-    count = Counter(texts.values())
-    want = {i: count[t] for i, t in texts.items() if count[t] > 1}
-    for limit in (None, 2, 1):  # at 1 all groups are hot, at 2 those of more than two copies
-        shared, size = spans.text_groups(rows, limit)
-        got = shared.collect()
-        assert {r.doc_id: r.copies for r in got} == want and len(got) == len(want)
-        assert sum(r.lead for r in got) == sum(n > 1 for n in count.values())
-        assert size == sum(len(t.encode()) for t in texts.values())
-
-
 def test_maximal_repeats_of_a_small_string():
     runs = [(b"xabcabcy", 8), (b"zabcq", 5)]
     found = {(size, tuple(sorted(hits))) for size, hits in suffix_dedup.maximal_repeats(runs, 3)}
     assert (3, ((0, 1), (0, 4), (1, 1))) in found
 
 
+def test_repeat_groups_have_all_occurrences(sample):
+    frame, texts = sample
+    raw = {i: t.encode() for i, t in texts.items()}
+    groups = {}
+    for r in suffix_dedup.repeats(frame).collect():
+        groups.setdefault((r.repeat, r.length), set()).add((r.doc_id, r.start))
+    seen = {}
+    for (_, size), places in groups.items():
+        assert len(places) > 1 and size >= 200
+        (data,) = {raw[i][a : a + size] for i, a in places}
+        seen[data] = places
+    # All occurrences: those of each repeat's bytes anywhere in the corpus.
+    for data in list(seen)[:60]:
+        want = {(i, k) for i, t in raw.items() for k in range(len(t)) if t.startswith(data, k)}
+        assert seen[data] == want
+
+
 def test_near_dup_equals_brute_force(sample):
     frame, texts = sample
     got = by_id(near_dup.query(frame))
