@@ -1,22 +1,30 @@
 """Operator 4, BPE encoding and decoding with content-defined chunk reuse.
 
-A rolling hash over the last bytes before white space cuts texts into chunks, so
-passages that documents share fall into the same chunks wherever they stand.
-A task encodes each chunk once and reuses it, and words of new chunks likewise.
-At a join the pieces on both sides are encoded together and compared; while the
-result differs, the joined region grows, until it agrees exactly. The tokenizer
-never merges across white space, so joins at white space agree at once; those
-inside a very long unbroken word are the ones that need repair.
+1. A rolling hash over the last bytes before white space cuts texts into chunks,
+   so passages that documents share fall into the same chunks wherever they
+   stand. Unbroken words longer than ``LONG_WORD`` are cut inside, too.
+2. Joins are repaired: the pieces on both sides of each cut are encoded together
+   and compared with their own encodings; while the result differs, the cut is
+   given up and the region grows, until it agrees exactly. What is left are
+   chunks whose encodings put together are that of the text.
+3. Chunks are dealt to blocks by content over the whole corpus. Each packet of
+   documents sends a chunk once; a block encodes each different chunk once and
+   answers every packet that has it. A chunk that a third of all documents have
+   is one entry for each packet.
+4. Packets put the ids of their documents together, and decode them.
 
-The tokenizer file is a parameter and is only read, never copied or trained.
+Joins at white space are checked with the words next to them, since pre-tokenizers
+look no further there; joins inside a long word with all of both pieces. The
+tokenizer file is a parameter and is only read, never copied or trained.
 
-Reuse is per task, and what is kept is bounded (``MAX_WORDS``, ``MAX_CHUNKS``);
-sharing encoded chunks between all tasks would shuffle text and ids, which is
-more than encoding again costs.
+Within a block, words of new chunks are looked up in a table of words that were
+encoded before; it is bounded by ``WORDS`` and let go with its task, and only
+saves time. Words of plain letters are taken to the merges directly, if that
+gives the library's ids for the first words of the task (``Words``).
 
 Defined results: null text is empty and gives no token. Every input row gives
-one output row, repeated rows included; other columns are ignored. An empty
-table gives an empty result.
+one output row, repeated rows included, whatever its id; other columns are
+ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,19 +36,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import texts, worker_cache
+from .spans import buckets_for, expand, squeeze
 
 #: A chunk ends where the rolling hash of the ``ROLL`` bytes before white space is 0 modulo ``CHUNK_WORDS``.
-ROLL, CHUNK_WORDS = 8, 24
-MAX_WORDS, MAX_CHUNKS = 400_000, 10_000
-#: Unbroken words longer than this are cut at edges of their letter runs, and the joins repaired.
+ROLL, CHUNK_WORDS = 8, 32
+#: Unbroken words longer than this are cut at edges of their letter runs.
 LONG_WORD = 4096
 EDGE = re.compile(r"(?<=[^\W\d_])(?=[\W\d_])|(?<=[\W\d_])(?=[^\W\d_])")
 BLANK = re.compile(r"[ \t\n\r]+")
-SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Words that a task keeps, and bytes of text of a packet.
+WORDS, PACKET_BYTES = 300_000, 4_000_000
+#: Rows between the tasks: a packet's chunks of a block (text), its list of documents (no block), a block's answer (ids).
+ROWS = "block long, part long, data binary, sizes binary, docs array<long>"
+NAMES, KINDS = ["block", "part", "data", "sizes", "docs"], [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+ENCODED = "doc_id long, ids array<int>, decoded string"
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -50,115 +66,279 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class Encoder:
-    """Encodes texts by reused chunks; results are those of encoding the whole text at once."""
+def tokenizer(path: str):
+    """The tokenizer of a file, without truncation and padding; kept in the worker, as it does not grow."""
 
-    def __init__(self, path: str) -> None:
+    def make():
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.words: dict[str, tuple[int, str, str]] = {}
-        self.old: dict[str, tuple[int, str, str]] = {}
-        self.chunks: dict[bytes, tuple[int, str, str]] = {}
-
-    def ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def record(self, ids: list[int]) -> tuple[int, str, str]:
-        """(number, decimal ids, decoded text) of a piece."""
-        return len(ids), " ".join(map(str, ids)), self.tokenizer.decode(ids, skip_special_tokens=False)
-
-    def long_ids(self, word: str) -> list[int]:
-        """Ids of a long unbroken word: pieces cut at edges of letter runs, each join repaired until it agrees."""
-        edges = [m.start() for m in EDGE.finditer(word)]
-        cuts = [0]
-        for edge in edges:
-            if edge - cuts[-1] >= LONG_WORD:
-                cuts.append(edge)
-        pieces = [word[a:b] for a, b in zip(cuts, [*cuts[1:], len(word)])]
-        done: list[int] = []
-        left, left_ids = pieces[0], self.ids(pieces[0])
-        for right in pieces[1:]:
-            right_ids, together = self.ids(right), self.ids(left + right)
-            if together == left_ids + right_ids:
-                done += left_ids
-                left, left_ids = right, right_ids
-            else:  # the region that is encoded together grows
-                left, left_ids = left + right, together
-        return done + left_ids
-
-    def new_words(self, words: list[str]) -> list[tuple[int, str, str]]:
-        """Records of the words, each encoded once. The words not used of late are let go first."""
-        if len(self.words) > MAX_WORDS // 2:
-            self.old, self.words = self.words, {}
-        fresh = []
-        for w in dict.fromkeys(words):
-            if w not in self.words:
-                found = self.old.get(w)
-                if found is None:
-                    fresh.append(w)
-                else:
-                    self.words[w] = found
-        short = [w for w in fresh if len(w) <= LONG_WORD]
-        for w, e in zip(short, self.tokenizer.encode_batch(short, add_special_tokens=False) if short else []):
-            self.words[w] = self.record(e.ids)
-        for w in fresh:
-            if len(w) > LONG_WORD:
-                self.words[w] = self.record(self.long_ids(w))
-        return [p for p in map(self.words.__getitem__, words) if p[0]]
-
-    def chunk(self, data: bytes) -> tuple[int, str, str]:
-        found = self.chunks.get(data)
-        if found is None:
-            parts = self.new_words([w for w in BLANK.split(data.decode("utf-8", "replace")) if w])
-            found = sum(p[0] for p in parts), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])
-            if len(self.chunks) >= MAX_CHUNKS:
-                self.chunks.clear()
-            self.chunks[data] = found
+        found = Tokenizer.from_file(path)
+        found.no_truncation()
+        found.no_padding()
         return found
 
-    def text(self, data: bytes) -> tuple[int, str, str]:
-        """(number of ids, decimal ids, decoded text) of one whole text."""
-        parts = [p for p in map(self.chunk, cut(data)) if p[0]]
-        return sum(p[0] for p in parts), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])
+    return worker_cache(("tokenizer", path), make)
+
+
+class Words:
+    """Ids of words as packed int32, each word encoded once while the table has it."""
+
+    def __init__(self, path: str) -> None:
+        self.tokenizer = tokenizer(path)
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.letters: dict[int, str] | None = self.letter_table()
+        #: Whether white space only separates: then words are encoded one by one, else chunks as they are.
+        probes = [("It's", s, "so1") for s in (" ", "\n", "  ", "\t \r\n")]
+        one, two = self.encode(["It's", "so1"])
+        self.apart = all(x == one + two for x in self.encode(["".join(p) for p in probes]))
+
+    def encode(self, pieces: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False) if pieces else []
+        return [np.array(e.ids, dtype=np.int32).tobytes() for e in found]
+
+    def letter_table(self) -> dict[int, str] | None:
+        """What the tokenizer makes of each plain letter before the merges; None if that is not one piece."""
+        normal, pieces = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        table = {}
+        for c in filter(PLAIN.fullmatch, map(chr, range(65, 256))):
+            found = pieces.pre_tokenize_str(normal.normalize_str(c) if normal else c) if pieces else []
+            if len(found) != 1:
+                return None
+            table[ord(c)] = found[0][0]
+        return table
+
+    def of_chunks(self, chunks: list[str]) -> list[bytes]:
+        if not self.apart:
+            return self.encode(chunks)
+        split = [[w for w in BLANK.split(c) if w] for c in chunks]
+        flat, at, out = self.of([w for ws in split for w in ws]), 0, []
+        for ws in split:
+            out.append(b"".join(flat[at : at + len(ws)]))
+            at += len(ws)
+        return out
+
+    def plain(self, word: str) -> bytes:
+        return np.array([t.id for t in self.tokenizer.model.tokenize(word.translate(self.letters))], dtype=np.int32).tobytes()
+
+    def of(self, words: list[str]) -> list[bytes]:
+        if len(self.known) > WORDS // 2:  # those not used of late are let go
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        fresh = [w for w in dict.fromkeys(words) if w not in known]
+        other = []
+        for w in fresh:
+            if w in older:
+                known[w] = older[w]
+            elif self.letters and PLAIN.fullmatch(w):
+                known[w] = self.plain(w)
+            else:
+                other.append(w)
+        known.update(zip(other, self.encode(other)))
+        if self.letters is not None and fresh and not older and len(known) < 5_000:
+            # The first words of a task go both ways; one difference, and all words go to the library.
+            if any(known[w] != ids for w, ids in zip(fresh, self.encode(fresh))):
+                self.letters = None
+                known.update(zip(fresh, self.encode(fresh)))
+        return [known[w] for w in words]
 
 
 def cut(data: bytes) -> list[bytes]:
-    """Content-defined chunks of UTF-8 bytes; their concatenation is the text."""
+    """Content-defined chunks of UTF-8 bytes, before their joins are checked; their concatenation is the text."""
     raw = np.frombuffer(data, dtype=np.uint8)
-    if len(raw) <= ROLL:
-        return [data] if data else []
     white = np.flatnonzero((raw == 32) | (raw == 10) | (raw == 13) | (raw == 9))
-    white = white[white >= ROLL]
-    rolled = np.zeros(len(white), dtype=np.uint32)
+    inner = white[white >= ROLL]
+    rolled = np.zeros(len(inner), dtype=np.uint32)
     for k in range(1, ROLL + 1):
-        rolled = rolled * np.uint32(0x01000193) ^ raw[white - k]
+        rolled = rolled * np.uint32(0x01000193) ^ raw[inner - k]
     rolled ^= rolled >> np.uint32(15)
-    ends = [*(white[rolled % np.uint32(CHUNK_WORDS) == 0] + 1).tolist(), len(data)]
+    ends = set((inner[rolled % np.uint32(CHUNK_WORDS) == 0]).tolist())
+    bounds = np.concatenate([[-1], white, [len(data)]])
+    for k in np.flatnonzero(np.diff(bounds) > LONG_WORD + 1).tolist():
+        a, b = int(bounds[k]) + 1, int(bounds[k + 1])
+        word, at, last = data[a:b].decode("utf-8", "replace"), a, 0
+        for m in EDGE.finditer(word):
+            if m.start() - last >= LONG_WORD:
+                at += len(word[last : m.start()].encode("utf-8"))
+                last = m.start()
+                ends.add(at)
+    ends = [*sorted(ends - {0, len(data)}), len(data)]
     return [data[a:b] for a, b in zip([0, *ends], ends) if b > a]
 
 
-def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Digests of each whole text's ids and of the text decoded from them."""
-    path = path or tokenizer_path()
+def edge(piece: str, last: bool) -> str:
+    """What a join is checked with: the last or first word with its white space; all of a piece that is one word."""
+    words = BLANK.split(piece)
+    words = [w for w in words if w]
+    if len(words) < 2:
+        return piece
+    return piece[piece.rindex(words[-1]) :] if last else piece[: piece.index(words[0]) + len(words[0])]
+
+
+def repaired(pieces: list[list[bytes]], words: Words) -> list[list[bytes]]:
+    """The pieces of each text, joined where their encodings put together are not that of both together."""
+    out = [[] for _ in pieces]
+    todo = [(k, [p.decode("utf-8", "replace") for p in text], text) for k, text in enumerate(pieces) if text]
+    # All joins of the packet at once; regions that grow are looked at again.
+    while todo:
+        sides = [(edge(a, True), edge(b, False)) for _, text, _ in todo for a, b in zip(text, text[1:])]
+        flat = dict.fromkeys(x for pair in sides for x in pair)
+        alone = dict(zip(flat, words.encode(list(flat))))
+        agree = iter([together == alone[a] + alone[b] for (a, b), together in zip(sides, words.encode([a + b for a, b in sides]))])
+        again = []
+        for k, text, raw in todo:
+            merged, merged_raw = [text[0]], [raw[0]]
+            for piece, piece_raw in zip(text[1:], raw[1:]):
+                if next(agree):
+                    merged.append(piece)
+                    merged_raw.append(piece_raw)
+                else:
+                    merged[-1] += piece
+                    merged_raw[-1] += piece_raw
+            if len(merged) == len(text):
+                out[k] = raw
+            else:
+                again.append((k, merged, merged_raw))
+        todo = again
+    return out
+
+
+def rows_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), KINDS)], names=NAMES)
+
+
+def packet_rows(part: int, ids: list, texts_: list[bytes], words: Words, blocks: int) -> list[tuple]:
+    """A packet's different chunks by block, and its documents as lists of numbers of chunks."""
+    numbers: dict[bytes, int] = {}
+    documents = [[numbers.setdefault(c, len(numbers)) for c in text] for text in repaired([cut(t) for t in texts_], words)]
+    chunks = list(numbers)
+    digest = np.array([int.from_bytes(hashlib.blake2b(c, digest_size=8).digest(), "little") for c in chunks], dtype=np.uint64)
+    block = (digest % np.uint64(blocks)).astype(np.int64)
+    order = np.argsort(block, kind="stable")
+    edges = np.flatnonzero(np.concatenate([[True], np.diff(block[order]) != 0, [True]])) if len(order) else [0]
+    coder, rows = zstandard.ZstdCompressor(level=1), []
+    for a, b in zip(edges[:-1], edges[1:]):
+        mine = [chunks[k] for k in order[a:b]]
+        rows.append((int(block[order[a]]), part, coder.compress(b"".join(mine)), squeeze(np.array([len(c) for c in mine], dtype=np.int32)), None))
+    lengths = np.array([len(d) for d in documents], dtype=np.int32)
+    sequence = np.array([k for d in documents for k in d], dtype=np.int32)
+    rows.append((-1 - part % blocks, part, squeeze(np.concatenate([lengths, sequence])), squeeze(block.astype(np.int32)), ids))
+    return rows
+
+
+def chunked(docs: DataFrame, path: str, blocks: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, number = Words(path), TaskContext.get().partitionId() << 32
+        ids, held, size = [], [], 0
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0), batch.column(1).cast(pa.binary())):
+                ids.append(doc_id.as_py())
+                held.append(text.as_py())
+                size += len(held[-1])
+                if size > PACKET_BYTES:
+                    number += 1
+                    yield rows_batch(packet_rows(number, ids, held, words, blocks))
+                    ids, held, size = [], [], 0
+        if held:
+            yield rows_batch(packet_rows(number + 1, ids, held, words, blocks))
+
+    return docs.mapInArrow(run, ROWS)
+
+
+def encoded_chunks(rows: DataFrame, path: str) -> DataFrame:
+    """Each different chunk of a block encoded once, and the answers to all packets that have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = worker_cache(("bpe", path), lambda: Encoder(path))
+        words, reader = Words(path), zstandard.ZstdDecompressor()
+        now, done = None, {}
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-                n, ids, decoded = coder.text(text)
-                out.append((doc_id, n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
-            columns = list(zip(*out)) or [()] * 4
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for block, part, data, sizes, docs in zip(*[c.to_pylist() for c in batch.columns]):
+                if docs is None:
+                    if block != now:
+                        now, done = block, {}
+                    text, lengths = reader.decompress(data), expand(sizes, np.int32)
+                    ends = np.cumsum(lengths).tolist()
+                    chunks = [text[a:b] for a, b in zip([0, *ends], ends)]
+                    fresh = [c for c in chunks if c not in done]
+                    done.update(zip(fresh, words.of_chunks([c.decode("utf-8", "replace") for c in fresh])))
+                    answers = [done[c] for c in chunks]
+                    data, sizes = squeeze(np.frombuffer(b"".join(answers), np.int32)), squeeze(np.array([len(a) for a in answers], dtype=np.int32))
+                out.append((block, part, data, sizes, docs))
+            if out:
+                yield rows_batch(out)
+
+    return rows.repartition("block").sortWithinPartitions("block").mapInArrow(run, ROWS)
+
+
+def assembled(rows: DataFrame, path: str) -> DataFrame:
+    """doc_id, ids, decoded: the answers to each packet put together."""
+
+    def documents(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        coder = tokenizer(path)
+        ((data, blocks, names),) = [(d, s, n) for _, _, d, s, n in held if n is not None]
+        data, blocks = expand(data, np.int32), expand(blocks, np.int32)
+        ids: list[bytes] = [b""] * len(blocks)
+        for block, _, packed, sizes, docs in held:
+            if docs is None:
+                text, ends = expand(packed, np.int32).tobytes(), np.cumsum(expand(sizes, np.int32)).tolist()
+                for k, a, b in zip(np.flatnonzero(blocks == block).tolist(), [0, *ends], ends):
+                    ids[k] = text[a:b]
+        lengths, sequence, at, out = data[: len(names)], data[len(names) :].tolist(), 0, []
+        for n in lengths.tolist():
+            out.append(np.frombuffer(b"".join([ids[k] for k in sequence[at : at + n]]), dtype=np.int32))
+            at += n
+        for i in range(0, len(out), 500):
+            few = out[i : i + 500]
+            decoded = coder.decode_batch([x.tolist() for x in few], skip_special_tokens=False)
+            columns = [pa.array(names[i : i + 500], pa.int64()), pa.array(few, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
+                if held and row[1] != now:
+                    yield from documents(held)
+                    held = []
+                now = row[1]
+                held.append(row)
+        if held:
+            yield from documents(held)
 
+    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(run, ENCODED)
+
+
+def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, ids, decoded for each whole text."""
+    path = path or tokenizer_path()
     rows = texts(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return rows.mapInArrow(run, SCHEMA)
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return assembled(encoded_chunks(chunked(rows, path, 4 * buckets_for(size)), path), path)
+
+
+def reuse(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """chunks, encoded: how many chunks the texts have, each packet's different ones, and how many are encoded."""
+    path = path or tokenizer_path()
+    rows = chunked(texts(docs).withColumn("doc_id", F.col("doc_id").cast("long")), path, 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data, sizes, docs_ in zip(*[batch.column(c).to_pylist() for c in ("data", "sizes", "docs")]):
+                if docs_ is not None:
+                    n = len(expand(data, np.int32)) - len(docs_)
+                    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([None], pa.binary())], names=["chunks", "digest"])
+                else:
+                    text, ends = zstandard.ZstdDecompressor().decompress(data), np.cumsum(expand(sizes, np.int32)).tolist()
+                    found = [hashlib.md5(text[a:b]).digest() for a, b in zip([0, *ends], ends)]
+                    yield pa.RecordBatch.from_arrays([pa.array([0] * len(found), pa.int64()), pa.array(found, pa.binary())], names=["chunks", "digest"])
+
+    return rows.mapInArrow(run, "chunks long, digest binary").agg(F.sum("chunks").alias("chunks"), F.countDistinct("digest").alias("encoded"))
 
 
 def query(docs: DataFrame) -> DataFrame:
-    return encode(docs)
+    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
+    return encode(docs).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )

@@ -131,21 +131,52 @@ def test_bpe_equals_the_library(sample, odd_docs, no_docs):
     tokenizer = Tokenizer.from_file(bpe_chunks.tokenizer_path())
     for frame in (sample[0], odd_docs):
         texts = {r.doc_id: r.text or "" for r in frame.collect()}
-        for r in bpe_chunks.query(frame).collect():
+        rows = bpe_chunks.query(frame).collect()
+        assert len(rows) == frame.count()
+        for r in rows:
             assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == brute_bpe(texts[r.doc_id], tokenizer)
     assert bpe_chunks.query(no_docs).collect() == []
+    # A tokenizer whose tokens have white space in them.
+    path = bpe_chunks.tokenizer_path("byte_bpe_50k.json")
+    other, texts = Tokenizer.from_file(path), sample[1]
+    for r in bpe_chunks.encode(sample[0].limit(40), path).collect():
+        want = other.encode(texts[r.doc_id], add_special_tokens=False).ids
+        assert list(r.ids) == want and r.decoded == other.decode(want, skip_special_tokens=False)
 
 
-def test_bpe_long_words_are_repaired(monkeypatch):
+def test_bpe_joins_are_repaired(monkeypatch):
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(bpe_chunks.tokenizer_path())
-    coder = bpe_chunks.Encoder(bpe_chunks.tokenizer_path())
+    path = bpe_chunks.tokenizer_path()
+    library, words = Tokenizer.from_file(path), bpe_chunks.Words(path)
     monkeypatch.setattr(bpe_chunks, "LONG_WORD", 20)
     rng = np.random.default_rng(4)
+    grown = 0
     for _ in range(60):
-        word = "".join(rng.choice(list("ab1'.é̈İσ<|>_st"), 150))
-        assert coder.text(word.encode())[1] == " ".join(map(str, tokenizer.encode(word, add_special_tokens=False).ids))
+        word = "".join(rng.choice(list("ab1'.é̈İσ<|>_st"), 150)).encode()
+        pieces = bpe_chunks.cut(word)
+        (joined,) = bpe_chunks.repaired([pieces], words)
+        assert b"".join(joined) == word
+        ids = [i for p in joined for i in library.encode(p.decode(), add_special_tokens=False).ids]
+        assert ids == library.encode(word.decode(), add_special_tokens=False).ids
+        grown += len(joined) < len(pieces)
+    assert grown  # some joins do need repair
+
+
+def test_words_of_plain_letters_are_those_of_the_library():
+    path = bpe_chunks.tokenizer_path()
+    words = bpe_chunks.Words(path)
+    some = ["Hello", "été", "ÀÉÎ", "straße", "x", "ÿ", "it's", "a1", "Zoë.", "naïve"] * 2
+    assert words.of(some) == words.encode(some) and words.letters
+    other = bpe_chunks.Words(bpe_chunks.tokenizer_path("byte_bpe_50k.json"))
+    assert other.of(some) == other.encode(some)
+
+
+def test_chunks_are_encoded_once_for_all_documents(spark):
+    body = " ".join(f"word{i}" for i in range(600))
+    docs = spark.createDataFrame([(i, f"head{i} " + body) for i in range(30)], "doc_id long, text string").repartition(5)
+    r = bpe_chunks.reuse(docs).first()
+    assert r.encoded < r.chunks / 8
 
 
 def test_chunks_are_content_defined():
