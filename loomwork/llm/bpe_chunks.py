@@ -3,24 +3,29 @@
 1. A rolling hash over the last bytes before white space cuts texts into chunks,
    so passages that documents share fall into the same chunks wherever they
    stand. Unbroken words longer than ``LONG_WORD`` are cut inside, too.
-2. Joins are repaired: the pieces on both sides of each cut are encoded together
-   and compared with their own encodings; while the result differs, the cut is
-   given up and the region grows, until it agrees exactly. What is left are
-   chunks whose encodings put together are that of the text.
-3. Chunks are dealt to blocks by content over the whole corpus. Each packet of
-   documents sends a chunk once; a block encodes each different chunk once and
-   answers every packet that has it. A chunk that a third of all documents have
-   is one entry for each packet.
-4. Packets put the ids of their documents together, and decode them.
+2. Packets of documents count the digests of their chunks in sketches (see
+   ``spans``); added up, they tell each packet which of its chunks may stand
+   elsewhere. Those are dealt to blocks by content, a packet sends one once, and
+   a block encodes each different chunk once and answers every packet that has
+   it. A chunk that a third of all documents have is one entry for each packet.
+   All other chunks stand once in the corpus and are encoded where they are.
+3. Joins are repaired: the pieces on both sides of each cut are encoded together
+   and compared with their own encodings; while the result differs, the region
+   that is encoded together grows, until it agrees exactly.
+4. Ids of a document are put together, and decoded.
 
 Joins at white space are checked with the words next to them, since pre-tokenizers
 look no further there; joins inside a long word with all of both pieces. The
 tokenizer file is a parameter and is only read, never copied or trained.
 
-Within a block, words of new chunks are looked up in a table of words that were
-encoded before; it is bounded by ``WORDS`` and let go with its task, and only
-saves time. Words of plain letters are taken to the merges directly, if that
-gives the library's ids for the first words of the task (``Words``).
+Words of new chunks are looked up in a table of words that the task encoded
+before; it is bounded by ``WORDS`` and let go with its task, and only saves time.
+Words of plain letters are taken to the merges directly, if that gives the
+library's ids for the first words of the task (``Words``).
+
+The packets are dealt out once and read by three steps of one plan, and made again
+alike if an executor is lost; so ``docs`` has to be a table or a checkpoint, not
+rows in changing order.
 
 Defined results: null text is empty and gives no token. Every input row gives
 one output row, repeated rows included, whatever its id; other columns are
@@ -37,12 +42,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import spans
 from .common import texts, worker_cache
-from .spans import buckets_for, expand, squeeze
+from .spans import expand, expand_planes, squeeze, squeeze_planes
 
 #: A chunk ends where the rolling hash of the ``ROLL`` bytes before white space is 0 modulo ``CHUNK_WORDS``.
 ROLL, CHUNK_WORDS = 8, 32
@@ -50,12 +55,12 @@ ROLL, CHUNK_WORDS = 8, 32
 LONG_WORD = 4096
 EDGE = re.compile(r"(?<=[^\W\d_])(?=[\W\d_])|(?<=[\W\d_])(?=[^\W\d_])")
 BLANK = re.compile(r"[ \t\n\r]+")
-PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
-#: Words that a task keeps, and bytes of text of a packet.
-WORDS, PACKET_BYTES = 300_000, 4_000_000
-#: Rows between the tasks: a packet's chunks of a block (text), its list of documents (no block), a block's answer (ids).
-ROWS = "block long, part long, data binary, sizes binary, docs array<long>"
-NAMES, KINDS = ["block", "part", "data", "sizes", "docs"], [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
+#: Words that a task keeps, and characters of a chunk on average, for the size of the sketches.
+WORDS, CHUNK_BYTES = 400_000, 200
+#: Chunks that travel: their text, or the ids that answer it, one after the other, and their numbers in the packet.
+SENT = "block long, part long, data binary, sizes binary, numbers binary"
+NAMES, KINDS = ["block", "part", "data", "sizes", "numbers"], [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
 ENCODED = "doc_id long, ids array<int>, decoded string"
 
 
@@ -88,6 +93,8 @@ class Words:
         self.tokenizer = tokenizer(path)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.marks = dict(zip(".,;:!?", self.encode(list(".,;:!?"))))
         self.letters: dict[int, str] | None = self.letter_table()
         #: Whether white space only separates: then words are encoded one by one, else chunks as they are.
         probes = [("It's", s, "so1") for s in (" ", "\n", "  ", "\t \r\n")]
@@ -102,7 +109,9 @@ class Words:
         """What the tokenizer makes of each plain letter before the merges; None if that is not one piece."""
         normal, pieces = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
         table = {}
-        for c in filter(PLAIN.fullmatch, map(chr, range(65, 256))):
+        for c in filter(str.isalpha, map(chr, range(65, 256))):
+            if not PLAIN.fullmatch(c):
+                continue
             found = pieces.pre_tokenize_str(normal.normalize_str(c) if normal else c) if pieces else []
             if len(found) != 1:
                 return None
@@ -119,20 +128,24 @@ class Words:
             at += len(ws)
         return out
 
-    def plain(self, word: str) -> bytes:
-        return np.array([t.id for t in self.tokenizer.model.tokenize(word.translate(self.letters))], dtype=np.int32).tobytes()
+    def plain(self, letters: str, mark: str) -> bytes:
+        piece = letters.translate(self.letters)
+        ids = self.pieces.get(piece)
+        if ids is None:
+            ids = self.pieces[piece] = np.array([t.id for t in self.tokenizer.model.tokenize(piece)], dtype=np.int32).tobytes()
+        return ids + self.marks[mark] if mark else ids
 
     def of(self, words: list[str]) -> list[bytes]:
         if len(self.known) > WORDS // 2:  # those not used of late are let go
-            self.older, self.known = self.known, {}
+            self.older, self.known, self.pieces = self.known, {}, {}
         known, older = self.known, self.older
         fresh = [w for w in dict.fromkeys(words) if w not in known]
         other = []
         for w in fresh:
             if w in older:
                 known[w] = older[w]
-            elif self.letters and PLAIN.fullmatch(w):
-                known[w] = self.plain(w)
+            elif self.letters and (m := PLAIN.fullmatch(w)):
+                known[w] = self.plain(*m.groups())
             else:
                 other.append(w)
         known.update(zip(other, self.encode(other)))
@@ -144,27 +157,43 @@ class Words:
         return [known[w] for w in words]
 
 
-def cut(data: bytes) -> list[bytes]:
-    """Content-defined chunks of UTF-8 bytes, before their joins are checked; their concatenation is the text."""
-    raw = np.frombuffer(data, dtype=np.uint8)
+def cut(text: bytes, sizes: list[int]) -> list[list[bytes]]:
+    """Content-defined chunks of each text of a packet (each followed by a newline); put together they are the text."""
+    raw, starts = np.frombuffer(text, dtype=np.uint8), spans.packet_starts(sizes)
     white = np.flatnonzero((raw == 32) | (raw == 10) | (raw == 13) | (raw == 9))
-    inner = white[white >= ROLL]
+    inner = white[white - starts[np.searchsorted(starts, white, side="right") - 1] >= ROLL]
     rolled = np.zeros(len(inner), dtype=np.uint32)
     for k in range(1, ROLL + 1):
         rolled = rolled * np.uint32(0x01000193) ^ raw[inner - k]
     rolled ^= rolled >> np.uint32(15)
-    ends = set((inner[rolled % np.uint32(CHUNK_WORDS) == 0]).tolist())
-    bounds = np.concatenate([[-1], white, [len(data)]])
+    more = [inner[rolled % np.uint32(CHUNK_WORDS) == 0]]
+    bounds = np.concatenate([[-1], white])
     for k in np.flatnonzero(np.diff(bounds) > LONG_WORD + 1).tolist():
-        a, b = int(bounds[k]) + 1, int(bounds[k + 1])
-        word, at, last = data[a:b].decode("utf-8", "replace"), a, 0
-        for m in EDGE.finditer(word):
-            if m.start() - last >= LONG_WORD:
-                at += len(word[last : m.start()].encode("utf-8"))
-                last = m.start()
-                ends.add(at)
-    ends = [*sorted(ends - {0, len(data)}), len(data)]
-    return [data[a:b] for a, b in zip([0, *ends], ends) if b > a]
+        more.append(np.array(cuts_of_word(text[bounds[k] + 1 : bounds[k + 1]]), dtype=np.int64) + bounds[k] + 1)
+    ends = np.unique(np.concatenate([*more, starts]))
+    ends = ends[~np.isin(ends, starts[1:] - 1)].tolist()  # a chunk does not begin with the newline behind its text
+    out, k = [], 0
+    for a, b in zip(starts.tolist(), (starts[1:] - 1).tolist()):
+        mine = [a]
+        while ends[k] <= a:
+            k += 1
+        while ends[k] < b:
+            mine.append(ends[k])
+            k += 1
+        mine.append(b)
+        out.append([text[x:y] for x, y in zip(mine, mine[1:]) if y > x])
+    return out
+
+
+def cuts_of_word(raw: bytes) -> list[int]:
+    """Where a long word is cut: at edges of its letter runs."""
+    word, at, last, out = raw.decode("utf-8", "replace"), 0, 0, []
+    for m in EDGE.finditer(word):
+        if m.start() - last >= LONG_WORD:
+            at += len(word[last : m.start()].encode("utf-8"))
+            last = m.start()
+            out.append(at)
+    return out
 
 
 def edge(piece: str, last: bool) -> str:
@@ -176,138 +205,130 @@ def edge(piece: str, last: bool) -> str:
     return piece[piece.rindex(words[-1]) :] if last else piece[: piece.index(words[0]) + len(words[0])]
 
 
-def repaired(pieces: list[list[bytes]], words: Words) -> list[list[bytes]]:
-    """The pieces of each text, joined where their encodings put together are not that of both together."""
-    out = [[] for _ in pieces]
-    todo = [(k, [p.decode("utf-8", "replace") for p in text], text) for k, text in enumerate(pieces) if text]
-    # All joins of the packet at once; regions that grow are looked at again.
-    while todo:
-        sides = [(edge(a, True), edge(b, False)) for _, text, _ in todo for a, b in zip(text, text[1:])]
-        flat = dict.fromkeys(x for pair in sides for x in pair)
-        alone = dict(zip(flat, words.encode(list(flat))))
+def repaired(documents: list[list[str]], encoded: list[list[bytes]], words: Words) -> list[bytes]:
+    """The ids of each document from the encodings of its pieces, joins repaired until they agree.
+
+    All joins of a packet are looked at together; those of regions that have grown are looked at again.
+    """
+    todo = [[*pair] for pair in zip(documents, encoded)]
+    open_ = [k for k, (text, _) in enumerate(todo) if len(text) > 1]
+    while open_:
+        sides = [(edge(a, True), edge(b, False)) for k in open_ for a, b in zip(todo[k][0], todo[k][0][1:])]
+        flat = list(dict.fromkeys(x for pair in sides for x in pair))
+        alone = dict(zip(flat, words.of_chunks(flat)))
         agree = iter([together == alone[a] + alone[b] for (a, b), together in zip(sides, words.encode([a + b for a, b in sides]))])
         again = []
-        for k, text, raw in todo:
-            merged, merged_raw = [text[0]], [raw[0]]
-            for piece, piece_raw in zip(text[1:], raw[1:]):
+        for k in open_:
+            text, ids = todo[k]
+            regions, parts = [[text[0]]], [[ids[0]]]
+            for piece, own in zip(text[1:], ids[1:]):
                 if next(agree):
-                    merged.append(piece)
-                    merged_raw.append(piece_raw)
+                    regions.append([piece])
+                    parts.append([own])
                 else:
-                    merged[-1] += piece
-                    merged_raw[-1] += piece_raw
-            if len(merged) == len(text):
-                out[k] = raw
-            else:
-                again.append((k, merged, merged_raw))
-        todo = again
-    return out
-
+                    regions[-1].append(piece)
+                    parts[-1].append(own)
+            if len(regions) < len(text):
+                merged = ["".join(r) for r in regions]
+                again.append(k)
+                todo[k] = [merged, [p[0] if len(p) == 1 else words.encode([t])[0] for p, t in zip(parts, merged)]]
+        open_ = [k for k in again if len(todo[k][0]) > 1]
+    return [b"".join(ids) for _, ids in todo]
 
-def rows_batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), KINDS)], names=NAMES)
 
+def different(documents: list[list[bytes]]) -> tuple[list[bytes], np.ndarray]:
+    """The different chunks of a packet in order of first appearance, and a digest of each."""
+    chunks = list(dict.fromkeys(c for text in documents for c in text))
+    return chunks, np.frombuffer(b"".join([hashlib.blake2b(c, digest_size=8).digest() for c in chunks]), dtype=np.uint64)
 
-def packet_rows(part: int, ids: list, texts_: list[bytes], words: Words, blocks: int) -> list[tuple]:
-    """A packet's different chunks by block, and its documents as lists of numbers of chunks."""
-    numbers: dict[bytes, int] = {}
-    documents = [[numbers.setdefault(c, len(numbers)) for c in text] for text in repaired([cut(t) for t in texts_], words)]
-    chunks = list(numbers)
-    digest = np.array([int.from_bytes(hashlib.blake2b(c, digest_size=8).digest(), "little") for c in chunks], dtype=np.uint64)
-    block = (digest % np.uint64(blocks)).astype(np.int64)
-    order = np.argsort(block, kind="stable")
-    edges = np.flatnonzero(np.concatenate([[True], np.diff(block[order]) != 0, [True]])) if len(order) else [0]
-    coder, rows = zstandard.ZstdCompressor(level=1), []
-    for a, b in zip(edges[:-1], edges[1:]):
-        mine = [chunks[k] for k in order[a:b]]
-        rows.append((int(block[order[a]]), part, coder.compress(b"".join(mine)), squeeze(np.array([len(c) for c in mine], dtype=np.int32)), None))
-    lengths = np.array([len(d) for d in documents], dtype=np.int32)
-    sequence = np.array([k for d in documents for k in d], dtype=np.int32)
-    rows.append((-1 - part % blocks, part, squeeze(np.concatenate([lengths, sequence])), squeeze(block.astype(np.int32)), ids))
-    return rows
 
+def shared_levels(by_part: DataFrame, blocks: int) -> DataFrame:
+    """(part, answers): which chunks of each packet may stand in other packets, too."""
 
-def chunked(docs: DataFrame, path: str, blocks: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, number = Words(path), TaskContext.get().partitionId() << 32
-        ids, held, size = [], [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1).cast(pa.binary())):
-                ids.append(doc_id.as_py())
-                held.append(text.as_py())
-                size += len(held[-1])
-                if size > PACKET_BYTES:
-                    number += 1
-                    yield rows_batch(packet_rows(number, ids, held, words, blocks))
-                    ids, held, size = [], [], 0
-        if held:
-            yield rows_batch(packet_rows(number + 1, ids, held, words, blocks))
+            for part, sizes, z in zip(*[batch.column(c).to_pylist() for c in ("part", "sizes", "z")]):
+                yield from spans.partition_sketch(part, 0, different(cut(spans.packet_text(z), sizes))[1], blocks)
 
-    return docs.mapInArrow(run, ROWS)
+    return spans.merged_levels(by_part.mapInArrow(run, spans.SKETCH)).drop("hot")
 
 
-def encoded_chunks(rows: DataFrame, path: str) -> DataFrame:
-    """Each different chunk of a block encoded once, and the answers to all packets that have it."""
+def sent_chunks(chosen: DataFrame, sketch_blocks: int, blocks: int) -> DataFrame:
+    """A packet's chunks that may stand elsewhere, by block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            for part, sizes, z, answers in zip(*[batch.column(c).to_pylist() for c in ("part", "sizes", "z", "answers")]):
+                chunks, digests = different(cut(spans.packet_text(z), sizes))
+                numbers = np.flatnonzero(spans.estimated_levels(digests, sketch_blocks, answers, 0)) if chunks else np.empty(0, np.int64)
+                block = (digests[numbers] % np.uint64(blocks)).astype(np.int64)
+                order = np.argsort(block, kind="stable")
+                numbers, block = numbers[order], block[order]
+                edges = np.flatnonzero(np.concatenate([[True], np.diff(block) != 0, [True]])) if len(block) else [0]
+                rows = []
+                for a, b in zip(edges[:-1], edges[1:]):
+                    mine = [chunks[k] for k in numbers[a:b]]
+                    lengths = np.array([len(c) for c in mine], dtype=np.int32)
+                    rows.append((int(block[a]), part, coder.compress(b"".join(mine)), squeeze(lengths), squeeze(numbers[a:b].astype(np.int32))))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), KINDS)], names=NAMES)
+
+    return chosen.mapInArrow(run, SENT)
+
+
+def encoded_chunks(sent: DataFrame, path: str) -> DataFrame:
+    """Each different chunk of a block encoded once, and (part, shared): the answers to each packet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, reader = Words(path), zstandard.ZstdDecompressor()
         now, done = None, {}
         for batch in batches:
             out = []
-            for block, part, data, sizes, docs in zip(*[c.to_pylist() for c in batch.columns]):
-                if docs is None:
-                    if block != now:
-                        now, done = block, {}
-                    text, lengths = reader.decompress(data), expand(sizes, np.int32)
-                    ends = np.cumsum(lengths).tolist()
-                    chunks = [text[a:b] for a, b in zip([0, *ends], ends)]
-                    fresh = [c for c in chunks if c not in done]
-                    done.update(zip(fresh, words.of_chunks([c.decode("utf-8", "replace") for c in fresh])))
-                    answers = [done[c] for c in chunks]
-                    data, sizes = squeeze(np.frombuffer(b"".join(answers), np.int32)), squeeze(np.array([len(a) for a in answers], dtype=np.int32))
-                out.append((block, part, data, sizes, docs))
+            for block, part, data, sizes, numbers in zip(*[c.to_pylist() for c in batch.columns]):
+                if block != now:
+                    now, done = block, {}
+                text, ends = reader.decompress(data), np.cumsum(expand(sizes, np.int32)).tolist()
+                chunks = [text[a:b] for a, b in zip([0, *ends], ends)]
+                fresh = [c for c in chunks if c not in done]
+                done.update(zip(fresh, words.of_chunks([c.decode("utf-8", "replace") for c in fresh])))
+                answers = [done[c] for c in chunks]
+                lengths = np.array([len(a) for a in answers], dtype=np.int32)
+                out.append((block, part, squeeze_planes(np.frombuffer(b"".join(answers), np.int32)), squeeze(lengths), numbers))
             if out:
-                yield rows_batch(out)
-
-    return rows.repartition("block").sortWithinPartitions("block").mapInArrow(run, ROWS)
-
-
-def assembled(rows: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids, decoded: the answers to each packet put together."""
-
-    def documents(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        coder = tokenizer(path)
-        ((data, blocks, names),) = [(d, s, n) for _, _, d, s, n in held if n is not None]
-        data, blocks = expand(data, np.int32), expand(blocks, np.int32)
-        ids: list[bytes] = [b""] * len(blocks)
-        for block, _, packed, sizes, docs in held:
-            if docs is None:
-                text, ends = expand(packed, np.int32).tobytes(), np.cumsum(expand(sizes, np.int32)).tolist()
-                for k, a, b in zip(np.flatnonzero(blocks == block).tolist(), [0, *ends], ends):
-                    ids[k] = text[a:b]
-        lengths, sequence, at, out = data[: len(names)], data[len(names) :].tolist(), 0, []
-        for n in lengths.tolist():
-            out.append(np.frombuffer(b"".join([ids[k] for k in sequence[at : at + n]]), dtype=np.int32))
-            at += n
-        for i in range(0, len(out), 500):
-            few = out[i : i + 500]
-            decoded = coder.decode_batch([x.tolist() for x in few], skip_special_tokens=False)
-            columns = [pa.array(names[i : i + 500], pa.int64()), pa.array(few, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), KINDS)], names=NAMES)
+
+    answers = sent.repartition("block").sortWithinPartitions("block").mapInArrow(run, SENT)
+    return answers.groupBy("part").agg(F.collect_list(F.struct("data", "sizes", "numbers")).alias("shared"))
+
+
+def encoded_documents(chosen: DataFrame, path: str) -> DataFrame:
+    """doc_id, ids, decoded: all chunks of each packet put together, with the answers to those that others have, too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        words = Words(path)
         for batch in batches:
-            for row in zip(*[c.to_pylist() for c in batch.columns]):
-                if held and row[1] != now:
-                    yield from documents(held)
-                    held = []
-                now = row[1]
-                held.append(row)
-        if held:
-            yield from documents(held)
-
-    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(run, ENCODED)
+            for names, sizes, z, shared in zip(*[batch.column(c).to_pylist() for c in ("ids", "sizes", "z", "shared")]):
+                documents = cut(spans.packet_text(z), sizes)
+                chunks = list(dict.fromkeys(c for text in documents for c in text))
+                known: dict[bytes, bytes] = {}
+                for answer in shared or []:
+                    data, ends = expand_planes(answer["data"], np.int32).tobytes(), np.cumsum(expand(answer["sizes"], np.int32)).tolist()
+                    for k, a, b in zip(expand(answer["numbers"], np.int32).tolist(), [0, *ends], ends):
+                        known[chunks[k]] = data[a:b]
+                plain = {c: c.decode("utf-8", "replace") for c in chunks}
+                for i in range(0, len(chunks), 4_000):
+                    fresh = [c for c in chunks[i : i + 4_000] if c not in known]
+                    known.update(zip(fresh, words.of_chunks([plain[c] for c in fresh])))
+                for i in range(0, len(names), 500):
+                    few = documents[i : i + 500]
+                    ids = repaired([[plain[c] for c in text] for text in few], [[known[c] for c in text] for text in few], words)
+                    ids = [np.frombuffer(x, dtype=np.int32) for x in ids]
+                    decoded = words.tokenizer.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
+                    columns = [pa.array(names[i : i + 500], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"])
+
+    return chosen.mapInArrow(run, ENCODED)
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -315,26 +336,25 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or tokenizer_path()
     rows = texts(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    return assembled(encoded_chunks(chunked(rows, path, 4 * buckets_for(size)), path), path)
+    sketch_blocks = spans.blocks_for(size // CHUNK_BYTES)
+    # Dealt by part once: all three steps read the same exchange, so they ask for the same columns of it.
+    by_part = spans.packets(rows).repartition("part")
+    chosen = by_part.join(shared_levels(by_part, sketch_blocks), "part")
+    shared = encoded_chunks(sent_chunks(chosen, sketch_blocks, spans.buckets_for(size)), path)
+    return encoded_documents(by_part.join(shared, "part", "left"), path)
 
 
-def reuse(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """chunks, encoded: how many chunks the texts have, each packet's different ones, and how many are encoded."""
-    path = path or tokenizer_path()
-    rows = chunked(texts(docs).withColumn("doc_id", F.col("doc_id").cast("long")), path, 1)
+def reuse(docs: DataFrame) -> DataFrame:
+    """chunks, encoded: how many chunks the texts have, and how many different ones are encoded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data, sizes, docs_ in zip(*[batch.column(c).to_pylist() for c in ("data", "sizes", "docs")]):
-                if docs_ is not None:
-                    n = len(expand(data, np.int32)) - len(docs_)
-                    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([None], pa.binary())], names=["chunks", "digest"])
-                else:
-                    text, ends = zstandard.ZstdDecompressor().decompress(data), np.cumsum(expand(sizes, np.int32)).tolist()
-                    found = [hashlib.md5(text[a:b]).digest() for a, b in zip([0, *ends], ends)]
-                    yield pa.RecordBatch.from_arrays([pa.array([0] * len(found), pa.int64()), pa.array(found, pa.binary())], names=["chunks", "digest"])
+            for sizes, z in zip(*[batch.column(c).to_pylist() for c in ("sizes", "z")]):
+                for text in cut(spans.packet_text(z), sizes):
+                    yield pa.RecordBatch.from_arrays([pa.array([hashlib.md5(c).digest() for c in text], pa.binary())], names=["digest"])
 
-    return rows.mapInArrow(run, "chunks long, digest binary").agg(F.sum("chunks").alias("chunks"), F.countDistinct("digest").alias("encoded"))
+    rows = spans.packets(texts(docs).withColumn("doc_id", F.col("doc_id").cast("long"))).mapInArrow(run, "digest binary")
+    return rows.agg(F.count("digest").alias("chunks"), F.countDistinct("digest").alias("encoded"))
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -204,7 +204,7 @@ def packets(docs: DataFrame) -> DataFrame:
     """(part, ids, sizes, n_bytes, z): the texts of (doc_id, text), in order, each followed by a newline, compressed together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, number = zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId() << 32
+        coder, number = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId() << 32
         ids, held, size = [], [], 0
 
         def packet() -> pa.RecordBatch:
@@ -272,7 +272,7 @@ def partition_sketch(part: int, piece: int, keys: np.ndarray, blocks: int) -> It
         codes, counts = np.unique(cells_of(keys, row, blocks), return_counts=True)
         for block, a, b in by_blocks(codes):
             cells = np.diff(codes[a:b] % CELLS, prepend=0).astype(np.uint32)
-            rows.append((row * blocks + block, part, piece, squeeze(cells), squeeze(np.minimum(counts[a:b], 255).astype(np.uint8))))
+            rows.append((row * blocks + block, part, piece, squeeze_planes(cells), squeeze(np.minimum(counts[a:b], 255).astype(np.uint8))))
     kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
     for i in range(0, len(rows), 2_000):
         columns = [pa.array(c, k) for c, k in zip(zip(*rows[i : i + 2_000]), kinds)]
@@ -290,12 +290,12 @@ def merged_levels(sketches: DataFrame, hot: int = 1 << 30) -> DataFrame:
         for rows in runs_of_first(batches):
             total[:] = 0
             for _, _, _, cells, counts in rows:
-                total[np.cumsum(expand(cells, np.uint32))] += expand(counts, np.uint8)  # a packet has a cell once
+                total[np.cumsum(expand_planes(cells, np.uint32))] += expand(counts, np.uint8)  # a packet has a cell once
             level = (total > 1).astype(np.uint8) + (total > hot)
             for i in range(0, len(rows), 1_000):
                 few = rows[i : i + 1_000]
                 block, part, piece, cells, _ = zip(*few)
-                answers = [level[np.cumsum(expand(c, np.uint32))] for c in cells]
+                answers = [level[np.cumsum(expand_planes(c, np.uint32))] for c in cells]
                 columns = [part, block, piece, [bool((x > 1).any()) for x in answers], [squeeze(x) for x in answers]]
                 kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["part", "block", "piece", "hot", "levels"])
@@ -349,6 +349,15 @@ def expand(data: bytes, dtype) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=dtype)
 
 
+def squeeze_planes(array: np.ndarray) -> bytes:
+    """Squeezed byte by byte of the values, as their higher bytes are mostly zero."""
+    return squeeze(np.ascontiguousarray(array).view(np.uint8).reshape(-1, array.itemsize).T)
+
+
+def expand_planes(data: bytes, dtype) -> np.ndarray:
+    return np.ascontiguousarray(expand(data, np.uint8).reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
+
+
 def delta(values: np.ndarray) -> np.ndarray:
     return np.diff(values, prepend=values[:1] * 0)
 

@@ -45,8 +45,8 @@ def windows_of(z: bytes, sizes: list[int], window: int, bases=spans.BASES[:1]) -
         yield piece, inside + a, [spans.run_hashes(v[a:b], window, base)[inside] for v, base in zip(values, bases)]
 
 
-def repeated_windows(stored: DataFrame, window: int) -> DataFrame:
-    """(part, places): for each packet the first words of windows that start elsewhere too."""
+def repeated_windows(stored: DataFrame, by_part: DataFrame, window: int) -> DataFrame:
+    """(part, places): for each packet the first words of windows that start elsewhere too. ``by_part``: ``stored``, dealt by part."""
     size = stored.agg(F.sum("n_bytes")).first()[0] or 0
     blocks, buckets = spans.blocks_for(size // 6), spans.buckets_for(size)
     n_exact = max(16, size // 6 // 4 // BLOCK_ENTRIES)
@@ -60,7 +60,7 @@ def repeated_windows(stored: DataFrame, window: int) -> DataFrame:
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = spans.KeyPacker(n_exact, width=2)
         for batch in batches:
-            for part, sizes, z, answers in zip(*[c.to_pylist() for c in batch.columns]):
+            for part, sizes, z, answers in zip(*[batch.column(c).to_pylist() for c in ("part", "sizes", "z", "answers")]):
                 for piece, places, keys in windows_of(z, sizes, window, spans.BASES):
                     likely = np.flatnonzero(spans.estimated_levels(keys[0], blocks, answers, piece))
                     found.add(part, np.stack([k[likely] for k in keys], axis=1), places[likely])
@@ -68,20 +68,21 @@ def repeated_windows(stored: DataFrame, window: int) -> DataFrame:
                         yield from found.packets()
         yield from found.packets()
 
-    few = stored.select("part", "sizes", "z")
-    answers = spans.merged_levels(few.mapInArrow(sketch, spans.SKETCH))
-    packed = few.join(answers.drop("hot"), "part").mapInArrow(exact, spans.PACKED)
+    answers = spans.merged_levels(stored.select("part", "sizes", "z").mapInArrow(sketch, spans.SKETCH))
+    packed = by_part.join(answers.drop("hot"), "part").mapInArrow(exact, spans.PACKED)
     return spans.gather(spans.repeated_places(packed, buckets, 2)).withColumnRenamed("doc_id", "part")
 
 
 def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and the kept words joined by blanks."""
     stored = cut(spans.packets(texts(docs).withColumn("doc_id", F.col("doc_id").cast("long"))))
-    joined = stored.join(repeated_windows(stored, window), "part", "left").select("ids", "sizes", "z", "places")
+    # Dealt by part once: both joins read the same exchange, so they ask for the same columns of it.
+    by_part = stored.repartition("part")
+    joined = by_part.join(repeated_windows(stored, by_part, window), "part", "left")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, sizes, z, parts in zip(*[c.to_pylist() for c in batch.columns]):
+            for ids, sizes, z, parts in zip(*[batch.column(c).to_pylist() for c in ("ids", "sizes", "z", "places")]):
                 text, out, first = spans.packet_text(z), [], 0
                 edges = spans.packet_starts(sizes).tolist()
                 places = spans.all_places(parts)

@@ -161,24 +161,22 @@ def runs_of(z: bytes, sizes: list[int], origins: list[int] | None, length: int,
         yield piece, runs
 
 
-def repeated_spans(stored: DataFrame, length: int, grams: tuple[int, ...], limit: int, every: bool = False) -> DataFrame:
+def repeated_spans(stored: DataFrame, by_part: DataFrame, length: int, grams: tuple[int, ...], limit: int, every: bool = False) -> DataFrame:
     """Hits (part, start << 32 | length) of repeats; with ``every`` the maximal repeats themselves, with all occurrences."""
     size = stored.agg(F.sum("n_bytes")).first()[0] or 0
     buckets, found = spans.buckets_for(size), []
     n_group = max(16, size // 4 // (length - grams[0] + 1) // 2_000)
-    segments = stored.select("part", "sizes", F.lit(None).cast("array<long>").alias("origins"), "z")
+    segments, dealt = [x.withColumn("origins", F.lit(None).cast("array<long>")) for x in (stored, by_part)]
     for level, gram in enumerate(grams):
         last = level == len(grams) - 1
-        answers = sketched(segments, size, length, gram, limit)
-        if not last:
-            answers = cut(answers)
-        chosen = segments.join(answers, "part")
+        answers = cut(sketched(segments.select("part", "sizes", "origins", "z"), size, length, gram, limit))
+        chosen = dealt.join(answers, "part")
         sent = chosen.mapInArrow(sender(length, gram, size, n_group, last, every), spans.PACKED)
         grouped = sent.repartition("block").sortWithinPartitions("block")
         found.append(grouped.mapInArrow(listing(length), REPEATS) if every else grouped.mapInArrow(comparing(length, buckets), spans.HITS))
         if last or answers.where("hot").isEmpty():
             break
-        segments = cut(chosen.where("hot").mapInArrow(deeper(length, gram, size), SEGMENTS))
+        segments = dealt = cut(chosen.where("hot").mapInArrow(deeper(length, gram, size), SEGMENTS))
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
@@ -204,7 +202,7 @@ def blocks_of(size: int, length: int, gram: int) -> int:
     return spans.blocks_for(2 * size // (length - gram + 2))
 
 
-def leveled(part_rows: tuple, length: int, gram: int, size: int) -> Iterator[tuple[bytes, list, int]]:
+def leveled(part_rows: list, length: int, gram: int, size: int) -> Iterator[tuple[bytes, list, int]]:
     """(bytes, [key, windows, places...], level) of the runs of a packet with its answers."""
     sizes, origins, z, answers = part_rows
     for piece, runs in runs_of(z, sizes, origins, length, gram):
@@ -352,12 +350,14 @@ def packed(docs: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame, length: int = LENGTH, grams: tuple[int, ...] = GRAMS, group_runs: int = GROUP_RUNS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes."""
     stored = packed(docs)
-    marks = spans.gather(repeated_spans(stored, length, grams, group_runs)).withColumnRenamed("doc_id", "part")
-    joined = stored.join(marks, "part", "left").select("ids", "sizes", "z", "places")
+    # Dealt by part once: both joins read the same exchange, so they ask for the same columns of it.
+    by_part = stored.repartition("part")
+    marks = spans.gather(repeated_spans(stored, by_part, length, grams, group_runs)).withColumnRenamed("doc_id", "part")
+    joined = by_part.join(marks, "part", "left")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, sizes, z, parts in zip(*[c.to_pylist() for c in batch.columns]):
+            for ids, sizes, z, parts in zip(*[batch.column(c).to_pylist() for c in ("ids", "sizes", "z", "places")]):
                 text, out = spans.packet_text(z), []
                 raw, edges = np.frombuffer(text, dtype=np.uint8), spans.packet_starts(sizes).tolist()
                 places = spans.all_places(parts)
@@ -383,7 +383,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, grams: tuple[int, ...] = GRAM
     """
     stored = packed(docs)
     # Runs of one anchor share a whole gram; all levels but the last would be hot only beyond any bound.
-    rows = repeated_spans(stored, length, grams, 1 << 29, every=True)
+    rows = repeated_spans(stored, stored, length, grams, 1 << 29, every=True)
     starts = stored.select("part", F.posexplode("ids").alias("k", "doc_id"), "sizes").select(
         "part", "doc_id", F.aggregate(F.slice("sizes", 1, F.col("k")), F.lit(0).cast("long"), lambda a, n: a + n + 1).alias("at"), F.get("sizes", F.col("k")).alias("n")
     )

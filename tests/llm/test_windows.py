@@ -25,7 +25,7 @@ def test_count_min_never_underestimates():
     for keys in packets:
         for batch in spans.partition_sketch(1, 0, keys, blocks):
             for block, _, _, cells, counts in zip(*[c.to_pylist() for c in batch.columns]):
-                for cell, n in zip(np.cumsum(spans.expand(cells, np.uint32)).tolist(), spans.expand(counts, np.uint8).tolist()):
+                for cell, n in zip(np.cumsum(spans.expand_planes(cells, np.uint32)).tolist(), spans.expand(counts, np.uint8).tolist()):
                     total[block, cell] = total.get((block, cell), 0) + n
     true = Counter(int(k) for keys in packets for k in keys)
     for row in range(spans.ROWS):
