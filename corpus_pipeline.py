@@ -33,7 +33,7 @@ def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe_chunks.encode(docs)
+    return bpe_chunks.query(docs)
 
 
 STAGES = [
@@ -49,10 +49,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn; what each keeps is a Parquet table in the shared folder."""
+    """All stages in turn; what each keeps is a Parquet table in the shared folder, removed when the next one is written."""
     docs = table(spark, sf_dir, "documents")
     at = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}")
         docs = spark.read.parquet(f"{at}/{k}")
+        if k:
+            before = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/{k - 1}")
+            before.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(before, True)
     return docs
