@@ -3,9 +3,11 @@
 Numbers, names and units become typed placeholders that keep their value, so a
 question asked again with other figures has the same template. Windows of five
 template words are hashed and joined with those of the benchmark. A pair of
-document and item is reported if enough of the item's windows occur and its
-slots are filled consistently: a value of the item always becomes the same
-value in the document.
+document and item is reported if enough of the item's windows occur, word for
+word but for the slots' values, and its slots are filled consistently: a value of
+the item always becomes the same value in the document, and different values
+become different ones. Consistency is asked of the diagonal (document position
+less item position) that has most of the item's slots.
 
 A capitalised word that begins a sentence may be a name or not, so each text is
 read in two ways: such words are words (LITERAL) or name slots (NAMED). Windows
@@ -16,9 +18,9 @@ distinct windows of one reading; the first reading that suffices is reported.
 
 Defined results: texts without words match nothing, as do such items; a text
 shorter than an item matches no exact window of it. Rows that are equal in id
-and text count once;
-several rows of one item id with different texts count as one item. Other
-columns of both inputs are ignored. An empty table on either side gives an
+and text count once; rows of one id and different texts are one document, and
+several rows of one item id with different texts count as one item. Rows without
+an id match nothing. Other columns of both inputs are ignored. An empty table on either side gives an
 empty result.
 """
 
@@ -41,6 +43,8 @@ UNITS = "kg|mg|g|km|cm|mm|m|miles?|feet|foot|inch(?:es)?|lbs?|oz|litres?|liters?
 WINDOW, MIN_COVERAGE = 5, 0.5
 #: Benchmark windows, and ids of documents found, up to this count are broadcast (16 bytes each); more are joined by a shuffle.
 MAX_BROADCAST_WINDOWS = 2_000_000
+#: Parts that a hash is dealt to where the benchmark's windows are joined by a shuffle.
+SALTS = 32
 
 
 def marked(text: Column) -> Column:
@@ -94,7 +98,7 @@ def both_readings(rows: DataFrame, size: int) -> DataFrame:
 
 def item_windows(benchmark: DataFrame, size: int) -> DataFrame:
     """(item_id, reading, n, hash, i_pos, i_raw): the benchmark's windows of n words with their slots' values."""
-    items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).distinct()
+    items = benchmark.where("item_id is not null").select("item_id", F.coalesce("text", F.lit("")).alias("text")).distinct()
     toks = both_readings(items.select("item_id", marked(F.col("text")).alias("m")), size)
     toks = toks.withColumn("plain", words(read_as(F.col("m"), EXACT)))
     n = F.least(F.lit(size), F.size("plain"))
@@ -112,7 +116,7 @@ def doc_hashes(docs: DataFrame, size: int, lengths: list[int]) -> DataFrame:
     Exact windows are of the given lengths only, those that the benchmark asks for.
     """
     # Each step's columns are used several times by the next; written as one expression, each window would make them again.
-    rows = texts(docs).select("doc_id", marked(F.col("text")).alias("m"))
+    rows = texts(docs).where("doc_id is not null").select("doc_id", marked(F.col("text")).alias("m"))
     rows = rows.withColumns({"plain": words(read_as(F.col("m"), EXACT))} if lengths else {}).withColumn("t", words(template(F.col("m"))))
     # Per word and not per window: the words that begin sentences are few.
     spots = F.filter(F.transform("t", lambda w, i: F.when(w.startswith(FIRST), i)), lambda i: i.isNotNull())
@@ -142,14 +146,14 @@ def contamination(
     known = item_windows(benchmark, window)
     sizes = known.groupBy("item_id", "reading").agg(F.countDistinct("hash").alias("n_item"))
     keys = known.groupBy("hash", "item_id").agg(F.bit_or("reading").alias("asked"))
-    side = F.broadcast(keys) if keys.count() <= MAX_BROADCAST_WINDOWS else keys
     lengths = sorted(r.n for r in known.where(F.col("reading") == EXACT).select("n").distinct().collect())
-    hits = (
-        doc_hashes(docs, window, lengths)
-        .join(side, "hash")
-        .select("doc_id", "item_id", "hash", F.col("mask").bitwiseAND(F.col("asked")).alias("mask"))
-        .where("mask != 0")
-    )
+    rows = doc_hashes(docs, window, lengths)
+    if keys.count() <= MAX_BROADCAST_WINDOWS:
+        joined = rows.join(F.broadcast(keys), "hash")
+    else:  # a window that many documents share is dealt to several tasks
+        salted = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["hash", "salt"])
+    hits = joined.select("doc_id", "item_id", "hash", F.col("mask").bitwiseAND(F.col("asked")).alias("mask")).where("mask != 0")
     # Distinct hashes of the pair, so a phrase that a document repeats counts once.
     distinct = hits.groupBy("doc_id", "item_id", "hash").agg(F.bit_or("mask").alias("mask"))
     counts = distinct.groupBy("doc_id", "item_id").agg(*[F.count_if(F.col("mask").bitwiseAND(r) != 0).alias(f"n{r}") for r in READINGS])
@@ -163,55 +167,64 @@ def contamination(
     )
     # Few rows, used several times below: without the cut, each use would scan the documents again.
     pairs = cut(pairs)
-    slotted = known.where((F.col("reading") != EXACT) & F.exists("i_raw", is_slot))
-    if slotted.isEmpty():
-        out = pairs.withColumn("n_slots", F.lit(0).cast("long")).withColumn("n_changed", F.lit(0).cast("long"))
-    else:
-        out = pairs.join(slot_changes(docs, pairs, slotted, window), ["doc_id", "item_id", "reading"], "left")
-        out = out.where(F.coalesce("consistent", F.lit(True)))
-        out = out.withColumn("n_slots", F.coalesce("n_slots", F.lit(0))).withColumn("n_changed", F.coalesce("n_changed", F.lit(0)))
+    checked = compared(docs, pairs, known, window, lengths).join(sizes, ["item_id", "reading"])
+    checked = checked.withColumn("coverage", F.col("n_windows") / F.col("n_item")).where((F.col("coverage") >= min_coverage) & F.col("consistent"))
     # The first reading that suffices.
     best = F.min(F.struct("reading", "n_windows", "coverage", "n_slots", "n_changed")).alias("x")
-    return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "x.n_windows", "x.coverage", "x.n_slots", "x.n_changed")
+    return checked.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "x.n_windows", "x.coverage", "x.n_slots", "x.n_changed")
 
 
-def slot_changes(docs: DataFrame, pairs: DataFrame, slotted: DataFrame, window: int) -> DataFrame:
-    """doc_id, item_id, reading, n_slots, n_changed, consistent: how each reported pair fills the item's slots.
+def compared(docs: DataFrame, pairs: DataFrame, known: DataFrame, window: int, lengths: list[int]) -> DataFrame:
+    """doc_id, item_id, reading, n_windows, n_slots, n_changed, consistent: each pair's windows word for word, and how its slots are filled.
 
-    Only documents of a pair are read again for their slots' values.
+    Only documents of a pair are read again, for the words of their windows.
     """
     ids = pairs.select("doc_id").distinct()
     ids = F.broadcast(ids) if ids.count() <= MAX_BROADCAST_WINDOWS else ids
     chosen = texts(docs).join(ids, "doc_id", "left_semi")
-    toks = both_readings(chosen.select("doc_id", marked(F.col("text")).alias("m")), window)
-    asked = slotted.select("hash", "reading").distinct()
+    toks = both_readings(chosen.select("doc_id", marked(F.col("text")).alias("m")), window).withColumn("plain", words(read_as(F.col("m"), EXACT)))
+    exact = [
+        windows(F.col("plain"), n, lambda s, i, n=n: F.struct(F.lit(EXACT).alias("reading"), F.lit(n).alias("n"), F.xxhash64(s).alias("hash"), i.alias("pos"), s.alias("raw")))
+        for n in lengths
+    ]
+    bare = lambda raw: F.transform(raw, template)
     rows = (
-        toks.select("doc_id", F.explode_outer(F.concat("literal", "named")).alias("x"))
+        toks.select("doc_id", F.explode_outer(F.concat("literal", "named", *exact)).alias("x"))
         .select("doc_id", "x.reading", "x.hash", "x.pos", F.col("x.raw").alias("d_raw"))
-        .join(asked, ["hash", "reading"], "left_semi")
-        .join(slotted, ["hash", "reading"])
+        .join(known.select("hash", "reading").distinct(), ["hash", "reading"], "left_semi")
+        .join(known, ["hash", "reading"])
         .join(pairs.select("doc_id", "item_id", "reading"), ["doc_id", "item_id", "reading"], "left_semi")
+        .where(bare(F.col("i_raw")) == bare(F.col("d_raw")))
+        .withColumn("diagonal", F.col("pos") - F.col("i_pos"))
     )
+    rows = cut(rows.select("doc_id", "item_id", "reading", "hash", "diagonal", "i_pos", "i_raw", "d_raw"))
+    pair = ["doc_id", "item_id", "reading"]
     # Values side by side, one row for each slot of the item and place in the document.
     values = (
-        rows.withColumn("diagonal", F.col("pos") - F.col("i_pos"))
-        .select("doc_id", "item_id", "reading", "diagonal", "i_pos", F.posexplode(F.arrays_zip("i_raw", "d_raw")).alias("k", "v"))
+        rows.select(*pair, "diagonal", "i_pos", F.posexplode(F.arrays_zip("i_raw", "d_raw")).alias("k", "v"))
         .where(is_slot(F.col("v.i_raw")))
-        .select("doc_id", "item_id", "reading", "diagonal", (F.col("i_pos") + F.col("k")).alias("slot"), F.col("v.i_raw").alias("a"), F.col("v.d_raw").alias("b"))
+        .select(*pair, "diagonal", (F.col("i_pos") + F.col("k")).alias("slot"), F.col("v.i_raw").alias("a"), F.col("v.d_raw").alias("b"))
         .distinct()
     )
-    # Consistent along a diagonal: one value of the document for each value of the item.
-    by_value = values.groupBy("doc_id", "item_id", "reading", "diagonal", "a").agg(
-        F.countDistinct("b").alias("n_b"), F.countDistinct("slot").alias("n"), F.max((F.col("a") != F.col("b")).cast("int")).alias("changed")
+    # One value of the document for each value of the item, and the other way round. Sets are bounded by an item's slots.
+    by_diagonal = values.groupBy(*pair, "diagonal").agg(
+        F.size(F.collect_set("slot")).cast("long").alias("n_slots"),
+        F.size(F.collect_set("a")).alias("n_a"),
+        F.size(F.collect_set("b")).alias("n_b"),
+        F.collect_set(F.struct("a", "b")).alias("ab"),
     )
-    by_diagonal = by_value.groupBy("doc_id", "item_id", "reading", "diagonal").agg(
-        F.sum("n").alias("n_slots"), F.sum("changed").alias("n_changed"), (F.max("n_b") == 1).alias("consistent")
+    n_changed = F.size(F.filter("ab", lambda x: x["a"] != x["b"])).cast("long")
+    by_diagonal = by_diagonal.select(
+        *pair, "diagonal", "n_slots", n_changed.alias("n_changed"), ((F.size("ab") == F.col("n_a")) & (F.size("ab") == F.col("n_b"))).alias("consistent")
     )
-    best = F.struct("consistent", "n_slots", (-F.col("n_changed")).alias("less"), "diagonal")
+    # The fullest diagonal; of equally full ones a consistent one, then the one that changes least.
+    best = F.max(F.struct("n_slots", "consistent", (-F.col("n_changed")).alias("less"), "diagonal")).alias("x")
+    slots = by_diagonal.groupBy(*pair).agg(best)
     return (
-        by_diagonal.groupBy("doc_id", "item_id", "reading")
-        .agg(F.max(best).alias("x"))
-        .select("doc_id", "item_id", "reading", F.col("x.n_slots").alias("n_slots"), (-F.col("x.less")).alias("n_changed"), F.col("x.consistent").alias("consistent"))
+        rows.groupBy(*pair)
+        .agg(F.countDistinct("hash").alias("n_windows"))
+        .join(slots, pair, "left")
+        .select(*pair, "n_windows", F.coalesce("x.n_slots", F.lit(0)).alias("n_slots"), F.coalesce(-F.col("x.less"), F.lit(0)).alias("n_changed"), F.coalesce("x.consistent", F.lit(True)).alias("consistent"))
     )
 
 

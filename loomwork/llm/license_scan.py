@@ -7,8 +7,11 @@ word moves the rest of a license by one. A merged span is verified: its grams
 are compared word for word with the template's, and the share of the template's
 words that they cover is the span's score.
 
-Defined results: null or empty text has no words, no labels and score 0. One
-row per distinct document row; rows that are equal in id and text give one.
+The templates are a fixed list, so their grams are few (a few thousand words in
+all); what looks them up is one set in the plan, whatever the corpus.
+
+Defined results: null or empty text has no words, no labels and score 0. Every
+input row gives one output row, rows that are equal or have no id included.
 Other columns of the input are ignored. An empty table gives an empty result.
 """
 
@@ -26,7 +29,7 @@ PHRASES = {
     "general public license": "gpl",
 }
 
-# Public license notices, by label.
+# Public license notices, and whole texts of the short licenses, by label.
 TEMPLATES = [
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
     ("mit", "this project is released under the terms of the mit license"),
@@ -45,6 +48,14 @@ TEMPLATES = [
     ("cc", "licensed under cc by sa 4 0"),
     ("cc", "licensed under cc by nc 4 0"),
     ("cc", "licensed under cc by nc nd 4 0"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution 3 neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions 1 the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required 2 altered source versions must be plainly marked as such and must not be misrepresented as being the original software 3 this notice may not be removed or altered from any source distribution"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
+    ("bsl", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so"),
+    ("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details you should have received a copy of the gnu general public license along with this program if not see http www gnu org licenses"),
 ]
 
 #: What separates words: all ASCII but digits and lower-case letters.
@@ -90,7 +101,7 @@ def scan(
 ) -> DataFrame:
     """Documents with their base figures, and one row for each verified license span (span columns null if none).
 
-    Columns: doc_id, n_words, n_base, first_word, last_word, base, template,
+    Columns: row (a number of the input row), doc_id, n_words, n_base, first_word, last_word, base, template,
     label, first, last (words from 0, inclusive), score.
     """
     known = template_grams(docs.sparkSession, templates, gram)
@@ -98,7 +109,7 @@ def scan(
     # Looking a hash up before it leaves its row keeps the join to grams that some template has.
     hashes = [r.hash for r in known.select("hash").distinct().collect()]
     none = F.array().cast("array<int>")
-    tokens = texts(docs).select("doc_id", words(ascii_lower(F.col("text")), NOT_WORD).alias("w"))
+    tokens = texts(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", words(ascii_lower(F.col("text")), NOT_WORD).alias("w"))
     places, labels = [], []
     for phrase, label in PHRASES.items():
         parts = phrase.split(" ")
@@ -106,13 +117,14 @@ def scan(
         at = F.filter(F.sequence(F.lit(0), F.size("w") - 1), stands(parts))
         places.append(F.when(F.array_contains("w", parts[-1]), at).otherwise(none))
         labels.append(label)
-    found = tokens.select("doc_id", "w", *[p.alias(f"at{k}") for k, p in enumerate(places)])
+    found = tokens.select("row", "doc_id", "w", *[p.alias(f"at{k}") for k, p in enumerate(places)])
     every = F.concat(*[F.col(f"at{k}") for k in range(len(places))])
     base = F.array_compact(F.array(*[F.when(F.size(f"at{k}") > 0, F.lit(x)) for k, x in enumerate(labels)]))
     grams = windows(
         F.col("w"), gram, lambda s, i: F.struct(F.xxhash64(s).alias("hash"), i.alias("pos"), s.alias("gram"))
     )
     rows = found.select(
+        "row",
         "doc_id",
         F.size("w").cast("long").alias("n_words"),
         F.size(every).cast("long").alias("n_base"),
@@ -121,7 +133,7 @@ def scan(
         F.array_sort(F.array_distinct(base)).alias("base"),
         F.filter(grams, lambda x: x["hash"].isin(hashes)).alias("grams"),
     )
-    keys = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base"]
+    keys = ["row", "doc_id", "n_words", "n_base", "first_word", "last_word", "base"]
     hits = (
         rows.select(*keys, F.explode_outer("grams").alias("x"))
         .select(*keys, F.col("x.hash").alias("hash"), F.col("x.pos").alias("pos"), F.col("x.gram").alias("gram"))
@@ -154,7 +166,7 @@ def scan(
 
 def query(docs: DataFrame) -> DataFrame:
     """One row per document with its base figures, labels and best score."""
-    rows = scan(docs).groupBy("doc_id", "n_words", "n_base", "first_word", "last_word", "base").agg(
+    rows = scan(docs).groupBy("row", "doc_id", "n_words", "n_base", "first_word", "last_word", "base").agg(
         F.collect_set("label").alias("more"), F.coalesce(F.max("score"), F.lit(0.0)).alias("score")
     )
     return rows.select(

@@ -5,24 +5,29 @@ depth, digit ratio, entropy, parameter counts, suffix statistics), trained from
 labelled URLs. The features are column expressions and the fitted model scores
 rows in the JVM, so no Python runs on the executors.
 
+``fit`` takes any labelled table. The query has none but the pages, so a bounded
+sample of them (``MAX_TRAINING_ROWS``, by a hash of the url) is labelled: 1 where
+a block rule holds, else 0. The trees see neither rules nor paths' words, only
+lexical figures, so they carry over what blocked pages look like. Pages whose
+hash leaves 0 modulo ``HOLD_OUT`` are never learned from; ``held_out_figures``
+measures the trees on them.
+
 Defined results: a null url or one without ``://`` has an empty host and path,
-matches no rule, and is allowed by rule of thumb only if the model says so (its
-features are those of an empty text). Every input row gives one output row,
+matches no rule, and is judged by the trees (its features are those of an empty
+text). Every input row gives one output row,
 repeated rows included; other columns are ignored. An empty table gives an
 empty result.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, cut
 
 # Rule text and verdict.
 RULES = {
@@ -33,10 +38,6 @@ RULES = {
     "org/es/": "block",
 }
 
-# Words seen in the hosts of unwanted and of wanted sites, for the labelled URLs.
-UNWANTED = ["spam", "farm", "cheap", "pills", "casino", "win", "free", "bonus", "loan", "bet", "xxx", "prize", "deal", "click"]
-WANTED = ["news", "docs", "blog", "learn", "wiki", "city", "museum", "garden", "river", "school", "music", "library", "forum", "health"]
-
 FEATURES = [
     "f_length",
     "f_host_length",
@@ -48,10 +49,9 @@ FEATURES = [
     "f_entropy",
     "f_vowels",
     "f_suffix_rate",
-    "f_unwanted",
 ]
 #: Rows of labelled URLs that the trees are fitted on at most; more are sampled down.
-MAX_TRAINING_ROWS = 20_000
+MAX_TRAINING_ROWS, HOLD_OUT = 20_000, 5
 
 
 def parts(df: DataFrame, url: str = "url") -> DataFrame:
@@ -83,9 +83,6 @@ def features(df: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
     counts = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)) / size)
     entropy = F.aggregate(counts, F.lit(0.0), lambda a, p: a - p * F.log2(p))
     share = lambda pattern: F.length(F.regexp_replace("host", pattern, "")) / size
-    unwanted = reduce(
-        lambda a, w: a + F.col("host").contains(w).cast("int"), UNWANTED, F.lit(0)
-    )
     out = (
         df.withColumn("suffix", F.regexp_extract("host", r"[^.]*$", 0))
         .withColumn("f_length", F.length("rest").cast("double"))
@@ -97,7 +94,6 @@ def features(df: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
         .withColumn("f_params", F.length(F.regexp_replace("rest", "[^=&]", "")).cast("double"))
         .withColumn("f_entropy", F.when(F.length(letters) > 0, entropy).otherwise(0.0))
         .withColumn("f_vowels", share("[^aeiou]"))
-        .withColumn("f_unwanted", unwanted.cast("double"))
     )
     if suffixes is None:
         return out
@@ -107,34 +103,29 @@ def features(df: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
     )
 
 
-def labelled_urls(spark: SparkSession) -> DataFrame:
-    """(url, label): a small labelled table made from the fixed word lists, 1 is unwanted."""
-    hosts = []
-    for words_, label in ((UNWANTED, 1), (WANTED, 0)):
-        hosts += [(f"{a}-{b}" if label else f"{a}{b}", label) for a in words_ for b in words_ if a != b]
-    rows = [
-        F.struct(F.lit(name).alias("name"), F.lit(label).alias("label"), F.lit(i).alias("i"))
-        for i, (name, label) in enumerate(hosts)
-    ]
-    table = spark.range(1).select(F.inline(F.array(*rows)))
-    pick = lambda values, salt: F.element_at(
-        F.array(*[F.lit(v) for v in values]), (F.pmod(F.xxhash64("name", F.lit(salt)), F.lit(len(values))) + 1).cast("int")
-    )
-    url = F.concat(
-        pick(["http://", "https://"], 1),
-        pick(["", "www.", "m.", "blog."], 2),
-        F.col("name"),
-        pick([".example.com", ".example.net", ".example.org"], 3),
-        pick(["/en/", "/de/", "/fr/", "/es/", "/"], 4),
-        F.pmod(F.xxhash64("name"), F.lit(1000)).cast("string"),
-        pick(["", "/", ".html", "#top", "?page=2&ref=x", "?utm_source=feed"], 5),
-    )
-    return table.select(url.alias("url"), "label")
+def ruled_pages(pages: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
+    """(url, label, held_out): 1 where the rules block a page."""
+    rows = parts(pages.select("url")).withColumn("rule", matched_rule(F.col("host"), F.col("path"), rules))
+    blocked = F.coalesce(F.col("rule").isin([r for r, v in rules.items() if v == "block"]), F.lit(False))
+    return rows.select("url", blocked.cast("int").alias("label"), (F.pmod(F.xxhash64("url", F.lit(3)), F.lit(HOLD_OUT)) == 0).alias("held_out"))
+
+
+def held_out_figures(pages: DataFrame) -> DataFrame:
+    """label, rows, share judged right by the trees alone, on the pages that were not learned from."""
+    labelled = ruled_pages(pages)
+    model, suffixes = fit(labelled.where("not held_out"))
+    unruled = {"none.invalid/": "block"}
+    rows = labelled.where("held_out").withColumn("page_id", F.col("label"))
+    judged = judge(rows, model, suffixes, rules=unruled)
+    right = ((F.col("verdict") == "block").cast("int") == F.col("page_id")).cast("int")
+    return judged.groupBy(F.col("page_id").alias("label")).agg(F.count("*").alias("rows"), F.avg(right).alias("right"))
 
 
-def fit(labelled: DataFrame, max_rows: int = MAX_TRAINING_ROWS, trees: int = 10, depth: int = 3):
+def fit(labelled: DataFrame, max_rows: int = MAX_TRAINING_ROWS, trees: int = 20, depth: int = 5):
     """(model, suffix rates) from a labelled table (url, label 0/1) of at most ``max_rows`` sampled rows."""
-    sample = labelled.orderBy(F.xxhash64("url"), "url").limit(max_rows)
+    sample = cut(labelled.select("url", "label").orderBy(F.xxhash64("url"), "url").limit(max_rows))
+    if sample.isEmpty():  # nothing to learn from: every url is allowed
+        sample = labelled.sparkSession.sql("select cast(null as string) as url, 0 as label")
     rows = parts(sample)
     suffixes = (
         rows.groupBy(F.regexp_extract("host", r"[^.]*$", 0).alias("suffix"))
@@ -164,5 +155,5 @@ def judge(pages: DataFrame, model, suffixes: DataFrame, rules: dict[str, str] =
 
 
 def query(pages: DataFrame) -> DataFrame:
-    model, suffixes = fit(labelled_urls(pages.sparkSession))
+    model, suffixes = fit(ruled_pages(pages).where("not held_out"))
     return judge(pages, model, suffixes)

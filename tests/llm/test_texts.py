@@ -29,7 +29,8 @@ def same(spark_rows, sql, **views):
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = language_id.query(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
-    assert np.mean([r.lang == r.lang_pred for r in rows]) > 0.97
+    assert np.mean([r.lang == r.lang_pred for r in rows]) > 0.98
+    assert np.mean([r.lang == r.lang_pred for r in rows if not r.rejected]) > 0.99 and np.mean([r.rejected for r in rows]) < 0.02
     assert all((crc32(str(r.doc_id).encode()) % 4 == 2) == r.held_out and 0 <= r.score <= 1 for r in rows)
 
 
@@ -44,6 +45,16 @@ def test_language_odd_texts(spark, sample, odd_docs, no_docs):
     assert kept.columns == sample[0].columns and kept.count() >= 0.97 * sample[0].count()
 
 
+def test_language_narrow_margins_are_rejected(sample):
+    by_lang = language_id.coders(language_id.learn(sample[0]))
+    english = next(t for t in sample[1].values() if language_id.verdict(t, by_lang)[0] == "en" and len(t) > 500)
+    lang, score, rejected = language_id.verdict(english, by_lang)
+    assert not rejected and score > 0.99
+    assert language_id.verdict("qq", by_lang)[2]
+    sizes = sorted(len(c.compress(language_id.normal(english))) for c in by_lang.values())
+    assert language_id.verdict(english, by_lang, min_margin=(sizes[1] - sizes[0]) / sizes[1] + 1e-9)[2]
+
+
 # -- 2 ---------------------------------------------------------------------------
 
 ITEM = "If a train goes 60 km in 3 hours, how far does it go in 9 hours, said Maria to him"
@@ -72,6 +83,61 @@ def test_inconsistent_slots_are_let_go(spark):
     assert [r.doc_id for r in decontaminate.contamination(docs, bench).collect()] == [2]
 
 
+def test_consistency_is_asked_of_the_fullest_diagonal(spark):
+    item = "take 5 apples and give 5 apples to the man who has 7 pears in his old red bag"
+    wrong = item.replace("5", "8", 1).replace("give 5", "give 9")
+    both = item.replace("5", "6").replace("7", "6")  # two values become one
+    texts = [(1, wrong), (2, wrong + " and then again he has 7 pears in his"), (3, both), (4, item.replace("7", "4")), (None, item)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (None, item)], "item_id long, text string")
+    assert [(r.doc_id, r.n_changed) for r in decontaminate.contamination(docs, bench).collect()] == [(4, 1)]
+
+
+def brute_template(item, text, size=5):
+    """Windows of an item without names and units: numbers are slots; its share found, if some diagonal is fullest and one-to-one."""
+    split = lambda t: re.sub(r"[^\w\s]", "", t.lower()).split()
+    a, b = split(item), split(text)
+    slot = lambda w: "#" if w[0].isdigit() else w
+    grams = {}
+    for i in range(len(a) - size + 1):
+        g = tuple(map(slot, a[i : i + size]))
+        if 2 * g.count("#") <= size:
+            grams.setdefault(g, []).append(i)
+    found, diagonals = set(), {}
+    for j in range(len(b) - size + 1):
+        g = tuple(map(slot, b[j : j + size]))
+        for i in grams.get(g, []):
+            found.add(g)
+            for k in range(size):
+                if a[i + k][0].isdigit():
+                    diagonals.setdefault(j - i, set()).add((i + k, a[i + k], b[j + k]))
+    full = max((len({x[0] for x in d}), len({x[1:] for x in d}) == len({x[1] for x in d}) == len({x[2] for x in d})) for d in diagonals.values()) if diagonals else (0, True)
+    return 2 * len(found) >= len(grams) > 0 and full[1]
+
+
+def test_planted_questions_equal_brute_force(spark):
+    rng = np.random.default_rng(8)
+    vocabulary = ["train", "goes", "with", "apples", "from", "the", "shop", "then", "gives", "back", "and", "pays", "for", "boxes"]
+    number = lambda: str(rng.integers(2, 99))
+    items = {i: " ".join(number() if rng.random() < 0.25 else rng.choice(vocabulary) for _ in range(16)) for i in range(8)}
+    docs = {}
+    for d in range(60):
+        words = items[d % 8].split()
+        kind = d // 8 % 4
+        swap = {}
+        for k, w in enumerate(words):
+            if w.isdigit() and kind:  # 1: consistent, 2: anyhow, 3: a part only
+                words[k] = swap.setdefault(w, number()) if kind == 1 else number()
+        if kind == 3:
+            words = words[: rng.integers(5, 16)]
+        docs[d] = " ".join(rng.choice(vocabulary, 6)) + " " + " ".join(words) + " " + " ".join(rng.choice(vocabulary, 6))
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contamination(frame, bench).collect()}
+    want = {(d, i) for d, t in docs.items() for i, x in items.items() if brute_template(x, t)}
+    assert got == want and 20 < len(want) < 60
+
+
 NAMES = "Anna has 3 apples. Anna buys 4 more pears. Anna eats 2 plums."
 SUM = "3 + 5 + 8 + 13 + 21 = 50"
 
@@ -198,26 +264,79 @@ def chain():
     return pii_crf.train()
 
 
-def test_base_spans():
-    text = "a.b@mail.example.com 1.2.3.4 999.1.1.1 4111 1111 1111 1111 +1 (212) 555-0147 1234"
-    found = [(pii_crf.KINDS[k], text[a:b]) for k, a, b in pii_crf.base_spans(text)]
-    assert found == [("email", "a.b@mail.example.com"), ("ip", "1.2.3.4"), ("phone", "+1 (212) 555-0147 1234")] or (
-        "card",
-        "4111 1111 1111 1111",
-    ) in found
-    assert pii_crf.base_spans("") == [] and pii_crf.base_spans("300.1.1.1") == []
-    assert pii_crf.base_spans("4111111111111111") == [(2, 0, 16)] and pii_crf.base_spans("4111111111111112") == []
+# The base as the patterns state it.
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def brute_base(text):
+    out = []
+    for k, (kind, pattern) in enumerate(BASE.items()):
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            twice = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(digits))]
+            good = {
+                "email": True,
+                "ip": all(int(p) <= 255 for p in m[0].split(".")) if kind == "ip" else False,
+                "card": 16 <= len(digits) <= 19 and sum(x // 10 + x % 10 for x in twice) % 10 == 0,
+                "phone": 8 <= len(digits) <= 15,
+            }
+            if good[kind]:
+                out.append((k, m.start(), m.end()))
+    return out
+
+
+def test_base_spans_equal_the_patterns(sample):
+    rng = np.random.default_rng(12)
+    some = ["".join(rng.choice(list("a1.@-+2 5(0)"), rng.integers(1, 60))) for _ in range(4000)]
+    for text in [*sample[1].values(), *some, "4111111111111111 999.1.1.1 1.2.3.4.5.6.7.8 a@b.c@d.e"]:
+        assert pii_crf.base_spans(text) == brute_base(text)
+
+
+def test_pii_columns_equal_brute_force(sample, odd_docs):
+    for frame in (sample[0], odd_docs.where("doc_id is not null")):
+        texts = {r.doc_id: r.text or "" for r in frame.collect()}
+        for r in pii_crf.query(frame).collect():
+            base = brute_base(texts[r.doc_id])
+            assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == i for k, _, _ in base) for i in range(4)]
+            plain = ",".join(f"{list(BASE)[k]}:{a}:{b}" for k, a, b in base)
+            assert r.base_sha256 == hashlib.sha256(plain.encode()).hexdigest()
+            assert set(filter(None, plain.split(","))) <= set(r.spans.split(","))
+
+
+def test_patterns_take_linear_time():
+    import time
+
+    began = time.time()
+    pii_crf.base_spans("1" * 400_000 + " @ . " + "+1" * 200_000 + "1.1" * 100_000 + "a" * 400_000)
+    assert time.time() - began < 20
+
+
+def test_chain_finds_what_no_pattern_does(chain):
+    held = [x for x in pii_crf.labelled_lines(1_400)[pii_crf.LINES :]]
+    hits, all_, wrong = 0, 0, 0
+    for (text, spans), (_, found) in zip(held, pii_crf.find_all([t for t, _ in held], chain)):
+        more = [s for s in spans if s[0] in ("secret", "id", "name", "address")]
+        got = [(pii_crf.KINDS[k], a, b) for k, a, b in found]
+        all_ += len(more)
+        hits += sum(any(g[0] == k and g[1] < b and g[2] > a for g in got) for k, a, b in more)
+        wrong += sum(not any(g[1] < b and g[2] > a for _, a, b in spans) for g in got)
+    assert hits >= 0.9 * all_ and wrong <= 0.02 * len(held)
 
 
 def test_chain_learns_its_table(chain):
     rows = pii_crf.labelled_table()
     wrong = sum(int((chain.decode(x @ chain.emit) != y).sum()) for x, y in rows)
-    assert wrong <= 0.03 * sum(len(y) for _, y in rows)
+    assert wrong <= 0.02 * sum(len(y) for _, y in rows)
 
 
 def test_islands_decode_like_whole_texts(chain, sample):
     texts = [t for t in sample[1].values() if t.strip()][:120] + ["call +1 (212) 555-0147 now", "x 10.0.0.7, +49 30 901820"]
-    found = list(pii_crf.find_all(texts, chain, pii_crf.score_table(chain)))
+    found = list(pii_crf.find_all(texts, chain))
     for text, (base, spans) in zip(texts, found):
         starts, ends, shape = pii_crf.shapes(text)
         whole = chain.decode(pii_crf.features(shape) @ chain.emit)
@@ -233,8 +352,9 @@ def test_pii_rows_and_mask(odd_docs, no_docs, sample, chain):
     assert masked.columns == sample[0].columns and masked.count() == sample[0].count()
     after = {r.doc_id: r.text for r in masked.collect()}
     assert not any("@" in t and pii_crf.base_spans(t) for t in after.values())
-    clean = [i for i, t in sample[1].items() if not pii_crf.base_spans(t)]
+    clean = [i for i, t in sample[1].items() if not pii_crf.base_spans(t) and not re.search("password=|token = |AKIA", t)]
     assert sum(after[i] == sample[1][i] for i in clean) >= 0.99 * len(clean)
+    assert not any(re.search(r"password=\w|AKIA\w", t) for t in after.values())
 
 
 # -- 7 ---------------------------------------------------------------------------
@@ -264,14 +384,18 @@ def test_url_rules(spark, sf_dir):
     assert url_filter.query(frame.where("false")).collect() == []
 
 
-def test_url_trees_separate_their_labels(spark):
-    labelled = url_filter.labelled_urls(spark)
+def test_url_trees_on_pages_not_learned_from(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    figures = {r.label: r for r in url_filter.held_out_figures(pages).collect()}
+    n = sum(r.rows for r in figures.values())
+    right = sum(r.rows * r.right for r in figures.values()) / n
+    assert right > max(r.rows for r in figures.values()) / n  # better than one verdict for all
+    # Any labelled table will do.
+    urls = [(f"http://a{i}.example.com/x/{i}", 0) for i in range(60)] + [(f"http://9{i}7-8{i}.example.net/?a={i}&b=1&c=2", 1) for i in range(60)]
+    labelled = spark.createDataFrame(urls, "url string, label int")
     model, suffixes = url_filter.fit(labelled)
-    judged = url_filter.judge(labelled.withColumn("page_id", F.xxhash64("url")), model, suffixes, rules={"none.invalid/": "block"})
-    right = judged.join(labelled.withColumn("page_id", F.xxhash64("url")), "page_id").select(
-        F.avg(((F.col("verdict") == "block").cast("int") == F.col("label")).cast("int"))
-    )
-    assert right.first()[0] > 0.95
+    rows = url_filter.judge(labelled.withColumn("page_id", F.col("label")), model, suffixes, rules={"none.invalid/": "block"}).collect()
+    assert all((r.verdict == "block") == bool(r.page_id) for r in rows)
 
 
 # -- 8 and 9 -----------------------------------------------------------------------
@@ -304,6 +428,14 @@ def test_license_merges_neighbouring_diagonals(spark):
     assert r.labels == "mit" and r.base_labels == "" and 0.6 <= r.score < 1
 
 
+def test_license_rows_stay_apart_and_whole_texts_are_known(spark):
+    mit = max((t for label, t in license_scan.TEMPLATES if label == "mit"), key=len)
+    rows = [(1, "one two three"), (1, "one two four"), (1, "one two three"), (None, "MIT License"), (2, "x " + mit + " y")]
+    got = license_scan.query(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.labels) for r in got) == [(0, 2, "mit"), (1, 3, ""), (1, 3, ""), (1, 3, ""), (2, len(mit.split()) + 2, "mit")]
+    assert max(r.score for r in got) == 1.0
+
+
 # -- pipeline --------------------------------------------------------------------------
 
 
@@ -320,11 +452,10 @@ def test_pipeline_equals_brute_force(spark, sample, sf_dir):
     items = [flat(r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     stay = {i: t for i, t in stay.items() if not any(x in flat(t) for x in items)}
     chain = pii_crf.train()
-    table = pii_crf.score_table(chain)
     tokenizer = Tokenizer.from_file(bpe_chunks.tokenizer_path())
     want = {}
     for i, t in stay.items():
-        ((_, spans),) = pii_crf.find_all([t], chain, table)
+        ((_, spans),) = pii_crf.find_all([t], chain)
         for k, a, b in sorted(spans, key=lambda s: -s[1]):
             t = t[:a] + f"[{pii_crf.KINDS[k]}]" + t[b:]
         want[i] = brute_bpe(t, tokenizer)
