@@ -278,7 +278,7 @@ def lse(x: np.ndarray, axis: int) -> np.ndarray:
 # -- the labelled table -----------------------------------------------------------
 
 #: Rows of the labelled table.
-LINES = 420
+LINES = 640
 # What the rule puts together; {kind} is a span of that kind, {n} a plain number, {w} a word.
 WITH_SPANS = [
     "please write to {email} before {w}", "contact {email} or {phone} today", "the host {ip} did not answer", "logs from {ip} and {ip} are kept",
@@ -392,8 +392,9 @@ def add_spans(text: str, base: list, label: np.ndarray, starts: np.ndarray, ends
             a += 1
         if KINDS[k] == "secret" and re.match(r"\w+[=:].", text[a:b]):  # what the secret is for stays
             a += re.search("[=:]", text[a:b]).end()
-        # A number of a card's shape is a card's only if its check digit holds.
+        # A number of a card's shape is a card's only if its check digit holds, and a phone's only if it has enough digits.
         good = KINDS[k] != "card" or any(kind == 2 for kind, _, _ in base_spans(text[a:b]))
+        good &= KINDS[k] != "phone" or 8 <= sum(c.isdigit() for c in text[a:b]) <= 15
         if good and a < b and not any(s < b and e > a for s, e in taken):
             out.append((k, a, b))
     return sorted(out)

@@ -317,7 +317,7 @@ def test_patterns_take_linear_time():
 
 
 def test_chain_finds_what_no_pattern_does(chain):
-    held = [x for x in pii_crf.labelled_lines(1_400)[pii_crf.LINES :]]
+    held = [x for x in pii_crf.labelled_lines(1_400)[700:]]
     hits, all_, wrong = 0, 0, 0
     for (text, spans), (_, found) in zip(held, pii_crf.find_all([t for t, _ in held], chain)):
         more = [s for s in spans if s[0] in ("secret", "id", "name", "address")]
