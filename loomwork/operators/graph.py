@@ -81,18 +81,22 @@ def groups(pairs: DataFrame) -> DataFrame:
 
 
 def greedy_duplicates(pairs: DataFrame, lengths: DataFrame) -> DataFrame:
-    """(id, duplicate_of) by an ordered scan of the pairs: the longer text wins, a tie keeps the smaller id.
+    """(id, duplicate_of) by an ordered scan of the pairs: the longer text wins, a tie keeps the larger id.
+
+    An item that is a duplicate when its turn comes is passed over with all its pairs.
 
     Groups that share no pair cannot affect each other, so each is scanned apart.
     """
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
         into: dict[int, int] = {}
-        for r in pdf.sort_values(["a", "b"]).itertuples():
-            if r.b in into:
+        for a, rows in pdf.sort_values(["a", "b"]).groupby("a"):
+            if a in into:
                 continue
-            lose, keep = (r.a, r.b) if r.lb > r.la else (r.b, r.a)
-            into[lose] = keep
+            for r in rows.itertuples():
+                if r.b not in into:
+                    lose, keep = (r.a, r.b) if (r.lb, r.b) > (r.la, r.a) else (r.b, r.a)
+                    into[lose] = keep
 
         def end(x: int) -> int:
             seen = set()

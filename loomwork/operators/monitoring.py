@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,79 +120,93 @@ def expand_json(runs: DataFrame, col: str, fields: dict[str, tuple[str, str]]) -
 
 # -- chunks at natural breaks ---------------------------------------------------------
 
-#: Where a chunk may end, best first: after an empty line, a sentence, any white space.
-BREAKS = [re.compile(r"(?<=\n)\n"), re.compile(r"[.!?][\"')\]]?\s"), re.compile(r"[ \n\t]")]
-WORD_START = re.compile(r"(?<![^\W_])[^\W_]")
-
-
-def break_point(text: str, start: int, stop: int, reach: int) -> int:
-    """The last place of the best kind of break in the ``reach`` characters before ``stop``; ``stop`` without any."""
-    low = max(start + 1, stop - reach)
-    for kind in BREAKS if reach > 0 else []:
-        ends = [m.end() for m in kind.finditer(text[low:stop])]
-        if ends:
-            return low + ends[-1]
-    return stop
-
-
-def word_start(text: str, at: int) -> int:
-    """Where the first word begins at ``at`` or later; the end without any."""
-    if not 0 < at < len(text):
-        return at
-    found = WORD_START.search(text, at)
-    return found.start() if found else len(text)
-
-
-def chunk_bounds(text: str, size: int, overlap: int, reach: int) -> Iterator[tuple[int, int]]:
-    reach, start = min(reach, size // 2), 0
-    while start < len(text):
-        end = len(text) if start + size >= len(text) else break_point(text, start, start + size, reach)
-        yield start, end
-        if end >= len(text):
-            return
-        following = word_start(text, max(start + 1, end - overlap))
-        start = following if following > start else end
-
-
-def split_text(text: str, sections: list[tuple[int, str]], size: int, overlap: int, reach: int, least: int) -> list[tuple[str, str | None]]:
-    """(chunk, heading): chunks do not cross sections; a short last one joins the one before, a repeated heading goes."""
-    edges = sorted({0, len(text), *(at for at, _ in sections)})
-    heading = dict(sections)
-    found: list[tuple[str, str | None]] = []
-    for a, b in zip(edges, edges[1:]):
-        part = text[a:b]
-        bounds = [(0, len(part))] if len(part) <= size and sections else chunk_bounds(part, size, overlap, reach)
-        found += [(part[x:y].strip(), heading.get(a)) for x, y in bounds if part[x:y].strip()]
-    joined: list[tuple[str, str | None]] = []
-    for chunk, head in found:
-        if joined and len(chunk) < least and joined[-1][1] == head and len(joined[-1][0]) + 1 + len(chunk) <= int(size * 1.5):
-            joined[-1] = (joined[-1][0].rstrip() + "\n" + chunk.lstrip(), head)
-        else:
-            joined.append((chunk, head))
-    out = []
-    for chunk, head in joined:
-        bare = (head or "").strip()
-        rest = chunk.lstrip()[len(bare) :].lstrip(" \t\n\r-–—:.") if bare and chunk.lstrip().startswith(bare) else ""
-        out.append((rest or chunk, head))
-    return out
+# A chunk ends, best first, behind an empty line, a sentence, white space; what may stand behind a heading.
+BREAKS = [r"\n\n", r"[.!?][\"')\]]?\s", r"[ \n\t]"]
+BEHIND_HEADING = r"^[ \t\n\r\-–—:.]+"
+LETTER = r"[\p{L}\p{N}]"
 
 
-def natural_chunks(pages: DataFrame, size: int = 1400, overlap: int = 200, reach: int = 160, least: int = 200) -> DataFrame:
-    """(page_id, chunk_index, chunk_text, section_heading). Input: page_id, content, sections array of (char_start, heading_text).
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
-    Each break depends on the one before it, so a page is cut by a small Python
-    function over Arrow batches; pages are independent of each other.
-    """
 
-    def run(frames):
-        import pandas as pd
+def matched_length(text: Column, pattern: str) -> Column:
+    """Length of what the pattern matches at the start of the text."""
+    return F.length(F.regexp_extract(text, f"(?sU)^({pattern})", 1))
+
+
+def next_cut(text: Column, start: Column, size: int, reach: int) -> Column:
+    """Where the chunk from ``start`` ends: the last of the best breaks in the ``reach`` characters before its full size."""
+    stop, low = start + size, F.greatest(start + 1, start + size - reach)
+    tail = F.substring(text, low + 1, stop - low)
+    ends = [F.nullif(matched_length(tail, f".*(?:{b})"), F.lit(0)) for b in (BREAKS if reach > 0 else [])]
+    return F.when(stop >= F.length(text), F.length(text)).otherwise(F.coalesce(*[low + e for e in ends], stop))
+
+
+def word_from(text: Column, at: Column) -> Column:
+    """Where the first word begins at ``at`` or behind it; a word that ``at`` stands in is passed over."""
+    rest, inside = F.substring(text, at + 1, F.length(text)), F.substring(text, at, F.lit(1)).rlike(LETTER)
+    skipped = F.when(inside, matched_length(rest, f"{LETTER}*[^\\p{{L}}\\p{{N}}]*")).otherwise(matched_length(rest, r"[^\p{L}\p{N}]*"))
+    return at + skipped
+
+
+def bounds(text: Column, size: int, overlap: int, reach: int) -> Column:
+    """[(first, end)] of the chunks of a text: a fold, each chunk from where the one before leaves off."""
+    reach = min(reach, size // 2)
+    steps = F.sequence(F.lit(0), F.ceil(F.length(text) / max(1, size - reach - overlap)).cast("int"))
+
+    def step(state: Column, _: Column) -> Column:
+        end = next_cut(text, state["start"], size, reach)
+        onward = word_from(text, F.greatest(state["start"] + 1, end - overlap))
+        onward = F.when(end >= F.length(text), F.length(text)).when(onward > state["start"], onward).otherwise(end)
+        grown = F.struct(onward.cast("int").alias("start"), F.concat(state["found"], F.array(F.struct(state["start"].alias("a"), end.cast("int").alias("b")))).alias("found"))
+        return F.when(state["start"] >= F.length(text), state).otherwise(grown)
 
-        for pdf in frames:
-            rows = []
-            for page, content, sections in zip(pdf.page_id, pdf.content, pdf.sections):
-                marks = [(int(s["char_start"]), s["heading_text"]) for s in (sections if sections is not None else [])]
-                rows += [(page, i, c, h) for i, (c, h) in enumerate(split_text(content or "", marks, size, overlap, reach, least))]
-            yield pd.DataFrame(rows, columns=["page_id", "chunk_index", "chunk_text", "section_heading"])
+    first = F.struct(F.lit(0).alias("start"), F.array().cast("array<struct<a:int,b:int>>").alias("found"))
+    return F.aggregate(steps, first, step, lambda state: state["found"])
 
-    rows = pages.select(F.col("page_id").cast("string").alias("page_id"), "content", "sections")
-    return rows.mapInPandas(run, "page_id string, chunk_index int, chunk_text string, section_heading string")
+
+def joined_tails(pieces: Column, least: int, most: int) -> Column:
+    """Pieces (t, h) with a short one joined to the one before, under the same heading."""
+
+    def step(done: Column, x: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        fits = (F.length(x["t"]) < least) & last["h"].eqNullSafe(x["h"]) & (F.length(last["t"]) + 1 + F.length(x["t"]) <= most)
+        longer = F.array(F.struct(F.concat(last["t"], F.lit("\n"), x["t"]).alias("t"), x["h"].alias("h")))
+        return F.when((F.size(done) > 0) & fits, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), longer)).otherwise(F.concat(done, F.array(x)))
+
+    return F.aggregate(pieces, F.array().cast("array<struct<t:string,h:string>>"), step)
+
+
+def without_heading(t: Column, h: Column) -> Column:
+    """The chunk without its heading, if it begins with that and is more."""
+    bare = stripped(F.coalesce(h, F.lit("")))
+    rest = F.regexp_replace(F.substring(t, F.length(bare) + 1, F.length(t)), BEHIND_HEADING, "")
+    return F.when((bare != "") & t.startswith(bare) & (rest != ""), rest).otherwise(t)
+
+
+def natural_chunks(pages: DataFrame, size: int = 1400, overlap: int = 200, reach: int = 160, least: int = 200) -> DataFrame:
+    """(page_id, chunk_index, chunk_text, section_heading). Input: page_id, content, sections array of (char_start, heading_text).
+
+    Chunks do not cross sections. All is column expressions over one row a page,
+    so nothing is shuffled.
+    """
+    n, marks = F.length("text"), F.coalesce("sections", F.array().cast("array<struct<char_start:int,heading_text:string>>"))
+    rows = pages.select(F.col("page_id").cast("string").alias("page_id"), F.coalesce("content", F.lit("")).alias("text"), marks.alias("marks"))
+    starts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0)), F.transform("marks", lambda m: m["char_start"].cast("int")))))
+    rows = rows.withColumn("starts", F.filter(starts, lambda a: (a >= 0) & (a < n)))
+    parts = F.transform("starts", lambda a, k: F.struct(
+        F.substring("text", a + 1, F.coalesce(F.get("starts", k + 1), n) - a).alias("text"),
+        F.get(F.reverse(F.filter("marks", lambda m: m["char_start"] == a)), F.lit(0))["heading_text"].alias("h"),
+    ))
+    # Columns of their own: the next step uses each several times.
+    rows = rows.select("page_id", (F.size("marks") > 0).alias("marked"), parts.alias("parts"))
+    whole = lambda t: F.array(F.struct(F.lit(0).alias("a"), F.length(t).alias("b")))
+    cuts = F.transform("parts", lambda p: F.when(F.col("marked") & (F.length(p["text"]) <= size), whole(p["text"])).otherwise(bounds(p["text"], size, overlap, reach)))
+    rows = rows.withColumn("cuts", cuts)
+    pieces = F.flatten(F.transform("parts", lambda p, k: F.transform(F.get("cuts", k), lambda c: F.struct(
+        stripped(F.substring(p["text"], c["a"] + 1, c["b"] - c["a"])).alias("t"), p["h"].alias("h")
+    ))))
+    rows = rows.select("page_id", joined_tails(F.filter(pieces, lambda x: x["t"] != ""), least, int(size * 1.5)).alias("chunks"))
+    found = rows.select("page_id", F.posexplode("chunks").alias("chunk_index", "x"))
+    return found.select("page_id", "chunk_index", without_heading(F.col("x.t"), F.col("x.h")).alias("chunk_text"), F.col("x.h").alias("section_heading"))

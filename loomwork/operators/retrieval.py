@@ -17,7 +17,7 @@ def words_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def bm25(docs: DataFrame, query: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) for every document that has a term of ``query`` (term, n: how often it is asked for).
+    """(id, score) for every document, 0 without a term of ``query`` (term, n: how often it is asked for).
 
     Okapi weights; terms of negative weight get a share of the mean weight. The
     text is read twice: once for the statistics of all terms, which combine in
@@ -39,7 +39,8 @@ def bm25(docs: DataFrame, query: DataFrame, id_col: str = "doc_id", text_col: st
     df = index.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.when(raw < 0, EPSILON * mean).otherwise(raw)
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / (total / n)))
-    return index.join(df, "term").groupBy(id_col).agg(F.sum(part * F.col("n")).alias("score"))
+    found = index.join(df, "term").groupBy(id_col).agg(F.sum(part * F.col("n")).alias("score"))
+    return docs.select(id_col).join(found, id_col, "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
 def query_terms(texts: DataFrame, text_col: str = "text") -> DataFrame:

@@ -116,7 +116,7 @@ def prints(s, d):
 
 
 def bundled(s, d):
-    li = table(s, d, "lineitem").where("l_quantity < 5")
+    li = table(s, d, "lineitem")
     t = li.select(F.col("l_partkey").alias("page_id"), F.col("l_suppkey").alias("source_id"), F.col("l_quantity").alias("relevance"), F.col("l_discount").alias("semantic"), F.col("l_tax").alias("rerank"))
     return C.bundles(t).select("page_id", "relevance", "semantic", "rerank", "n")
 
@@ -238,7 +238,7 @@ select coalesce(a.conv_id, b.conv_id) as conv_id, cast(coalesce(a.i, b.i) + 1 as
     "fingerprints": (prints, None),
     "trigger_bundles": (
         bundled,
-        "select l_partkey as page_id, max(l_quantity) as relevance, max(l_discount) as semantic, max(l_tax) as rerank, count(*) as n from lineitem where l_quantity < 5 group by 1",
+        "select l_partkey as page_id, max(l_quantity) as relevance, max(l_discount) as semantic, max(l_tax) as rerank, count(*) as n from lineitem group by 1",
     ),
     "assessment_validity": (
         replies,

@@ -80,7 +80,7 @@ def chunks(s, d):
 
 
 def instruments(s, d):
-    o = table(s, d, "orders").where("o_orderkey % 10 < 3")
+    o = table(s, d, "orders")
     ident = lambda c: F.concat(F.lit("C2023A"), F.lpad((c % 50).cast("string"), 5, "0"))
     none = F.lit(None).cast("string")
     reason = lambda affect, a, b, md: F.struct(affect.alias("affect"), a.alias("affected"), F.lit("Act").alias("affected_series"), b.alias("amended"), none.alias("amended_series"), md.alias("markdown"))
@@ -147,7 +147,7 @@ where length(trim(phrase, ' ')) >= 3 and lower(trim(phrase, ' ')) <> 'than' and
     ),
     "amending_instruments": (
         instruments,
-        """with v as (select o_orderkey as id, 'C2023A' || lpad(cast(o_orderkey % 50 as varchar), 5, '0') as k, 'C2023A' || lpad(cast(o_custkey % 50 as varchar), 5, '0') as c from orders where o_orderkey % 10 < 3),
+        """with v as (select o_orderkey as id, 'C2023A' || lpad(cast(o_orderkey % 50 as varchar), 5, '0') as k, 'C2023A' || lpad(cast(o_custkey % 50 as varchar), 5, '0') as c from orders),
 r as (select id, 0 as a, k as title_id, 'Act' as series from v where id % 3 = 0 union all select id, 1, c, 'Act' from v where id % 2 = 0 union all select id, 2, k, '' from v)
 select id, title_id, series from (select *, row_number() over (partition by id, title_id order by a) as n from r) where n = 1""",
     ),

@@ -25,8 +25,9 @@ BM25 = rf"""tok as (select doc_id, unnest(case when len(t) > 0 then t else ['__e
   terms as (select term, ln((select count(*) from len) - count(*) + 0.5) - ln(count(*) + 0.5) as idf from post group by 1),
   q as (select term, count(*) as n from (select unnest({TOK.format(c='text')}) as term from benchmark where item_id = 0) group by 1),
   w as (select term, n, case when idf < 0 then 0.25 * (select avg(idf) from terms) else idf end as idf from terms join q using (term)),
-  bm as (select doc_id, round(sum(n * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (select avg(dl) from len)))), 6) as score
-    from post join w using (term) join len using (doc_id) group by 1)"""
+  hit as (select doc_id, round(sum(n * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (select avg(dl) from len)))), 6) as score
+    from post join w using (term) join len using (doc_id) group by 1),
+  bm as (select doc_id, coalesce(score, 0) as score from documents left join hit using (doc_id))"""
 
 
 def top5(s, d):

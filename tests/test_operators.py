@@ -55,7 +55,7 @@ def test_bm25_prefers_the_rarer_word_and_bears_empty_tables(spark):
     docs = frame(spark, [(1, "apple pear"), (2, "apple apple"), (3, ""), (4, None), (5, "plum kiwi fig")], "doc_id long, text string")
     query = R.query_terms(frame(spark, [("plum apple",)], "text string"))
     got = {r.doc_id: r.score for r in R.bm25(docs, query).collect()}
-    assert set(got) == {1, 2, 5} and got[5] > got[1]
+    assert set(got) == {1, 2, 3, 4, 5} and got[5] > got[1] and got[3] == got[4] == 0
     assert R.bm25(docs.where("false"), query).collect() == []
 
 
@@ -94,6 +94,11 @@ def test_similar_pairs_and_greedy_duplicates(spark):
     assert [(r.a, r.b) for r in pairs.collect()] == [(1, 2)]
     lengths = frame(spark, [(1, 5), (2, 9), (3, 1)], "id long, length long")
     assert [tuple(r) for r in G.greedy_duplicates(pairs, lengths).collect()] == [(1, 2)]
+    # A duplicate is passed over when its turn comes; a tie keeps the larger id.
+    both = frame(spark, [(1, 2), (2, 3)], "a long, b long")
+    assert [tuple(r) for r in G.greedy_duplicates(both, frame(spark, [(1, 9), (2, 5), (3, 5)], "id long, length long")).collect()] == [(2, 1)]
+    tie = frame(spark, [(1, 2)], "a long, b long")
+    assert [tuple(r) for r in G.greedy_duplicates(tie, frame(spark, [(1, 5), (2, 5)], "id long, length long")).collect()] == [(1, 2)]
     assert [(r.a, r.b) for r in V.similar_pairs(df, "id", "v", 0.98, block=1).collect()] == [(1, 2)]
 
 
@@ -270,17 +275,26 @@ def test_due(spark):
     assert [r.due for r in got] == [True, False, True, True, True]
 
 
-def test_natural_chunks():
+def test_natural_chunks(spark):
     from loomwork.operators import monitoring as M
 
+    schema = "page_id int, content string, sections array<struct<char_start:int,heading_text:string>>"
+
+    def cut(text, sections, *sizes):
+        rows = M.natural_chunks(frame(spark, [(1, text, sections)], schema), *sizes).orderBy("chunk_index").collect()
+        assert [r.chunk_index for r in rows] == list(range(len(rows)))
+        return [(r.chunk_text, r.section_heading) for r in rows]
+
     text = ("A short sentence about rivers. " * 20 + "\n\n") * 6
-    found = M.split_text(text, [], 1400, 200, 160, 200)
-    assert all(len(c) <= 2100 for c, _ in found) and found[0][0].startswith("A short") and found[0][0].endswith(".")
-    cut = M.split_text("Title\n\nBody text here.Next\n\nMore", [(0, "Title"), (22, "Next")], 1400, 200, 160, 0)
-    assert cut == [("Body text here.", "Title"), ("More", "Next")]
-    tail = M.split_text("x" * 1000 + "\n\n" + "y" * 30, [], 1000, 0, 0, 200)
-    assert len(tail) == 1
-    assert M.split_text("", [], 10, 2, 2, 1) == [] and M.split_text("  \n ", [], 10, 2, 2, 1) == []
+    found = cut(text, [])
+    assert len(found) == 4 and all(len(c) <= 2100 for c, _ in found)
+    assert all(c.endswith(".") for c, _ in found) and found[0][0] == text[:1244].strip() and found[1][0].startswith("rivers. A short")
+    assert cut("Title\n\nBody text here.Next\n\nMore", [(0, "Title"), (22, "Next")], 1400, 200, 160, 0) == [("Body text here.", "Title"), ("More", "Next")]
+    assert len(cut("x" * 1000 + "\n\n" + "y" * 30, [], 1000, 0, 0, 200)) == 1
+    assert cut("", [], 10, 2, 2, 1) == [] and cut("  \n ", [], 10, 2, 2, 1) == [] and cut(None, None) == []
+    # Overlap begins at a word; sizes are kept where nothing breaks.
+    assert cut("one two three four five", [], 12, 4, 6, 1) == [("one two", None), ("three four", None), ("five", None)]
+    assert cut("a" * 25, [], 10, 3, 4, 1) == [("a" * 10, None), ("a" * 10, None), ("a" * 5, None)]
 
 
 def test_instruments(spark):
