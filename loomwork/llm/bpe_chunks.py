@@ -23,9 +23,9 @@ before; it is bounded by ``WORDS`` and let go with its task, and only saves time
 Words of plain letters are taken to the merges directly, if that gives the
 library's ids for the first words of the task (``Words``).
 
-The packets are dealt out once and read by three steps of one plan, and made again
-alike if an executor is lost; so ``docs`` has to be a table or a checkpoint, not
-rows in changing order.
+The packets are made from the documents twice, alike: once for the sketches, once
+dealt out for the two steps behind; so ``docs`` has to be a table or a checkpoint,
+not rows in changing order.
 
 Defined results: null text is empty and gives no token. Every input row gives
 one output row, repeated rows included, whatever its id; other columns are
@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spans
-from .common import texts, worker_cache
+from .common import text_bytes, texts, worker_cache
 from .spans import expand, expand_planes, squeeze, squeeze_planes
 
 #: A chunk ends where the rolling hash of the ``ROLL`` bytes before white space is 0 modulo ``CHUNK_WORDS``.
@@ -242,7 +242,7 @@ def different(documents: list[list[bytes]]) -> tuple[list[bytes], np.ndarray]:
     return chunks, np.frombuffer(b"".join([hashlib.blake2b(c, digest_size=8).digest() for c in chunks]), dtype=np.uint64)
 
 
-def shared_levels(by_part: DataFrame, blocks: int) -> DataFrame:
+def shared_levels(stored: DataFrame, blocks: int) -> DataFrame:
     """(part, answers): which chunks of each packet may stand in other packets, too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +250,7 @@ def shared_levels(by_part: DataFrame, blocks: int) -> DataFrame:
             for part, sizes, z in zip(*[batch.column(c).to_pylist() for c in ("part", "sizes", "z")]):
                 yield from spans.partition_sketch(part, 0, different(cut(spans.packet_text(z), sizes))[1], blocks)
 
-    return spans.merged_levels(by_part.mapInArrow(run, spans.SKETCH)).drop("hot")
+    return spans.merged_levels(stored.mapInArrow(run, spans.SKETCH)).drop("hot")
 
 
 def sent_chunks(chosen: DataFrame, sketch_blocks: int, blocks: int) -> DataFrame:
@@ -335,11 +335,12 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, ids, decoded for each whole text."""
     path = path or tokenizer_path()
     rows = texts(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
-    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    size = text_bytes(rows)
     sketch_blocks = spans.blocks_for(size // CHUNK_BYTES)
-    # Dealt by part once: all three steps read the same exchange, so they ask for the same columns of it.
-    by_part = spans.packets(rows).repartition("part")
-    chosen = by_part.join(shared_levels(by_part, sketch_blocks), "part")
+    stored = spans.packets(rows)
+    # Dealt by part once: both joins read the same exchange, so they ask for the same columns of it.
+    by_part = stored.repartition("part")
+    chosen = by_part.join(shared_levels(stored, sketch_blocks), "part")
     shared = encoded_chunks(sent_chunks(chosen, sketch_blocks, spans.buckets_for(size)), path)
     return encoded_documents(by_part.join(shared, "part", "left"), path)
 

@@ -24,6 +24,11 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def text_bytes(docs: DataFrame) -> int:
+    """UTF-8 bytes of all texts of (doc_id, text)."""
+    return docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, all else as it is."""
     return F.translate(text, UPPER, LOWER)
@@ -43,13 +48,15 @@ def windows(tokens: Column, size: int, make) -> Column:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; one of our own only where none is set."""
+    """The cluster's shared checkpoint folder; one of our own only where none is set and all runs in one process."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if path is None:
         path = context._jsc.sc().getCheckpointDir()
         path = path.get() if path.isDefined() else None
     if path is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         path = os.path.join(tempfile.gettempdir(), "loomwork-checkpoints")
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(path)

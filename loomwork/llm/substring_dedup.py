@@ -11,7 +11,9 @@ Defined results: null or empty text has no words. A document shorter than the
 window loses nothing. Repeated rows are copies of each other, so both lose all
 their windows; every input row gives one output row, whatever its id, ids that
 repeat or are null included. Other columns are ignored. An empty table gives an
-empty result.
+empty result. The packets are made from the documents twice, alike: once for the
+sketches, once dealt out for the steps behind; so ``docs`` has to be a table or a
+checkpoint, not rows in changing order.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spans
-from .common import cut, texts
+from .common import text_bytes, texts
 
 WINDOW = 35
 #: Repeated windows of a block of exact keys, and words of a packet that are worked on at once.
@@ -45,9 +47,9 @@ def windows_of(z: bytes, sizes: list[int], window: int, bases=spans.BASES[:1]) -
         yield piece, inside + a, [spans.run_hashes(v[a:b], window, base)[inside] for v, base in zip(values, bases)]
 
 
-def repeated_windows(stored: DataFrame, by_part: DataFrame, window: int) -> DataFrame:
+def repeated_windows(docs: DataFrame, stored: DataFrame, by_part: DataFrame, window: int) -> DataFrame:
     """(part, places): for each packet the first words of windows that start elsewhere too. ``by_part``: ``stored``, dealt by part."""
-    size = stored.agg(F.sum("n_bytes")).first()[0] or 0
+    size = text_bytes(docs)
     blocks, buckets = spans.blocks_for(size // 6), spans.buckets_for(size)
     n_exact = max(16, size // 6 // 4 // BLOCK_ENTRIES)
 
@@ -75,10 +77,11 @@ def repeated_windows(stored: DataFrame, by_part: DataFrame, window: int) -> Data
 
 def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and the kept words joined by blanks."""
-    stored = cut(spans.packets(texts(docs).withColumn("doc_id", F.col("doc_id").cast("long"))))
+    rows = texts(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
+    stored = spans.packets(rows)
     # Dealt by part once: both joins read the same exchange, so they ask for the same columns of it.
     by_part = stored.repartition("part")
-    joined = by_part.join(repeated_windows(stored, by_part, window), "part", "left")
+    joined = by_part.join(repeated_windows(rows, stored, by_part, window), "part", "left")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

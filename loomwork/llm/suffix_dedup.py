@@ -24,7 +24,10 @@ several groups; its parts overlap and are merged in each document.
 Defined results: null text is empty. A document of fewer than 200 bytes loses
 nothing. Repeated rows are copies of each other, so both lose all; every input
 row gives one output row, whatever its id, ids that repeat or are null included.
-Other columns are ignored. An empty table gives an empty result.
+Other columns are ignored. An empty table gives an empty result. The packets are
+made from the documents twice, alike: once for the sketches, once dealt out for
+the steps behind; so ``docs`` has to be a table or a checkpoint, not rows in
+changing order.
 """
 
 from __future__ import annotations
@@ -39,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spans
-from .common import cut, texts
+from .common import cut, text_bytes, texts
 
 LENGTH = 200
 #: Bytes of an anchor by level; the last is the whole window.
@@ -161,9 +164,9 @@ def runs_of(z: bytes, sizes: list[int], origins: list[int] | None, length: int,
         yield piece, runs
 
 
-def repeated_spans(stored: DataFrame, by_part: DataFrame, length: int, grams: tuple[int, ...], limit: int, every: bool = False) -> DataFrame:
+def repeated_spans(docs: DataFrame, stored: DataFrame, by_part: DataFrame, length: int, grams: tuple[int, ...], limit: int, every: bool = False) -> DataFrame:
     """Hits (part, start << 32 | length) of repeats; with ``every`` the maximal repeats themselves, with all occurrences."""
-    size = stored.agg(F.sum("n_bytes")).first()[0] or 0
+    size = text_bytes(docs)
     buckets, found = spans.buckets_for(size), []
     n_group = max(16, size // 4 // (length - grams[0] + 1) // 2_000)
     segments, dealt = [x.withColumn("origins", F.lit(None).cast("array<long>")) for x in (stored, by_part)]
@@ -343,16 +346,17 @@ def unpack_runs(keys: bytes, docs: bytes, places: bytes, counts: bytes, text: by
         at = end
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    return cut(spans.packets(texts(docs).withColumn("doc_id", F.col("doc_id").cast("long"))))
+def named(docs: DataFrame) -> DataFrame:
+    return texts(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, grams: tuple[int, ...] = GRAMS, group_runs: int = GROUP_RUNS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes."""
-    stored = packed(docs)
+    rows = named(docs)
+    stored = spans.packets(rows)
     # Dealt by part once: both joins read the same exchange, so they ask for the same columns of it.
     by_part = stored.repartition("part")
-    marks = spans.gather(repeated_spans(stored, by_part, length, grams, group_runs)).withColumnRenamed("doc_id", "part")
+    marks = spans.gather(repeated_spans(rows, stored, by_part, length, grams, group_runs)).withColumnRenamed("doc_id", "part")
     joined = by_part.join(marks, "part", "left")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -381,14 +385,15 @@ def repeats(docs: DataFrame, length: int = LENGTH, grams: tuple[int, ...] = GRAM
     Maximal within the runs of one anchor: a longer repeat is several groups
     whose occurrences overlap.
     """
-    stored = packed(docs)
+    rows = named(docs)
+    stored = spans.packets(rows)
     # Runs of one anchor share a whole gram; all levels but the last would be hot only beyond any bound.
-    rows = repeated_spans(stored, stored, length, grams, 1 << 29, every=True)
+    found = repeated_spans(rows, stored, stored, length, grams, 1 << 29, every=True)
     starts = stored.select("part", F.posexplode("ids").alias("k", "doc_id"), "sizes").select(
         "part", "doc_id", F.aggregate(F.slice("sizes", 1, F.col("k")), F.lit(0).cast("long"), lambda a, n: a + n + 1).alias("at"), F.get("sizes", F.col("k")).alias("n")
     )
     return (
-        rows.join(starts, "part")
+        found.join(starts, "part")
         .where("start >= at and start < at + n")
         .select("repeat", "length", "doc_id", (F.col("start") - F.col("at")).alias("start"))
     )
