@@ -23,8 +23,8 @@ before; it is bounded by ``WORDS`` and let go with its task, and only saves time
 Words of plain letters are taken to the merges directly, if that gives the
 library's ids for the first words of the task (``Words``).
 
-The packets are made from the documents twice, alike: once for the sketches, once
-dealt out for the two steps behind; so ``docs`` has to be a table or a checkpoint,
+The packets are dealt out by part once and read by three steps of one plan, and made
+again alike if an executor is lost; so ``docs`` has to be a table or a checkpoint,
 not rows in changing order.
 
 Defined results: null text is empty and gives no token. Every input row gives
@@ -337,10 +337,9 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     rows = texts(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
     size = text_bytes(rows)
     sketch_blocks = spans.blocks_for(size // CHUNK_BYTES)
-    stored = spans.packets(rows)
-    # Dealt by part once: both joins read the same exchange, so they ask for the same columns of it.
-    by_part = stored.repartition("part")
-    chosen = by_part.join(shared_levels(stored, sketch_blocks), "part")
+    # Dealt by part once: the steps read one exchange, so each asks for all its columns, and joins add no filter to it.
+    by_part = spans.packets(rows).repartition("part")
+    chosen = by_part.join(shared_levels(by_part, sketch_blocks), "part", "left")
     shared = encoded_chunks(sent_chunks(chosen, sketch_blocks, spans.buckets_for(size)), path)
     return encoded_documents(by_part.join(shared, "part", "left"), path)
 

@@ -11,9 +11,9 @@ Defined results: null or empty text has no words. A document shorter than the
 window loses nothing. Repeated rows are copies of each other, so both lose all
 their windows; every input row gives one output row, whatever its id, ids that
 repeat or are null included. Other columns are ignored. An empty table gives an
-empty result. The packets are made from the documents twice, alike: once for the
-sketches, once dealt out for the steps behind; so ``docs`` has to be a table or a
-checkpoint, not rows in changing order.
+empty result. The packets are dealt out by part once and read by three steps of one
+plan, and made again alike if an executor is lost; so ``docs`` has to be a table or
+a checkpoint, not rows in changing order.
 """
 
 from __future__ import annotations
@@ -47,15 +47,15 @@ def windows_of(z: bytes, sizes: list[int], window: int, bases=spans.BASES[:1]) -
         yield piece, inside + a, [spans.run_hashes(v[a:b], window, base)[inside] for v, base in zip(values, bases)]
 
 
-def repeated_windows(docs: DataFrame, stored: DataFrame, by_part: DataFrame, window: int) -> DataFrame:
-    """(part, places): for each packet the first words of windows that start elsewhere too. ``by_part``: ``stored``, dealt by part."""
+def repeated_windows(docs: DataFrame, by_part: DataFrame, window: int) -> DataFrame:
+    """(part, places): for each packet the first words of windows that start elsewhere too. ``by_part``: packets of ``docs``."""
     size = text_bytes(docs)
     blocks, buckets = spans.blocks_for(size // 6), spans.buckets_for(size)
     n_exact = max(16, size // 6 // 4 // BLOCK_ENTRIES)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, sizes, z in zip(*[c.to_pylist() for c in batch.columns]):
+            for part, sizes, z in zip(*[batch.column(c).to_pylist() for c in ("part", "sizes", "z")]):
                 for piece, _, (keys,) in windows_of(z, sizes, window):
                     yield from spans.partition_sketch(part, piece, keys, blocks)
 
@@ -70,18 +70,17 @@ def repeated_windows(docs: DataFrame, stored: DataFrame, by_part: DataFrame, win
                         yield from found.packets()
         yield from found.packets()
 
-    answers = spans.merged_levels(stored.select("part", "sizes", "z").mapInArrow(sketch, spans.SKETCH))
-    packed = by_part.join(answers.drop("hot"), "part").mapInArrow(exact, spans.PACKED)
+    answers = spans.merged_levels(by_part.mapInArrow(sketch, spans.SKETCH))
+    packed = by_part.join(answers.drop("hot"), "part", "left").mapInArrow(exact, spans.PACKED)
     return spans.gather(spans.repeated_places(packed, buckets, 2)).withColumnRenamed("doc_id", "part")
 
 
 def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and the kept words joined by blanks."""
     rows = texts(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
-    stored = spans.packets(rows)
-    # Dealt by part once: both joins read the same exchange, so they ask for the same columns of it.
-    by_part = stored.repartition("part")
-    joined = by_part.join(repeated_windows(rows, stored, by_part, window), "part", "left")
+    # Dealt by part once: the steps read one exchange, so each asks for all its columns, and joins add no filter to it.
+    by_part = spans.packets(rows).repartition("part")
+    joined = by_part.join(repeated_windows(rows, by_part, window), "part", "left")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -172,8 +172,8 @@ def repeated_spans(docs: DataFrame, stored: DataFrame, by_part: DataFrame, lengt
     segments, dealt = [x.withColumn("origins", F.lit(None).cast("array<long>")) for x in (stored, by_part)]
     for level, gram in enumerate(grams):
         last = level == len(grams) - 1
-        answers = cut(sketched(segments.select("part", "sizes", "origins", "z"), size, length, gram, limit))
-        chosen = dealt.join(answers, "part")
+        answers = cut(sketched(segments, size, length, gram, limit))
+        chosen = dealt.join(answers, "part", "left")
         sent = chosen.mapInArrow(sender(length, gram, size, n_group, last, every), spans.PACKED)
         grouped = sent.repartition("block").sortWithinPartitions("block")
         found.append(grouped.mapInArrow(listing(length), REPEATS) if every else grouped.mapInArrow(comparing(length, buckets), spans.HITS))
@@ -192,7 +192,7 @@ def sketched(segments: DataFrame, size: int, length: int, gram: int, limit: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, sizes, origins, z in zip(*[c.to_pylist() for c in batch.columns]):
+            for part, sizes, origins, z in zip(*[batch.column(c).to_pylist() for c in ("part", "sizes", "origins", "z")]):
                 for piece, runs in runs_of(z, sizes, origins, length, gram):
                     # Twice at most for equal runs: that shows a repeat, and copies do not make an anchor look varied.
                     keys = np.array([k for k, _, *at in runs.values() for _ in at[:2]], dtype=np.int64).view(np.uint64)
@@ -354,7 +354,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, grams: tuple[int, ...] = GRAMS,
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes."""
     rows = named(docs)
     stored = spans.packets(rows)
-    # Dealt by part once: both joins read the same exchange, so they ask for the same columns of it.
+    # Dealt by part once: both joins read one exchange, so each asks for all its columns, and adds no filter to it.
     by_part = stored.repartition("part")
     marks = spans.gather(repeated_spans(rows, stored, by_part, length, grams, group_runs)).withColumnRenamed("doc_id", "part")
     joined = by_part.join(marks, "part", "left")
