@@ -13,8 +13,9 @@ from ..sources.tables import table
 
 
 def bm25_scores(s: SparkSession, d: str) -> DataFrame:
-    query = R.query_terms(table(s, d, "benchmark").where("item_id = 0"))
-    return R.bm25(table(s, d, "documents"), query).withColumn("score", F.round("score", 6))
+    """The query set, benchmark items whose id is divisible by 100, against every document."""
+    queries = R.query_terms(table(s, d, "benchmark").where("item_id % 100 = 0"))
+    return R.bm25(table(s, d, "documents"), queries).withColumn("score", F.round("score", 6))
 
 
 TOK = r"list_filter(regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}_]+'), lambda x: regexp_full_match(x, '[a-z0-9]+'))"
@@ -23,34 +24,35 @@ BM25 = rf"""tok as (select doc_id, unnest(case when len(t) > 0 then t else ['__e
   post as (select doc_id, term, count(*) as tf from tok group by 1, 2),
   len as (select doc_id, sum(tf) as dl from post group by 1),
   terms as (select term, ln((select count(*) from len) - count(*) + 0.5) - ln(count(*) + 0.5) as idf from post group by 1),
-  q as (select term, count(*) as n from (select unnest({TOK.format(c='text')}) as term from benchmark where item_id = 0) group by 1),
-  w as (select term, n, case when idf < 0 then 0.25 * (select avg(idf) from terms) else idf end as idf from terms join q using (term)),
-  hit as (select doc_id, round(sum(n * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (select avg(dl) from len)))), 6) as score
-    from post join w using (term) join len using (doc_id) group by 1),
-  bm as (select doc_id, coalesce(score, 0) as score from documents left join hit using (doc_id))"""
+  q as (select query_id, term, count(*) as n from (
+    select item_id as query_id, unnest({TOK.format(c='text')}) as term from benchmark where item_id % 100 = 0) group by 1, 2),
+  w as (select query_id, term, n, case when idf < 0 then 0.25 * (select avg(idf) from terms) else idf end as idf from terms join q using (term)),
+  hit as (select query_id, doc_id, round(sum(n * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (select avg(dl) from len)))), 6) as score
+    from post join w using (term) join len using (doc_id) group by 1, 2),
+  bm as (select query_id, doc_id, coalesce(score, 0) as score from documents
+    cross join (select item_id as query_id from benchmark where item_id % 100 = 0) left join hit using (query_id, doc_id))"""
 
 
 def top5(s, d):
-    ranked = bm25_scores(s, d).withColumn("rank", F.col("score"))
-    return ranked.orderBy(F.desc("score"), "doc_id").limit(5).select("doc_id", "score")
+    return R.best(bm25_scores(s, d), "score", "doc_id", 5, "query_id")
 
 
 def fused(s, d):
     rows = bm25_scores(s, d).join(table(s, d, "documents").select("doc_id", F.col("n_chars").alias("size")), "doc_id")
-    return R.fused(rows, "score", "size").select("doc_id", "r1", "r2", F.round("rrf", 9).alias("rrf"))
+    return R.fused(rows, "score", "size", by="query_id").select("query_id", "doc_id", "r1", "r2", F.round("rrf", 9).alias("rrf"))
 
 
 def chosen(s, d):
-    return R.candidates(bm25_scores(s, d), "score", "doc_id", 3, 8.0)
+    return R.candidates(bm25_scores(s, d), "score", "doc_id", 3, 8.0, by="query_id")
 
 
 def normalised(s, d):
-    return R.min_max(bm25_scores(s, d), "score", "scaled").withColumn("scaled", F.round("scaled", 6))
+    return R.min_max(bm25_scores(s, d), "score", "scaled", "query_id").withColumn("scaled", F.round("scaled", 6))
 
 
 def weighted(s, d):
     r = bm25_scores(s, d).withColumn("importance", (F.col("doc_id") % 5) / 4)
-    return r.select("doc_id", F.round(R.with_importance(F.round("score", 3), F.col("importance")) + 1e-7, 5).alias("score"))
+    return r.select("query_id", "doc_id", F.round(R.with_importance(F.round("score", 3), F.col("importance")) + 1e-7, 5).alias("score"))
 
 
 def emb(s, d):
@@ -69,24 +71,27 @@ def edges(s, d):
     return G.embedding_edges(emb(s, d), "vec_id", "embedding", 5, 0.30)
 
 
+def query_vectors(s, d):
+    """The query set: vectors whose id is divisible by 100."""
+    return emb(s, d).where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+
+
 def page_decision(s, d):
-    """Chunks (vectors) of pages (labels) against three query vectors: best scores and the decision."""
-    e = emb(s, d)
-    query = F.broadcast(e.where("vec_id < 3").select(F.col("embedding").alias("q")))  # three rows
-    chunk = e.where("vec_id >= 3").crossJoin(query).groupBy("label", "vec_id").agg(F.max(dot(F.col("embedding"), F.col("q"))).alias("m"))
-    out = chunk.groupBy("label").agg(F.max("m").alias("best"), F.count_if(F.col("m") >= 0.25).alias("medium"))
+    """Chunks (vectors) of pages (labels) against each query vector: best scores and the decision."""
+    chunk = emb(s, d).crossJoin(query_vectors(s, d)).where("vec_id <> query_id").withColumn("m", dot(F.col("embedding"), F.col("q")))
+    out = chunk.groupBy("query_id", "label").agg(F.max("m").alias("best"), F.count_if(F.col("m") >= 0.25).alias("medium"))
     decision = F.when(F.col("best") >= 0.35, "single_chunk_high").when(F.col("medium") >= 3, "multi_chunk_medium")
-    return out.select("label", F.round("best", 6).alias("best"), "medium", decision.alias("decision"))
+    return out.select("query_id", "label", F.round("best", 6).alias("best"), "medium", decision.alias("decision"))
 
 
 def nearest_query(s, d):
-    e = emb(s, d)
-    q = F.broadcast(e.where("vec_id = 0").select(F.col("embedding").alias("q")))
-    return e.where("vec_id > 0").crossJoin(q).select("vec_id", F.round(F.greatest(F.lit(0.0), dot(F.col("embedding"), F.col("q"))), 6).alias("sim")).orderBy(F.desc("sim"), "vec_id").limit(10)
+    near = emb(s, d).crossJoin(query_vectors(s, d)).where("vec_id <> query_id")
+    sims = near.select("query_id", "vec_id", F.round(F.greatest(F.lit(0.0), dot(F.col("embedding"), F.col("q"))), 6).alias("sim"))
+    return R.best(sims, "sim", "vec_id", 10, "query_id")
 
 
 def seeds(s, d):
-    return emb(s, d).where("vec_id < 20").select(F.col("vec_id").alias("id"), (1.0 - F.col("vec_id") / 40).alias("score"))
+    return emb(s, d).where("vec_id % 100 = 0").select(F.col("vec_id").alias("id"), (1.0 - F.col("vec_id") % 7 / 14).alias("score"))
 
 
 def propagated(s, d):
@@ -100,7 +105,7 @@ def final_scores(s, d):
 PROP = f"""with {PAIRS},
   deg as (select source, count(*) as k from edges group by 1),
   step as (select e.source, target, weight * 0.45 / k as f from edges e join deg using (source)),
-  h0 as (select vec_id as id, 1.0 - vec_id / 40 as score from embeddings where vec_id < 20),
+  h0 as (select vec_id as id, 1.0 - vec_id % 7 / 14 as score from embeddings where vec_id % 100 = 0),
   h1 as (select target as id, score * f as score from h0 join step on id = source where score * f >= 0.001),
   h2 as (select target as id, score * f as score from h1 join step on id = source where score * f >= 0.001),
   h3 as (select target as id, score * f as score from h2 join step on id = source where score * f >= 0.001),
@@ -118,22 +123,22 @@ def duplicates(s, d):
 
 
 QUERIES = {
-    "bm25_top5": (top5, f"with {BM25} select doc_id, score from bm order by score desc, doc_id limit 5"),
+    "bm25_top5": (top5, f"with {BM25} select query_id, doc_id, score from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rn from bm) where rn <= 5"),
     "bm25_scores": (bm25_scores, f"with {BM25} select * from bm"),
     "rank_fusion": (
         fused,
-        f"""with {BM25}, r as (select doc_id, rank() over (order by score desc) as r1, rank() over (order by n_chars desc) as r2 from bm join documents using (doc_id))
-select doc_id, cast(r1 as int) as r1, cast(r2 as int) as r2, round(1.0 / (60 + r1) + 2.0 / (60 + r2), 9) as rrf from r""",
+        f"""with {BM25}, r as (select query_id, doc_id, rank() over (partition by query_id order by score desc) as r1, rank() over (partition by query_id order by n_chars desc) as r2 from bm join documents using (doc_id))
+select query_id, doc_id, cast(r1 as int) as r1, cast(r2 as int) as r2, round(1.0 / (60 + r1) + 2.0 / (60 + r2), 9) as rrf from r""",
     ),
     "candidate_choice": (
         chosen,
-        f"with {BM25} select doc_id, score from (select *, row_number() over (order by score desc, doc_id) as rn from bm) where rn <= 3 or score >= 8.0",
+        f"with {BM25} select query_id, doc_id, score from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rn from bm) where rn <= 3 or score >= 8.0",
     ),
     "min_max_scores": (
         normalised,
-        f"with {BM25} select doc_id, score, round((score - min(score) over ()) / (max(score) over () - min(score) over ()), 6) as scaled from bm",
+        f"with {BM25} select query_id, doc_id, score, coalesce(round((score - min(score) over w) / nullif(max(score) over w - min(score) over w, 0), 6), 0) as scaled from bm window w as (partition by query_id)",
     ),
-    "importance_weights": (weighted, f"with {BM25} select doc_id, round(round(score, 3) * (0.5 + 0.5 * ((doc_id % 5) / 4)) + 1e-7, 5) as score from bm"),
+    "importance_weights": (weighted, f"with {BM25} select query_id, doc_id, round(round(score, 3) * (0.5 + 0.5 * ((doc_id % 5) / 4)) + 1e-7, 5) as score from bm"),
     "embedding_edges": (
         lambda s, d: edges(s, d).withColumn("weight", F.round("weight", 6)),
         f"with {PAIRS} select source, target, round(weight, 6) as weight from edges",
@@ -144,15 +149,16 @@ select doc_id, cast(r1 as int) as r1, cast(r2 as int) as r2, round(1.0 / (60 + r
     ),
     "nearest_vectors": (
         nearest_query,
-        f"""select b.vec_id, round(greatest(0.0, {DOT.format(a='a.embedding', b='b.embedding')}), 6) as sim from embeddings a join embeddings b on a.vec_id = 0 and b.vec_id > 0
-order by sim desc, vec_id limit 10""",
+        f"""select query_id, vec_id, sim from (select *, row_number() over (partition by query_id order by sim desc, vec_id) as rn from (
+  select a.vec_id as query_id, b.vec_id, round(greatest(0.0, {DOT.format(a='a.embedding', b='b.embedding')}), 6) as sim
+  from embeddings a join embeddings b on a.vec_id % 100 = 0 and b.vec_id <> a.vec_id)) where rn <= 10""",
     ),
     "page_decision": (
         page_decision,
-        f"""select label, round(best, 6) as best, medium, case when best >= 0.35 then 'single_chunk_high' when medium >= 3 then 'multi_chunk_medium' end as decision
-from (select label, max(m) as best, count(*) filter (m >= 0.25) as medium from (
-  select e.label, e.vec_id, max({DOT.format(a='e.embedding', b='q.embedding')}) as m
-  from embeddings e join embeddings q on q.vec_id < 3 and e.vec_id >= 3 group by 1, 2) group by 1)""",
+        f"""select query_id, label, round(best, 6) as best, medium, case when best >= 0.35 then 'single_chunk_high' when medium >= 3 then 'multi_chunk_medium' end as decision
+from (select query_id, label, max(m) as best, count(*) filter (m >= 0.25) as medium from (
+  select q.vec_id as query_id, e.label, {DOT.format(a='e.embedding', b='q.embedding')} as m
+  from embeddings e join embeddings q on q.vec_id % 100 = 0 and e.vec_id <> q.vec_id) group by 1, 2)""",
     ),
     "graph_propagation": (propagated, f"{PROP} select id, round(boost, 6) as boost from boost"),
     "boosted_scores": (

@@ -29,7 +29,7 @@ def test_tokens(spark):
 @pytest.mark.parametrize(("values", "ranks"), [([10, 5, 20], [2, 3, 1]), ([0, 0, 0], [1, 1, 1])])
 def test_competition_rank(spark, values, ranks):
     df = frame(spark, [(i, float(v)) for i, v in enumerate(values)], "i long, v double")
-    got = df.withColumn("r", R.competition_rank("v")).orderBy("i").collect()
+    got = R.competition_rank(df, "v", "r").orderBy("i").collect()
     assert [x.r for x in got] == ranks
 
 
@@ -53,12 +53,27 @@ def test_min_max(spark):
 
 def test_bm25_prefers_the_rarer_word_and_bears_empty_tables(spark):
     docs = frame(spark, [(1, "apple pear"), (2, "apple apple"), (3, ""), (4, None), (5, "plum kiwi fig")], "doc_id long, text string")
-    query = R.query_terms(frame(spark, [("plum apple",)], "text string"))
+    query = R.query_terms(frame(spark, [(0, "plum apple")], "item_id long, text string"))
     got = {r.doc_id: r.score for r in R.bm25(docs, query).collect()}
     assert set(got) == {1, 2, 3, 4, 5} and got[5] > got[1] and got[3] == got[4] == 0
     assert R.bm25(docs.where("false"), query).collect() == []
 
 
+def test_every_query_scores_every_document(spark):
+    docs = frame(spark, [(1, "apple pear"), (2, "apple apple"), (3, "plum kiwi fig")], "doc_id long, text string")
+    asked = frame(spark, [(0, "plum"), (100, "pear pear"), (200, "")], "item_id long, text string")
+    scored = R.bm25(docs, R.query_terms(asked))
+    got = {(r.query_id, r.doc_id): r.score for r in scored.collect()}
+    assert len(got) == 9 and {k for k, v in got.items() if v > 0} == {(0, 3), (100, 1)}
+    alone = R.bm25(docs, R.query_terms(asked.where("item_id = 100"))).where("doc_id = 1").first().score
+    assert got[100, 1] == pytest.approx(alone)
+    ranks = {(r.query_id, r.doc_id): r.r for r in R.competition_rank(scored, "score", "r", "query_id").collect()}
+    assert [ranks[q, i] for q in (0, 100, 200) for i in (1, 2, 3)] == [2, 2, 1, 1, 2, 2, 1, 1, 1]
+    top = R.best(scored, "score", "doc_id", 1, "query_id").collect()
+    assert {(r.query_id, r.doc_id) for r in top} == {(0, 3), (100, 1), (200, 1)}
+    assert R.candidates(scored, "score", "doc_id", 1, 0.1, by="query_id").count() == 3
+
+
 def test_five_numbers(spark):
     r = RUNS.five_numbers(frame(spark, [(float(i),) for i in range(1, 6)], "v double"), "v").first()
     assert (r.minimum, r.median, r.maximum) == (1, 3, 5)
