@@ -37,6 +37,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,7 +55,8 @@ ROLL, CHUNK_WORDS = 8, 32
 #: Unbroken words longer than this are cut at edges of their letter runs.
 LONG_WORD = 4096
 EDGE = re.compile(r"(?<=[^\W\d_])(?=[\W\d_])|(?<=[\W\d_])(?=[^\W\d_])")
-BLANK = re.compile(r"[ \t\n\r]+")
+#: What separates words, as ``bytes.split`` has it.
+BLANK = b" \t\n\r\x0b\x0c"
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
 #: Words that a task keeps, and characters of a chunk on average, for the size of the sketches.
 WORDS, CHUNK_BYTES = 400_000, 200
@@ -91,19 +93,20 @@ class Words:
 
     def __init__(self, path: str) -> None:
         self.tokenizer = tokenizer(path)
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
-        self.marks = dict(zip(".,;:!?", self.encode(list(".,;:!?"))))
+        self.marks = dict(zip(".,;:!?", self.encode([m.encode() for m in ".,;:!?"])))
         self.letters: dict[int, str] | None = self.letter_table()
         #: Whether white space only separates: then words are encoded one by one, else chunks as they are.
-        probes = [("It's", s, "so1") for s in (" ", "\n", "  ", "\t \r\n")]
-        one, two = self.encode(["It's", "so1"])
-        self.apart = all(x == one + two for x in self.encode(["".join(p) for p in probes]))
+        probes = [b"It's" + s + b"so1" for s in (b" ", b"\n", b"  ", b"\t \r\n", b"\x0b", b"\x0c")]
+        one, two = self.encode([b"It's", b"so1"])
+        self.apart = all(x == one + two for x in self.encode(probes))
 
-    def encode(self, pieces: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False) if pieces else []
-        return [np.array(e.ids, dtype=np.int32).tobytes() for e in found]
+    def encode(self, pieces: list[bytes]) -> list[bytes]:
+        plain = [p.decode("utf-8", "replace") for p in pieces]
+        found = self.tokenizer.encode_batch_fast(plain, add_special_tokens=False) if plain else []
+        return [array("i", e.ids).tobytes() for e in found]
 
     def letter_table(self) -> dict[int, str] | None:
         """What the tokenizer makes of each plain letter before the merges; None if that is not one piece."""
@@ -118,10 +121,10 @@ class Words:
             table[ord(c)] = found[0][0]
         return table
 
-    def of_chunks(self, chunks: list[str]) -> list[bytes]:
+    def of_chunks(self, chunks: list[bytes]) -> list[bytes]:
         if not self.apart:
             return self.encode(chunks)
-        split = [[w for w in BLANK.split(c) if w] for c in chunks]
+        split = [c.split() for c in chunks]
         flat, at, out = self.of([w for ws in split for w in ws]), 0, []
         for ws in split:
             out.append(b"".join(flat[at : at + len(ws)]))
@@ -132,10 +135,10 @@ class Words:
         piece = letters.translate(self.letters)
         ids = self.pieces.get(piece)
         if ids is None:
-            ids = self.pieces[piece] = np.array([t.id for t in self.tokenizer.model.tokenize(piece)], dtype=np.int32).tobytes()
+            ids = self.pieces[piece] = array("i", [t.id for t in self.tokenizer.model.tokenize(piece)]).tobytes()
         return ids + self.marks[mark] if mark else ids
 
-    def of(self, words: list[str]) -> list[bytes]:
+    def of(self, words: list[bytes]) -> list[bytes]:
         if len(self.known) > WORDS // 2:  # those not used of late are let go
             self.older, self.known, self.pieces = self.known, {}, {}
         known, older = self.known, self.older
@@ -144,7 +147,7 @@ class Words:
         for w in fresh:
             if w in older:
                 known[w] = older[w]
-            elif self.letters and (m := PLAIN.fullmatch(w)):
+            elif self.letters and (m := PLAIN.fullmatch(w.decode("utf-8", "replace"))):
                 known[w] = self.plain(*m.groups())
             else:
                 other.append(w)
@@ -196,16 +199,16 @@ def cuts_of_word(raw: bytes) -> list[int]:
     return out
 
 
-def edge(piece: str, last: bool) -> str:
+def edge(piece: bytes, last: bool) -> bytes:
     """What a join is checked with: the last or first word with its white space; all of a piece that is one word."""
-    words = BLANK.split(piece)
-    words = [w for w in words if w]
-    if len(words) < 2:
-        return piece
-    return piece[piece.rindex(words[-1]) :] if last else piece[: piece.index(words[0]) + len(words[0])]
+    if last:
+        words = piece.rsplit(None, 1)
+        return piece[len(words[0]) :].lstrip(BLANK) if len(words) == 2 else piece
+    words = piece.split(None, 1)
+    return piece[: piece.index(words[0]) + len(words[0])] if len(words) == 2 else piece
 
 
-def repaired(documents: list[list[str]], encoded: list[list[bytes]], words: Words) -> list[bytes]:
+def repaired(documents: list[list[bytes]], encoded: list[list[bytes]], words: Words) -> list[bytes]:
     """The ids of each document from the encodings of its pieces, joins repaired until they agree.
 
     All joins of a packet are looked at together; those of regions that have grown are looked at again.
@@ -216,7 +219,9 @@ def repaired(documents: list[list[str]], encoded: list[list[bytes]], words: Word
         sides = [(edge(a, True), edge(b, False)) for k in open_ for a, b in zip(todo[k][0], todo[k][0][1:])]
         flat = list(dict.fromkeys(x for pair in sides for x in pair))
         alone = dict(zip(flat, words.of_chunks(flat)))
-        agree = iter([together == alone[a] + alone[b] for (a, b), together in zip(sides, words.encode([a + b for a, b in sides]))])
+        joins = list(dict.fromkeys(sides))
+        right = {s: x == alone[s[0]] + alone[s[1]] for s, x in zip(joins, words.encode([a + b for a, b in joins]))}
+        agree = iter([right[s] for s in sides])
         again = []
         for k in open_:
             text, ids = todo[k]
@@ -229,7 +234,7 @@ def repaired(documents: list[list[str]], encoded: list[list[bytes]], words: Word
                     regions[-1].append(piece)
                     parts[-1].append(own)
             if len(regions) < len(text):
-                merged = ["".join(r) for r in regions]
+                merged = [b"".join(r) for r in regions]
                 again.append(k)
                 todo[k] = [merged, [p[0] if len(p) == 1 else words.encode([t])[0] for p, t in zip(parts, merged)]]
         open_ = [k for k in again if len(todo[k][0]) > 1]
@@ -291,7 +296,7 @@ def encoded_chunks(sent: DataFrame, path: str) -> DataFrame:
                 text, ends = reader.decompress(data), np.cumsum(expand(sizes, np.int32)).tolist()
                 chunks = [text[a:b] for a, b in zip([0, *ends], ends)]
                 fresh = [c for c in chunks if c not in done]
-                done.update(zip(fresh, words.of_chunks([c.decode("utf-8", "replace") for c in fresh])))
+                done.update(zip(fresh, words.of_chunks(fresh)))
                 answers = [done[c] for c in chunks]
                 lengths = np.array([len(a) for a in answers], dtype=np.int32)
                 out.append((block, part, squeeze_planes(np.frombuffer(b"".join(answers), np.int32)), squeeze(lengths), numbers))
@@ -316,13 +321,12 @@ def encoded_documents(chosen: DataFrame, path: str) -> DataFrame:
                     data, ends = expand_planes(answer["data"], np.int32).tobytes(), np.cumsum(expand(answer["sizes"], np.int32)).tolist()
                     for k, a, b in zip(expand(answer["numbers"], np.int32).tolist(), [0, *ends], ends):
                         known[chunks[k]] = data[a:b]
-                plain = {c: c.decode("utf-8", "replace") for c in chunks}
                 for i in range(0, len(chunks), 4_000):
                     fresh = [c for c in chunks[i : i + 4_000] if c not in known]
-                    known.update(zip(fresh, words.of_chunks([plain[c] for c in fresh])))
+                    known.update(zip(fresh, words.of_chunks(fresh)))
                 for i in range(0, len(names), 500):
                     few = documents[i : i + 500]
-                    ids = repaired([[plain[c] for c in text] for text in few], [[known[c] for c in text] for text in few], words)
+                    ids = repaired(few, [[known[c] for c in text] for text in few], words)
                     ids = [np.frombuffer(x, dtype=np.int32) for x in ids]
                     decoded = words.tokenizer.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
                     columns = [pa.array(names[i : i + 500], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]

@@ -222,9 +222,8 @@ def test_bpe_joins_are_repaired(monkeypatch):
         word = "".join(rng.choice(list("ab1'.é̈İσ<|>_st"), 150))
         (pieces,) = bpe_chunks.cut(word.encode() + b"\n", [len(word.encode())])
         assert b"".join(pieces) == word.encode()
-        plain = [p.decode() for p in pieces]
-        own = words.encode(plain)
-        (ids,) = bpe_chunks.repaired([plain], [own], words)
+        own = words.encode(pieces)
+        (ids,) = bpe_chunks.repaired([pieces], [own], words)
         assert np.frombuffer(ids, np.int32).tolist() == library.encode(word, add_special_tokens=False).ids
         grown += ids != b"".join(own)
     assert grown  # some joins do need repair
@@ -234,6 +233,7 @@ def test_words_of_plain_letters_are_those_of_the_library():
     path = bpe_chunks.tokenizer_path()
     words = bpe_chunks.Words(path)
     some = ["Hello", "été", "ÀÉÎ", "straße", "x", "ÿ", "it's", "a1", "Zoë.", "naïve"] * 2
+    some = [w.encode() for w in some]
     assert words.of(some) == words.encode(some) and words.letters
     other = bpe_chunks.Words(bpe_chunks.tokenizer_path("byte_bpe_50k.json"))
     assert other.of(some) == other.encode(some)
