@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spans
-from .common import text_bytes, texts, worker_cache
+from .common import releasing, text_bytes, texts, worker_cache
 from .spans import expand, expand_planes, squeeze, squeeze_planes
 
 #: A chunk ends where the rolling hash of the ``ROLL`` bytes before white space is 0 modulo ``CHUNK_WORDS``.
@@ -255,7 +255,7 @@ def shared_levels(stored: DataFrame, blocks: int) -> DataFrame:
             for part, sizes, z in zip(*[batch.column(c).to_pylist() for c in ("part", "sizes", "z")]):
                 yield from spans.partition_sketch(part, 0, different(cut(spans.packet_text(z), sizes))[1], blocks)
 
-    return spans.merged_levels(stored.mapInArrow(run, spans.SKETCH)).drop("hot")
+    return spans.merged_levels(stored.mapInArrow(releasing(run), spans.SKETCH)).drop("hot")
 
 
 def sent_chunks(chosen: DataFrame, sketch_blocks: int, blocks: int) -> DataFrame:
@@ -279,7 +279,7 @@ def sent_chunks(chosen: DataFrame, sketch_blocks: int, blocks: int) -> DataFrame
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), KINDS)], names=NAMES)
 
-    return chosen.mapInArrow(run, SENT)
+    return chosen.mapInArrow(releasing(run), SENT)
 
 
 def encoded_chunks(sent: DataFrame, path: str) -> DataFrame:
@@ -303,7 +303,7 @@ def encoded_chunks(sent: DataFrame, path: str) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), KINDS)], names=NAMES)
 
-    answers = sent.repartition("block").sortWithinPartitions("block").mapInArrow(run, SENT)
+    answers = sent.repartition("block").sortWithinPartitions("block").mapInArrow(releasing(run), SENT)
     return answers.groupBy("part").agg(F.collect_list(F.struct("data", "sizes", "numbers")).alias("shared"))
 
 
@@ -332,7 +332,7 @@ def encoded_documents(chosen: DataFrame, path: str) -> DataFrame:
                     columns = [pa.array(names[i : i + 500], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
                     yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"])
 
-    return chosen.mapInArrow(run, ENCODED)
+    return chosen.mapInArrow(releasing(run), ENCODED)
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -357,7 +357,7 @@ def reuse(docs: DataFrame) -> DataFrame:
                 for text in cut(spans.packet_text(z), sizes):
                     yield pa.RecordBatch.from_arrays([pa.array([hashlib.md5(c).digest() for c in text], pa.binary())], names=["digest"])
 
-    rows = spans.packets(texts(docs).withColumn("doc_id", F.col("doc_id").cast("long"))).mapInArrow(run, "digest binary")
+    rows = spans.packets(texts(docs).withColumn("doc_id", F.col("doc_id").cast("long"))).mapInArrow(releasing(run), "digest binary")
     return rows.agg(F.count("digest").alias("chunks"), F.countDistinct("digest").alias("encoded"))
 
 

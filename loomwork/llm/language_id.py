@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import releasing, texts
 
 DOCS_PER_LANGUAGE, MAX_CHARS = 200, 20_000
 LEVEL = 3
@@ -113,7 +113,7 @@ def predict(docs: DataFrame, contents: dict[str, bytes]) -> DataFrame:
             )
 
     rows = texts(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return rows.mapInArrow(releasing(run), "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def learn(docs: DataFrame) -> dict[str, bytes]:
@@ -131,7 +131,7 @@ def keep_identified(docs: DataFrame) -> DataFrame:
             keep = [not verdict(x, by_lang)[2] for x in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(releasing(run), docs.schema)
 
 
 def query(docs: DataFrame) -> DataFrame:

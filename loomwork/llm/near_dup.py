@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spans
-from .common import ascii_lower, cut, texts
+from .common import ascii_lower, cut, releasing, texts
 
 SHINGLE, PERCENT = 5, 80
 ROWS, BANDS = 6, 64
@@ -111,7 +111,7 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
                 columns = [pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(packed, pa.binary())]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "text_md5", "n_shingles", "digest", "bands", "z"])
 
-    return docs.select("doc_id", F.md5("text").alias("text_md5"), "text").mapInArrow(run, MARKS)
+    return docs.select("doc_id", F.md5("text").alias("text_md5"), "text").mapInArrow(releasing(run), MARKS)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -169,7 +169,7 @@ def verified(pairs: DataFrame, sets: DataFrame, shingle: int, percent: int) -> D
             kept = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(2)], names=["a", "b"])
 
-    return rows.repartition("a", "pack").sortWithinPartitions("a", "pack", F.col("b").asc_nulls_first()).mapInArrow(run, "a long, b long")
+    return rows.repartition("a", "pack").sortWithinPartitions("a", "pack", F.col("b").asc_nulls_first()).mapInArrow(releasing(run), "a long, b long")
 
 
 class Block:
@@ -240,7 +240,7 @@ def across_components(members: DataFrame, roots: DataFrame, sets: DataFrame, shi
             a, b = zip(*found) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return held.union(streamed).repartition(*group).sortWithinPartitions(*group, "side").mapInArrow(run, "a long, b long")
+    return held.union(streamed).repartition(*group).sortWithinPartitions(*group, "side").mapInArrow(releasing(run), "a long, b long")
 
 
 def marked_groups(docs: DataFrame, shingle: int, percent: int) -> DataFrame:

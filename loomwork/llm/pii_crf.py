@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import releasing, texts
 
 BASE_KINDS = ["email", "ip", "card", "phone"]
 KINDS = [*BASE_KINDS, "secret", "id", "name", "address"]
@@ -464,7 +464,7 @@ def scan(docs: DataFrame, chain: Chain | None = None) -> DataFrame:
 
     rows = texts(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
     kinds = ", ".join(f"n_{k} long" for k in BASE_KINDS)
-    return rows.mapInArrow(run, f"doc_id long, {kinds}, base_spans string, spans string")
+    return rows.mapInArrow(releasing(run), f"doc_id long, {kinds}, base_spans string, spans string")
 
 
 def mask(docs: DataFrame, chain: Chain | None = None) -> DataFrame:
@@ -489,7 +489,7 @@ def mask(docs: DataFrame, chain: Chain | None = None) -> DataFrame:
             columns = [pa.array(out, batch.schema.field(at).type) if i == at else c for i, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(releasing(run), docs.schema)
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, worker_cache
+from .common import cut, releasing, worker_cache
 
 U64 = np.uint64
 #: Odd multiplier of the rolling polynomial modulo 2**64, and multipliers of the final mix.
@@ -228,7 +228,7 @@ def packets(docs: DataFrame) -> DataFrame:
         if held:
             yield packet()
 
-    return docs.mapInArrow(run, PACKET)
+    return docs.mapInArrow(releasing(run), PACKET)
 
 
 def packet_text(z: bytes) -> bytes:
@@ -300,7 +300,7 @@ def merged_levels(sketches: DataFrame, hot: int = 1 << 30) -> DataFrame:
                 kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["part", "block", "piece", "hot", "levels"])
 
-    merged = sketches.repartition("block").sortWithinPartitions("block").mapInArrow(run, LEVELS)
+    merged = sketches.repartition("block").sortWithinPartitions("block").mapInArrow(releasing(run), LEVELS)
     return merged.groupBy("part").agg(F.collect_list(F.struct("piece", "block", "levels")).alias("answers"), F.max("hot").alias("hot"))
 
 
@@ -452,7 +452,7 @@ def repeated_places(packed: DataFrame, buckets: int, width: int) -> DataFrame:
                 yield from hits.packets()
         yield from hits.packets()
 
-    return packed.repartition("block").sortWithinPartitions("block").mapInArrow(run, HITS)
+    return packed.repartition("block").sortWithinPartitions("block").mapInArrow(releasing(run), HITS)
 
 
 def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -534,7 +534,7 @@ def gather(hits: DataFrame) -> DataFrame:
         if held:
             yield from by_document(held)
 
-    return hits.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc_id long, places binary")
+    return hits.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(releasing(run), "doc_id long, places binary")
 
 
 def by_document(held: list) -> Iterator[pa.RecordBatch]:
@@ -566,4 +566,4 @@ def squeezed(docs: DataFrame) -> DataFrame:
                 [batch.column(0), pa.array([coder.compress(x) for x in texts], pa.binary())], names=["doc_id", "z"]
             )
 
-    return docs.mapInArrow(run, "doc_id long, z binary")
+    return docs.mapInArrow(releasing(run), "doc_id long, z binary")

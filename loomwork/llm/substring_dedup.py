@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spans
-from .common import text_bytes, texts
+from .common import releasing, text_bytes, texts
 
 WINDOW = 35
 #: Repeated windows of a block of exact keys, and words of a packet that are worked on at once.
@@ -70,8 +70,8 @@ def repeated_windows(docs: DataFrame, by_part: DataFrame, window: int) -> DataFr
                         yield from found.packets()
         yield from found.packets()
 
-    answers = spans.merged_levels(by_part.mapInArrow(sketch, spans.SKETCH))
-    packed = by_part.join(answers.drop("hot"), "part", "left").mapInArrow(exact, spans.PACKED)
+    answers = spans.merged_levels(by_part.mapInArrow(releasing(sketch), spans.SKETCH))
+    packed = by_part.join(answers.drop("hot"), "part", "left").mapInArrow(releasing(exact), spans.PACKED)
     return spans.gather(spans.repeated_places(packed, buckets, 2)).withColumnRenamed("doc_id", "part")
 
 
@@ -101,7 +101,7 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
-    return joined.mapInArrow(keep, KEPT)
+    return joined.mapInArrow(releasing(keep), KEPT)
 
 
 def query(docs: DataFrame) -> DataFrame:

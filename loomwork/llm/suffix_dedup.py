@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spans
-from .common import cut, text_bytes, texts
+from .common import cut, releasing, text_bytes, texts
 
 LENGTH = 200
 #: Bytes of an anchor by level; the last is the whole window.
@@ -174,12 +174,12 @@ def repeated_spans(docs: DataFrame, stored: DataFrame, by_part: DataFrame, lengt
         last = level == len(grams) - 1
         answers = cut(sketched(segments, size, length, gram, limit))
         chosen = dealt.join(answers, "part", "left")
-        sent = chosen.mapInArrow(sender(length, gram, size, n_group, last, every), spans.PACKED)
+        sent = chosen.mapInArrow(releasing(sender(length, gram, size, n_group, last, every)), spans.PACKED)
         grouped = sent.repartition("block").sortWithinPartitions("block")
-        found.append(grouped.mapInArrow(listing(length), REPEATS) if every else grouped.mapInArrow(comparing(length, buckets), spans.HITS))
+        found.append(grouped.mapInArrow(releasing(listing(length)), REPEATS) if every else grouped.mapInArrow(releasing(comparing(length, buckets)), spans.HITS))
         if last or answers.where("hot").isEmpty():
             break
-        segments = dealt = cut(chosen.where("hot").mapInArrow(deeper(length, gram, size), SEGMENTS))
+        segments = dealt = cut(chosen.where("hot").mapInArrow(releasing(deeper(length, gram, size)), SEGMENTS))
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
@@ -198,7 +198,7 @@ def sketched(segments: DataFrame, size: int, length: int, gram: int, limit: int)
                     keys = np.array([k for k, _, *at in runs.values() for _ in at[:2]], dtype=np.int64).view(np.uint64)
                     yield from spans.partition_sketch(part, piece, keys, blocks)
 
-    return spans.merged_levels(segments.mapInArrow(run, spans.SKETCH), limit)
+    return spans.merged_levels(segments.mapInArrow(releasing(run), spans.SKETCH), limit)
 
 
 def blocks_of(size: int, length: int, gram: int) -> int:
@@ -376,7 +376,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, grams: tuple[int, ...] = GRAMS,
                 kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
-    return joined.mapInArrow(keep, KEPT)
+    return joined.mapInArrow(releasing(keep), KEPT)
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, grams: tuple[int, ...] = GRAMS) -> DataFrame:
