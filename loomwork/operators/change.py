@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .runs import sunday_week
+
 
 def compare_signals(stored: Column, current: Column) -> Column:
     """``unknown`` without a common signal, ``changed`` if one differs, else ``unchanged`` (maps of signals)."""
@@ -117,3 +119,19 @@ def feedback(messages: DataFrame, col: str, categories: list[str]) -> DataFrame:
         field("comment").alias("comment"),
     )
     return out.where(F.col("category").isin(categories))
+
+
+def feedback_shares(rows: DataFrame, categories: list[str]) -> DataFrame:
+    """Count and percentage of each category in order of the list, 0 if it never comes; other categories do not count."""
+    counts = rows.agg(*[F.count_if(F.col("category") == c).alias(c) for c in categories])
+    total = sum((F.col(c) for c in categories[1:]), F.col(categories[0]))
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("category"), F.col(c).alias("n")) for c in categories])).alias("e")
+    share = F.when(F.col("total") > 0, F.col("e.n") / F.col("total") * 100).otherwise(0.0)
+    return counts.select(total.alias("total"), each).select("e.category", "e.n", share.alias("percent"))
+
+
+def weekly_precision(rows: DataFrame, stamp: str, useful: str = "useful") -> DataFrame:
+    """For each week from Sunday: useful rows, all rows of any category, and their ratio; rows without a date are left out."""
+    weeks = rows.where(F.col(stamp).isNotNull()).groupBy(sunday_week(F.col(stamp)).cast("string").alias("week"))
+    out = weeks.agg(F.count_if(F.col("category") == useful).alias("useful"), F.count("*").alias("total"))
+    return out.withColumn("precision", F.col("useful") / F.col("total"))

@@ -210,3 +210,21 @@ def natural_chunks(pages: DataFrame, size: int = 1400, overlap: int = 200, reach
     rows = rows.select("page_id", joined_tails(F.filter(pieces, lambda x: x["t"] != ""), least, int(size * 1.5)).alias("chunks"))
     found = rows.select("page_id", F.posexplode("chunks").alias("chunk_index", "x"))
     return found.select("page_id", "chunk_index", without_heading(F.col("x.t"), F.col("x.h")).alias("chunk_text"), F.col("x.h").alias("section_heading"))
+
+
+def ingestion_summary(log: DataFrame) -> DataFrame:
+    """Per run: when it began, pages by outcome, duplicates, and sums in which missing figures are 0."""
+    by = lambda c, v: F.count_if(F.col(c) == v)
+    total = lambda c: F.sum(F.coalesce(F.col(c), F.lit(0)))
+    return log.groupBy("run_id").agg(
+        F.min("timestamp").alias("start_time"),
+        F.count("*").alias("total_pages"),
+        by("outcome", "ingested").alias("pages_ingested"),
+        by("outcome", "skipped").alias("pages_skipped"),
+        by("outcome", "stub").alias("stubs"),
+        by("outcome", "error").alias("errors"),
+        by("status", "duplicate").alias("duplicates"),
+        total("boilerplate_bytes_stripped").alias("boilerplate_bytes"),
+        total("keyphrase_count").alias("keyphrases_total"),
+        total("duration_seconds").alias("total_duration"),
+    )

@@ -104,3 +104,10 @@ def min_max(df: DataFrame, value: str, out: str, by: str | None = None) -> DataF
     both = df.join(ends, by) if by else df.crossJoin(ends)
     scale = F.when(F.col("_low") == F.col("_high"), 0.0).otherwise((F.col(value) - F.col("_low")) / (F.col("_high") - F.col("_low")))
     return both.withColumn(out, scale).drop("_low", "_high")
+
+
+def reranked(scored: DataFrame, logit: str, first: str, by: str | None = None, weights=(0.80, 0.20)) -> DataFrame:
+    """Adds ``rerank``: the second model's sigmoid (0.5 without an answer) blended with the first score from 0 to 1."""
+    pair = F.coalesce(1 / (1 + F.exp(-F.col(logit))), F.lit(0.5))
+    scaled = min_max(scored, first, "_scaled", by)
+    return scaled.withColumn("rerank", weights[0] * pair + weights[1] * F.coalesce("_scaled", F.lit(0.0))).drop("_scaled")

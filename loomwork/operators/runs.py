@@ -309,3 +309,11 @@ def first_match(left: DataFrame, right: DataFrame, keys: list[str], order: str)
     value = [c for c in right.columns if c not in keys]
     best = right.groupBy(*keys).agg(F.min_by(F.struct(*value), F.col(order)).alias("m"))
     return left.join(best, keys, "left").select(*left.columns, *[F.col(f"m.{c}").alias(c) for c in value if c not in left.columns])
+
+
+def pass_rates(runs: DataFrame, stages: int = 9) -> DataFrame:
+    """Per source and stage: the share of the source's rows that came at least that far."""
+    rows = runs.select("source_id", stage_number(F.col("stage_reached")).alias("s"))
+    shares = F.array(*[F.count_if(F.col("s") >= k) / F.count("*") for k in range(1, stages + 1)])
+    spread = rows.groupBy("source_id").agg(shares.alias("shares")).select("source_id", F.posexplode("shares"))
+    return spread.select("source_id", (F.col("pos") + 1).alias("stage"), F.col("col").alias("pass_rate"))

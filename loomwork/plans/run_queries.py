@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import change as C
+from ..operators import monitoring as M
+from ..operators import retrieval
 from ..operators import runs as R
 from ..sources.tables import table
 
@@ -56,6 +59,35 @@ def sql(body: str) -> str:
     return f"with {RUNS}\n{body}"
 
 
+# Categories of feedback.
+CATEGORIES = ["useful", "not_significant", "wrong_amendment", "wrong_page"]
+
+
+def feedback(s, d):
+    names = F.array(*[F.lit(c) for c in (*CATEGORIES, "other")])
+    return run_log(s, d).select("ts", F.get(names, F.col("k") % 5).alias("category"))
+
+
+def ingestion(s, d):
+    k = F.col("k")
+    log = run_log(s, d).select(
+        "run_id",
+        F.col("ts").alias("timestamp"),
+        F.get(F.array(*[F.lit(c) for c in ("ingested", "skipped", "stub", "error")]), k % 4).alias("outcome"),
+        F.when(k % 6 == 0, "duplicate").otherwise("active").alias("status"),
+        F.when(k % 3 != 0, k).alias("boilerplate_bytes_stripped"),
+        F.when(k % 5 != 0, F.lit(2)).alias("keyphrase_count"),
+        F.when(k % 7 != 0, k + 1).alias("duration_seconds"),
+    )
+    return M.ingestion_summary(log)
+
+
+def rerank(s, d):
+    logit = F.when(F.col("p_partkey") % 7 != 0, (F.col("p_size") - 25) / 10)
+    p = table(s, d, "part").select("p_partkey", "p_brand", F.col("p_retailprice").cast("double").alias("lexical"), logit.alias("logit"))
+    return retrieval.reranked(p, "logit", "lexical", "p_brand").select("p_partkey", F.round("rerank", 6).alias("rerank"))
+
+
 def paged(s, d):
     return R.page(run_log(s, d).select("event_id", "run_id", "source_id", "outcome"), [F.col("run_id").desc(), F.col("event_id")], 40, 25)
 
@@ -90,6 +122,36 @@ ALERTS = "count(*) filter (verdict = 'CHANGE_REQUIRED') as alerts, count(*) as t
 RN = "row_number() over (partition by source_id order by ts desc, event_id desc) as rn"
 
 QUERIES = {
+    "feedback_shares": (
+        lambda s, d: C.feedback_shares(feedback(s, d), CATEGORIES),
+        sql("""select category, n, n / cast(sum(n) over () as double) * 100 as percent from (
+select case k % 5 when 0 then 'useful' when 1 then 'not_significant' when 2 then 'wrong_amendment' when 3 then 'wrong_page' end as category, count(*) as n
+from runs where k % 5 < 4 group by 1)"""),
+    ),
+    "weekly_precision": (
+        lambda s, d: C.weekly_precision(feedback(s, d), "ts"),
+        sql("""select cast(cast(ts as date) - cast(dayofweek(ts) as int) as varchar) as week, count(*) filter (k % 5 = 0) as useful, count(*) as total,
+count(*) filter (k % 5 = 0) / cast(count(*) as double) as precision from runs group by 1"""),
+    ),
+    "source_pass_rates": (
+        lambda s, d: R.pass_rates(run_log(s, d)),
+        sql("""select source_id, cast(stage as int) as stage, count(*) filter (s >= stage) / cast(count(*) as double) as pass_rate
+from runs, range(1, 10) t(stage) group by 1, 2"""),
+    ),
+    "ingestion_summary": (
+        ingestion,
+        sql("""select run_id, min(ts) as start_time, count(*) as total_pages, count(*) filter (k % 4 = 0) as pages_ingested,
+count(*) filter (k % 4 = 1) as pages_skipped, count(*) filter (k % 4 = 2) as stubs, count(*) filter (k % 4 = 3) as errors,
+count(*) filter (k % 6 = 0) as duplicates, cast(sum(case when k % 3 <> 0 then k else 0 end) as bigint) as boilerplate_bytes,
+cast(sum(case when k % 5 <> 0 then 2 else 0 end) as bigint) as keyphrases_total,
+cast(sum(case when k % 7 <> 0 then k + 1 else 0 end) as bigint) as total_duration from runs group by 1"""),
+    ),
+    "rerank_blend": (
+        rerank,
+        """select p_partkey, round(0.8 * coalesce(1 / (1 + exp(-(case when p_partkey % 7 <> 0 then (p_size - 25) / 10.0 end))), 0.5)
+  + 0.2 * coalesce((p_retailprice - min(p_retailprice) over w) / cast(nullif(max(p_retailprice) over w - min(p_retailprice) over w, 0) as double), 0), 6) as rerank
+from part window w as (partition by p_brand)""",
+    ),
     "run_rollup": (
         lambda s, d: R.run_rollup(run_log(s, d)).withColumn("duration", F.round("duration", 4)),
         sql(f"""select *, case when errored = sources then 'error' when errored > 0 then 'partial' else 'ok' end as status
