@@ -73,6 +73,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that one of our jobs wrote, on whatever file system it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def worker_cache(key, make):
     """What ``make`` gives, kept for later tasks of the same Python worker."""
     cache = sys.__dict__.setdefault("_loomwork_cache", {})

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_chunks, decontaminate, language_id, license_scan, near_dup, pii_crf, quality_rules, substring_dedup, suffix_dedup, url_filter
+from . import bpe_chunks, decontaminate, id_files, importance, language_id, license_scan, near_dup, pii_crf, quality_rules, substring_dedup, suffix_dedup, url_filter, vector_codes
 from .common import table
 
 
@@ -26,6 +26,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_suffix_dedup": lambda s, d: suffix_dedup.query(docs(s, d)),
         "op7_url_filter": lambda s, d: url_filter.query(table(s, d, "pages")),
         "op8_quality_rules": lambda s, d: quality_rules.query(docs(s, d)),
+        "op11_importance": lambda s, d: importance.query(docs(s, d), table(s, d, "benchmark")),
+        "op12_vector_codes": lambda s, d: vector_codes.query(table(s, d, "embeddings")),
+        "op13_id_files": lambda s, d: id_files.query(docs(s, d)),
     }
 
 
@@ -33,4 +36,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op8_quality_rules": quality_rules.sql(),
         "op9_license_scan": license_scan.sql(),
+        "op12_vector_codes": vector_codes.sql(),
     }
