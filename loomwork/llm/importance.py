@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, checkpoint_dir, cut, releasing, remove, texts
@@ -123,7 +123,8 @@ def ranked(rows: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WOR
     placed = high.withColumn("at", F.monotonically_increasing_id())
     part, place = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
     sizes = placed.groupBy(part.alias("part")).count()  # a row for each partition
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy("a.part").agg(F.coalesce(F.sum("b.count"), F.lit(0)).alias("before"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("part", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("before"))
     numbered = placed.withColumn("part", part).withColumn("place", place).join(F.broadcast(before), "part")
     rank = F.col("before") + F.col("place") + 1
     drawn = numbered.withColumn("rank", F.when(rank <= k, rank)).select(*rows.columns, "rank")
