@@ -7,10 +7,12 @@ rows in the JVM, so no Python runs on the executors.
 
 ``fit`` takes any labelled table. The query has none but the pages, so a bounded
 sample of them (``MAX_TRAINING_ROWS``, by a hash of the url) is labelled: 1 where
-a block rule holds, else 0. The trees see neither rules nor paths' words, only
-lexical figures, so they carry over what blocked pages look like. Pages whose
-hash leaves 0 modulo ``HOLD_OUT`` are never learned from; ``held_out_figures``
-measures the trees on them.
+a word of the host is one of ``TERMS``, else 0. The trees see no words, only
+lexical figures, so they carry what such hosts look like over to words that no
+list has. Block rules are no labels: they follow sites and languages, which say
+nothing of other urls. Pages whose hash leaves 0 modulo ``HOLD_OUT`` are never
+learned from; ``held_out_figures`` measures the trees on them, and with ``hide``
+on hosts with terms that were taken out of both list and training.
 
 Defined results: a null url or one without ``://`` has an empty host and path,
 matches no rule, and is judged by the trees (its features are those of an empty
@@ -38,6 +40,14 @@ RULES = {
     "org/es/": "block",
 }
 
+#: Words of hosts that labels are made from: bets, adult sites, pills, spam, advertising and tracking.
+TERMS = [
+    *("bet", "bets", "betting", "casino", "jackpot", "lottery", "poker", "slots"),
+    *("adult", "escort", "porn", "sex", "xxx"),
+    *("cialis", "pharma", "pills", "viagra"),
+    *("clickbait", "phishing", "spam", "warez"),
+    *("ads", "adserver", "popups", "track", "tracker", "tracking"),
+]
 FEATURES = [
     "f_length",
     "f_host_length",
@@ -103,20 +113,21 @@ def features(df: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
     )
 
 
-def ruled_pages(pages: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
-    """(url, label, held_out): 1 where the rules block a page."""
-    rows = parts(pages.select("url")).withColumn("rule", matched_rule(F.col("host"), F.col("path"), rules))
-    blocked = F.coalesce(F.col("rule").isin([r for r, v in rules.items() if v == "block"]), F.lit(False))
-    return rows.select("url", blocked.cast("int").alias("label"), (F.pmod(F.xxhash64("url", F.lit(3)), F.lit(HOLD_OUT)) == 0).alias("held_out"))
+def labelled_pages(pages: DataFrame, terms: list[str] = TERMS) -> DataFrame:
+    """(url, label, held_out): 1 where a word of the host is one of the terms."""
+    rows = parts(pages.select("url"))
+    label = F.arrays_overlap(F.split("host", "[^a-z0-9]+"), F.array(*[F.lit(t) for t in terms]))
+    return rows.select("url", label.cast("int").alias("label"), (F.pmod(F.xxhash64("url", F.lit(3)), F.lit(HOLD_OUT)) == 0).alias("held_out"))
 
 
-def held_out_figures(pages: DataFrame) -> DataFrame:
-    """label, rows, share judged right by the trees alone, on the pages that were not learned from."""
-    labelled = ruled_pages(pages)
-    model, suffixes = fit(labelled.where("not held_out"))
+def held_out_figures(pages: DataFrame, hide: list[str] = ()) -> DataFrame:
+    """label, rows, share judged right by the trees alone, on the pages that were not learned from: all with a hidden term, or those held out."""
+    labelled = labelled_pages(pages)
+    hidden = labelled_pages(pages, list(hide)).where("label = 1").select("url").distinct() if hide else labelled.select("url").where("false")
+    model, suffixes = fit(labelled.where("not held_out").join(hidden, "url", "left_anti"))
     unruled = {"none.invalid/": "block"}
-    rows = labelled.where("held_out").withColumn("page_id", F.col("label"))
-    judged = judge(rows, model, suffixes, rules=unruled)
+    rows = labelled.join(hidden, "url", "left_semi") if hide else labelled.where("held_out")
+    judged = judge(rows.withColumn("page_id", F.col("label")), model, suffixes, rules=unruled)
     right = ((F.col("verdict") == "block").cast("int") == F.col("page_id")).cast("int")
     return judged.groupBy(F.col("page_id").alias("label")).agg(F.count("*").alias("rows"), F.avg(right).alias("right"))
 
@@ -155,5 +166,5 @@ def judge(pages: DataFrame, model, suffixes: DataFrame, rules: dict[str, str] =
 
 
 def query(pages: DataFrame) -> DataFrame:
-    model, suffixes = fit(ruled_pages(pages).where("not held_out"))
+    model, suffixes = fit(labelled_pages(pages).where("not held_out"))
     return judge(pages, model, suffixes)

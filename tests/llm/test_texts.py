@@ -1,6 +1,7 @@
 """Operators 1, 2, 4, 5, 7, 8 and 9, and the pipeline."""
 
 import hashlib
+import math
 import re
 from zlib import crc32
 
@@ -398,6 +399,45 @@ def test_url_trees_on_pages_not_learned_from(spark):
     assert all((r.verdict == "block") == bool(r.page_id) for r in rows)
 
 
+def test_url_trees_on_words_that_no_list_has(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    for hide in (["casino"], ["bets"], ["pills"]):
+        rows = url_filter.held_out_figures(pages, hide).collect()
+        assert [r.label for r in rows] == [1] and rows[0].rows >= 15 and rows[0].right > 0.9
+
+
+def brute_features(url, rate):
+    host, path, _ = brute_rule(url)
+    rest = url.split("://", 1)[1] if url and "://" in url else ""
+    letters = re.sub("[^a-z0-9-]", "", host)
+    share = [letters.count(c) / len(letters) for c in set(letters)]
+    size = max(1, len(letters))
+    return [
+        len(rest), len(host), path.count("/"), host.count("."), len(re.sub("[^0-9]", "", rest)) / max(1, len(rest)), host.count("-"),
+        sum(c in "=&" for c in rest), -sum(p * math.log2(p) for p in share), sum(c in "aeiou" for c in host) / size, rate.get(host.rsplit(".", 1)[-1], 0.5),
+    ]
+
+
+def test_url_features_equal_brute_force(spark, sf_dir):
+    long = "http://" + "a-b.1" * 4000 + ".com/" + "x/" * 20_000 + "?a=1&b=2"
+    urls = [r.url for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()] + [None, "", "x", "a://", "http://ÄÖ.org/?=", long, long]
+    frame = spark.createDataFrame([(u,) for u in urls], "url string")
+    rate = {"com": 0.25, "org": 1.0}
+    suffixes = spark.createDataFrame(list(rate.items()), "suffix string, f_suffix_rate double")
+    got = url_filter.features(url_filter.parts(frame), suffixes).select("url", *url_filter.FEATURES).collect()
+    assert len(got) == len(urls)
+    for r in got:
+        assert list(r)[1:] == pytest.approx(brute_features(r.url, rate)), r.url
+
+
+def test_url_repeated_rows_and_long_urls(spark):
+    long = "http://a.example.com/" + "y" * 200_000
+    frame = spark.createDataFrame([(1, long), (1, long), (2, "http://www.com/en/"), (2, "http://www.com/en/")], "page_id long, url string")
+    rows = url_filter.query(frame).collect()
+    assert sorted((r.page_id, r.rule, r.verdict) for r in rows if r.page_id == 2) == [(2, "com/en/", "block")] * 2
+    assert [r.path for r in rows if r.page_id == 1] == ["/" + "y" * 200_000] * 2
+
+
 # -- 8 and 9 -----------------------------------------------------------------------
 
 
