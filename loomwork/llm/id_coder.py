@@ -6,17 +6,16 @@ frame are coded in step: one numpy operation works on the same place of each.
 
 Three orders predict the next id:
 
-* order 2 the id that last followed the two before it in this block, order 1 the
-  one that last followed the id before it, each with a confidence of 0 to 3;
-* order 0 all ids of the frame, in classes by rank (class k has 2**k ranks). How
-  often a class comes is learned within the block, starting from the frame's
-  counts; within a class the frame's counts hold.
-
-They are mixed as ``m2 [x = c2] + m1 [x = c1] + m0 P0(x)``; the weights are learned
-within the block for each pair of confidences (and for c1 = c2, where one weight
-remains). Each step of the mixture is coded arithmetically with 16-bit
-frequencies. All of it is integer arithmetic (one division of integers below
-2**48 is done in doubles, where it is exact), so any machine decodes the same ids.
+* order 2 the id that last followed the two before it in this block, with a
+  confidence of 0 to 3, and order 1 the one that last followed the id before it;
+* order 0 every id by its count in the frame, which the frame's head holds.
+
+The guess g is that of order 2 where it has seen its context, else that of order
+1, and the mixture is ``w [x = g] + (1 - w) P0(x)``. The weight w is learned within
+the block for each confidence and for whether both orders agree. It is
+coded arithmetically: the weight with 16-bit, order 0 with 20-bit frequencies. All
+of it is integer arithmetic (quotients of integers below 2**48 are taken in
+doubles, where their floor is exact), so any machine decodes the same ids.
 """
 
 from __future__ import annotations
@@ -27,116 +26,73 @@ import zlib
 import numpy as np
 
 #: Ids of a block, at most.
-BLOCK = 2048
-#: Slots of the tables of orders 1 and 2 in a block, and classes of order 0.
-SLOTS, CLASSES = 1024, 16
-#: Frequencies add up to ONE; a class has at least about ``LEAST``; learning rates as shifts.
-ONE, LEAST, RATE = 1 << 16, 64, 5
-#: Confidence after a miss and a hit, for each confidence before.
-SURER = np.array([1, 1, 1, 2, 1, 3, 1, 3], dtype=np.int32) << 16
-#: Order 0 keeps this frequency at least.
-ROOM = 4096
-TOWARDS = np.array([[k * LEAST + (ONE - CLASSES * LEAST if k > b else 0) for k in range(CLASSES + 1)] for b in range(CLASSES)], dtype=np.int32)
+BLOCK = 1024
+#: Slots of the tables of orders 1 and 2 in a block.
+SLOTS = 512
+#: Weights are parts of ONE, of which order 0 keeps ``ROOM`` at least; counts of order 0 are parts of ALL.
+ONE, ROOM, ALL = 1 << 16, 4096, 1 << 20
+#: An entry of order 2 is 4 * id + confidence. What to add to 4 * id after a miss and a hit, for each confidence before.
+SURER = np.array([1, 1, 1, 2, 1, 3, 1, 3], dtype=np.int32)
 MAGIC, HEAD = b"LWF1", "<4sIIII"
 
 
-def shares(counts: np.ndarray, least: int) -> np.ndarray:
-    """Frequencies of at least ``least`` that add up to ONE, in proportion to the counts."""
-    rest = ONE - least * len(counts)
-    got = counts.astype(np.int64) * rest // max(1, int(counts.sum())) + least
-    got[int(np.argmax(counts))] += ONE - int(got.sum())
-    return got
-
-
 class Order0:
-    """The ids of a frame by rank: class, place and frequency in the class; and back, from ids and from places."""
+    """The ids of a frame with their frequencies: where each begins, and whose each of the ALL places is."""
 
     def __init__(self, ids: np.ndarray, counts: np.ndarray):
         self.ids, self.counts = ids, counts
-        rank = np.arange(len(ids))
-        kind = np.minimum(np.floor(np.log2(rank + 1)).astype(np.int64), CLASSES - 1)  # exact: ranks are below 2**16
-        self.cum, self.freq = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
-        self.slot = np.zeros(CLASSES * ONE, np.int32)
-        mass = np.zeros(CLASSES, np.int64)
-        for k in range(int(kind[-1]) + 1 if len(ids) else 0):
-            own = slice((1 << k) - 1, (2 << k) - 1 if k < CLASSES - 1 else len(ids))
-            self.freq[own] = shares(counts[own], 1)
-            self.cum[own] = np.cumsum(self.freq[own]) - self.freq[own]
-            self.slot[k * ONE : (k + 1) * ONE] = np.repeat(rank[own], self.freq[own])
-            mass[k] = counts[own].sum()
-        self.kind, self.ids32 = kind, ids.astype(np.int32)
-        self.rank = np.zeros(ONE, np.int32)
-        self.rank[ids] = rank
-        self.first = np.concatenate([[0], np.cumsum(shares(mass, LEAST))]).astype(np.int32)
+        share = counts.astype(np.int64) * (ALL - len(ids)) // max(1, int(counts.sum())) + 1
+        if len(ids):
+            share[int(np.argmax(counts))] += ALL - int(share.sum())
+        self.freq, self.cum = np.zeros(ONE, np.int64), np.zeros(ONE, np.int64)
+        self.freq[ids], self.cum[ids] = share, np.cumsum(share) - share
+        self.place = np.repeat(ids.astype(np.int32), share)
 
     @classmethod
     def of(cls, ids: np.ndarray) -> "Order0":
-        """By count, then by id; counts are halved together until they fit 16 bits."""
+        """Counts are halved together until they fit 16 bits."""
         counts = np.bincount(ids, minlength=1)
-        order = np.lexsort((np.arange(len(counts)), -counts))[: np.count_nonzero(counts)]
-        counts = counts[order]
-        while len(counts) and counts[0] >= ONE:
+        found = np.flatnonzero(counts)
+        counts = counts[found]
+        while len(counts) and counts.max() >= ONE:
             counts = (counts + 1) // 2
-        return cls(order.astype(np.uint16), counts.astype(np.uint16))
+        return cls(found.astype(np.uint16), counts.astype(np.uint16))
 
 
 class Mixer:
-    """The state of all blocks of a frame: tables of orders 1 and 2, weights, shares of the classes.
-
-    Truth values are 0 and 1 in 32 bits here, so that choices are sums of products.
-    """
+    """The state of all blocks of a frame. Truth values are 0 and 1 in 32 bits, so that choices are sums of products."""
 
-    def __init__(self, blocks: int, first: np.ndarray):
+    def __init__(self, blocks: int):
         self.t1, self.t2 = np.zeros(blocks * SLOTS, np.int32), np.zeros(blocks * SLOTS, np.int32)
-        self.m2, self.m1 = np.full(blocks * 32, ONE // 16, np.int32), np.full(blocks * 32, ONE // 16, np.int32)
-        self.d = np.tile(first, (blocks, 1))
+        self.w = np.full(blocks * 8, ONE // 16, np.int32)
         self.p1, self.p2 = np.zeros(blocks, np.int32), np.zeros(blocks, np.int32)
-        lanes = np.arange(blocks, dtype=np.int64)
-        self.base, self.base32, self.base_d = lanes * SLOTS, lanes * 32, lanes * (CLASSES + 1)
+        lanes = np.arange(blocks, dtype=np.int32)
+        self.base, self.base8 = lanes * np.int32(SLOTS), lanes * np.int32(8)
 
     def narrow(self, blocks: int) -> None:
         """Only the first blocks go on; the others have ended."""
-        for name in ("d", "p1", "p2", "base", "base32", "base_d"):
+        for name in ("p1", "p2", "base", "base8"):
             setattr(self, name, getattr(self, name)[:blocks])
 
     def predict(self) -> None:
-        """Guesses c2 and c1, and the frequencies f2, f1 and f0 of the three orders; f0 is at least ``ROOM``."""
+        """The guess and the frequency f of its weight; ONE - f is at least ``ROOM``."""
         turned = self.p1 * np.int32(25013)
         self.i1 = (turned >> 7 & SLOTS - 1) + self.base
         self.i2 = ((turned ^ self.p2 * np.int32(15269)) >> 6 & SLOTS - 1) + self.base
-        e1, e2 = self.t1.take(self.i1), self.t2.take(self.i2)
-        self.c1, self.n1, self.c2, self.n2 = e1 & 0xFFFF, e1 >> 16, e2 & 0xFFFF, e2 >> 16
-        self.differ = (self.c1 != self.c2).astype(np.int32)
-        self.at = ((self.n2 << 2) + self.n1 + (self.differ << 4)) + self.base32
-        self.w2, self.w1 = self.m2.take(self.at), self.m1.take(self.at)
-        self.f2 = ((self.w2 >> 1) * ((ONE - ROOM - 128) >> 1) >> 14) + 64
-        self.f1 = ((((ONE - ROOM - 64 - self.f2) >> 1) * (self.w1 >> 1) >> 14) + 32) * self.differ
-        self.f21 = self.f2 + self.f1
-        self.f0 = ONE - self.f21
-
-    def learn(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, kind: np.ndarray) -> None:
-        """``ids`` were next; hit2: the guess of order 2, hit1: that of order 1, but not of order 2."""
-        self.m2[self.at] = self.w2 + ((hit2 * (ONE - 1) - self.w2) >> 4)
-        self.m1[self.at] = self.w1 + ((hit1 * (ONE - 1) - self.w1) >> 4) * (1 - hit2) * self.differ
-        self.t2[self.i2] = SURER.take((self.n2 << 1) + hit2) + ids
-        self.t1[self.i1] = SURER.take((self.n1 << 1) + (self.c1 == ids)) + ids
-        self.d += (TOWARDS.take(kind, axis=0) - self.d) >> RATE
+        one, e2 = self.t1.take(self.i1), self.t2.take(self.i2)
+        self.n, self.two = e2 & 3, e2 >> 2
+        self.guess = one + (self.two - one) * (self.n > 0)
+        self.at = (self.n << 1) + (one == self.two) + self.base8
+        self.weight = self.w.take(self.at)
+        self.f = (self.weight * np.int32((ONE - ROOM) >> 2) >> 13) + 16
+
+    def learn(self, ids: np.ndarray, hit: np.ndarray) -> None:
+        """``ids`` were next; hit: as guessed."""
+        self.w[self.at] = self.weight + ((hit * np.int32(ONE // 2 - 1) - self.weight) >> 4)
+        self.t2[self.i2] = SURER.take((self.n << 1) + (self.two == ids)) + (ids << 2)
+        self.t1[self.i1] = ids
         self.p2, self.p1 = self.p1, ids
 
-    def class_bounds(self, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the class begins and ends among the f0 frequencies of order 0."""
-        at = kind + self.base_d
-        return self.d.take(at).astype(np.int64) * self.f0 >> 16, self.d.take(at + 1).astype(np.int64) * self.f0 >> 16
-
-    def class_of(self, v: np.ndarray) -> np.ndarray:
-        """The class that has place ``v`` of the f0 frequencies of order 0."""
-        # d * f0 >> 16 <= v is d <= ((v + 1 << 16) - 1) // f0; the quotient of small integers is exact in doubles.
-        most = ((((v + 1) << 16) - 1) / self.f0).astype(np.int32)
-        kind = self.base_d.copy()
-        for step in (8, 4, 2, 1):
-            kind += (self.d.take(kind + step) <= most) * np.int64(step)
-        return kind - self.base_d
-
 
 def lengths(n: int) -> np.ndarray:
     """Ids of each block: all alike but for one id, the longer ones first."""
@@ -148,7 +104,8 @@ def encode_blocks(ids: np.ndarray, order0: Order0) -> tuple[np.ndarray, np.ndarr
     """(number of words of each block, all words of one block after the other) for ids below 65536."""
     size = lengths(len(ids))
     starts = np.cumsum(size) - size
-    mixer = Mixer(len(size), order0.first)
+    mixer = Mixer(len(size))
+    wide = ids.astype(np.int32)
     low, span = np.zeros(len(size), np.int64), np.full(len(size), 1 << 48, np.int64)
     who: list[np.ndarray] = []
     what: list[np.ndarray] = []
@@ -164,21 +121,15 @@ def encode_blocks(ids: np.ndarray, order0: Order0) -> tuple[np.ndarray, np.ndarr
             ended.append((np.arange(left, active), low[left:]))
             active, low, span, starts = left, low[:left].copy(), span[:left].copy(), starts[:left]
             mixer.narrow(left)
-        now = ids.take(starts + t).astype(np.int32)
+        now = wide.take(starts + t)
         mixer.predict()
-        hit2 = (mixer.c2 == now).astype(np.int32)
-        hit1 = (mixer.c1 == now) * mixer.differ
-        miss = 1 - hit2 - hit1
-        rank = order0.rank.take(now)
-        kind = order0.kind.take(rank)
-        begin, end = mixer.class_bounds(kind)
-        begin = hit1 * mixer.f2 + (begin + mixer.f21) * miss
-        end = hit2 * mixer.f2 + hit1 * mixer.f21 + (end + mixer.f21) * miss
+        hit = (mixer.guess == now).astype(np.int32)
+        miss = 1 - hit
         part = span >> 16
-        low += part * begin
-        part = part * (end - begin) >> 16
-        span = part * (ONE + (order0.freq.take(rank) - ONE) * miss)
-        low += part * (order0.cum.take(rank) * miss)
+        low += part * (mixer.f * miss)
+        part = part * (mixer.f + (ONE - 2 * mixer.f) * miss) >> 20
+        low += part * (order0.cum.take(now) * miss)
+        span = part * ((order0.freq.take(now) - ALL) * miss + ALL)
         full = np.flatnonzero(span < 1 << 32)
         while len(full):
             value = low.take(full)
@@ -186,7 +137,7 @@ def encode_blocks(ids: np.ndarray, order0: Order0) -> tuple[np.ndarray, np.ndarr
             low[full] = (value & 0xFFFFFFFF) << 16
             span[full] <<= 16
             full = full[span.take(full) < 1 << 32]
-        mixer.learn(now, hit2, hit1, kind)
+        mixer.learn(now, hit)
     for blocks, rest in [*ended, (np.arange(active), low)]:
         put(blocks, rest >> 32)
         put(blocks, rest >> 16 & 0xFFFF)
@@ -206,7 +157,7 @@ def decode_blocks(n: int, order0: Order0, counts: np.ndarray, words: np.ndarray)
     size = lengths(n)
     starts = np.cumsum(size) - size
     out = np.zeros(n, np.uint16)
-    mixer = Mixer(len(size), order0.first)
+    mixer = Mixer(len(size))
     words = np.concatenate([words, np.zeros(3, words.dtype)]).astype(np.int64)
     at = (np.cumsum(counts) - counts).astype(np.int64)
     code = words[at] << 32 | words[at + 1] << 16 | words[at + 2]
@@ -220,20 +171,15 @@ def decode_blocks(n: int, order0: Order0, counts: np.ndarray, words: np.ndarray)
             mixer.narrow(active)
         mixer.predict()
         part = span >> 16
-        v = (code / part).astype(np.int32)  # both below 2**53, the quotient below 2**17: its floor is exact
-        hit2 = (v < mixer.f2).astype(np.int32)
-        hit1 = (v < mixer.f21) - hit2
-        miss = 1 - hit2 - hit1
-        kind = mixer.class_of((v - mixer.f21).astype(np.int64) * miss)
-        begin, end = mixer.class_bounds(kind)
-        begin = hit1 * mixer.f2 + (begin + mixer.f21) * miss
-        end = hit2 * mixer.f2 + hit1 * mixer.f21 + (end + mixer.f21) * miss
-        code -= part * begin
-        part = part * (end - begin) >> 16
-        v = np.minimum((code / part).astype(np.int64), ONE - 1)
-        rank = order0.slot.take((kind << 16) + v)
-        span = part * (ONE + (order0.freq.take(rank) - ONE) * miss)
-        code -= part * (order0.cum.take(rank) * miss)
+        bound = part * mixer.f
+        miss = (code >= bound).astype(np.int32)
+        code -= bound * miss
+        part = part * (mixer.f + (ONE - 2 * mixer.f) * miss) >> 20
+        place = np.minimum((code / part).astype(np.int64), ALL - 1)  # both below 2**53 and the quotient below 2**21: its floor is exact
+        other = order0.place.take(place)
+        now = mixer.guess + (other - mixer.guess) * miss
+        code -= part * (order0.cum.take(other) * miss)
+        span = part * ((order0.freq.take(other) - ALL) * miss + ALL)
         full = np.flatnonzero(span < 1 << 32)
         while len(full):
             where = at.take(full)
@@ -241,9 +187,8 @@ def decode_blocks(n: int, order0: Order0, counts: np.ndarray, words: np.ndarray)
             at[full] = where + 1
             span[full] <<= 16
             full = full[span.take(full) < 1 << 32]
-        now = hit2 * mixer.c2 + hit1 * mixer.c1 + order0.ids32.take(rank) * miss
         out[starts + t] = now
-        mixer.learn(now, hit2, hit1, order0.kind.take(order0.rank.take(now)))
+        mixer.learn(now, 1 - miss)
     return out
 
 

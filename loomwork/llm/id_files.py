@@ -13,8 +13,7 @@ number of ids of each range only, a row a task.
 Ids are those of the tokenizers library for the file. It makes 1.7 MB of text a
 second here, so where the file says that it is byte-level BPE whose merges stand
 in order of their ids, tiktoken is built from that same file and takes its place;
-texts with a special token's name, and all other files, go to the library. Words
-that a task had before are looked up in a table of at most about ``WORDS``.
+texts with a special token's name, and all other files, go to the library.
 
 Defined results: null text is empty, a document of the end id alone. Null ids come
 after all others. Every input row gives one output row, repeated rows included;
@@ -26,12 +25,12 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain, filterfalse, islice
 
 import numpy as np
 import pyarrow as pa
@@ -42,12 +41,10 @@ from pyspark.sql import functions as F
 from . import id_coder
 from .common import checkpoint_dir, releasing, texts, worker_cache
 
-#: Ids of a frame, about; words that a task keeps; texts that are encoded together.
-FRAME, WORDS, TOGETHER = 6_000_000, 500_000, 256
+#: Ids of a frame, about; texts that are taken from Arrow together.
+FRAME, TOGETHER = 6_000_000, 256
 # Fixed value: how byte-level BPE cuts texts before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: A word with the blank before it is cut alone, but for blanks next to blanks and at the end.
-UNEVEN = re.compile(r"\s\s|\s\Z")
 FRAMES = "part int, first long, n_ids long, n_docs long, frame binary"
 ROWS = "part int, doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -91,44 +88,21 @@ class Texts:
             raise ValueError("ids of this tokenizer do not fit 16 bits")
         self.special = [a["content"] for a in spec["added_tokens"]]
         ranks = ranks_of(spec)
-        self.table: dict[str, bytes] = {}
         self.fast = None
         if ranks:
             import tiktoken
 
             self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-            self.blank = np.zeros(1 << 16, bool)
-            self.blank[[i for t, i in ranks.items() if t[:1] == b" "]] = True
 
-    def whole(self, text: str) -> bytes:
+    def encode(self, text: str) -> bytes:
         if self.fast is None or any(s in text for s in self.special):
             ids = self.library.encode(text, add_special_tokens=False).ids
         else:
             ids = self.fast.encode_ordinary(text)
-        return np.array(ids, "<u2").tobytes()
-
-    def add_words(self, new: list[str]) -> None:
-        """Encodes all words at once; a token that begins with a blank begins a word."""
-        ids = np.array(self.fast.encode_ordinary(" " + " ".join(new)), "<u2")
-        starts = np.flatnonzero(self.blank[ids])
-        if len(starts) != len(new):
-            self.table.update((w, self.whole(" " + w)) for w in new)
-            return
-        raw, at = ids.tobytes(), [*(2 * starts).tolist(), 2 * len(ids)]
-        self.table.update(zip(new, map(raw.__getitem__, map(slice, at, at[1:]))))
-
-    def encode(self, batch: list[str]) -> list[bytes]:
-        if self.fast is None:
-            return [self.whole(t) for t in batch]
-        if len(self.table) > WORDS:
-            self.table.clear()
-        even = [not (UNEVEN.search(t) or any(s in t for s in self.special)) for t in batch]
-        parts = [t.split(" ") if e else None for t, e in zip(batch, even)]
-        new = set(filterfalse(self.table.__contains__, chain.from_iterable(islice(p, 1, None) for p in parts if p)))
-        if new:
-            self.add_words(list(new))
-        get = self.table.__getitem__
-        return [self.whole(p[0]) + b"".join(map(get, p[1:])) if p else self.whole(t) for t, p in zip(batch, parts)]
+        out = array("H", ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
 
 
 def framed(ids: list[int | None], tokens: list[bytes]) -> tuple[bytes, int]:
@@ -172,7 +146,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
         for batch in batches:
             for at in range(0, batch.num_rows, TOGETHER):
                 some = batch.slice(at, TOGETHER)
-                for key, got in zip(some.column("doc_id").to_pylist(), coder.encode(some.column("text").to_pylist())):
+                for key, got in zip(some.column("doc_id").to_pylist(), map(coder.encode, some.column("text").to_pylist())):
                     ids.append(key)
                     tokens.append(got + end)
                     held += len(got) // 2 + 1
@@ -180,7 +154,6 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
                         yield flush()
         if ids:
             yield flush()
-        coder.table.clear()
 
     rows = texts(docs).select("doc_id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("row"))
     order = [F.col("doc_id").asc_nulls_last(), "h", "row"]
