@@ -68,6 +68,16 @@ def unescape(text: Column) -> Column:
     return decode(text)
 
 
+def normalised(text: Column) -> Column:
+    """No-break blanks as blanks, composed letters, runs of blanks as one, at most one empty line, trimmed."""
+    return normal_space(nfc(F.regexp_replace(text, "\u00a0", " ")))
+
+
+def decoded(text: Column) -> Column:
+    """Entities decoded, then ``normalised``."""
+    return normalised(unescape(text))
+
+
 def html_text(html: Column, breaks: bool = True) -> Column:
     """Text of a page: scripts, styles and comments go, ends of blocks become line breaks, other tags go."""
     out = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>", " ")

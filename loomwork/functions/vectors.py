@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -56,3 +56,107 @@ def similar_pairs(df: DataFrame, id_col: str, vector: str, least: float, block:
 
     joined = two.join(one, "i").join(other, "j").select("i", "j", "ia", "va", "ib", "vb")
     return joined.mapInArrow(multiply, "a long, b long, sim double")
+
+
+#: Query vectors of a block, and bytes of all query vectors up to which their blocks are broadcast.
+QUERIES, SENT = 256, 64 << 20
+
+
+def scored_blocks(queries: DataFrame, corpus: DataFrame, found, schema: str) -> DataFrame:
+    """``found(query_ids, ids, groups, scores)`` for each block of queries and each batch of the corpus.
+
+    queries: query_id, q; corpus: id, group, v; vectors that are null or empty have
+    no part. A query's vectors are in one block. Batches of the corpus become one
+    row each where they are read and meet the blocks of queries by an equi-join on
+    the block's number: a broadcast one if all queries together are small.
+    """
+    size = lambda c: F.size(c) > 0
+    q = queries.where(size("q")).select(F.col("query_id").cast("long").alias("query_id"), F.col("q").cast("array<float>").alias("q"))
+    about = q.agg(F.count("*").alias("n"), F.sum(F.size("q")).alias("d")).first()
+    blocks = max(1, -(-about.n // QUERIES))
+    packed = q.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("j")).agg(F.sort_array(F.collect_list(F.struct("query_id", "q"))).alias("x"))
+    packed = packed.select("j", F.transform("x", lambda s: s["query_id"]).alias("qi"), F.transform("x", lambda s: s["q"]).alias("qs"))
+    rows = corpus.where(size("v")).select(F.col("id").cast("long").alias("id"), F.col("group").cast("long").alias("group"), F.col("v").cast("array<float>").alias("v"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                whole = pa.array([0, batch.num_rows], pa.int32())
+                lists = [pa.ListArray.from_arrays(whole, batch.column(c)) for c in ("id", "group", "v")]
+                yield pa.RecordBatch.from_arrays(lists, names=["ids", "groups", "vs"])
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        matrix = lambda v: v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v), -1)
+        for batch in batches:
+            for row in range(batch.num_rows):
+                cell = lambda c: batch.column(c)[row].values
+                scores = matrix(cell("qs")) @ matrix(cell("vs")).T
+                ids, groups = cell("ids").to_numpy(), cell("groups").to_numpy(zero_copy_only=False)
+                yield from found(cell("qi").to_numpy(), ids, groups, scores)
+
+    spread = rows.mapInArrow(pack, "ids array<long>, groups array<long>, vs array<array<float>>").select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("j"))
+    small = 4 * (about.d or 0) <= SENT
+    return spread.join(F.broadcast(packed) if small else packed, "j").select("qi", "qs", "ids", "groups", "vs").mapInArrow(multiply, schema)
+
+
+def nearest(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, sim): the ``k`` best of each query, sims clipped at 0 and rounded to six places, ties by smaller id; not the query's own id."""
+
+    def best(query_ids, ids, groups, scores):
+        import numpy as np
+
+        scores = np.round(np.maximum(scores, 0.0), 6)
+        scores[query_ids[:, None] == ids[None, :]] = -1.0
+        some = min(k, scores.shape[1])
+        least = -np.partition(-scores, some - 1, axis=1)[:, some - 1]
+        x, y = np.nonzero((scores >= least[:, None]) & (scores >= 0))
+        order = np.lexsort((ids[y], -scores[x, y], x))
+        x, y = x[order], y[order]
+        first = np.arange(len(x)) - np.searchsorted(x, x)  # place among the rows of its query
+        x, y = x[first < k], y[first < k]
+        yield pa.RecordBatch.from_arrays([pa.array(query_ids[x]), pa.array(ids[y]), pa.array(scores[x, y])], names=["query_id", "id", "sim"])
+
+    rows = scored_blocks(queries, corpus.withColumn("group", F.lit(0)), best, "query_id long, id long, sim double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "id"))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def group_scores(queries: DataFrame, corpus: DataFrame, low: float, top: int = 5) -> DataFrame:
+    """(query_id, group, best, above, top): for each query and group of the corpus the best score, how many vectors reach ``low``, and the ``top`` best.
+
+    A query may have several vectors: a corpus vector counts with its best one. A
+    block gives one row for each query and group in it, so lists stay short.
+    """
+
+    def by_group(query_ids, ids, groups, scores):
+        import numpy as np
+
+        scores[query_ids[:, None] == ids[None, :]] = -np.inf
+        starts = np.flatnonzero(np.r_[True, query_ids[1:] != query_ids[:-1]])
+        scores = np.maximum.reduceat(scores, starts, axis=0)
+        order = np.argsort(groups, kind="stable")
+        scores, ids, groups = scores[:, order], ids[order], groups[order]
+        edges = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1], True])
+        best = np.maximum.reduceat(scores, edges[:-1], axis=1)
+        above = np.add.reduceat((scores >= low).astype(np.int64), edges[:-1], axis=1)
+        lists, sizes = [], []
+        for q in range(len(scores)):
+            for a, b in zip(edges, edges[1:]):
+                first = a + np.lexsort((ids[a:b], -scores[q, a:b]))[:top]
+                first = first[scores[q, first] > -np.inf]
+                lists += [{"score": float(scores[q, i]), "id": int(ids[i])} for i in first]
+                sizes.append(len(first))
+        here = np.repeat(query_ids[starts], len(edges) - 1)
+        some = best.ravel() > -np.inf
+        kind = pa.struct([("score", pa.float64()), ("id", pa.int64())])
+        tops = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(lists, kind))
+        out = pa.RecordBatch.from_arrays([pa.array(here), pa.array(np.tile(groups[edges[:-1]], len(scores))), pa.array(best.ravel()), pa.array(above.ravel()), tops], names=["query_id", "group", "best", "above", "top"])
+        yield out.filter(pa.array(some))
+
+    rows = scored_blocks(queries, corpus, by_group, "query_id long, group long, best double, above long, top array<struct<score:double,id:long>>")
+    order = lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).otherwise(F.when(a["id"] < b["id"], -1).otherwise(1))
+    return rows.groupBy("query_id", "group").agg(
+        F.max("best").alias("best"), F.sum("above").alias("above"), F.slice(F.array_sort(F.flatten(F.collect_list("top")), order), 1, top).alias("top")
+    )

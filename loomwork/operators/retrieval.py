@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..functions.vectors import group_scores
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -111,3 +112,19 @@ def reranked(scored: DataFrame, logit: str, first: str, by: str | None = None, w
     pair = F.coalesce(1 / (1 + F.exp(-F.col(logit))), F.lit(0.5))
     scaled = min_max(scored, first, "_scaled", by)
     return scaled.withColumn("rerank", weights[0] * pair + weights[1] * F.coalesce("_scaled", F.lit(0.0))).drop("_scaled")
+
+
+# A page is confirmed by one chunk this close, or by so many chunks that are fairly close.
+HIGH, LOW, CHUNKS = 0.75, 0.45, 3
+
+
+def page_decisions(changes: DataFrame, chunks: DataFrame, high: float = HIGH, low: float = LOW, least: int = CHUNKS, candidates: DataFrame | None = None) -> DataFrame:
+    """(query_id, group, best, above, top, decision) of each change and page: ``single_chunk_high``, ``multi_chunk_medium`` or null.
+
+    changes: query_id, q (a vector for each chunk of the change); chunks: id, group
+    (the page), v. With ``candidates`` (group) only their chunks are compared.
+    """
+    own = chunks if candidates is None else chunks.join(candidates.select("group").distinct(), "group", "left_semi")
+    rows = group_scores(changes, own, low)
+    decision = F.when(F.col("best") >= high, "single_chunk_high").when(F.col("above") >= least, "multi_chunk_medium")
+    return rows.withColumn("decision", decision)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.vectors import dot, similar_pairs
+from ..functions.vectors import nearest, similar_pairs
 from ..operators import graph as G
 from ..operators import retrieval as R
 from ..sources.tables import table
@@ -76,18 +76,19 @@ def query_vectors(s, d):
     return emb(s, d).where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
 
 
+def vectors_of(s, d):
+    return emb(s, d).select(F.col("vec_id").alias("id"), F.col("label").alias("group"), F.col("embedding").alias("v"))
+
+
 def page_decision(s, d):
-    """Chunks (vectors) of pages (labels) against each query vector: best scores and the decision."""
-    chunk = emb(s, d).crossJoin(query_vectors(s, d)).where("vec_id <> query_id").withColumn("m", dot(F.col("embedding"), F.col("q")))
-    out = chunk.groupBy("query_id", "label").agg(F.max("m").alias("best"), F.count_if(F.col("m") >= 0.25).alias("medium"))
-    decision = F.when(F.col("best") >= 0.35, "single_chunk_high").when(F.col("medium") >= 3, "multi_chunk_medium")
-    return out.select("query_id", "label", F.round("best", 6).alias("best"), "medium", decision.alias("decision"))
+    """Chunks (vectors) of pages (labels) against each query vector: best scores, the five best chunks and the decision."""
+    out = R.page_decisions(query_vectors(s, d), vectors_of(s, d), 0.35, 0.25)
+    ids = F.array_join(F.transform("top", lambda x: x["id"].cast("string")), ",")
+    return out.select("query_id", F.col("group").cast("int").alias("label"), F.round("best", 6).alias("best"), F.col("above").alias("medium"), "decision", ids.alias("top5"))
 
 
 def nearest_query(s, d):
-    near = emb(s, d).crossJoin(query_vectors(s, d)).where("vec_id <> query_id")
-    sims = near.select("query_id", "vec_id", F.round(F.greatest(F.lit(0.0), dot(F.col("embedding"), F.col("q"))), 6).alias("sim"))
-    return R.best(sims, "sim", "vec_id", 10, "query_id")
+    return nearest(query_vectors(s, d), vectors_of(s, d), 10).select("query_id", F.col("id").alias("vec_id"), "sim")
 
 
 def seeds(s, d):
@@ -155,9 +156,9 @@ select query_id, doc_id, cast(r1 as int) as r1, cast(r2 as int) as r2, round(1.0
     ),
     "page_decision": (
         page_decision,
-        f"""select query_id, label, round(best, 6) as best, medium, case when best >= 0.35 then 'single_chunk_high' when medium >= 3 then 'multi_chunk_medium' end as decision
-from (select query_id, label, max(m) as best, count(*) filter (m >= 0.25) as medium from (
-  select q.vec_id as query_id, e.label, {DOT.format(a='e.embedding', b='q.embedding')} as m
+        f"""select query_id, label, round(best, 6) as best, medium, case when best >= 0.35 then 'single_chunk_high' when medium >= 3 then 'multi_chunk_medium' end as decision, top5
+from (select query_id, label, max(m) as best, count(*) filter (m >= 0.25) as medium, array_to_string(list(vec_id order by m desc, vec_id)[1:5], ',') as top5 from (
+  select q.vec_id as query_id, e.label, e.vec_id, {DOT.format(a='e.embedding', b='q.embedding')} as m
   from embeddings e join embeddings q on q.vec_id % 100 = 0 and e.vec_id <> q.vec_id) group by 1, 2)""",
     ),
     "graph_propagation": (propagated, f"{PROP} select id, round(boost, 6) as boost from boost"),
