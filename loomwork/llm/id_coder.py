@@ -60,7 +60,11 @@ class Order0:
 
 
 class Mixer:
-    """The state of all blocks of a frame. Truth values are 0 and 1 in 32 bits, so that choices are sums of products."""
+    """The state of all blocks of a frame.
+
+    Truth values are 0 and 1 in 32 bits, so that choices are sums of products.
+    Places are always within their tables; ``mode="clip"`` only spares their check.
+    """
 
     def __init__(self, blocks: int):
         self.t1, self.t2 = np.zeros(blocks * SLOTS, np.int32), np.zeros(blocks * SLOTS, np.int32)
@@ -79,17 +83,17 @@ class Mixer:
         turned = self.p1 * np.int32(25013)
         self.i1 = (turned >> 7 & SLOTS - 1) + self.base
         self.i2 = ((turned ^ self.p2 * np.int32(15269)) >> 6 & SLOTS - 1) + self.base
-        one, e2 = self.t1.take(self.i1), self.t2.take(self.i2)
+        one, e2 = self.t1.take(self.i1, mode="clip"), self.t2.take(self.i2, mode="clip")
         self.n, self.two = e2 & 3, e2 >> 2
         self.guess = one + (self.two - one) * (self.n > 0)
         self.at = (self.n << 1) + (one == self.two) + self.base8
-        self.weight = self.w.take(self.at)
+        self.weight = self.w.take(self.at, mode="clip")
         self.f = (self.weight * np.int32((ONE - ROOM) >> 2) >> 13) + 16
 
     def learn(self, ids: np.ndarray, hit: np.ndarray) -> None:
         """``ids`` were next; hit: as guessed."""
         self.w[self.at] = self.weight + ((hit * np.int32(ONE // 2 - 1) - self.weight) >> 4)
-        self.t2[self.i2] = SURER.take((self.n << 1) + (self.two == ids)) + (ids << 2)
+        self.t2[self.i2] = SURER.take((self.n << 1) + (self.two == ids), mode="clip") + (ids << 2)
         self.t1[self.i1] = ids
         self.p2, self.p1 = self.p1, ids
 
@@ -110,8 +114,10 @@ def encode_blocks(ids: np.ndarray, order0: Order0) -> tuple[np.ndarray, np.ndarr
     who: list[np.ndarray] = []
     what: list[np.ndarray] = []
 
+    number = np.uint16 if len(size) < ONE else np.int32  # short numbers are sorted by digits
+
     def put(blocks: np.ndarray, words: np.ndarray) -> None:
-        who.append(blocks.astype(np.int32))
+        who.append(blocks.astype(number))
         what.append(words.astype(np.int32))
 
     active, ended = len(size), []
@@ -121,15 +127,15 @@ def encode_blocks(ids: np.ndarray, order0: Order0) -> tuple[np.ndarray, np.ndarr
             ended.append((np.arange(left, active), low[left:]))
             active, low, span, starts = left, low[:left].copy(), span[:left].copy(), starts[:left]
             mixer.narrow(left)
-        now = wide.take(starts + t)
+        now = wide.take(starts + t, mode="clip")
         mixer.predict()
         hit = (mixer.guess == now).astype(np.int32)
         miss = 1 - hit
         part = span >> 16
         low += part * (mixer.f * miss)
         part = part * (mixer.f + (ONE - 2 * mixer.f) * miss) >> 20
-        low += part * (order0.cum.take(now) * miss)
-        span = part * ((order0.freq.take(now) - ALL) * miss + ALL)
+        low += part * (order0.cum.take(now, mode="clip") * miss)
+        span = part * ((order0.freq.take(now, mode="clip") - ALL) * miss + ALL)
         full = np.flatnonzero(span < 1 << 32)
         while len(full):
             value = low.take(full)
@@ -176,10 +182,10 @@ def decode_blocks(n: int, order0: Order0, counts: np.ndarray, words: np.ndarray)
         code -= bound * miss
         part = part * (mixer.f + (ONE - 2 * mixer.f) * miss) >> 20
         place = np.minimum((code / part).astype(np.int64), ALL - 1)  # both below 2**53 and the quotient below 2**21: its floor is exact
-        other = order0.place.take(place)
+        other = order0.place.take(place, mode="clip")
         now = mixer.guess + (other - mixer.guess) * miss
-        code -= part * (order0.cum.take(other) * miss)
-        span = part * ((order0.freq.take(other) - ALL) * miss + ALL)
+        code -= part * (order0.cum.take(other, mode="clip") * miss)
+        span = part * ((order0.freq.take(other, mode="clip") - ALL) * miss + ALL)
         full = np.flatnonzero(span < 1 << 32)
         while len(full):
             where = at.take(full)
