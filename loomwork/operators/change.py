@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import normalised
 from .runs import sunday_week
 
 
@@ -135,3 +136,65 @@ def weekly_precision(rows: DataFrame, stamp: str, useful: str = "useful") -> Dat
     weeks = rows.where(F.col(stamp).isNotNull()).groupBy(sunday_week(F.col(stamp)).cast("string").alias("week"))
     out = weeks.agg(F.count_if(F.col("category") == useful).alias("useful"), F.count("*").alias("total"))
     return out.withColumn("precision", F.col("useful") / F.col("total"))
+
+
+# Headings of the two lists of a notification, in their order.
+SECTIONS = {"CHANGE_REQUIRED": "AMENDMENT REQUIRED", "UNCERTAIN": "ITEMS REQUIRING HUMAN REVIEW"}
+# What stands before the items of a feed's text, and between their parts.
+NEW, MUTATED, PARTS = "[NEW ITEM]", "[MUTATED ITEM]", "\n---\n"
+
+
+def routed(assessments: DataFrame) -> DataFrame:
+    """(run_id, page_id, section, place): what a run's notification lists; NO_CHANGE and unknown verdicts are in none."""
+    pairs = [x for i, (v, h) in enumerate(SECTIONS.items()) for x in (F.lit(v), F.struct(F.lit(h).alias("section"), F.lit(i).alias("place")))]
+    found = F.element_at(F.create_map(*pairs), F.col("verdict"))
+    return assessments.select("run_id", "page_id", found.alias("s")).where("s is not null").select("run_id", "page_id", "s.section", "s.place")
+
+
+def notifications(assessments: DataFrame) -> DataFrame:
+    """(run_id, sent, change_required, uncertain, no_change, reason): whether a run has something to send; a run without is told why."""
+    of = lambda v: F.count_if(F.col("verdict") == v)
+    out = assessments.groupBy("run_id").agg(of("CHANGE_REQUIRED").alias("change_required"), of("UNCERTAIN").alias("uncertain"), of("NO_CHANGE").alias("no_change"))
+    sent = F.col("change_required") + F.col("uncertain") > 0
+    return out.select("run_id", sent.alias("sent"), "change_required", "uncertain", "no_change", F.when(~sent, "no_alerts").alias("reason"))
+
+
+def feed_text(new: Column, mutated: Column) -> Column:
+    """The text of a feed's changes: new items, then mutated ones, each title, description and content; empty parts and items are left out.
+
+    Both are arrays of structs (title, description, content_encoded), null for none.
+    """
+
+    def block(mark: str):
+        def one(x: Column) -> Column:
+            parts = F.filter(F.array(x["title"], x["description"], x["content_encoded"]), lambda p: F.length(p) > 0)
+            return F.when(F.size(parts) > 0, F.concat(F.lit(f"{mark}\n"), F.array_join(parts, PARTS)))
+
+        return one
+
+    listed = lambda items, mark: F.coalesce(F.transform(items, block(mark)), F.array().cast("array<string>"))
+    blocks = F.array_compact(F.concat(listed(new, NEW), listed(mutated, MUTATED)))
+    return normalised(F.array_join(blocks, "\n\n"))
+
+
+def sitemap_date(text: Column) -> Column:
+    """The day of a sitemap's date: ``2024-01-31``, alone or with a time; null if it is none."""
+    bare = F.trim(text)
+    good = bare.rlike(r"^\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}:\d{2}.*)?") & F.length(bare).isNotNull()
+    return F.when(good, F.left(bare, F.lit(10)).try_cast("date"))
+
+
+def register_date(text: Column) -> Column:
+    """The day of a register's date, ``31/1/2024`` or ``31/01/24`` (69 to 99 are of the last century); null if it is none."""
+    bare = F.trim(text)
+    part = lambda k: F.regexp_extract(bare, r"^(\d{1,2})/(\d{1,2})/(\d{4}|\d{2})$", k)
+    short = part(3).try_cast("int")
+    year = F.when(F.length(part(3)) == 2, short + F.when(short >= 69, 1900).otherwise(2000)).otherwise(short)
+    day = F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(part(2), 2, "0"), F.lpad(part(1), 2, "0"))
+    return F.when(part(1) != "", day.try_cast("date"))
+
+
+def sitemap_order(rows: DataFrame) -> DataFrame:
+    """Rows with an id first, by id; those without behind, by address."""
+    key = F.coalesce("page_id", F.lit(""))
+    return rows.orderBy(key == "", F.when(key == "", F.col("url")).otherwise(key), "url")

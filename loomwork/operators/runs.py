@@ -317,3 +317,55 @@ def pass_rates(runs: DataFrame, stages: int = 9) -> DataFrame:
     shares = F.array(*[F.count_if(F.col("s") >= k) / F.count("*") for k in range(1, stages + 1)])
     spread = rows.groupBy("source_id").agg(shares.alias("shares")).select("source_id", F.posexplode("shares"))
     return spread.select("source_id", (F.col("pos") + 1).alias("stage"), F.col("col").alias("pass_rate"))
+
+
+# Days of the named spans of time.
+SPANS = {"7D": 7, "30D": 30, "90D": 90, "180D": 180, "365D": 365}
+
+
+def span_of(preset: str | None, today: str, first: str | None = None, last: str | None = None) -> tuple[str | None, str | None]:
+    """(first, last) day of a filter: given ones as they are, else those of a named span that ends today."""
+    import datetime
+
+    if first or preset not in SPANS:
+        return first, last
+    return (datetime.date.fromisoformat(today) - datetime.timedelta(days=SPANS[preset])).isoformat(), today
+
+
+def with_pages(funnel_rows: DataFrame, runs: DataFrame, stage: int = 7) -> DataFrame:
+    """``funnel`` with a stage more: how many different pages the rows triggered."""
+    pages = runs.select(F.explode("triggered").alias("p")).agg(F.count_distinct("p").alias("n"))
+    last = pages.select(F.lit(stage).alias("stage"), "n", F.lit("pages").alias("unit"))
+    return funnel_rows.select("stage", "n", F.lit("runs").alias("unit")).unionByName(last)
+
+
+def stage_matrix(sources: DataFrame, runs: DataFrame, stages: int = 9) -> DataFrame:
+    """(source_id, stage, passed, rejected, errored, unreached) for every source and stage, zeros for sources without rows.
+
+    Each row is counted once at its own stage; what lies before and behind is a
+    running sum over the stages of a source.
+    """
+    s = F.least(stage_number(F.col("stage_reached")), F.lit(stages))
+    at = runs.select("source_id", s.alias("stage"), "outcome").groupBy("source_id", "stage").agg(
+        F.count("*").alias("n"), F.count_if(F.col("outcome") == "completed").alias("done"), errors().alias("errored")
+    )
+    grid = sources.select("source_id").distinct().select("source_id", F.explode(F.sequence(F.lit(0), F.lit(stages))).alias("stage"))
+    full = grid.join(at, ["source_id", "stage"], "left").na.fill(0, ["n", "done", "errored"])
+    by = Window.partitionBy("source_id").orderBy("stage")
+    before = F.coalesce(F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    behind = F.coalesce(F.sum("n").over(by.rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
+    rows = full.withColumn("unreached", before).withColumn("passed", behind + F.col("done"))
+    return rows.where("stage > 0").select("source_id", "stage", "passed", (F.col("n") - F.col("done") - F.col("errored")).alias("rejected"), "errored", "unreached")
+
+
+def run_status(outcome: Column) -> Column:
+    """OK, ERROR or another outcome in capitals; IDLE without a run."""
+    return F.when(outcome.isNull(), "IDLE").when(outcome == "error", "ERROR").when(outcome.isin("completed", "no_change"), "OK").otherwise(F.upper(outcome))
+
+
+def latest_run(runs: DataFrame) -> DataFrame:
+    """One row: the latest run, the status of its last row, and its deepest stage; IDLE if there is none."""
+    last = runs.agg(F.max_by(F.struct("run_id", "outcome"), F.struct("ts", "event_id")).alias("x"))
+    deep = runs.join(F.broadcast(last.select(F.col("x.run_id").alias("run_id"))), "run_id", "left_semi").agg(F.max(stage_number(F.col("stage_reached"))).alias("deepest"))
+    one = last.crossJoin(deep)  # two rows of one value each
+    return one.select(F.col("x.run_id").alias("run_id"), run_status(F.col("x.outcome")).alias("status"), F.coalesce("deepest", F.lit(0)).alias("deepest"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import corpus_queries, layer_queries, monitoring_queries, retrieval_queries, run_queries, section_queries
+from . import corpus_queries, layer_queries, monitoring_queries, page_queries, retrieval_queries, run_queries, section_queries
 
-GROUPS = [run_queries.QUERIES, retrieval_queries.QUERIES, corpus_queries.QUERIES, monitoring_queries.QUERIES, section_queries.QUERIES, layer_queries.QUERIES]
+GROUPS = [run_queries.QUERIES, retrieval_queries.QUERIES, corpus_queries.QUERIES, monitoring_queries.QUERIES, section_queries.QUERIES, layer_queries.QUERIES, page_queries.QUERIES]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
