@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import join_spread
+
+#: Frequent lines that are written into a plan.
+FEW = 10_000
+
 
 def cutoff(df: DataFrame, share: float) -> int:
     """At least 2, else the truncated share of the rows."""
@@ -25,8 +30,16 @@ def frequent_lines(docs: DataFrame, id_col: str, text_col: str, share: float, sh
 def strip_lines(docs: DataFrame, frequent: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text, removed): texts without the frequent lines, and how many characters went.
 
-    Lines are matched by a join, so the list of frequent ones may be of any size.
+    Lines that stand on a share of all documents are few: no more than the lines of
+    an average document over that share. Up to ``FEW`` of them are a list in the
+    plan and no row travels; a longer list is joined.
     """
+    bad = [r.line for r in frequent.select("line").limit(FEW + 1).collect()]
+    if len(bad) <= FEW:
+        raw = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
+        is_bad = lambda x: F.trim(x).isin(bad) if bad else F.lit(False)
+        gone = F.aggregate(F.filter(raw, is_bad), F.lit(0).cast("long"), lambda n, x: n + F.length(x))
+        return docs.select(id_col, F.array_join(F.filter(raw, lambda x: ~is_bad(x)), "\n").alias("text"), gone.alias("removed"))
     rows = docs.select(id_col, F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("i", "raw"))
     marked = rows.withColumn("line", F.trim("raw")).join(frequent.select("line", F.lit(True).alias("bad")), "line", "left")
     kept = F.sort_array(F.collect_list(F.when(F.col("bad").isNull(), F.struct("i", "raw"))))
@@ -35,11 +48,15 @@ def strip_lines(docs: DataFrame, frequent: DataFrame, id_col: str, text_col: str
 
 
 def exact_duplicates(docs: DataFrame, id_col: str, text_col: str, age: Column) -> DataFrame:
-    """(id, duplicate_of): the earliest of each text is the original; missing ages come last, then the smaller id."""
+    """(id, duplicate_of): the earliest of each text is the original; missing ages come last, then the smaller id.
+
+    A text that many documents share is one row of the originals, sent to all tasks.
+    """
     key = F.struct(F.coalesce(F.nullif(age, F.lit("")), F.lit("9999-99-99")).alias("age"), F.col(id_col).alias("id"))
-    hashed = docs.select(F.col(id_col), F.sha2(F.col(text_col), 256).alias("hash"), key.alias("key"))
-    first = hashed.groupBy("hash").agg(F.min("key").alias("first"))
-    return hashed.join(first, "hash").where(F.col(id_col) != F.col("first.id")).select(id_col, F.col("first.id").alias("duplicate_of"))
+    hashed = docs.select(F.col(id_col), F.sha2(F.col(text_col), 256).alias("hash"), key.alias("key")).where("hash is not null")
+    first = hashed.groupBy("hash").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1")
+    found = join_spread(hashed, first, "hash", "n")
+    return found.where(F.col(id_col) != F.col("first.id")).select(id_col, F.col("first.id").alias("duplicate_of"))
 
 
 def sweep_frequent(phrases: DataFrame, page: str, phrase: str, share: float, least_pages: int = 5) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import similar_pairs
+from ..sources.shared import cut
 
 
 def embedding_edges(df: DataFrame, id_col: str, vector: str, top_k: int = 5, least: float = 0.40, weight: float = 1.0) -> DataFrame:
@@ -74,7 +75,7 @@ def groups(pairs: DataFrame) -> DataFrame:
     label = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).withColumnRenamed("a", "id").checkpoint()
     while True:
         near = both.join(label, both["b"] == label["id"]).groupBy("a").agg(F.min("root").alias("m"))
-        new = label.join(near, label["id"] == near["a"]).select("id", F.col("root").alias("old"), F.least("root", "m").alias("root")).checkpoint()
+        new = cut(label.join(near, label["id"] == near["a"]).select("id", F.col("root").alias("old"), F.least("root", "m").alias("root")))
         if new.where("root < old").isEmpty():
             return new.select("id", "root")
         label = new.select("id", "root")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import cut
+from ..sources.shared import cut, join_spread
 from .monitoring import valid_phrase
 
 # Phrases for so many words, at least and at most; the pool is three times that; similar phrases from this on.
@@ -14,8 +14,6 @@ PER_WORDS, FEWEST, MOST, POOL, SIMILAR, SHORTEST = 80, 5, 15, 3, 0.7, 3
 RUN = 3
 #: Words that no phrase begins or ends with.
 STOPWORDS = "a an and are as at be by for from in is it of on or that the these this those to was were with".split()
-#: A phrase that more than 1 of so many (document, phrase) rows have is joined by broadcast: there are fewer than so many such phrases.
-SPREAD = 20_000
 
 
 def wanted(words: Column) -> Column:
@@ -36,22 +34,6 @@ def runs(text: Column, stopwords: list[str] = STOPWORDS, longest: int = RUN) ->
     return F.flatten(F.transform(words, lambda s: F.concat(*[of(s, k) for k in range(1, longest + 1)])))
 
 
-def with_document_frequency(rows: DataFrame) -> DataFrame:
-    """Adds df, in how many documents a phrase is, to one row for each (doc, phrase).
-
-    Frequent phrases are keys that a large part of the rows share. Fewer than
-    ``SPREAD`` phrases can be on more than 1 of ``SPREAD`` rows, so these are
-    broadcast; the others have no large key and are shuffled.
-    """
-    counts = rows.groupBy("phrase").agg(F.count("*").alias("df"))
-    least = rows.count() / SPREAD
-    often = rows.join(F.broadcast(counts.where(F.col("df") > least)), "phrase")
-    seldom = counts.where(F.col("df") <= least)
-    often_names = counts.where(F.col("df") > least).select("phrase")
-    rest = rows.join(F.broadcast(often_names), "phrase", "left_anti").join(seldom, "phrase")
-    return often.unionByName(rest)
-
-
 def scored_phrases(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, phrase, tf, df, score, n): each phrase of a document; lower scores are better. n: how many the document gets.
 
@@ -62,7 +44,7 @@ def scored_phrases(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     found = own.select("doc", wanted(words).alias("n"), runs(F.col("text")).alias("p"))
     tf = cut(found.select("doc", "n", F.explode("p").alias("phrase")).groupBy("doc", "phrase").agg(F.count("*").alias("tf"), F.max("n").alias("n")))
     total = docs.count()
-    rows = with_document_frequency(tf)
+    rows = join_spread(tf, tf.groupBy("phrase").agg(F.count("*").alias("df")), "phrase", "df")
     score = 1 / (1 + F.col("tf") * (F.log((F.lit(total) + 1) / (F.col("df") + 1)) + 1))
     return rows.select(F.col("doc").alias(id_col), "phrase", "tf", "df", F.round(score, 9).alias("score"), "n")
 

@@ -7,6 +7,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import numbered
+
 
 def projected(df: DataFrame, id_col: str, vector: str, dims: int = 2) -> DataFrame:
     """(id, point): principal components, each axis scaled to -1..1; fewer than three rows are at zero.
@@ -35,10 +37,10 @@ def clusters(points: DataFrame, id_col: str, point: str, k: int, rounds: int = 1
     k = min(k, n)
     if not k:
         return points.select(id_col, F.lit(0).alias("cluster"))
-    # The seeds are the rows of rank floor(i * n / k); ranking by range avoids one task with all rows.
-    bounds = points.select(F.percentile(F.col(id_col), F.array(*[F.lit(min(1.0, (i * n // k) / max(1, n - 1))) for i in range(k)]))).first()[0]
-    picked = [points.where(F.col(id_col) >= b - 1e-9).orderBy(id_col).first()[point] for b in bounds]
-    centres = [list(map(float, p)) for p in picked]
+    wanted = [i * n // k for i in range(k)]
+    seeds = numbered(points, "_place", F.col(id_col)).where(F.col("_place").isin(wanted)).select("_place", point).collect()
+    found = {r["_place"]: list(map(float, r[point])) for r in seeds}
+    centres = [found[w] for w in wanted]
     for _ in range(rounds):
         labelled = assigned(points, point, centres)
         dims = len(centres[0])

@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..operators import change as C
 from ..operators import corpus as K
 from ..operators import guarded_sql, ml
+from ..operators import line_diff as L
 from ..sources import tables as S
 from ..sources.tables import table
 
@@ -100,13 +101,20 @@ def turns(s, d, role):
 
 
 def positional(s, d):
-    return C.line_changes(turns(s, d, 0), turns(s, d, 1), "conv_id", "text")
+    """Each turn of a conversation against the next, by position."""
+    both = each_turn(s, d).withColumn("pair", F.concat_ws(":", "conv_id", "turn"))
+    found = C.line_changes(both.select("pair", F.col("old").alias("text")), both.select("pair", F.col("new").alias("text")), "pair", "text")
+    part = lambda k: F.split_part("pair", F.lit(":"), F.lit(k)).cast("long")
+    return found.select(part(1).alias("conv_id"), part(2).alias("turn"), "line")
+
+
+def each_turn(s, d):
+    return L.with_next(table(s, d, "conversations"), "conv_id", "turn", "text")
 
 
 def diffs(s, d):
-    both = turns(s, d, 0).join(turns(s, d, 2).withColumnRenamed("text", "new"), "conv_id")
-    diff = both.select("conv_id", C.unified_diff(F.col("text"), F.col("new")).alias("diff"))
-    return diff.select("conv_id", F.size(C.changed_lines(F.col("diff"))).alias("changed"), F.length("diff").alias("size"))
+    diff = each_turn(s, d).select("conv_id", "turn", C.unified_diff(F.col("old"), F.col("new")).alias("diff"))
+    return diff.select("conv_id", "turn", F.size(C.changed_lines(F.col("diff"))).alias("changed"), F.length("diff").alias("size"))
 
 
 def prints(s, d):
@@ -230,9 +238,10 @@ select c_custkey, c_acctbal from customer where c_custkey not in (select c_custk
     "edge_weights": (edge_weights, "select l_suppkey as source, l_partkey as target, l_returnflag as edge_type, max(l_quantity) as weight from lineitem group by all"),
     "line_positions": (
         positional,
-        """with a as (select conv_id, unnest(string_split(text, chr(10))) as t, unnest(range(0, len(string_split(text, chr(10))))) as i from conversations where turn = 0),
-b as (select conv_id, unnest(string_split(text, chr(10))) as t, unnest(range(0, len(string_split(text, chr(10))))) as i from conversations where turn = 1)
-select coalesce(a.conv_id, b.conv_id) as conv_id, cast(coalesce(a.i, b.i) + 1 as int) as line from a full join b on a.conv_id = b.conv_id and a.i = b.i where a.t is distinct from b.t""",
+        """with p as (select a.conv_id, a.turn, a.text as x, b.text as y from conversations a join conversations b on b.conv_id = a.conv_id and b.turn = a.turn + 1),
+a as (select conv_id, turn, unnest(string_split(x, chr(10))) as t, unnest(range(0, len(string_split(x, chr(10))))) as i from p),
+b as (select conv_id, turn, unnest(string_split(y, chr(10))) as t, unnest(range(0, len(string_split(y, chr(10))))) as i from p)
+select coalesce(a.conv_id, b.conv_id) as conv_id, coalesce(a.turn, b.turn) as turn, cast(coalesce(a.i, b.i) + 1 as int) as line from a full join b on a.conv_id = b.conv_id and a.turn = b.turn and a.i = b.i where a.t is distinct from b.t""",
     ),
     "unified_diffs": (diffs, None),
     "fingerprints": (prints, None),

@@ -48,8 +48,8 @@ def probes(s, d):
 def scores(s, d):
     p = table(s, d, "part").select(F.col("p_partkey").alias("page_id"))
     li = table(s, d, "lineitem")
-    a = li.where("l_quantity > 48").groupBy(F.col("l_partkey").alias("page_id")).agg(F.max("l_discount").alias("relevance"))
-    b = li.where("l_quantity < 2").groupBy(F.col("l_partkey").alias("page_id")).agg(F.max("l_tax").alias("semantic"))
+    a = li.groupBy(F.col("l_partkey").alias("page_id")).agg(F.max("l_discount").alias("relevance"))
+    b = li.groupBy(F.col("l_suppkey").alias("page_id")).agg(F.max("l_tax").alias("semantic"))  # parts beyond the suppliers' numbers have none
     return M.stitched(p, a, b)
 
 
@@ -100,7 +100,7 @@ def health(s, d):
 def matrix(s, d):
     """Sources by stage: rows that stopped at each."""
     r = run_log(s, d)
-    return r.groupBy("source_id").pivot("stage_reached", ["stage1", "stage2", "stage4", "stage6_complete"]).count().na.fill(0)
+    return r.groupBy("source_id").pivot("stage_reached", list(R.STAGE_NUMBER)).count().na.fill(0)
 
 
 QUERIES = {
@@ -131,8 +131,8 @@ where l_partkey % 50 % 4 <> 0 and l_suppkey % 50 % 4 <> 0 and l_partkey % 50 in
     ),
     "stitched_scores": (
         scores,
-        """select p_partkey as page_id, coalesce(max(l_discount) filter (l_quantity > 48), 0) as relevance, coalesce(max(l_tax) filter (l_quantity < 2), 0) as semantic
-from part left join lineitem on l_partkey = p_partkey group by 1""",
+        """select p_partkey as page_id, coalesce(a.x, 0) as relevance, coalesce(b.x, 0) as semantic from part
+left join (select l_partkey, max(l_discount) as x from lineitem group by 1) a on l_partkey = p_partkey left join (select l_suppkey, max(l_tax) as x from lineitem group by 1) b on l_suppkey = p_partkey""",
     ),
     "free_text_search": (searched, "select p_partkey, p_brand from part where lower(p_brand) like '%brand#1%' or lower(p_type) like '%brand#1%' or lower(p_name) like '%brand#1%'"),
     "json_fields": (json_fields, "select event_id, cast(json_extract_string(props, '$.k') as int) as k, json_extract_string(props, '$.a[0].b') as none from events"),
@@ -159,7 +159,7 @@ from runs where ts >= timestamp '2024-01-10'""",
     ),
     "source_stage_matrix": (
         matrix,
-        f"""with {RUNS} select source_id, {", ".join(f"count(*) filter (stage_reached = '{x}') as {x}" for x in ("stage1", "stage2", "stage4", "stage6_complete"))} from runs group by source_id""",
+        f"""with {RUNS} select source_id, {", ".join(f"count(*) filter (stage_reached = '{x}') as {x}" for x in R.STAGE_NUMBER)} from runs group by source_id""",
     ),
     "next_page_number": (
         lambda s, d: M.next_number(table(s, d, "customer"), "c_name"),

@@ -138,3 +138,38 @@ def test_spans_of_time():
     assert R.span_of("30D", "2024-03-10") == ("2024-02-09", "2024-03-10")
     assert R.span_of("30D", "2024-03-10", "2024-01-01", None) == ("2024-01-01", None)
     assert R.span_of(None, "2024-03-10") == (None, None) == R.span_of("7 days", "2024-03-10")
+
+
+# -- helpers ---------------------------------------------------------------------------
+
+
+def test_places_over_all_rows(spark):
+    from loomwork.sources.shared import numbered
+
+    frame = spark.createDataFrame([(k * 7919 % 1000, "x") for k in range(1000)], "v long, t string").repartition(7)
+    got = {r.v: r.n for r in numbered(frame, "n", F.col("v").desc()).collect()}
+    assert got == {v: 999 - v for v in range(1000)}
+    assert numbered(frame.where("false"), "n", F.col("v")).collect() == []
+
+
+@pytest.mark.parametrize("spread", [20_000, 3])
+def test_joins_with_frequent_keys(spark, monkeypatch, spread):
+    from loomwork.sources import shared
+
+    monkeypatch.setattr(shared, "SPREAD", spread)
+    rows = spark.createDataFrame([(k, "hot" if k % 2 else f"k{k % 7}") for k in range(100)] + [(200, None)], "id long, key string")
+    totals = rows.groupBy("key").agg(F.count("*").alias("n"))
+    got = {r.id: r.n for r in shared.join_spread(rows, totals, "key", "n").collect()}
+    count = {r.key: r.n for r in totals.collect()}
+    assert got == {r.id: count[r.key] for r in rows.collect() if r.key is not None}
+
+
+def test_select_keeps_quoted_text(spark):
+    from loomwork.operators import guarded_sql
+
+    text = """/* c */ select '--x' as a, "/* y */" as b, 'it''s' as c -- tail\n;"""
+    assert tuple(guarded_sql.select(spark, text).first()) == ("--x", "/* y */", "it's")
+    spark.range(5).select(F.col("id").alias("a.b"), F.lit(b"xy").alias("c`d")).createOrReplaceTempView("odd_names")
+    rows, n, warning = guarded_sql.answer(spark, "select * from odd_names", 2)
+    assert (rows.count(), n, warning) == (2, 5, "Result truncated to 2 of 5 rows.") and rows.columns == ["a.b", "c`d"] and rows.first()[1] == "<BLOB 2 B>"
+    assert guarded_sql.answer(spark, "select 1 as x")[1:] == (1, None)

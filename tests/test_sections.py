@@ -11,6 +11,7 @@ from loomwork.operators import keyphrases as P
 from loomwork.operators import line_diff as L
 from loomwork.operators import sections as S
 from loomwork.sources import queue as Q
+from loomwork.sources import shared
 from loomwork.streaming import queue as SQ
 from pyspark.sql import functions as F
 
@@ -234,7 +235,7 @@ def test_keyphrases_equal_brute_force(spark, monkeypatch):
         good = [(p, s) for s, p in taken if len(p) >= 3 and not (" " not in p and (p in P.STOPWORDS or p.isdigit()))]
         want.update({(k, i + 1): x for i, x in enumerate(good[:n])})
     for spread in (20_000, 2):  # all phrases by shuffle, and frequent ones by broadcast
-        monkeypatch.setattr(P, "SPREAD", spread)
+        monkeypatch.setattr(shared, "SPREAD", spread)
         got = {(r.id, r["rank"]): (r.phrase, r.score) for r in P.keyphrases(docs(spark, *texts), "id", "text").collect()}
         assert {k: p for k, (p, _) in got.items()} == {k: p for k, (p, _) in want.items()}
         assert all(abs(got[k][1] - want[k][1]) < 1e-8 for k in want)
