@@ -28,7 +28,7 @@ import numpy as np
 #: Ids of a block, at most.
 BLOCK = 1024
 #: Slots of the tables of orders 1 and 2 in a block.
-SLOTS = 512
+SLOTS = 256
 #: Weights are parts of ONE, of which order 0 keeps ``ROOM`` at least; counts of order 0 are parts of ALL.
 ONE, ROOM, ALL = 1 << 16, 4096, 1 << 20
 #: An entry of order 2 is 4 * id + confidence. What to add to 4 * id after a miss and a hit, for each confidence before.

@@ -42,7 +42,7 @@ from . import id_coder
 from .common import checkpoint_dir, releasing, texts, worker_cache
 
 #: Ids of a frame, about; texts that are taken from Arrow together.
-FRAME, TOGETHER = 6_000_000, 256
+FRAME, TOGETHER = 8_000_000, 256
 # Fixed value: how byte-level BPE cuts texts before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 FRAMES = "part int, first long, n_ids long, n_docs long, frame binary"
