@@ -6,15 +6,18 @@ template words are hashed and joined with those of the benchmark. A pair of
 document and item is reported if enough of the item's windows occur, word for
 word but for the slots' values, and its slots are filled consistently: a value of
 the item always becomes the same value in the document, and different values
-become different ones. Consistency is asked of the diagonal (document position
-less item position) that has most of the item's slots.
+become different ones. Windows of one diagonal (document position less item
+position) belong together; so do those of diagonals up to ``SHIFT`` apart, since
+words that were put in or left out move what follows. Consistency is asked of
+such a run as a whole, and only its own windows count for coverage.
 
 A capitalised word that begins a sentence may be a name or not, so each text is
 read in two ways: such words are words (LITERAL) or name slots (NAMED). Windows
 that are mostly slots say nothing and are left out; an item that has no other
 windows, or fewer words than a window, is looked for with its values (EXACT):
 by windows, or by all its words in a row. Coverage is the share of the item's
-distinct windows of one reading; the first reading that suffices is reported.
+distinct windows of one reading that a run has; the first reading with a run that
+suffices is reported, with its fullest run.
 
 Defined results: texts without words match nothing, as do such items; a text
 shorter than an item matches no exact window of it. Rows that are equal in id
@@ -26,7 +29,7 @@ empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, texts, windows, words
@@ -41,6 +44,8 @@ LITERAL, NAMED, EXACT = READINGS = 1, 2, 4
 UNITS = "kg|mg|g|km|cm|mm|m|miles?|feet|foot|inch(?:es)?|lbs?|oz|litres?|liters?|ml|hours?|hrs?|minutes?|mins?|seconds?|secs?|days?|weeks?|months?|years?|dollars?|euros?|cents?|percent|mph|kmh"
 
 WINDOW, MIN_COVERAGE = 5, 0.5
+#: Words between diagonals that still belong together.
+SHIFT = 10
 #: Benchmark windows, and ids of documents found, up to this count are broadcast (16 bytes each); more are joined by a shuffle.
 MAX_BROADCAST_WINDOWS = 2_000_000
 #: Parts that a hash is dealt to where the benchmark's windows are joined by a shuffle.
@@ -169,13 +174,13 @@ def contamination(
     pairs = cut(pairs)
     checked = compared(docs, pairs, known, window, lengths).join(sizes, ["item_id", "reading"])
     checked = checked.withColumn("coverage", F.col("n_windows") / F.col("n_item")).where((F.col("coverage") >= min_coverage) & F.col("consistent"))
-    # The first reading that suffices.
-    best = F.min(F.struct("reading", "n_windows", "coverage", "n_slots", "n_changed")).alias("x")
+    # The first reading that suffices, and its fullest run.
+    best = F.min(F.struct("reading", (-F.col("n_windows")).alias("fewer"), "n_changed", "n_windows", "coverage", "n_slots")).alias("x")
     return checked.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "x.n_windows", "x.coverage", "x.n_slots", "x.n_changed")
 
 
 def compared(docs: DataFrame, pairs: DataFrame, known: DataFrame, window: int, lengths: list[int]) -> DataFrame:
-    """doc_id, item_id, reading, n_windows, n_slots, n_changed, consistent: each pair's windows word for word, and how its slots are filled.
+    """doc_id, item_id, reading, n_windows, n_slots, n_changed, consistent of each run of neighbouring diagonals: windows word for word, and how slots are filled.
 
     Only documents of a pair are read again, for the words of their windows.
     """
@@ -197,34 +202,31 @@ def compared(docs: DataFrame, pairs: DataFrame, known: DataFrame, window: int, l
         .where(bare(F.col("i_raw")) == bare(F.col("d_raw")))
         .withColumn("diagonal", F.col("pos") - F.col("i_pos"))
     )
-    rows = cut(rows.select("doc_id", "item_id", "reading", "hash", "diagonal", "i_pos", "i_raw", "d_raw"))
     pair = ["doc_id", "item_id", "reading"]
-    # Values side by side, one row for each slot of the item and place in the document.
+    along = Window.partitionBy(*pair).orderBy("diagonal")
+    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > SHIFT, F.lit(False)).cast("int")
+    rows = rows.withColumn("apart", apart).withColumn("run", F.sum("apart").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = cut(rows.select(*pair, "run", "hash", "i_pos", "i_raw", "d_raw"))
+    run = [*pair, "run"]
+    # Values side by side, one row for each slot of the item and value in the document.
     values = (
-        rows.select(*pair, "diagonal", "i_pos", F.posexplode(F.arrays_zip("i_raw", "d_raw")).alias("k", "v"))
+        rows.select(*run, "i_pos", F.posexplode(F.arrays_zip("i_raw", "d_raw")).alias("k", "v"))
         .where(is_slot(F.col("v.i_raw")))
-        .select(*pair, "diagonal", (F.col("i_pos") + F.col("k")).alias("slot"), F.col("v.i_raw").alias("a"), F.col("v.d_raw").alias("b"))
+        .select(*run, (F.col("i_pos") + F.col("k")).alias("slot"), F.col("v.i_raw").alias("a"), F.col("v.d_raw").alias("b"))
         .distinct()
     )
-    # One value of the document for each value of the item, and the other way round. Sets are bounded by an item's slots.
-    by_diagonal = values.groupBy(*pair, "diagonal").agg(
-        F.size(F.collect_set("slot")).cast("long").alias("n_slots"),
-        F.size(F.collect_set("a")).alias("n_a"),
-        F.size(F.collect_set("b")).alias("n_b"),
-        F.collect_set(F.struct("a", "b")).alias("ab"),
+    # One value of the document for each value of the item, and the other way round.
+    filled = values.groupBy(*run).agg(
+        F.count_distinct("slot").alias("n_slots"),
+        F.count_distinct("a").alias("n_a"),
+        F.count_distinct("b").alias("n_b"),
+        F.count_distinct("a", "b").alias("n_ab"),
+        F.count_distinct(F.when(F.col("a") != F.col("b"), F.struct("a", "b"))).alias("n_changed"),
     )
-    n_changed = F.size(F.filter("ab", lambda x: x["a"] != x["b"])).cast("long")
-    by_diagonal = by_diagonal.select(
-        *pair, "diagonal", "n_slots", n_changed.alias("n_changed"), ((F.size("ab") == F.col("n_a")) & (F.size("ab") == F.col("n_b"))).alias("consistent")
-    )
-    # The fullest diagonal; of equally full ones a consistent one, then the one that changes least.
-    best = F.max(F.struct("n_slots", "consistent", (-F.col("n_changed")).alias("less"), "diagonal")).alias("x")
-    slots = by_diagonal.groupBy(*pair).agg(best)
-    return (
-        rows.groupBy(*pair)
-        .agg(F.countDistinct("hash").alias("n_windows"))
-        .join(slots, pair, "left")
-        .select(*pair, "n_windows", F.coalesce("x.n_slots", F.lit(0)).alias("n_slots"), F.coalesce(-F.col("x.less"), F.lit(0)).alias("n_changed"), F.coalesce("x.consistent", F.lit(True)).alias("consistent"))
+    one_to_one = (F.col("n_ab") == F.col("n_a")) & (F.col("n_ab") == F.col("n_b"))
+    windows_of = rows.groupBy(*run).agg(F.countDistinct("hash").alias("n_windows"))
+    return windows_of.join(filled, run, "left").select(
+        *pair, "n_windows", F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.coalesce("n_changed", F.lit(0)).alias("n_changed"), F.coalesce(one_to_one, F.lit(True)).alias("consistent")
     )
 
 

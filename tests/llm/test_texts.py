@@ -95,7 +95,7 @@ def test_consistency_is_asked_of_the_fullest_diagonal(spark):
 
 
 def brute_template(item, text, size=5):
-    """Windows of an item without names and units: numbers are slots; its share found, if some diagonal is fullest and one-to-one."""
+    """Windows of an item without names and units: numbers are slots; whether some run of neighbouring diagonals has its share, one-to-one."""
     split = lambda t: re.sub(r"[^\w\s]", "", t.lower()).split()
     a, b = split(item), split(text)
     slot = lambda w: "#" if w[0].isdigit() else w
@@ -104,16 +104,22 @@ def brute_template(item, text, size=5):
         g = tuple(map(slot, a[i : i + size]))
         if 2 * g.count("#") <= size:
             grams.setdefault(g, []).append(i)
-    found, diagonals = set(), {}
+    found = {}
     for j in range(len(b) - size + 1):
         g = tuple(map(slot, b[j : j + size]))
         for i in grams.get(g, []):
-            found.add(g)
-            for k in range(size):
-                if a[i + k][0].isdigit():
-                    diagonals.setdefault(j - i, set()).add((i + k, a[i + k], b[j + k]))
-    full = max((len({x[0] for x in d}), len({x[1:] for x in d}) == len({x[1] for x in d}) == len({x[2] for x in d})) for d in diagonals.values()) if diagonals else (0, True)
-    return 2 * len(found) >= len(grams) > 0 and full[1]
+            found.setdefault(j - i, []).append((g, [(a[i + k], b[j + k]) for k in range(size) if a[i + k][0].isdigit()]))
+    runs, last = [], None
+    for d in sorted(found):
+        if last is None or d - last > decontaminate.SHIFT:
+            runs.append([])
+        runs[-1] += found[d]
+        last = d
+    for run in runs:
+        pairs = {p for _, x in run for p in x}
+        if 2 * len({g for g, _ in run}) >= len(grams) > 0 and len(pairs) == len({p[0] for p in pairs}) == len({p[1] for p in pairs}):
+            return True
+    return False
 
 
 def test_planted_questions_equal_brute_force(spark):
@@ -122,13 +128,17 @@ def test_planted_questions_equal_brute_force(spark):
     number = lambda: str(rng.integers(2, 99))
     items = {i: " ".join(number() if rng.random() < 0.25 else rng.choice(vocabulary) for _ in range(16)) for i in range(8)}
     docs = {}
-    for d in range(60):
+    for d in range(120):
         words = items[d % 8].split()
-        kind = d // 8 % 4
+        kind = d // 8 % 6
         swap = {}
         for k, w in enumerate(words):
             if w.isdigit() and kind:  # 1: consistent, 2: anyhow, 3: a part only
-                words[k] = swap.setdefault(w, number()) if kind == 1 else number()
+                words[k] = swap.setdefault(w, number()) if kind in (1, 4) else number()
+        if kind >= 4:  # 4: consistent, with a word or two more; 5: anyhow, with words more or less
+            for _ in range(2):
+                k = rng.integers(4, len(words) - 4)
+                words[k : k + (kind == 5 and rng.integers(2))] = [rng.choice(vocabulary)]
         if kind == 3:
             words = words[: rng.integers(5, 16)]
         docs[d] = " ".join(rng.choice(vocabulary, 6)) + " " + " ".join(words) + " " + " ".join(rng.choice(vocabulary, 6))
@@ -136,7 +146,26 @@ def test_planted_questions_equal_brute_force(spark):
     frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.contamination(frame, bench).collect()}
     want = {(d, i) for d, t in docs.items() for i, x in items.items() if brute_template(x, t)}
-    assert got == want and 20 < len(want) < 60
+    assert got == want and 30 < len(want) < 100
+
+
+FARMER = "the farmer puts 5 green apples into the first old basket and then he sells 5 green apples at the small market"
+
+
+@pytest.mark.parametrize(
+    ("text", "caught"),
+    [
+        ("the farmer puts 7 green apples into the first old basket and then he sells 7 green apples at the small market", True),
+        ("the farmer puts 7 green apples into the first old basket and then he sells 9 green apples at the small market", False),
+        ("the farmer puts 7 green apples into the first old basket and then later he sells 7 green apples at the small market", True),
+        ("the farmer puts 7 green apples into the first old basket and then later he sells 9 green apples at the small market", False),
+        ("the farmer puts 7 green apples into the first old basket and he sells 9 green apples at the small market", False),
+    ],
+)
+def test_slots_are_consistent_over_words_put_in(spark, text, caught):
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    bench = spark.createDataFrame([(5, FARMER)], "item_id long, text string")
+    assert [r.item_id for r in decontaminate.contamination(docs, bench).collect()] == [5] * caught
 
 
 NAMES = "Anna has 3 apples. Anna buys 4 more pears. Anna eats 2 plums."
