@@ -33,6 +33,7 @@ SLOTS = 256
 ONE, ROOM, ALL = 1 << 16, 4096, 1 << 20
 #: An entry of order 2 is 4 * id + confidence. What to add to 4 * id after a miss and a hit, for each confidence before.
 SURER = np.array([1, 1, 1, 2, 1, 3, 1, 3], dtype=np.int32)
+FREQUENCY = (1 << 21) - 1
 MAGIC, HEAD = b"LWF1", "<4sIIII"
 
 
@@ -44,9 +45,10 @@ class Order0:
         share = counts.astype(np.int64) * (ALL - len(ids)) // max(1, int(counts.sum())) + 1
         if len(ids):
             share[int(np.argmax(counts))] += ALL - int(share.sum())
-        self.freq, self.cum = np.zeros(ONE, np.int64), np.zeros(ONE, np.int64)
-        self.freq[ids], self.cum[ids] = share, np.cumsum(share) - share
-        self.place = np.repeat(ids.astype(np.int32), share)
+        # Both in one number, so that a step looks up one: places before, then 21 bits of frequency.
+        self.both = np.zeros(ONE, np.int64)
+        self.both[ids] = (np.cumsum(share) - share) << 21 | share
+        self.place = np.repeat(ids, share)
 
     @classmethod
     def of(cls, ids: np.ndarray) -> "Order0":
@@ -134,8 +136,9 @@ def encode_blocks(ids: np.ndarray, order0: Order0) -> tuple[np.ndarray, np.ndarr
         part = span >> 16
         low += part * (mixer.f * miss)
         part = part * (mixer.f + (ONE - 2 * mixer.f) * miss) >> 20
-        low += part * (order0.cum.take(now, mode="clip") * miss)
-        span = part * ((order0.freq.take(now, mode="clip") - ALL) * miss + ALL)
+        both = order0.both.take(now, mode="clip")
+        low += part * ((both >> 21) * miss)
+        span = part * (((both & FREQUENCY) - ALL) * miss + ALL)
         full = np.flatnonzero(span < 1 << 32)
         while len(full):
             value = low.take(full)
@@ -182,10 +185,11 @@ def decode_blocks(n: int, order0: Order0, counts: np.ndarray, words: np.ndarray)
         code -= bound * miss
         part = part * (mixer.f + (ONE - 2 * mixer.f) * miss) >> 20
         place = np.minimum((code / part).astype(np.int64), ALL - 1)  # both below 2**53 and the quotient below 2**21: its floor is exact
-        other = order0.place.take(place, mode="clip")
+        other = order0.place.take(place, mode="clip").astype(np.int32)
         now = mixer.guess + (other - mixer.guess) * miss
-        code -= part * (order0.cum.take(other, mode="clip") * miss)
-        span = part * ((order0.freq.take(other, mode="clip") - ALL) * miss + ALL)
+        both = order0.both.take(other, mode="clip")
+        code -= part * ((both >> 21) * miss)
+        span = part * (((both & FREQUENCY) - ALL) * miss + ALL)
         full = np.flatnonzero(span < 1 << 32)
         while len(full):
             where = at.take(full)

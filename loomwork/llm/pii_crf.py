@@ -277,9 +277,12 @@ def lse(x: np.ndarray, axis: int) -> np.ndarray:
 
 # -- the labelled table -----------------------------------------------------------
 
+#: Words of a name with its title, at most.
+NAME_WORDS = 5
+
 #: Rows of the labelled table.
 LINES = 640
-# What the rule puts together; {kind} is a span of that kind, {n} a plain number, {w} a word.
+# What the rule puts together; {kind} is a span of that kind, {n} a plain number, {w} a word, {again} one over and over.
 WITH_SPANS = [
     "please write to {email} before {w}", "contact {email} or {phone} today", "the host {ip} did not answer", "logs from {ip} and {ip} are kept",
     "paid with card {card} last week", "card number {card} was declined", "call me at {phone} in the evening", "her phone {local} is out of order",
@@ -292,7 +295,7 @@ WITHOUT = [
     "order {long} has {n} parts and costs {n} euros", "{Cap} {w} {w}, {w} {w}. {Cap} {w}", "{w} {w} {w} {w}, {w} {w}", "{Cap} {Cap} {w} und {w}. {Cap}", "LA!! SE!! {W}!! {w} *** and ###",
     "a | b | {w} | d", "room ({n}) on floor {n} - see plan (b).", "born {date} and {date} in {Cap}", "x + y = z and {n} + {n} = {n}", "at {time} the train {n} leaves from {n}-{n}",
     "see https://{w}.org/{w}/{n} for {w}", "file {w}_{n}.txt and {W}-{n} are {w}", "ids {longer} {long} are numbers of records", "the street was long and the key was {w}", "call the {w} and dial {w}",
-    "Dr {w} and the token of {w}", "{W} and {W}{n} or {w}{n}, {w}-{w}", "the road to {Cap} is {n} km long", "{Cap}. {Cap} {Cap}. {Cap}", "{W}!! {W}!! {W}!! {W}!! {W}!!", "{Cap} {Cap} {Cap} {Cap} {Cap}", "{W}!! {W},!! {W}.", "{Cap} {dotted} of {w}", "{Cap} {n} {w}, {Cap} {dotted}", "{Cap} {w}. {Cap}. {Cap} {Cap} {w}", "{Cap}.\n{Cap}, {Cap} {Cap}. {Cap} {w}", "{w}@ {n}.{n} +{n} {w}", "no password is {w} and the id of {w} is {n}",
+    "Dr {w} and the token of {w}", "{W} and {W}{n} or {w}{n}, {w}-{w}", "the road to {Cap} is {n} km long", "{Cap}. {Cap} {Cap}. {Cap}", "{W}!! {W}!! {W}!! {W}!! {W}!!", "{Cap} {Cap} {Cap} {Cap} {Cap}", "{W}!! {W},!! {W}.", "{Cap} {dotted} of {w}", "{Cap} {n} {w}, {Cap} {dotted}", "{Cap} {w}. {Cap}. {Cap} {Cap} {w}", "{Cap}.\n{Cap}, {Cap} {Cap}. {Cap} {w}", "{w}@ {n}.{n} +{n} {w}", "{again} {w}", "{w}. {again} {again}", "{Cap} {again}", "no password is {w} and the id of {w} is {n}",
 ]
 FIRST_NAMES, STREETS = ["Anna", "Peter", "Maria", "John", "Zoë", "Ahmed", "Lucía", "Jean"], ["Street", "Road", "Lane", "Avenue", "Drive", "Boulevard"]
 
@@ -334,6 +337,8 @@ def filled(kind: str, rng: random.Random) -> str:
         return rng.choice([f"{digits(4)}-0{digits(1)}-1{digits(1)}", f"1{digits(1)}/0{digits(1)}/{digits(4)}"])
     if kind == "time":
         return f"1{digits(1)}:{digits(2)}"
+    if kind == "again":  # one capitalised word over and over
+        return " ".join([word().capitalize()] * rng.randint(3, 14))
     return {"w": word(), "W": word().upper(), "Cap": word().capitalize()}[kind]
 
 
@@ -394,6 +399,9 @@ def add_spans(text: str, base: list, label: np.ndarray, starts: np.ndarray, ends
             a += re.search("[=:]", text[a:b]).end()
         # A number of a card's shape is a card's only if its check digit holds, and a phone's only if it has enough digits.
         good = KINDS[k] != "card" or any(kind == 2 for kind, _, _ in base_spans(text[a:b]))
+        # A name is a few different words; a passage of capitalised words is none.
+        good &= KINDS[k] != "name" or len(run) == len(set(text[a:b].split())) <= NAME_WORDS
+        good &= KINDS[k] != "address" or any(c.isalpha() for c in text[a:b])
         good &= KINDS[k] != "phone" or 8 <= sum(c.isdigit() for c in text[a:b]) <= 15
         if good and a < b and not any(s < b and e > a for s, e in taken):
             out.append((k, a, b))
