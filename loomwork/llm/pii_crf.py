@@ -399,8 +399,8 @@ def add_spans(text: str, base: list, label: np.ndarray, starts: np.ndarray, ends
             a += re.search("[=:]", text[a:b]).end()
         # A number of a card's shape is a card's only if its check digit holds, and a phone's only if it has enough digits.
         good = KINDS[k] != "card" or any(kind == 2 for kind, _, _ in base_spans(text[a:b]))
-        # A name is a few different words; a passage of capitalised words is none.
-        good &= KINDS[k] != "name" or len(run) == len(set(text[a:b].split())) <= NAME_WORDS
+        # A name is its title and a few different words; a passage of capitalised words is none.
+        good &= KINDS[k] != "name" or 2 <= len(run) == len(set(text[a:b].split())) <= NAME_WORDS
         good &= KINDS[k] != "address" or any(c.isalpha() for c in text[a:b])
         good &= KINDS[k] != "phone" or 8 <= sum(c.isdigit() for c in text[a:b]) <= 15
         if good and a < b and not any(s < b and e > a for s, e in taken):
