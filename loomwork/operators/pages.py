@@ -11,6 +11,10 @@ from .retrieval import best
 # How many keyphrases, neighbours and alerts a page shows; letters of a chunk; letters of a difference and tokens in a prompt.
 KEYPHRASES, NEIGHBOURS, ALERTS, SHOWN, DIFF, TOKENS = 10, 5, 50, 200, 6000, 8192
 CUT = "\n... [truncated for token budget]"
+# Lines of a prompt.
+PAGE, CONTENT, CHANGES = "## IPFR Page: ", "### IPFR Page Content\n", "## Upstream Change(s) — "
+NOTE = "- **Note:** This page was reached via graph propagation (indirect signal — treat with lower confidence)."
+ASKED = "Based on the above, determine whether the IPFR page requires amendment. Respond with a single JSON object as specified in your instructions."
 
 
 def listed(rows: DataFrame, key: str, order: list[Column], fields: list[str], name: str) -> DataFrame:
@@ -103,7 +107,7 @@ def prompts(bundles: DataFrame, pages: DataFrame) -> DataFrame:
     def change(t: Column, i: Column) -> Column:
         text = F.coalesce(t["diff_text"], F.lit(""))
         shown = F.when(F.length(text) > DIFF, F.concat(F.left(text, F.lit(DIFF)), F.lit(CUT))).otherwise(text)
-        note = F.when(t["graph_propagated"], "- **Note:** This page was reached via graph propagation (indirect signal — treat with lower confidence).")
+        note = F.when(t["graph_propagated"], NOTE)
         return F.concat_ws(
             "\n",
             F.concat(F.lit("### Change "), (i + 1).cast("string"), F.lit(": Source `"), t["source_id"], F.lit("`")),
@@ -123,13 +127,13 @@ def prompts(bundles: DataFrame, pages: DataFrame) -> DataFrame:
     rows = bundles.join(pages.select("page_id", "title", "content"), "page_id")
     prompt = F.concat_ws(
         "\n",
-        F.concat(F.lit("## IPFR Page: "), F.col("page_id"), F.lit(" — "), F.col("title"), F.lit("\n")),
-        F.lit("### IPFR Page Content\n"),
+        F.concat(F.lit(PAGE), F.col("page_id"), F.lit(" — "), F.col("title"), F.lit("\n")),
+        F.lit(CONTENT),
         F.trim(F.coalesce("content", F.lit(""))),
         F.lit("\n---\n"),
-        F.concat(F.lit("## Upstream Change(s) — "), F.size("triggers").cast("string"), F.lit(" trigger(s) for this page\n")),
+        F.concat(F.lit(CHANGES), F.size("triggers").cast("string"), F.lit(" trigger(s) for this page\n")),
         F.array_join(F.transform("triggers", change), "\n"),
         F.lit("---\n"),
-        F.lit("Based on the above, determine whether the IPFR page requires amendment. Respond with a single JSON object as specified in your instructions."),
+        F.lit(ASKED),
     )
     return rows.select("page_id", prompt.alias("prompt")).withColumn("tokens", estimated_tokens(F.col("prompt"))).withColumn("too_long", F.col("tokens") > TOKENS)

@@ -22,7 +22,7 @@ def pages(spark, *rows):
 def test_details_of_pages(spark):
     live = pages(spark, ("A", "active", "a"), ("B", "active", "b"), ("C", "stub", "c"))
     chunks = spark.createDataFrame([("A",), ("A",), ("C",)], "page_id string")
-    entities = spark.createDataFrame([("A", "IP Australia", "ORG"), ("A", "Act", "LAW")], "page_id string, entity_text string, entity_type string")
+    entities = spark.createDataFrame([("A", "Patent Office", "ORG"), ("A", "Act", "LAW")], "page_id string, entity_text string, entity_type string")
     phrases = spark.createDataFrame([("A", f"k{n:02}", n / 100) for n in range(20)], "page_id string, keyphrase string, score double")
     edges = spark.createDataFrame([("A", t, "x", w) for t, w in (("B", 0.5), ("C", 0.9), ("gone", 1.0))] + [("A", "B", f"y{n}", 0.1) for n in range(6)], "source string, target string, edge_type string, weight double")
     log = [(n, "r", "s", f"2024-01-{n + 1:02}" if n < 28 else f"2024-02-{n - 27:02}", "CHANGE_REQUIRED" if n % 2 else "NO_CHANGE", ["A", "A", "AB"]) for n in range(55)]
@@ -32,7 +32,7 @@ def test_details_of_pages(spark):
     a, b = got["A"], got["B"]
     assert (a.chunk_count, a.entity_count, b.chunk_count, b.entity_count, b.alert_count) == (2, 2, 0, 0, 0)
     assert [k.keyphrase for k in a.keyphrases] == [f"k{n:02}" for n in range(10)]
-    assert [(e.entity_text, e.entity_type) for e in a.entities] == [("Act", "LAW"), ("IP Australia", "ORG")]
+    assert [(e.entity_text, e.entity_type) for e in a.entities] == [("Act", "LAW"), ("Patent Office", "ORG")]
     assert [(n.neighbour, n.weight) for n in a.neighbours] == [("C", 0.9), ("B", 0.5), ("B", 0.1), ("B", 0.1), ("B", 0.1)]
     assert len(a.alerts) == 50 and a.alerts[0].ts == "2024-02-27" and a.alert_count == 25  # the page AB is another page
     assert b.keyphrases is None and b.alerts is None
@@ -111,9 +111,9 @@ def test_sitemap_order(spark):
 
 
 def test_entities_that_count(spark):
-    names = ["IP Australia", "ab", "1990", "www.x", "review33", "see a.gov", "Act 7", "²³"]
+    names = ["Patent Office", "ab", "1990", "www.x", "review33", "see a.gov", "Act 7", "²³"]
     frame = spark.createDataFrame([(n, "ORG") for n in names] + [("Person", "PERSON")], "t string, k string")
-    assert [r.t for r in frame.where(M.valid_entity(F.col("t"), F.col("k"), ["ORG"])).collect()] == ["IP Australia", "Act 7"]
+    assert [r.t for r in frame.where(M.valid_entity(F.col("t"), F.col("k"), ["ORG"])).collect()] == ["Patent Office", "Act 7"]
 
 
 # -- runs -----------------------------------------------------------------------------
