@@ -35,7 +35,7 @@ from .common import ascii_lower, cut
 RULES = {
     "com/en/": "block",
     "example.com/en/7": "allow",
-    "net/de/": "block",
+    "net/de/": "allow",
     "example.net/de/8": "block",
     "org/es/": "block",
 }

@@ -430,6 +430,15 @@ def test_url_rules(spark, sf_dir):
     assert url_filter.query(frame.where("false")).collect() == []
 
 
+def test_url_rules_are_those_of_the_contract(spark):
+    told = "block com/en/, allow example.com/en/7, allow net/de/, block example.net/de/8, block org/es/"
+    assert url_filter.RULES == {rule: verdict for verdict, rule in (part.split(" ") for part in told.split(", "))}
+    hosts = {"http://www.example.net/de/7": ("net/de/", "allow"), "http://www.example.net/de/81": ("example.net/de/8", "block"), "http://a.org/es/": ("org/es/", "block")}
+    frame = spark.createDataFrame(list(enumerate(hosts)), "page_id long, url string")
+    rows = url_filter.query(frame).collect()
+    assert {tuple(hosts)[r.page_id]: (r.rule, r.verdict) for r in rows} == hosts
+
+
 def test_url_trees_on_pages_not_learned_from(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     figures = {r.label: r for r in url_filter.held_out_figures(pages).collect()}
