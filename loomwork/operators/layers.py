@@ -82,8 +82,9 @@ def affecting(versions: DataFrame, found: DataFrame, items: DataFrame) -> DataFr
 
     versions: id, start (date of the compilation, or null). items: id, pos,
     effective, begins, commences, by_title, by_series, other_title, other_series,
-    by_id, affecting_id. An item counts if it has no date or one that begins with
-    the compilation's; the first mention of an id is kept.
+    by_id, affecting_id, and seen where items may share a pos. An item counts if it
+    has no date or one that begins with the compilation's; the first mention of an
+    id is kept, by pos and then by seen.
     """
     text = lambda *c: F.coalesce(*[F.nullif(F.col(x), F.lit("")) for x in c])
     left = versions.join(found.select("id").distinct(), "id", "left_anti")
@@ -93,8 +94,9 @@ def affecting(versions: DataFrame, found: DataFrame, items: DataFrame) -> DataFr
     named = F.col("by_title").isNotNull() | F.col("by_series").isNotNull()
     title = F.when(named, F.col("by_title")).otherwise(F.col("other_title"))
     series = F.when(named, F.col("by_series")).otherwise(F.col("other_series"))
-    rows = rows.select("id", "pos", F.coalesce(F.nullif(title, F.lit("")), text("by_id", "affecting_id")).alias("title_id"), F.coalesce(series, F.lit("")).alias("series"))
-    first = F.row_number().over(Window.partitionBy("id", "title_id").orderBy("pos"))
+    place = ["pos", "seen"] if "seen" in items.columns else ["pos"]
+    rows = rows.select("id", *place, F.coalesce(F.nullif(title, F.lit("")), text("by_id", "affecting_id")).alias("title_id"), F.coalesce(series, F.lit("")).alias("series"))
+    first = F.row_number().over(Window.partitionBy("id", "title_id").orderBy(*place))
     return rows.where("title_id is not null").withColumn("n", first).where("n = 1").select("id", "title_id", "series")
 
 

@@ -39,6 +39,7 @@ def versions(s, d):
 
 
 def affecting(s, d):
+    """Line items as mentions; an order has several of one number, of which the first in the table counts."""
     every, found = versions(s, d)
     li = table(s, d, "lineitem")
     part, n = F.col("l_partkey"), F.col("l_linenumber")
@@ -49,6 +50,7 @@ def affecting(s, d):
         F.col("l_orderkey").alias("id"), n.alias("pos"), F.when(part % 4 == 0, day).alias("effective"), F.when(part % 4 == 1, "").alias("begins"), none.alias("commences"),
         F.when(part % 3 == 0, name(part)).alias("by_title"), F.when(part % 3 == 0, "Act").alias("by_series"), F.when(part % 3 == 1, name(part)).alias("other_title"), none.alias("other_series"),
         F.when(part % 7 == 0, F.concat(F.lit("B"), n)).alias("by_id"), none.alias("affecting_id"),
+        F.struct("_metadata.file_path", "_metadata.row_index").alias("seen"),
     )
     return L.affecting(every, found, items)
 

@@ -246,3 +246,22 @@ def test_blocks_equal_brute_force(spark, monkeypatch, sent):
     for r in single:
         best = sorted((-max(0.0, dot(v, r.q)), k) for k, _, v in corpus if k != r.query_id)[:7]
         assert [x.id for x in sorted((x for x in near if x.query_id == r.query_id), key=lambda x: x["rank"])] == [k for _, k in best]
+
+
+def test_affecting_keeps_the_first_of_equal_places(spark, sf_dir, tmp_path):
+    """Line items of one order and number in two files; Spark reads the larger one, which comes second, first."""
+    import duckdb
+    from loomwork.plans import layer_queries
+
+    con = duckdb.connect()
+    (tmp_path / "lineitem.parquet").mkdir()
+    con.execute(f"copy (select * from '{sf_dir}/orders.parquet') to '{tmp_path}/orders.parquet'")
+    con.execute(f"create view orders as select * from '{sf_dir}/orders.parquet'")
+    line = f"select * replace (o_orderkey as l_orderkey, 1 as l_linenumber, {{}} as l_partkey) from (select * from '{sf_dir}/lineitem.parquet' limit 1), (select o_orderkey from orders), range({{}})"
+    con.execute(f"copy ({line.format(21, 1)}) to '{tmp_path}/lineitem.parquet/a.parquet'")
+    con.execute(f"copy ({line.format(61, 9)}) to '{tmp_path}/lineitem.parquet/b.parquet'")  # 61 and 21: one title, two series
+    con.execute(f"create view lineitem as select l.* exclude (o_orderkey) from '{tmp_path}/lineitem.parquet/*.parquet' l")
+    query, sql = layer_queries.QUERIES["affecting_instruments"]
+    got = sorted(tuple(r) for r in query(spark, str(tmp_path)).select("id", "title_id", "series").collect())
+    assert got == sorted(con.execute(f"select id, title_id, series from ({sql})").fetchall())
+    assert len(got) == 500 and {r[2] for r in got} == {"Act"}
