@@ -173,3 +173,15 @@ def test_select_keeps_quoted_text(spark):
     rows, n, warning = guarded_sql.answer(spark, "select * from odd_names", 2)
     assert (rows.count(), n, warning) == (2, 5, "Result truncated to 2 of 5 rows.") and rows.columns == ["a.b", "c`d"] and rows.first()[1] == "<BLOB 2 B>"
     assert guarded_sql.answer(spark, "select 1 as x")[1:] == (1, None)
+
+
+def test_prompt_digests_are_those_of_whole_prompts(spark):
+    fields = "page_id string, k int, source_id string, source_url string, source_type string, significance string, graph_propagated boolean, relevance double, semantic double, rerank double, diff_text string"
+    one = lambda p, k, t: (p, k, None if k % 3 == 0 else f"S{k}", "u", None, "high", k % 2 == 0, 0.5, None, k / 7, t)
+    rows = [one(p, k, t) for p, n in (("A", 7), ("Bé", 1), ("none", 2)) for k, t in enumerate(["x" * 7000, None, "ü\n", "", "y", "z", "w"][:n])]
+    triggers = spark.createDataFrame(rows, fields).repartition(3)
+    pages = spark.createDataFrame([("A", "T", " a "), ("Bé", None, None), ("C", "T", "c")], "page_id string, title string, content string")
+    bundles = triggers.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("k", *[c for c in triggers.columns if c not in ("page_id", "k")]))).alias("triggers"))
+    want = P.prompts(bundles, pages).select("page_id", F.md5("prompt"), "tokens", "too_long").collect()
+    got = P.prompt_digests(triggers, pages, ["k"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want)) and len(want) == 2
