@@ -2,24 +2,17 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import similar_pairs
+from ..functions.vectors import most_similar
 from ..sources.shared import cut
 
 
 def embedding_edges(df: DataFrame, id_col: str, vector: str, top_k: int = 5, least: float = 0.40, weight: float = 1.0) -> DataFrame:
     """Directed edges from each row to its most similar rows; ties go to the smaller id."""
-    pairs = similar_pairs(df, id_col, vector, least)
-    both = pairs.select(F.col("a").alias("source"), F.col("b").alias("target"), "sim").unionByName(
-        pairs.select(F.col("b").alias("source"), F.col("a").alias("target"), "sim")
-    )
-    # Rounded before ranking: the sum's order must not decide a tie.
-    both = both.withColumn("sim", F.round("sim", 9))
-    rank = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("sim"), "target"))
-    return both.withColumn("rn", rank).where(F.col("rn") <= top_k).select("source", "target", (F.col("sim") * weight).alias("weight"))
+    best = most_similar(df, id_col, vector, top_k, least)
+    return best.select("source", "target", (F.col("sim") * weight).alias("weight"))
 
 
 def jaccard_edges(members: DataFrame, id_col: str, item: str, least: float = 0.30, weight: float = 0.8) -> DataFrame:
@@ -86,28 +79,37 @@ def greedy_duplicates(pairs: DataFrame, lengths: DataFrame) -> DataFrame:
 
     An item that is a duplicate when its turn comes is passed over with all its pairs.
 
-    Groups that share no pair cannot affect each other, so each is scanned apart.
+    The scan as joins, so that no group is in one task. An item is passed over if a smaller id with a longer text that
+    is not passed over itself is similar to it: decided in rounds, each for the items whose stronger neighbours are
+    decided. Such an item is a duplicate of the first of these neighbours. Another item loses to the last of the larger
+    ids that are at least as long and not taken by then. Chains then end by doubling; the winner always has the greater
+    (length, id), so there are no rings.
     """
-
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        into: dict[int, int] = {}
-        for a, rows in pdf.sort_values(["a", "b"]).groupby("a"):
-            if a in into:
-                continue
-            for r in rows.itertuples():
-                if r.b not in into:
-                    lose, keep = (r.a, r.b) if (r.lb, r.b) > (r.la, r.a) else (r.b, r.a)
-                    into[lose] = keep
-
-        def end(x: int) -> int:
-            seen = set()
-            while x in into and x not in seen:
-                seen.add(x)
-                x = into[x]
-            return x
-
-        return pd.DataFrame({"id": list(into), "duplicate_of": [end(x) for x in into]}, dtype="int64")
-
     size = lambda side, name: lengths.select(F.col("id").alias(side), F.col("length").alias(name))
-    rows = pairs.join(size("a", "la"), "a").join(size("b", "lb"), "b").join(groups(pairs).withColumnRenamed("id", "a"), "a")
-    return rows.select("root", "a", "b", "la", "lb").groupBy("root").applyInPandas(scan, "id long, duplicate_of long")
+    known = cut(pairs.select("a", "b").where("a < b").distinct().join(size("a", "la"), "a").join(size("b", "lb"), "b").select("a", "b", (F.col("la") > F.col("lb")).alias("down")))
+    strong = known.where("down").select("a", "b")  # a may take b
+    ids = known.select(F.col("a").alias("id")).union(known.select("b")).distinct()
+    below = strong.select(F.col("b").alias("id")).distinct()
+    passed, kept = None, cut(ids.join(below, "id", "left_anti"))
+    left, fresh, edges = cut(below), kept, strong
+    while not left.isEmpty():
+        # Items next to one that was kept are passed over; an item whose stronger neighbours all are is kept.
+        hit = cut(edges.join(fresh.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct())
+        passed = hit if passed is None else passed.unionByName(hit)
+        left = cut(left.join(hit, "id", "left_anti"))
+        # Edges into items that are decided, and from items that are passed over, say no more.
+        edges = cut(edges.join(left.select(F.col("id").alias("b")), "b", "left_semi").join(hit.select(F.col("id").alias("a")), "a", "left_anti").select("a", "b"))
+        fresh = cut(left.join(edges.select(F.col("b").alias("id")).distinct(), "id", "left_anti"))
+        left = cut(left.join(fresh, "id", "left_anti"))
+        kept = kept.unionByName(fresh)
+    kept = cut(kept)
+    scanned = cut(known.join(kept.select(F.col("id").alias("a")), "a", "left_semi"))
+    taken = cut(scanned.where("down").groupBy("b").agg(F.min("a").alias("into")))
+    lost = scanned.where("not down").join(taken, "b", "left").where("into is null or into > a").groupBy(F.col("a").alias("id")).agg(F.max("b").alias("into"))
+    chain = cut(taken.select(F.col("b").alias("id"), "into").unionByName(lost))
+    while True:
+        onward = chain.select(F.col("id").alias("into"), F.col("into").alias("next"))
+        longer = cut(chain.join(onward, "into", "left").select("id", F.coalesce("next", "into").alias("into"), F.col("next").isNotNull().alias("moved")))
+        chain = longer.select("id", "into")
+        if longer.where("moved").isEmpty():
+            return chain.withColumnRenamed("into", "duplicate_of")
