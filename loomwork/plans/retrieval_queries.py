@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..functions.vectors import nearest, similar_pairs
 from ..operators import graph as G
 from ..operators import retrieval as R
+from ..sources.shared import cut
 from ..sources.tables import table
 
 
@@ -96,11 +97,11 @@ def seeds(s, d):
 
 
 def propagated(s, d):
-    return G.propagate(edges(s, d), seeds(s, d), floor=0.001).withColumn("boost", F.round("boost", 6))
+    return G.propagate(cut(edges(s, d)), seeds(s, d), floor=0.001).withColumn("boost", F.round("boost", 6))
 
 
 def final_scores(s, d):
-    return G.boosted(seeds(s, d), G.propagate(edges(s, d), seeds(s, d), floor=0.001), 0.01).withColumn("final", F.round("final", 6))
+    return G.boosted(seeds(s, d), cut(G.propagate(cut(edges(s, d)), seeds(s, d), floor=0.001)), 0.01).withColumn("final", F.round("final", 6))
 
 
 PROP = f"""with {PAIRS},
@@ -168,7 +169,7 @@ from (select query_id, label, max(m) as best, count(*) filter (m >= 0.25) as med
 union all select id, round(boost, 6) from boost where boost >= 0.01 and id not in (select id from h0)""",
     ),
     "graph_degrees": (
-        lambda s, d: G.degrees(edges(s, d)),
+        lambda s, d: G.degrees(cut(edges(s, d))),
         f"with {PAIRS} select id, count(*) as degree from (select source as id, source, target from edges union select target, source, target from edges) group by id",
     ),
     "jaccard_edges": (
