@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+from hashlib import blake2b
+from heapq import nsmallest
+from math import log
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ..sources.shared import cut, join_spread
 from .monitoring import valid_phrase
 
 # Phrases for so many words, at least and at most; the pool is three times that; similar phrases from this on.
@@ -34,19 +42,104 @@ def runs(text: Column, stopwords: list[str] = STOPWORDS, longest: int = RUN) ->
     return F.flatten(F.transform(words, lambda s: F.concat(*[of(s, k) for k in range(1, longest + 1)])))
 
 
-def scored_phrases(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+#: Letters of the texts of a packet and of a part of the keys, about; bytes of a key.
+PACKET, PART, KEY = 2_000_000, 8_000_000, 12
+
+
+def by_packet(batches: Iterator[pa.RecordBatch]):
+    """(packet, rows) of rows sorted by packet; rows are tuples, a packet is held whole."""
+    held, rows = None, []
+    for batch in batches:
+        columns = [batch.column(i) for i in range(batch.num_columns)]
+        for i in range(batch.num_rows):
+            packet, *row = (c[i].as_py() for c in columns)
+            if packet != held and rows:
+                yield held, rows
+                rows = []
+            held = packet
+            rows.append(row)
+    if rows:
+        yield held, rows
+
+
+def phrase_keys(rows: list) -> tuple[dict, dict[str, bytes]]:
+    """Counts of phrases by document, and the key of each phrase: 96 bits of BLAKE2, so that no two phrases share one."""
+    docs: dict = {}
+    for doc, n, found in rows:
+        old, tf = docs.setdefault(doc, (n, Counter()))
+        tf.update(found)
+        docs[doc] = (max(old, n), tf)
+    words = {w for _, tf in docs.values() for w in tf}
+    return docs, {w: blake2b(w.encode(), digest_size=KEY).digest() for w in words}
+
+
+def scored_phrases(docs: DataFrame, id_col: str, text_col: str, best: bool = False) -> DataFrame:
     """(id, phrase, tf, df, score, n): each phrase of a document; lower scores are better. n: how many the document gets.
 
-    score = 1 / (1 + tf * (ln((N + 1) / (df + 1)) + 1)) over N documents. Ids are taken as keys.
+    score = 1 / (1 + tf * (ln((N + 1) / (df + 1)) + 1)) over N documents. Ids are taken as keys. With ``best`` only
+    phrases that are in the ``pool`` of their document.
+
+    Phrases do not travel: packets of texts do, and make their phrases anew in each step. A packet sends each key once,
+    in parts by the key's range, with the number of its documents; a part adds up and answers with totals in the order
+    of the keys, so an answer is a number for each key.
     """
     own = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    about = own.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("letters")).first()
+    total, packets, parts = about.n, 1 + (about.letters or 0) // PACKET, 1 + (about.letters or 0) // PART
     words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
-    found = own.select("doc", wanted(words).alias("n"), runs(F.col("text")).alias("p"))
-    tf = cut(found.select("doc", "n", F.explode("p").alias("phrase")).groupBy("doc", "phrase").agg(F.count("*").alias("tf"), F.max("n").alias("n")))
-    total = docs.count()
-    rows = join_spread(tf, tf.groupBy("phrase").agg(F.count("*").alias("df")), "phrase", "df")
-    score = 1 / (1 + F.col("tf") * (F.log((F.lit(total) + 1) / (F.col("df") + 1)) + 1))
-    return rows.select(F.col("doc").alias(id_col), "phrase", "tf", "df", F.round(score, 9).alias("score"), "n")
+    texts = own.withColumn("packet", F.pmod(F.xxhash64("doc"), F.lit(packets)))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for packet, rows in by_packet(batches):
+            docs, keys = phrase_keys(rows)
+            df = Counter(keys[w] for _, tf in docs.values() for w in tf)
+            out: dict[int, tuple[list, list]] = {}
+            for key in sorted(df):
+                some = out.setdefault(int.from_bytes(key[:4], "big") * parts >> 32, ([], []))
+                some[0].append(key)
+                some[1].append(df[key])
+            lists = [[packet] * len(out), list(out), [b"".join(k) for k, _ in out.values()], [np.array(c, "<u4").tobytes() for _, c in out.values()]]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(lists, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["packet", "part", "keys", "counts"])
+
+    def add(group: pa.Table) -> pa.Table:
+        packet, _, keys, counts = (group.column(c).to_pylist() for c in ("packet", "part", "keys", "counts"))
+        raw = np.frombuffer(b"".join(keys), np.dtype([("high", ">u8"), ("low", ">u4")]))
+        high, low = raw["high"].astype(np.uint64), raw["low"].astype(np.uint32)
+        order = np.lexsort((low, high))
+        high, low = high[order], low[order]
+        first = np.flatnonzero(np.r_[True, (high[1:] != high[:-1]) | (low[1:] != low[:-1])])
+        sums = np.add.reduceat(np.frombuffer(b"".join(counts), "<u4").astype(np.int64)[order], first)
+        df = np.empty(len(order), np.int64)
+        df[order] = np.repeat(sums, np.diff(np.r_[first, len(order)]))
+        ends = np.cumsum([len(k) // KEY for k in keys])
+        totals = [df[x:y].astype("<u4").tobytes() for x, y in zip(np.r_[0, ends[:-1]], ends)]
+        return pa.table({"packet": pa.array(packet, pa.int64()), "part": group.column("part"), "totals": pa.array(totals, pa.binary())})
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in by_packet(batches):
+            totals = b"".join(t for _, t in sorted((part, t) for part, t, *_ in rows if t is not None))
+            docs, keys = phrase_keys([row for _, t, *row in rows if t is None])
+            df = dict(zip(sorted(set(keys.values())), np.frombuffer(totals, "<u4").tolist(), strict=True))
+            df = {w: df[k] for w, k in keys.items()}
+            for doc, (n, tf) in docs.items():
+                found = list(tf.items())
+                if best:
+                    rank = lambda x: (round(1 / (1 + x[1] * (log((total + 1) / (df[x[0]] + 1)) + 1)), 9), x[0])
+                    found = nsmallest(max(n * POOL, 2 * FEWEST), found, rank)
+                lists = [[doc] * len(found), [w for w, _ in found], [c for _, c in found], [df[w] for w, _ in found], [n] * len(found)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(lists, (kind, pa.string(), pa.int64(), pa.int64(), pa.int32()))], names=["doc", "phrase", "tf", "df", "n"])
+
+    kind = to_arrow_type(own.schema["doc"].dataType)
+    name = own.schema["doc"].dataType.simpleString()
+    # A number of its own: packets are small, but much work, and would be put together in few tasks.
+    in_order = lambda rows: rows.repartition(min(2 * packets, 2000), "packet").sortWithinPartitions("packet")
+    phrases = lambda rows: rows.withColumn("n", wanted(words)).withColumn("p", runs(F.col("text")))
+    sent = phrases(in_order(texts)).select("packet", "doc", "n", "p").mapInArrow(send, "packet long, part long, keys binary, counts binary")
+    answers = sent.groupBy("part").applyInArrow(add, "packet long, part long, totals binary")
+    both = in_order(texts.unionByName(answers, allowMissingColumns=True))
+    rows = phrases(both).select("packet", "part", "totals", "doc", "n", "p").mapInArrow(score, f"doc {name}, phrase string, tf long, df long, n int")
+    score_ = 1 / (1 + F.col("tf") * (F.log((F.lit(total) + 1) / (F.col("df") + 1)) + 1))
+    return rows.select(F.col("doc").alias(id_col), "phrase", "tf", "df", F.round(score_, 9).alias("score"), "n")
 
 
 def pool(scored: DataFrame, id_col: str) -> DataFrame:
@@ -65,7 +158,7 @@ def keyphrases(docs: DataFrame, id_col: str, text_col: str, similar: float = SIM
 
     The choice is a fold over a document's pool, which has at most ``POOL * MOST`` phrases.
     """
-    best = pool(scored_phrases(docs, id_col, text_col), id_col)
+    best = pool(scored_phrases(docs, id_col, text_col, best=True), id_col)
     lists = best.groupBy(id_col).agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("rank", "phrase", "score"))).alias("pool"))
     none = F.array().cast("array<struct<rank:int,phrase:string,score:double>>")
     fresh = lambda done, x: ~F.exists(done, lambda y: similarity(y["phrase"], x["phrase"]) >= similar)

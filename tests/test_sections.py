@@ -297,3 +297,22 @@ def test_queue_as_a_stream(spark, tmp_path):
     assert got == [(1, "processed", "B1"), (1, "stored", "B1"), (2, "expired", "B2"), (2, "stored", "B2"), (3, "stored", "B3"), (4, "stored", "B4")]
 
 
+
+
+def test_phrases_travel_as_keys_in_packets(spark, monkeypatch):
+    from loomwork.operators import keyphrases
+
+    monkeypatch.setattr(keyphrases, "PACKET", 60)
+    monkeypatch.setattr(keyphrases, "PART", 90)
+    texts = {i: " ".join(f"w{(i * k) % 7} é{k % 5}," if k % 3 else f"w{i % 4}" for k in range(i % 11 + 1)) for i in range(40)} | {40: None, 41: ""}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    every = docs.select("doc_id", F.explode(keyphrases.runs(F.coalesce("text", F.lit("")))).alias("p")).collect()
+    tf = {}
+    for r in every:
+        tf[r.doc_id, r.p] = tf.get((r.doc_id, r.p), 0) + 1
+    df = {p: sum(q == p for _, q in tf) for _, p in tf}
+    got = keyphrases.scored_phrases(docs, "doc_id", "text")
+    assert sorted((r.doc_id, r.phrase, r.tf, r.df) for r in got.collect()) == sorted((d, p, n, df[p]) for (d, p), n in tf.items())
+    key = lambda r: (r.doc_id, r.phrase, r.tf, r.df, r.score, r.n, r["rank"])
+    best = keyphrases.pool(keyphrases.scored_phrases(docs, "doc_id", "text", best=True), "doc_id")
+    assert sorted(map(key, best.collect())) == sorted(map(key, keyphrases.pool(got, "doc_id").collect()))
