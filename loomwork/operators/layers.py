@@ -33,11 +33,16 @@ def between_headings(text: Column, start: list[str], end: list[str], longest: in
         whole = rf"(?iU)^(?:{'|'.join(patterns)})\z"
         return lambda x: F.length(x).between(1, longest) & x.rlike(whole)
 
-    first = F.array_position(F.transform(lines, heads(start)), True).cast("int")
-    inside = F.slice(lines, first + 1, F.size(lines))
-    stop = F.array_position(F.transform(inside, heads(end)), True).cast("int")
-    wanted = F.when(stop > 0, F.slice(inside, F.lit(1), F.greatest(stop - 1, F.lit(0)))).otherwise(inside)
-    return F.when(first > 0, F.array_join(F.filter(wanted, lambda x: x != ""), " ")).otherwise("")
+    place = lambda some, patterns: F.array_position(F.transform(some, heads(patterns)), True).cast("int")
+    until = lambda inside, stop: F.when(stop > 0, F.slice(inside, F.lit(1), F.greatest(stop - 1, F.lit(0)))).otherwise(inside)
+    joined = lambda wanted: F.array_join(F.filter(wanted, lambda x: x != ""), " ")
+
+    def behind(all_: Column, first: Column) -> Column:
+        inside = F.slice(all_, first + 1, F.size(all_))
+        found = T.bound(inside, lambda i: T.bound(place(i, end), lambda stop: joined(until(i, stop))))
+        return F.when(first > 0, found).otherwise("")
+
+    return T.bound(lines, lambda all_: T.bound(place(all_, start), lambda first: behind(all_, first)))
 
 
 def title_id(url: Column) -> Column:
@@ -129,16 +134,17 @@ def act_summary(acts: DataFrame, id_col: str = "id") -> DataFrame:
     none. Without a bill's address there is nothing; without its home page only the
     digest.
     """
-    part = lambda c, marks: T.decoded(between_headings(F.col(c), *marks))
-    rows = acts.select(
+    # Columns of their own: decoding uses each several times.
+    cut = acts.select(
         F.col(id_col).alias("id"),
         bill_id(F.col("bill_uri")).alias("bill"),
         (F.length("bill_uri") > 0).alias("known"),
         (F.length("home") > 0).alias("at_home"),
-        part("digest", DIGEST).alias("d"),
-        part("home", SUMMARY).alias("s"),
-        part("memorandum", OUTLINE).alias("m"),
+        between_headings(F.col("digest"), *DIGEST).alias("d"),
+        between_headings(F.col("home"), *SUMMARY).alias("s"),
+        between_headings(F.col("memorandum"), *OUTLINE).alias("m"),
     )
+    rows = cut.withColumns({c: T.decoded(F.col(c)) for c in ("d", "s", "m")})
     tiers = F.array(
         F.when(F.col("known") & F.col("bill").isNotNull(), F.col("d")),
         F.when(F.col("known") & F.col("at_home"), enough_words(F.col("s"), FULL)),
@@ -146,7 +152,8 @@ def act_summary(acts: DataFrame, id_col: str = "id") -> DataFrame:
         F.when(F.col("known") & F.col("at_home"), F.col("s")),
     )
     good = F.filter(F.transform(tiers, lambda t, i: F.struct((i + 1).alias("layer"), t.alias("value"))), lambda x: F.coalesce(F.length(x["value"]) > 0, F.lit(False)))
-    best = F.get(good, F.lit(0))
+    rows = rows.select("id", "known", "at_home", F.get(good, F.lit(0)).alias("best"))
+    best = F.col("best")
     error = F.when(~F.coalesce(F.col("known"), F.lit(False)), "no bill").when(~F.coalesce(F.col("at_home"), F.lit(False)), "no home page").otherwise("no summary")
     return rows.select("id", best["layer"].alias("layer"), best["value"].alias("value"), F.when(best.isNull(), error).otherwise("").alias("errors"))
 
