@@ -179,6 +179,45 @@ def anchors(values: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.
     return sliding_argmin(grams, window - gram + 1), grams
 
 
+#: Bytes whose anchors are looked for at once, so that the arrays stay in the processor's cache; 16 bits tell the places.
+ANCHOR_STEP = 1 << 15
+
+
+def byte_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of ``ODD`` and of its inverse, kept in the worker."""
+    return worker_cache(("byte powers", n), lambda: (powers(ODD, n), powers(pow(ODD, -1, 1 << 64), n)))
+
+
+def anchor_runs(raw: np.ndarray, table: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, keys): where the windows of one anchor begin, and the hash of that anchor.
+
+    The same anchors as ``anchors`` gives for ``table[raw]``: of the grams with the smallest hash (but for its low
+    16 bits) in a window the leftmost. The low bits of a hash make room for its place, so the smallest number of a
+    window tells both; minima of 2, 4, 8 ... numbers are made one from the other.
+    """
+    width, most = window - gram + 1, ANCHOR_STEP + window
+    up, down = byte_powers(most)
+    place, low = np.arange(most, dtype=U64), U64(0xFFFF)
+    starts, keys, last = [], [], -1
+    for a, b in pieces(len(raw), window, ANCHOR_STEP):
+        n = b - a - gram + 1
+        total = np.zeros(b - a + 1, dtype=U64)
+        np.cumsum(table[raw[a:b]] * up[: b - a], out=total[1:])
+        grams = mix((total[gram:] - total[:n]) * down[:n])
+        least, have = (grams & ~low) | place[:n], 1
+        while 2 * have <= width:
+            least = np.minimum(least[:-have], least[have:])
+            have *= 2
+        if have < width:
+            least = np.minimum(least[: n - width + 1], least[width - have :][: n - width + 1])
+        chosen = (least & low).astype(np.int64)
+        cuts = np.flatnonzero(np.diff(chosen, prepend=last - a))  # the anchor before this piece may go on
+        last = int(chosen[-1]) + a
+        starts.append(cuts + a)
+        keys.append(grams[chosen[cuts]])
+    return (np.concatenate(starts), np.concatenate(keys)) if starts else (np.empty(0, dtype=np.int64), np.empty(0, dtype=U64))
+
+
 def pieces(n: int, window: int, step: int = 1 << 21) -> Iterator[tuple[int, int]]:
     """Parts of a sequence that overlap so that each window lies in one whole; they bound the arrays of long texts."""
     for a in range(0, max(n - window + 1, 0), step):
@@ -244,6 +283,8 @@ def packet_starts(sizes: list[int]) -> np.ndarray:
 
 #: Cells of a block, cells for each key expected, and rows of a sketch.
 CELLS, CELLS_PER_KEY, ROWS = 1 << 22, 8, 2
+#: Squeezed bytes of cells, a byte or more each, up to which the sketches of a block are added up by sorting their cells.
+FEW = 1 << 16
 SKETCH = "block int, part long, piece int, cells binary, counts binary"
 LEVELS = "part long, block int, piece int, hot boolean, levels binary"
 
@@ -286,16 +327,23 @@ def merged_levels(sketches: DataFrame, hot: int = 1 << 30) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, dtype=np.int64)
+        total = None
         for rows in runs_of_first(batches):
-            total[:] = 0
-            for _, _, _, cells, counts in rows:
-                total[np.cumsum(expand_planes(cells, np.uint32))] += expand(counts, np.uint8)  # a packet has a cell once
-            level = (total > 1).astype(np.uint8) + (total > hot)
+            if sum(len(x[3]) for x in rows) < FEW:  # few cells are sorted, the block is not laid out
+                cells = [np.cumsum(expand_planes(x[3], np.uint32)) for x in rows]
+                _, at = np.unique(np.concatenate(cells), return_inverse=True)
+                added = np.bincount(at, np.concatenate([expand(x[4], np.uint8) for x in rows])).astype(np.int64)[at]
+                levels = np.split((added > 1).astype(np.uint8) + (added > hot), np.cumsum([len(x) for x in cells])[:-1])
+            else:
+                total = np.zeros(CELLS, dtype=np.int64) if total is None else total
+                total[:] = 0
+                for _, _, _, cells, counts in rows:
+                    total[np.cumsum(expand_planes(cells, np.uint32))] += expand(counts, np.uint8)  # a packet has a cell once
+                level, levels = (total > 1).astype(np.uint8) + (total > hot), None
             for i in range(0, len(rows), 1_000):
                 few = rows[i : i + 1_000]
                 block, part, piece, cells, _ = zip(*few)
-                answers = [level[np.cumsum(expand_planes(c, np.uint32))] for c in cells]
+                answers = levels[i : i + 1_000] if levels is not None else [level[np.cumsum(expand_planes(c, np.uint32))] for c in cells]
                 columns = [part, block, piece, [bool((x > 1).any()) for x in answers], [squeeze(x) for x in answers]]
                 kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["part", "block", "piece", "hot", "levels"])

@@ -142,26 +142,55 @@ def group_repeats(rows: list[tuple[bytes, int, int, int]], length: int) -> Itera
             k = unsettled(k + 1)
 
 
-def runs_of(z: bytes, sizes: list[int], origins: list[int] | None, length: int, gram: int) -> Iterator[tuple[int, dict[bytes, list]]]:
-    """(piece, {bytes of a run: [anchor hash, number of windows, places in the packet of documents...]}) of a packet of segments."""
+def runs_of(z: bytes, sizes: list[int], origins: list[int] | None, length: int, gram: int, digests: bool = True) -> Iterator[tuple]:
+    """(piece, text, firsts, ends, keys, digests, places) of a packet of segments: the runs of windows of one anchor.
+
+    ``text[first : end + length - 1]`` are the bytes of a run, its key is the anchor's hash, its digest a hash of its
+    bytes if asked for, its place is in the packet of documents.
+    """
     text = spans.packet_text(z)
     raw, edges = np.frombuffer(text, dtype=np.uint8), spans.packet_starts(sizes)
-    inside = np.zeros(len(raw) + 1, dtype=np.int32)
-    np.add.at(inside, edges[:-1], 1)
-    np.add.at(inside, np.maximum(edges[1:] - length, edges[:-1]), -1)  # the newline behind each segment counts as one byte of it
-    inside = np.cumsum(inside) > 0
+    # Where windows that lie in one segment begin, and behind the last of them; the newline behind each segment counts as one byte of it.
+    a, b = edges[:-1], np.maximum(edges[1:] - length, edges[:-1])
+    a, b = a[b > a], b[b > a]
     shift = np.array(origins, dtype=np.int64) - edges[:-1] if origins else np.zeros(len(sizes), dtype=np.int64)
-    for piece, (a, b) in enumerate(spans.pieces(len(raw), length)):
-        chosen, grams = spans.anchors(BYTES[raw[a:b]], length, gram)
-        here = inside[a : a + len(chosen)]
-        cuts = np.flatnonzero(np.concatenate([[True], (chosen[1:] != chosen[:-1]) | (here[1:] != here[:-1]), [True]]))
-        first, end = cuts[:-1][here[cuts[:-1]]], cuts[1:][here[cuts[:-1]]]
-        keys = grams[chosen[first]].view(np.int64).tolist()
-        moved = (shift[np.searchsorted(edges, first + a, side="right") - 1] + first + a).tolist()
-        runs: dict[bytes, list] = {}
-        for s, e, key, place in zip((first + a).tolist(), (end + a).tolist(), keys, moved):
-            runs.setdefault(text[s : e + length - 1], [key, e - s]).append(place)
-        yield piece, runs
+    for piece, (low, high) in enumerate(spans.pieces(len(raw), length)):
+        starts, hashes = spans.anchor_runs(raw[low:high], BYTES, length, gram)
+        starts = starts + low
+        # Runs end where the anchor or the segment changes.
+        firsts = np.union1d(starts, a[(a > low) & (a <= high - length)])
+        ends = np.append(firsts[1:], high - length + 1)
+        segment = np.searchsorted(a, firsts, side="right") - 1
+        ends = np.where(segment >= 0, np.minimum(ends, b[segment] if len(b) else 0), firsts)
+        real = ends > firsts
+        firsts, ends = firsts[real], ends[real]
+        keys = hashes[np.searchsorted(starts, firsts, side="right") - 1]
+        places = firsts + shift[np.searchsorted(edges, firsts, side="right") - 1]
+        # At most length - gram + 1 windows in a row have one anchor.
+        marks = run_digests(raw[low:high], firsts - low, ends + length - 1 - low, 2 * length) if digests else None
+        yield piece, text, firsts, ends, keys, marks, places
+
+
+def run_digests(raw: np.ndarray, firsts: np.ndarray, ends: np.ndarray, longest: int) -> np.ndarray:
+    """A hash of each run of at most so many bytes, for counting only: two runs that it confuses are counted as copies, which still are two."""
+    up, down = spans.byte_powers(spans.ANCHOR_STEP + longest)
+    out = np.empty(len(firsts), dtype=np.uint64)
+    steps = range(0, len(raw), spans.ANCHOR_STEP)
+    for a, i, j in zip(steps, np.searchsorted(firsts, steps), np.searchsorted(firsts, [x + spans.ANCHOR_STEP for x in steps])):
+        values = BYTES[raw[a : a + spans.ANCHOR_STEP + longest]]
+        total = np.zeros(len(values) + 1, dtype=np.uint64)
+        np.cumsum(values * up[: len(values)], out=total[1:])
+        first, end = firsts[i:j] - a, ends[i:j] - a
+        out[i:j] = (total[end] - total[first]) * down[first] + (end - first).astype(np.uint64)
+    return out
+
+
+def twice_at_most(keys: np.ndarray, digests: np.ndarray) -> np.ndarray:
+    """The keys without the third and further runs of one digest."""
+    order = np.argsort(digests, kind="stable")
+    ranked, kept = digests[order], np.ones(len(order), dtype=bool)
+    kept[2:] = ranked[2:] != ranked[:-2]
+    return keys[order[kept]]
 
 
 def repeated_spans(docs: DataFrame, stored: DataFrame, by_part: DataFrame, length: int, grams: tuple[int, ...], limit: int, every: bool = False) -> DataFrame:
@@ -179,13 +208,20 @@ def repeated_spans(docs: DataFrame, stored: DataFrame, by_part: DataFrame, lengt
         found.append(grouped.mapInArrow(releasing(listing(length)), REPEATS) if every else grouped.mapInArrow(releasing(comparing(length, buckets)), spans.HITS))
         if last or answers.where("hot").isEmpty():
             break
-        segments = dealt = cut(chosen.where("hot").mapInArrow(releasing(deeper(length, gram, size)), SEGMENTS))
+        segments = cut(chosen.where("hot").mapInArrow(releasing(deeper(length, gram, size)), SEGMENTS))
+        # By number: few bytes of runs that overlap are much work, and would else be dealt to few tasks.
+        segments = dealt = segments.repartition(tasks_of(size), "part")
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
     return out
 
 
+def tasks_of(size: int) -> int:
+    """Tasks over the packets, one for about 16 MB of text."""
+    return max(16, size // 16_000_000)
+
+
 def sketched(segments: DataFrame, size: int, length: int, gram: int, limit: int) -> DataFrame:
     """(part, answers, hot): the levels of each packet's anchors, and whether some may have more than ``limit`` runs."""
     blocks = blocks_of(size, length, gram)
@@ -193,10 +229,9 @@ def sketched(segments: DataFrame, size: int, length: int, gram: int, limit: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, sizes, origins, z in zip(*[batch.column(c).to_pylist() for c in ("part", "sizes", "origins", "z")]):
-                for piece, runs in runs_of(z, sizes, origins, length, gram):
+                for piece, _, _, _, keys, digests, _ in runs_of(z, sizes, origins, length, gram):
                     # Twice at most for equal runs: that shows a repeat, and copies do not make an anchor look varied.
-                    keys = np.array([k for k, _, *at in runs.values() for _ in at[:2]], dtype=np.int64).view(np.uint64)
-                    yield from spans.partition_sketch(part, piece, keys, blocks)
+                    yield from spans.partition_sketch(part, piece, twice_at_most(keys, digests), blocks)
 
     return spans.merged_levels(segments.mapInArrow(releasing(run), spans.SKETCH), limit)
 
@@ -205,13 +240,18 @@ def blocks_of(size: int, length: int, gram: int) -> int:
     return spans.blocks_for(2 * size // (length - gram + 2))
 
 
-def leveled(part_rows: list, length: int, gram: int, size: int) -> Iterator[tuple[bytes, list, int]]:
-    """(bytes, [key, windows, places...], level) of the runs of a packet with its answers."""
+def leveled(part_rows: list, length: int, gram: int, size: int, least: int = 1) -> Iterator[tuple[bytes, list, int]]:
+    """(bytes, [key, windows, places...], level) of the runs of a packet with its answers, of the least level or a higher one."""
     sizes, origins, z, answers = part_rows
-    for piece, runs in runs_of(z, sizes, origins, length, gram):
-        keys = np.array([x[0] for x in runs.values()], dtype=np.int64).view(np.uint64)
-        levels = spans.estimated_levels(keys, blocks_of(size, length, gram), answers, piece) if len(keys) else keys
-        for (data, run), level in zip(runs.items(), levels.tolist()):
+    for piece, text, firsts, ends, keys, _, places in runs_of(z, sizes, origins, length, gram, digests=False):
+        if not len(keys):
+            continue
+        levels = spans.estimated_levels(keys, blocks_of(size, length, gram), answers, piece)
+        some, runs = np.flatnonzero(levels >= least), {}
+        columns = firsts[some], ends[some], keys[some].view(np.int64), places[some], levels[some]
+        for first, end, key, place, level in zip(*[x.tolist() for x in columns]):
+            runs.setdefault(text[first : end + length - 1], ([key, end - first], level))[0].append(place)
+        for data, (run, level) in runs.items():
             yield data, run, level
 
 
@@ -245,7 +285,7 @@ def deeper(length: int, gram: int, size: int):
         coder = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for part, *rows in zip(*[batch.column(c).to_pylist() for c in ("part", "sizes", "origins", "z", "answers")]):
-                hot = [(data, run[2]) for data, run, level in leveled(rows, length, gram, size) if level == 2]
+                hot = [(data, run[2]) for data, run, _ in leveled(rows, length, gram, size, 2)]
                 if hot:
                     columns = [[part], [[len(d) for d, _ in hot]], [[s for _, s in hot]], [coder.compress(b"".join([d + b"\n" for d, _ in hot]))]]
                     kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]

@@ -98,6 +98,44 @@ def test_suffix_dedup_equals_brute_force(sample):
         assert {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in got.items()} == want
 
 
+def test_runs_of_anchors_are_those_of_whole_arrays():
+    rng = np.random.default_rng(5)
+    step = spans.ANCHOR_STEP
+    for raw in (b"a" * (step + 500), bytes(rng.integers(97, 99, 2 * step + 31).astype(np.uint8)), b"ab" * 100, b"x" * 199):
+        raw = np.frombuffer(raw, dtype=np.uint8)
+        for gram in suffix_dedup.GRAMS:
+            chosen, grams = spans.anchors(suffix_dedup.BYTES[raw], 200, gram)
+            starts, keys = spans.anchor_runs(raw, suffix_dedup.BYTES, 200, gram)
+            want = np.flatnonzero(np.diff(chosen, prepend=-1))
+            assert starts.tolist() == want.tolist() and keys.tolist() == grams[chosen[want]].tolist()
+
+
+def test_deeper_levels_are_dealt_out(sample, monkeypatch):
+    """Few bytes of runs that overlap are much work, so they are not one task."""
+    frame, _ = sample
+    seen = []
+    inner = suffix_dedup.sketched
+    monkeypatch.setattr(suffix_dedup, "sketched", lambda segments, *rest: seen.append(segments) or inner(segments, *rest))
+    assert suffix_dedup.dedup(frame, group_runs=1).count() == frame.count()
+    assert len(seen) == len(suffix_dedup.GRAMS)
+    assert all(x.rdd.getNumPartitions() >= 16 for x in seen[1:])
+
+
+def test_levels_are_the_same_sorted_or_laid_out(spark, monkeypatch):
+    schema = ", ".join(f"{n} {t}" for n, t in (("block", "int"), ("part", "long"), ("piece", "int"), ("cells", "binary"), ("counts", "binary")))
+    rng = np.random.default_rng(6)
+    rows = []
+    for part in range(5):
+        for batch in spans.partition_sketch(part, 0, rng.integers(0, 50, 40).astype(np.uint64), 4):
+            rows += [tuple(r.values()) for r in batch.to_pylist()]
+    frame, found = spark.createDataFrame(rows, schema), []
+    for few in (0, 1 << 16):
+        monkeypatch.setattr(spans, "FEW", few)
+        run = spans.merged_levels(frame, 3).collect()
+        found.append({r.part: (r.hot, sorted((x.piece, x.block, spans.expand(x.levels, np.uint8).tolist()) for x in r.answers)) for r in run})
+    assert found[0] == found[1] and {v for x in found[0].values() for _, _, level in x[1] for v in level} == {0, 1, 2}
+
+
 def test_maximal_repeats_of_a_small_string():
     runs = [(b"xabcabcy", 8), (b"zabcq", 5)]
     found = {(size, tuple(sorted(hits))) for size, hits in suffix_dedup.maximal_repeats(runs, 3)}
