@@ -25,9 +25,7 @@ Defined results: null text is empty. A document of fewer than 200 bytes loses
 nothing. Repeated rows are copies of each other, so both lose all; every input
 row gives one output row, whatever its id, ids that repeat or are null included.
 Other columns are ignored. An empty table gives an empty result. The packets are
-made from the documents twice, alike: once for the sketches, once dealt out for
-the steps behind; so ``docs`` has to be a table or a checkpoint, not rows in
-changing order.
+made from the documents once and written to the shared folder.
 """
 
 from __future__ import annotations
@@ -386,6 +384,17 @@ def unpack_runs(keys: bytes, docs: bytes, places: bytes, counts: bytes, text: by
         at = end
 
 
+def cut_as_dealt(rows: DataFrame) -> DataFrame:
+    """``cut`` that keeps how the rows are dealt, which the session forgets where a plan may still change while it runs."""
+    conf = rows.sparkSession.conf
+    before = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut(rows.select("*"))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", before)
+
+
 def named(docs: DataFrame) -> DataFrame:
     return texts(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
 
@@ -393,10 +402,9 @@ def named(docs: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame, length: int = LENGTH, grams: tuple[int, ...] = GRAMS, group_runs: int = GROUP_RUNS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes."""
     rows = named(docs)
-    stored = spans.packets(rows)
-    # Dealt by part once: both joins read one exchange, so each asks for all its columns, and adds no filter to it.
-    by_part = stored.repartition("part")
-    marks = spans.gather(repeated_spans(rows, stored, by_part, length, grams, group_runs)).withColumnRenamed("doc_id", "part")
+    # Dealt by part and written once, by number, so that the joins know how it is dealt: no later step makes or moves packets again.
+    by_part = cut_as_dealt(spans.packets(rows).repartition(tasks_of(text_bytes(rows)), "part"))
+    marks = spans.gather(repeated_spans(rows, by_part, by_part, length, grams, group_runs)).withColumnRenamed("doc_id", "part")
     joined = by_part.join(marks, "part", "left")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

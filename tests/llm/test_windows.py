@@ -121,6 +121,14 @@ def test_deeper_levels_are_dealt_out(sample, monkeypatch):
     assert all(x.rdd.getNumPartitions() >= 16 for x in seen[1:])
 
 
+def test_packets_are_moved_once(sample):
+    """The joins with packets shuffle the other side only."""
+    frame, _ = sample
+    lines = suffix_dedup.dedup(frame)._jdf.queryExecution().executedPlan().toString().splitlines()
+    moved = [below for x, below in zip(lines, lines[1:]) if "Exchange hashpartitioning(part" in x]
+    assert moved and not [x for x in moved if "ids#" in x]
+
+
 def test_levels_are_the_same_sorted_or_laid_out(spark, monkeypatch):
     schema = ", ".join(f"{n} {t}" for n, t in (("block", "int"), ("part", "long"), ("piece", "int"), ("cells", "binary"), ("counts", "binary")))
     rng = np.random.default_rng(6)
