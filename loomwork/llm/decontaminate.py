@@ -29,6 +29,8 @@ empty result.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,14 +59,16 @@ def marked(text: Column) -> Column:
     # Steps that change nothing in a text without such characters are left out for it.
     own = text.contains(NUMBER) | text.contains(NAME) | text.contains(UNIT) | text.contains(FIRST)
     out = F.when(own, F.regexp_replace(text, "[\ue000-\ue003]", "")).otherwise(text)
+    # Patterns look for the rare letter or digit before they look back, so that most places fail at their first test.
     # A name: a capitalised word that does not begin a sentence.
-    out = F.regexp_replace(out, r"(?<=[\p{Ll}\p{N},;:] )(\p{Lu}\p{Ll}+)", NAME + "$1")
-    numbers = F.regexp_replace(out, r"(?<![\p{L}\p{N}])\p{Sc}?([0-9][0-9.,:/]*)", NUMBER + "$1")
+    out = F.regexp_replace(out, r"(?=\p{Lu})(?<=[\p{Ll}\p{N},;:] )(\p{Lu}\p{Ll}+)", NAME + "$1")
+    # A sign of currency before a number goes with the punctuation.
+    numbers = F.regexp_replace(out, r"([0-9](?<![\p{L}\p{N}][0-9])[0-9.,:/]*)", NUMBER + "$1")
     units = F.regexp_replace(numbers, rf"(?i)({NUMBER}\S*[ \t-\r])({UNITS})(?![\p{{L}}\p{{N}}])", "$1" + UNIT + "$2")
     out = F.when(text.rlike("[0-9]"), units).otherwise(out)
     out = F.regexp_replace(out, r"[^\p{L}\p{M}\p{N}\ue000-\ue002 \t-\r]+", "")
     # What is left of the capitalised words; last, so that it changes none of the other slots.
-    return F.lower(F.regexp_replace(out, r"(?<![^ \t-\r])(?=\p{Lu}\p{Ll})", FIRST))
+    return F.lower(F.regexp_replace(out, r"(?=\p{Lu}\p{Ll})(?<![^ \t-\r])", FIRST))
 
 
 def read_as(text: Column, reading: int) -> Column:
@@ -83,68 +87,73 @@ def is_slot(word: Column) -> Column:
     return word.rlike("^[\ue000-\ue002]")
 
 
-def gram(tokens: str, start: Column, size: int) -> Column:
-    """The hash of a slice, without the slice, which would copy all words for each window."""
-    return F.xxhash64(*[F.get(tokens, start + k) for k in range(size)])
+def word_hashes(tokens: Column) -> Column:
+    """A window's hash is made of its words' hashes, so that each word is hashed once and not in each of its windows."""
+    return F.transform(tokens, lambda w: F.xxhash64(w))
 
 
-def template_windows(raw: Column, t: Column, size: int, reading: int) -> Column:
-    """(reading, n, hash, pos, raw) of each window that is not mostly slots."""
-    every = windows(t, size, lambda s, i: F.struct(
+def template_windows(raw: Column, h: Column, size: int, reading: int) -> Column:
+    """(reading, n, hash, pos, raw) of each window that is not mostly slots; ``h`` has the hashes of the template's words."""
+    every = windows(h, size, lambda s, i: F.struct(
         F.lit(reading).alias("reading"), F.lit(size).alias("n"), F.xxhash64(s).alias("hash"), i.alias("pos"), F.slice(raw, i + 1, size).alias("raw")
     ))
     return F.filter(every, lambda x: 2 * F.size(F.filter(x["raw"], is_slot)) <= size)
 
 
+def exact_windows(n: Column) -> Column:
+    """(reading, n, hash, pos, raw) of each window of n words of ``plain``, whose hashes are ``plain_h``."""
+    return windows(F.col("plain_h"), n, lambda s, i: F.struct(
+        F.lit(EXACT).alias("reading"), n.alias("n"), F.xxhash64(s).alias("hash"), i.alias("pos"), F.slice("plain", i + 1, n).alias("raw")
+    ))
+
+
 def both_readings(rows: DataFrame, size: int) -> DataFrame:
-    """(..., literal, named): the template windows of a marked text ``m``, read in both ways."""
+    """(..., literal, named, plain, plain_h): the template windows of a marked text ``m``, read in both ways, and its words with their hashes."""
     for name, reading in (("literal", LITERAL), ("named", NAMED)):
-        rows = rows.withColumn("raw", words(read_as(F.col("m"), reading))).withColumn("t", F.transform("raw", template))
-        rows = rows.withColumn(name, template_windows(F.col("raw"), F.col("t"), size, reading)).drop("raw", "t")
-    return rows
+        rows = rows.withColumn("raw", words(read_as(F.col("m"), reading))).withColumn("h", word_hashes(F.transform("raw", template)))
+        rows = rows.withColumn(name, template_windows(F.col("raw"), F.col("h"), size, reading)).drop("raw", "h")
+    return rows.withColumn("plain", words(read_as(F.col("m"), EXACT))).withColumn("plain_h", word_hashes(F.col("plain")))
 
 
 def item_windows(benchmark: DataFrame, size: int) -> DataFrame:
     """(item_id, reading, n, hash, i_pos, i_raw): the benchmark's windows of n words with their slots' values."""
     items = benchmark.where("item_id is not null").select("item_id", F.coalesce("text", F.lit("")).alias("text")).distinct()
     toks = both_readings(items.select("item_id", marked(F.col("text")).alias("m")), size)
-    toks = toks.withColumn("plain", words(read_as(F.col("m"), EXACT)))
-    n = F.least(F.lit(size), F.size("plain"))
-    exact = windows(F.col("plain"), n, lambda s, i: F.struct(
-        F.lit(EXACT).alias("reading"), n.alias("n"), F.xxhash64(s).alias("hash"), i.alias("pos"), s.alias("raw")
-    ))
+    exact = exact_windows(F.least(F.lit(size), F.size("plain")))
     exact = F.when((F.size("literal") == 0) & (F.size("plain") > 0), exact).otherwise(F.slice("literal", 1, 0))
     rows = toks.select("item_id", F.explode_outer(F.concat("literal", "named", exact)).alias("x")).where("x is not null")
     return rows.select("item_id", "x.reading", "x.n", "x.hash", F.col("x.pos").alias("i_pos"), F.col("x.raw").alias("i_raw"))
 
 
 def doc_hashes(docs: DataFrame, size: int, lengths: list[int]) -> DataFrame:
-    """(doc_id, hash, mask): the distinct windows of each text and the readings that have them.
+    """(doc_id, hash, mask): the windows of each text, repeats included, and the readings that have them.
 
     Exact windows are of the given lengths only, those that the benchmark asks for.
     """
-    # Each step's columns are used several times by the next; written as one expression, each window would make them again.
+    # Columns of their own: written as one expression, each window would make them again.
     rows = texts(docs).where("doc_id is not null").select("doc_id", marked(F.col("text")).alias("m"))
-    rows = rows.withColumns({"plain": words(read_as(F.col("m"), EXACT))} if lengths else {}).withColumn("t", words(template(F.col("m"))))
-    # Per word and not per window: the words that begin sentences are few.
-    spots = F.filter(F.transform("t", lambda w, i: F.when(w.startswith(FIRST), i)), lambda i: i.isNotNull())
-    starts = F.when(F.size("t") >= size, F.sequence(F.lit(0), F.size("t") - size)).otherwise(F.array().cast("array<int>"))
-    rows = rows.withColumns({
-        "first": spots,
-        "starts": starts,
-        "literal": F.transform("t", lambda w: F.when(w.startswith(FIRST), F.substring(w, 2, 1 << 30)).otherwise(w)),
-        "named": F.transform("t", lambda w: F.when(w.startswith(FIRST), F.lit(NAME)).otherwise(w)),
-    })
-    near = F.transform("first", lambda i: F.sequence(F.greatest(F.lit(0), i - size + 1), i))
-    rows = rows.withColumn("differ", F.array_intersect(F.flatten(near), "starts")).withColumn("same", F.array_except("starts", "differ"))
-    tagged = lambda hashes, mask: F.transform(F.array_distinct(hashes), lambda h: F.struct(h.alias("hash"), F.lit(mask).alias("mask")))
-    found = [
-        tagged(F.transform(at, lambda i: gram(t, i, size)), mask)
-        for at, t, mask in (("same", "literal", LITERAL | NAMED), ("differ", "literal", LITERAL), ("differ", "named", NAMED))
-    ]
-    found += [tagged(windows(F.col("plain"), n, lambda s, i: gram("plain", i, n)), EXACT) for n in lengths]
-    # Outer, since a plain explode makes the optimizer push a copy of the whole expression below it.
-    return rows.select("doc_id", F.explode_outer(F.concat(*found)).alias("x")).select("doc_id", "x.hash", "x.mask")
+    rows = rows.withColumns({"plain": word_hashes(words(read_as(F.col("m"), EXACT)))} if lengths else {}).withColumn("t", words(template(F.col("m"))))
+    first = lambda w: w.startswith(FIRST)
+    rows = rows.withColumn("literal", F.transform("t", lambda w: F.when(first(w), F.xxhash64(F.substring(w, 2, 1 << 30))).otherwise(F.xxhash64(w))))
+    rows = rows.withColumn("named", F.zip_with("t", "literal", lambda w, h: F.when(first(w), F.xxhash64(F.lit(NAME))).otherwise(h))).drop("t", "m")
+    # A row for each start and way of reading, not lambdas over arrays: Spark compiles what is made of rows.
+    # Ways: 0 literal, 1 named where it differs, then the exact lengths. Outer, since a plain explode makes the arrays twice.
+    ways = 2 + len(lengths)
+    longest = F.greatest(F.size("literal"), F.size("plain")) if lengths else F.size("literal")
+    places = F.when(longest > 0, F.sequence(F.lit(0), longest * ways - 1))
+    rows = rows.select("*", F.explode_outer(places).alias("at")).where("at is not null")
+    rows = rows.withColumns({"start": F.expr(f"cast(at div {ways} as int)"), "way": F.col("at") % ways})
+    start, way = F.col("start"), F.col("way")
+    gram = lambda hashes, n: F.xxhash64(*[F.get(hashes, start + k) for k in range(n)])
+    differ = functools.reduce(lambda a, b: a | b, [F.get("literal", start + k) != F.get("named", start + k) for k in range(size)])
+    asked = (start + size <= F.size("literal")) & ((way == 0) | (way == 1) & differ)
+    hashed = F.when(way == 0, gram("literal", size)).otherwise(gram("named", size))
+    mask = F.when(way == 1, NAMED).when(differ, LITERAL).otherwise(LITERAL | NAMED)
+    for k, n in enumerate(lengths, 2):
+        asked = F.when(way == k, start + n <= F.size("plain")).otherwise(asked)
+        hashed = F.when(way == k, gram("plain", n)).otherwise(hashed)
+        mask = F.when(way == k, EXACT).otherwise(mask)
+    return rows.where(asked).select("doc_id", hashed.alias("hash"), mask.alias("mask"))
 
 
 def contamination(
@@ -156,14 +165,17 @@ def contamination(
     keys = known.groupBy("hash", "item_id").agg(F.bit_or("reading").alias("asked"))
     lengths = sorted(r.n for r in known.where(F.col("reading") == EXACT).select("n").distinct().collect())
     rows = doc_hashes(docs, window, lengths)
-    if keys.count() <= MAX_BROADCAST_WINDOWS:
+    few = keys.count() <= MAX_BROADCAST_WINDOWS
+    if few:
+        rows = rows.join(F.broadcast(keys.select("hash").distinct()), "hash", "left_semi")
+    # A window that a document repeats counts once, and meets the items that have it once.
+    rows = rows.groupBy("doc_id", "hash").agg(F.bit_or("mask").alias("mask"))
+    if few:
         joined = rows.join(F.broadcast(keys), "hash")
     else:  # a window that many documents share is dealt to several tasks
         salted = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["hash", "salt"])
-    hits = joined.select("doc_id", "item_id", "hash", F.col("mask").bitwiseAND(F.col("asked")).alias("mask")).where("mask != 0")
-    # Distinct hashes of the pair, so a phrase that a document repeats counts once.
-    distinct = hits.groupBy("doc_id", "item_id", "hash").agg(F.bit_or("mask").alias("mask"))
+    distinct = joined.select("doc_id", "item_id", F.col("mask").bitwiseAND(F.col("asked")).alias("mask")).where("mask != 0")
     counts = distinct.groupBy("doc_id", "item_id").agg(*[F.count_if(F.col("mask").bitwiseAND(r) != 0).alias(f"n{r}") for r in READINGS])
     by_reading = F.array(*[F.struct(F.lit(r).alias("reading"), F.col(f"n{r}").alias("n_windows")) for r in READINGS])
     pairs = (
@@ -190,11 +202,8 @@ def compared(docs: DataFrame, pairs: DataFrame, known: DataFrame, window: int, l
     ids = pairs.select("doc_id").distinct()
     ids = F.broadcast(ids) if ids.count() <= MAX_BROADCAST_WINDOWS else ids
     chosen = texts(docs).join(ids, "doc_id", "left_semi")
-    toks = both_readings(chosen.select("doc_id", marked(F.col("text")).alias("m")), window).withColumn("plain", words(read_as(F.col("m"), EXACT)))
-    exact = [
-        windows(F.col("plain"), n, lambda s, i, n=n: F.struct(F.lit(EXACT).alias("reading"), F.lit(n).alias("n"), F.xxhash64(s).alias("hash"), i.alias("pos"), s.alias("raw")))
-        for n in lengths
-    ]
+    toks = both_readings(chosen.select("doc_id", marked(F.col("text")).alias("m")), window)
+    exact = [exact_windows(F.lit(n)) for n in lengths]
     bare = lambda raw: F.transform(raw, template)
     rows = (
         toks.select("doc_id", F.explode_outer(F.concat("literal", "named", *exact)).alias("x"))

@@ -573,3 +573,19 @@ def test_pipeline_of_odd_documents(spark, odd_docs, sf_dir):
 def test_every_operator_is_registered():
     names = registry.queries()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+
+
+def test_decontamination_windows_are_rows(spark):
+    """Each word is hashed once and windows are rows, in compiled code; lambdas over arrays of windows cost more than the budget."""
+    docs = spark.createDataFrame([(1, "they say Rome 5 km Apart is The end"), (2, "one two"), (3, "a b c d e a b c d e"), (4, "")], "doc_id long, text string")
+    rows = decontaminate.doc_hashes(docs, 5, [2])
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_distinct" not in plan and "Generate explode" in plan
+    got = {}
+    for r in rows.collect():
+        got.setdefault(r.doc_id, []).append((r["mask"], r["hash"]))
+    masks = {k: [sum(m == want for m, _ in v) for want in (1, 2, 3, 4)] for k, v in got.items()}
+    # Exact windows of two words in each; a repeated window of five is there twice.
+    assert masks[2] == [0, 0, 0, 1] and masks[3] == [0, 0, 6, 9] and 4 not in masks
+    assert sum(masks[1][k] for k in (0, 2)) == 5 and masks[1][0] == masks[1][1] and masks[1][3] == 8
+    assert len({h for m, h in got[3] if m == 3}) == 5
