@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+import ctypes
+import zlib
 from hashlib import blake2b
-from heapq import nsmallest
 from math import log
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from .monitoring import valid_phrase
 
@@ -42,35 +41,112 @@ def runs(text: Column, stopwords: list[str] = STOPWORDS, longest: int = RUN) ->
     return F.flatten(F.transform(words, lambda s: F.concat(*[of(s, k) for k in range(1, longest + 1)])))
 
 
-#: Letters of the texts of a packet and of a part of the keys, about; bytes of a key.
-PACKET, PART, KEY = 2_000_000, 8_000_000, 12
+#: Letters of the texts of a packet, about, at most and at least, and of a part of the keys; how many packets before they grow.
+PACKET, SMALLEST, PART, SPLIT = 4_000_000, 200_000, 8_000_000, 64
+#: The word that stands for marks; below this numbers of words are put together to one number; bytes of a key after the first four.
+MARK, WIDE, REST = "\n", 1 << 62, 7
 
 
-def by_packet(batches: Iterator[pa.RecordBatch]):
-    """(packet, rows) of rows sorted by packet; rows are tuples, a packet is held whole."""
-    held, rows = None, []
-    for batch in batches:
-        columns = [batch.column(i) for i in range(batch.num_columns)]
-        for i in range(batch.num_rows):
-            packet, *row = (c[i].as_py() for c in columns)
-            if packet != held and rows:
-                yield held, rows
-                rows = []
-            held = packet
-            rows.append(row)
-    if rows:
-        yield held, rows
+class Packet:
+    """Phrases of some texts as numbers, in the order of the phrases; texts are words in lower case and MARKs between blanks.
 
+    words: the words in order. spelled: the numbers of a phrase's words from 1 on, 0 for none, a row for each place in a
+    phrase. doc, phrase, tf: counts in order of doc and phrase. docs, n: the ids and how many phrases each gets.
+    """
 
-def phrase_keys(rows: list) -> tuple[dict, dict[str, bytes]]:
-    """Counts of phrases by document, and the key of each phrase: 96 bits of BLAKE2, so that no two phrases share one."""
-    docs: dict = {}
-    for doc, n, found in rows:
-        old, tf = docs.setdefault(doc, (n, Counter()))
-        tf.update(found)
-        docs[doc] = (max(old, n), tf)
-    words = {w for _, tf in docs.values() for w in tf}
-    return docs, {w: blake2b(w.encode(), digest_size=KEY).digest() for w in words}
+    def __init__(self, rows: pa.Table, stopwords: list[str] = STOPWORDS, longest: int = RUN):
+        ids = rows["doc"].combine_chunks().dictionary_encode("encode")
+        at, self.docs = ids.indices.to_numpy(), ids.dictionary
+        self.n = np.zeros(len(self.docs), np.int64)
+        np.maximum.at(self.n, at, rows["n"].to_numpy())
+        lists = pc.split_pattern(rows["text"].combine_chunks(), " ")
+        found = lists.flatten().dictionary_encode()
+        order = pc.sort_indices(found.dictionary).to_numpy()
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.words = found.dictionary.take(pa.array(order))
+        word, doc = place[found.indices.to_numpy()], np.repeat(at, pc.list_value_length(lists).to_numpy())
+        there = word != self.words.index("").as_py()
+        word, doc = word[there], doc[there]
+        mark = word == self.words.index(MARK).as_py()
+        never = pc.is_in(self.words, pa.array([*stopwords, MARK])).to_numpy(zero_copy_only=False)[word]
+        spelled, docs = [], []
+        for size in range(1, longest + 1):
+            last = max(len(word) - size + 1, 0)
+            good = ~never[:last] & ~never[size - 1 :]
+            for k in range(1, size - 1):
+                good &= ~mark[k : last + k]
+            starts = np.flatnonzero(good)
+            spelled.append(np.stack([word[starts + k] + 1 if k < size else np.zeros(len(starts), np.int64) for k in range(longest)]))
+            docs.append(doc[starts])
+        spelled, doc = np.concatenate(spelled, axis=1), np.concatenate(docs).astype(np.int64)
+        code, base = spelled[0], len(self.words) + 1
+        for k in range(1, longest):  # a blank comes before all letters, so numbers are in order as phrases are
+            if code.max(initial=0) >= WIDE // base:
+                code = np.unique(code, return_inverse=True)[1]
+            code = code * base + spelled[k]
+        coded = pa.array(code).dictionary_encode()
+        order = np.argsort(coded.dictionary.to_numpy())
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        phrase = place[coded.indices.to_numpy()]
+        first = np.empty(len(order), np.int64)
+        first[phrase] = np.arange(len(phrase))
+        self.spelled = spelled[:, first]
+        both, self.tf = np.unique(doc * max(len(order), 1) + phrase, return_counts=True)
+        self.doc, self.phrase = np.divmod(both, max(len(order), 1))
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys of the phrases in order, as 32 and 56 bits, and whose they are.
+
+        They come from BLAKE2 of the words: that any two of 3 billion phrases share 88 bits has a chance of 1 in 60 million.
+        """
+        words = b"".join(blake2b(w.encode(), digest_size=16).digest() for w in self.words.to_pylist())
+        words = np.frombuffer(words, "<u8").reshape(-1, 2)
+        high, low = np.zeros((2, self.spelled.shape[1]), np.uint64)
+        for word in self.spelled if len(words) else []:
+            high, low = (np.where(word > 0, mixed(x + words[word - 1, lane]), x) for lane, x in enumerate((high, low)))
+        high, low = high >> np.uint64(32), low >> np.uint64(64 - 8 * REST)
+        order = key_order(high, low)
+        return high[order].astype(np.int64), low[order], order
+
+    def spell(self, phrases: np.ndarray) -> pa.Array:
+        """The phrases of these numbers as text."""
+        each = [self.words.take(pa.array(word[phrases] - 1, mask=word[phrases] == 0)) for word in self.spelled]
+        return pc.binary_join_element_wise(*each, " ", null_handling="skip")
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers whose bits all depend on all bits of those given; different ones stay different."""
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+def key_order(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """The order of keys of 32 and 56 bits; but for rare ones the first 64 bits tell, and equal keys come in whatever order."""
+    first = high << np.uint64(32) | low >> np.uint64(8 * REST - 32)
+    order = np.argsort(first)
+    near = np.diff(first[order]) == 0
+    return np.lexsort((low, high)) if (near & (np.diff(low[order]) != 0)).any() else order
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^32, all first bytes, then all second ones and so on: most are small, and zeros take no room."""
+    return zlib.compress(numbers.astype("<u4").view("u1").reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), "u1").reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
+
+
+def given_back(table: pa.Table) -> pa.Table:
+    """``table``, after what its making has freed went back to the system: workers are kept for later tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+    return table
 
 
 def scored_phrases(docs: DataFrame, id_col: str, text_col: str, best: bool = False) -> DataFrame:
@@ -79,65 +155,67 @@ def scored_phrases(docs: DataFrame, id_col: str, text_col: str, best: bool = Fal
     score = 1 / (1 + tf * (ln((N + 1) / (df + 1)) + 1)) over N documents. Ids are taken as keys. With ``best`` only
     phrases that are in the ``pool`` of their document.
 
-    Phrases do not travel: packets of texts do, and make their phrases anew in each step. A packet sends each key once,
-    in parts by the key's range, with the number of its documents; a part adds up and answers with totals in the order
-    of the keys, so an answer is a number for each key.
+    Phrases do not travel: packets of texts do, once, and make their phrases as numbers in each step. A packet sends each
+    key once, in parts by the key's range, with the number of its documents; a part adds up and answers with totals in
+    the order in which the keys came, so an answer is a number for each key.
     """
     own = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     about = own.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("letters")).first()
-    total, packets, parts = about.n, 1 + (about.letters or 0) // PACKET, 1 + (about.letters or 0) // PART
-    words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
-    texts = own.withColumn("packet", F.pmod(F.xxhash64("doc"), F.lit(packets)))
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for packet, rows in by_packet(batches):
-            docs, keys = phrase_keys(rows)
-            df = Counter(keys[w] for _, tf in docs.values() for w in tf)
-            out: dict[int, tuple[list, list]] = {}
-            for key in sorted(df):
-                some = out.setdefault(int.from_bytes(key[:4], "big") * parts >> 32, ([], []))
-                some[0].append(key)
-                some[1].append(df[key])
-            lists = [[packet] * len(out), list(out), [b"".join(k) for k, _ in out.values()], [np.array(c, "<u4").tobytes() for _, c in out.values()]]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(lists, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["packet", "part", "keys", "counts"])
-
-    def add(group: pa.Table) -> pa.Table:
-        packet, _, keys, counts = (group.column(c).to_pylist() for c in ("packet", "part", "keys", "counts"))
-        raw = np.frombuffer(b"".join(keys), np.dtype([("high", ">u8"), ("low", ">u4")]))
-        high, low = raw["high"].astype(np.uint64), raw["low"].astype(np.uint32)
-        order = np.lexsort((low, high))
-        high, low = high[order], low[order]
-        first = np.flatnonzero(np.r_[True, (high[1:] != high[:-1]) | (low[1:] != low[:-1])])
-        sums = np.add.reduceat(np.frombuffer(b"".join(counts), "<u4").astype(np.int64)[order], first)
+    total, letters = about.n, about.letters or 0
+    packets, parts = 1 + letters // min(PACKET, max(SMALLEST, letters // SPLIT)), 1 + letters // PART
+    marked = F.concat(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N} ]+", f" {MARK} "), F.lit(f" {MARK}"))
+    n = wanted(F.size(F.array_remove(F.split("text", r"\s+"), "")))
+    texts = own.select(F.pmod(F.xxhash64("doc"), F.lit(packets)).alias("packet"), "doc", n.alias("n"), marked.alias("text"))
+    # Numbers of their own: packets are small, but much work, and would be put together in few tasks.
+    by_packet = texts.repartition(min(2 * packets, 2000), "packet")
+
+    def send(rows: pa.Table) -> pa.Table:
+        mine = Packet(rows)
+        high, low, order = mine.keys()
+        df = np.bincount(mine.phrase, minlength=len(order))[order]
+        rest = low.astype("<u8").view("u1").reshape(-1, 8)[:, :REST]
+        some, starts = np.unique(high * parts >> 32, return_index=True)
+        cuts = list(zip(starts, [*starts[1:], len(order)]))
+        lists = [[packed(np.diff(high[x:y], prepend=0)) for x, y in cuts], [rest[x:y].tobytes() for x, y in cuts], [packed(df[x:y]) for x, y in cuts]]
+        out = [pa.array([rows["packet"][0].as_py()] * len(some), pa.int64()), pa.array(some), *(pa.array(x, pa.binary()) for x in lists)]
+        return given_back(pa.table(out, ["packet", "part", "high", "low", "counts"]))
+
+    def add(rows: pa.Table) -> pa.Table:
+        high = [np.cumsum(unpacked(x)) for x in rows["high"].to_pylist()]
+        ends = np.cumsum([len(x) for x in high])
+        rest = np.zeros((ends[-1], 8), "u1")
+        rest[:, :REST] = np.frombuffer(b"".join(rows["low"].to_pylist()), "u1").reshape(-1, REST)
+        high, low = np.concatenate(high).astype(np.uint64), rest.view("<u8").ravel()
+        counts = np.concatenate([unpacked(x) for x in rows["counts"].to_pylist()])
+        order = key_order(high, low)
+        first = np.flatnonzero(np.r_[True, (low[order[1:]] != low[order[:-1]]) | (high[order[1:]] != high[order[:-1]])])
+        df = np.empty(len(order), np.int64)
+        df[order] = np.repeat(np.add.reduceat(counts[order], first), np.diff(np.r_[first, len(order)]))
+        totals = [packed(df[x:y]) for x, y in zip(np.r_[0, ends[:-1]], ends)]
+        return given_back(pa.table([rows["packet"], rows["part"], pa.array(totals, pa.binary())], ["packet", "part", "totals"]))
+
+    def score(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        mine = Packet(rows)
+        order = mine.keys()[2]
         df = np.empty(len(order), np.int64)
-        df[order] = np.repeat(sums, np.diff(np.r_[first, len(order)]))
-        ends = np.cumsum([len(k) // KEY for k in keys])
-        totals = [df[x:y].astype("<u4").tobytes() for x, y in zip(np.r_[0, ends[:-1]], ends)]
-        return pa.table({"packet": pa.array(packet, pa.int64()), "part": group.column("part"), "totals": pa.array(totals, pa.binary())})
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in by_packet(batches):
-            totals = b"".join(t for _, t in sorted((part, t) for part, t, *_ in rows if t is not None))
-            docs, keys = phrase_keys([row for _, t, *row in rows if t is None])
-            df = dict(zip(sorted(set(keys.values())), np.frombuffer(totals, "<u4").tolist(), strict=True))
-            df = {w: df[k] for w, k in keys.items()}
-            for doc, (n, tf) in docs.items():
-                found = list(tf.items())
-                if best:
-                    rank = lambda x: (round(1 / (1 + x[1] * (log((total + 1) / (df[x[0]] + 1)) + 1)), 9), x[0])
-                    found = nsmallest(max(n * POOL, 2 * FEWEST), found, rank)
-                lists = [[doc] * len(found), [w for w, _ in found], [c for _, c in found], [df[w] for w, _ in found], [n] * len(found)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(lists, (kind, pa.string(), pa.int64(), pa.int64(), pa.int32()))], names=["doc", "phrase", "tf", "df", "n"])
-
-    kind = to_arrow_type(own.schema["doc"].dataType)
+        df[order] = np.concatenate([np.empty(0, np.int64), *(unpacked(t) for _, t in sorted(zip(answers["part"].to_pylist(), answers["totals"].to_pylist())))])
+        doc, phrase, tf = mine.doc, mine.phrase, mine.tf
+        df = df[phrase]
+        if best:
+            pairs = pa.array(tf << 32 | df).dictionary_encode()
+            each = [round(1 / (1 + (x >> 32) * (log((total + 1) / ((x & 0xFFFFFFFF) + 1)) + 1)), 9) for x in pairs.dictionary.to_pylist()]
+            rank = np.unique(each, return_inverse=True)[1][pairs.indices.to_numpy()] if each else tf
+            order = np.argsort(doc * (len(each) + 1) + rank, kind="stable")  # rows of a document stay in the order of phrases
+            first = np.searchsorted(doc, np.arange(len(mine.docs)))
+            order = order[np.arange(len(doc)) - first[doc] < np.maximum(mine.n * POOL, 2 * FEWEST)[doc]]
+            doc, phrase, tf, df = doc[order], phrase[order], tf[order], df[order]
+        columns = [mine.docs.take(pa.array(doc)), mine.spell(phrase), pa.array(tf, pa.int64()), pa.array(df, pa.int64()), pa.array(mine.n[doc], pa.int32())]
+        return given_back(pa.table(columns, ["doc", "phrase", "tf", "df", "n"]))
+
     name = own.schema["doc"].dataType.simpleString()
-    # A number of its own: packets are small, but much work, and would be put together in few tasks.
-    in_order = lambda rows: rows.repartition(min(2 * packets, 2000), "packet").sortWithinPartitions("packet")
-    phrases = lambda rows: rows.withColumn("n", wanted(words)).withColumn("p", runs(F.col("text")))
-    sent = phrases(in_order(texts)).select("packet", "doc", "n", "p").mapInArrow(send, "packet long, part long, keys binary, counts binary")
-    answers = sent.groupBy("part").applyInArrow(add, "packet long, part long, totals binary")
-    both = in_order(texts.unionByName(answers, allowMissingColumns=True))
-    rows = phrases(both).select("packet", "part", "totals", "doc", "n", "p").mapInArrow(score, f"doc {name}, phrase string, tf long, df long, n int")
+    sent = by_packet.groupBy("packet").applyInArrow(send, "packet long, part long, high binary, low binary, counts binary")
+    answers = sent.repartition(min(2 * parts, 2000), "part").groupBy("part").applyInArrow(add, "packet long, part long, totals binary")
+    rows = by_packet.groupBy("packet").cogroup(answers.groupBy("packet")).applyInArrow(score, f"doc {name}, phrase string, tf long, df long, n int")
     score_ = 1 / (1 + F.col("tf") * (F.log((F.lit(total) + 1) / (F.col("df") + 1)) + 1))
     return rows.select(F.col("doc").alias(id_col), "phrase", "tf", "df", F.round(score_, 9).alias("score"), "n")
 

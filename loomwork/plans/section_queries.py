@@ -58,7 +58,7 @@ def turn_diffs(s, d):
 
 
 def phrase_scores(s, d):
-    return P.pool(P.scored_phrases(docs(s, d), "doc_id", "text", best=True), "doc_id").select("doc_id", "phrase", "tf", "df", F.round("score", 6).alias("score"))
+    return P.scored_phrases(docs(s, d), "doc_id", "text", best=True).select("doc_id", "phrase", "tf", "df", F.round("score", 6).alias("score"))
 
 
 def phrases(s, d):
