@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import ctypes
 import zlib
-from hashlib import blake2b
 from math import log
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pandas.util import hash_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,10 +45,12 @@ def runs(text: Column, stopwords: list[str] = STOPWORDS, longest: int = RUN) ->
 PACKET, SMALLEST, PART, SPLIT = 4_000_000, 200_000, 8_000_000, 64
 #: The word that stands for marks; below this numbers of words are put together to one number; bytes of a key after the first four.
 MARK, WIDE, REST = "\n", 1 << 62, 7
+#: Keys of the words' hashes.
+HASHES = "keyphrases, high", "keyphrases, low."
 
 
 class Packet:
-    """Phrases of some texts as numbers, in the order of the phrases; texts are words in lower case and MARKs between blanks.
+    """Phrases of some texts as numbers, in the order of the phrases; texts are words in lower case, blanks and MARKs, with one at the end.
 
     words: the words in order. spelled: the numbers of a phrase's words from 1 on, 0 for none, a row for each place in a
     phrase. doc, phrase, tf: counts in order of doc and phrase. docs, n: the ids and how many phrases each gets.
@@ -59,10 +61,10 @@ class Packet:
         at, self.docs = ids.indices.to_numpy(), ids.dictionary
         self.n = np.zeros(len(self.docs), np.int64)
         np.maximum.at(self.n, at, rows["n"].to_numpy())
-        lists = pc.split_pattern(rows["text"].combine_chunks(), " ")
+        lists = pc.split_pattern(pc.replace_substring(rows["text"].combine_chunks(), MARK, f" {MARK} "), " ")
         found = lists.flatten().dictionary_encode()
         order = pc.sort_indices(found.dictionary).to_numpy()
-        place = np.empty(len(order), np.int64)
+        place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order))
         self.words = found.dictionary.take(pa.array(order))
         word, doc = place[found.indices.to_numpy()], np.repeat(at, pc.list_value_length(lists).to_numpy())
@@ -76,11 +78,10 @@ class Packet:
             good = ~never[:last] & ~never[size - 1 :]
             for k in range(1, size - 1):
                 good &= ~mark[k : last + k]
-            starts = np.flatnonzero(good)
-            spelled.append(np.stack([word[starts + k] + 1 if k < size else np.zeros(len(starts), np.int64) for k in range(longest)]))
-            docs.append(doc[starts])
+            spelled.append(np.stack([word[k : last + k][good] + 1 if k < size else np.zeros(good.sum(), np.int32) for k in range(longest)]))
+            docs.append(doc[:last][good])
         spelled, doc = np.concatenate(spelled, axis=1), np.concatenate(docs).astype(np.int64)
-        code, base = spelled[0], len(self.words) + 1
+        code, base = spelled[0].astype(np.int64), len(self.words) + 1
         for k in range(1, longest):  # a blank comes before all letters, so numbers are in order as phrases are
             if code.max(initial=0) >= WIDE // base:
                 code = np.unique(code, return_inverse=True)[1]
@@ -99,13 +100,13 @@ class Packet:
     def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Keys of the phrases in order, as 32 and 56 bits, and whose they are.
 
-        They come from BLAKE2 of the words: that any two of 3 billion phrases share 88 bits has a chance of 1 in 60 million.
+        They come from SipHash of the words under two keys: that any two of 3 billion phrases share 88 bits has a chance of 1 in 60 million.
         """
-        words = b"".join(blake2b(w.encode(), digest_size=16).digest() for w in self.words.to_pylist())
-        words = np.frombuffer(words, "<u8").reshape(-1, 2)
+        spelled = self.words.to_numpy(zero_copy_only=False)
+        words = [hash_array(spelled, hash_key=key, categorize=False) for key in HASHES]
         high, low = np.zeros((2, self.spelled.shape[1]), np.uint64)
-        for word in self.spelled if len(words) else []:
-            high, low = (np.where(word > 0, mixed(x + words[word - 1, lane]), x) for lane, x in enumerate((high, low)))
+        for word in self.spelled:
+            high, low = (np.where(word > 0, mixed(x + h[word - 1]), x) for h, x in zip(words, (high, low)))
         high, low = high >> np.uint64(32), low >> np.uint64(64 - 8 * REST)
         order = key_order(high, low)
         return high[order].astype(np.int64), low[order], order
@@ -149,21 +150,33 @@ def given_back(table: pa.Table) -> pa.Table:
     return table
 
 
+def score_of(tf: Column, df: Column, total: int) -> Column:
+    """1 / (1 + tf * (ln((N + 1) / (df + 1)) + 1)) over N documents; lower scores are better."""
+    return F.round(1 / (1 + tf * (F.log((F.lit(total) + 1) / (df + 1)) + 1)), 9)
+
+
 def scored_phrases(docs: DataFrame, id_col: str, text_col: str, best: bool = False) -> DataFrame:
-    """(id, phrase, tf, df, score, n): each phrase of a document; lower scores are better. n: how many the document gets.
+    """(id, phrase, tf, df, score, n): each phrase of a document with ``score_of``. n: how many the document gets.
+
+    Ids are taken as keys. With ``best`` only phrases that are in the ``pool`` of their document.
+    """
+    lists, total = counted_phrases(docs, id_col, text_col, best)
+    rows = lists.select(id_col, "n", F.inline("phrases"))
+    return rows.select(id_col, "phrase", "tf", "df", score_of(F.col("tf"), F.col("df"), total).alias("score"), "n")
+
 
-    score = 1 / (1 + tf * (ln((N + 1) / (df + 1)) + 1)) over N documents. Ids are taken as keys. With ``best`` only
-    phrases that are in the ``pool`` of their document.
+def counted_phrases(docs: DataFrame, id_col: str, text_col: str, best: bool = False) -> tuple[DataFrame, int]:
+    """(id, n, phrases), a row for each id with a list of phrase, tf and df, and the number of documents.
 
     Phrases do not travel: packets of texts do, once, and make their phrases as numbers in each step. A packet sends each
-    key once, in parts by the key's range, with the number of its documents; a part adds up and answers with totals in
-    the order in which the keys came, so an answer is a number for each key.
+    key once, in parts by the key's range, with the number of its documents; a part adds up and answers with the numbers
+    of the other packets in the order in which the keys came, so an answer is a number for each key, mostly 0.
     """
     own = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     about = own.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("letters")).first()
     total, letters = about.n, about.letters or 0
     packets, parts = 1 + letters // min(PACKET, max(SMALLEST, letters // SPLIT)), 1 + letters // PART
-    marked = F.concat(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N} ]+", f" {MARK} "), F.lit(f" {MARK}"))
+    marked = F.concat(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N} ][^\p{L}\p{N}]*", MARK), F.lit(MARK))
     n = wanted(F.size(F.array_remove(F.split("text", r"\s+"), "")))
     texts = own.select(F.pmod(F.xxhash64("doc"), F.lit(packets)).alias("packet"), "doc", n.alias("n"), marked.alias("text"))
     # Numbers of their own: packets are small, but much work, and would be put together in few tasks.
@@ -191,16 +204,17 @@ def scored_phrases(docs: DataFrame, id_col: str, text_col: str, best: bool = Fal
         first = np.flatnonzero(np.r_[True, (low[order[1:]] != low[order[:-1]]) | (high[order[1:]] != high[order[:-1]])])
         df = np.empty(len(order), np.int64)
         df[order] = np.repeat(np.add.reduceat(counts[order], first), np.diff(np.r_[first, len(order)]))
-        totals = [packed(df[x:y]) for x, y in zip(np.r_[0, ends[:-1]], ends)]
-        return given_back(pa.table([rows["packet"], rows["part"], pa.array(totals, pa.binary())], ["packet", "part", "totals"]))
+        df -= counts
+        others = [packed(df[x:y]) for x, y in zip(np.r_[0, ends[:-1]], ends)]
+        return given_back(pa.table([rows["packet"], rows["part"], pa.array(others, pa.binary())], ["packet", "part", "others"]))
 
     def score(rows: pa.Table, answers: pa.Table) -> pa.Table:
         mine = Packet(rows)
         order = mine.keys()[2]
         df = np.empty(len(order), np.int64)
-        df[order] = np.concatenate([np.empty(0, np.int64), *(unpacked(t) for _, t in sorted(zip(answers["part"].to_pylist(), answers["totals"].to_pylist())))])
+        df[order] = np.concatenate([np.empty(0, np.int64), *(unpacked(x) for _, x in sorted(zip(answers["part"].to_pylist(), answers["others"].to_pylist())))])
         doc, phrase, tf = mine.doc, mine.phrase, mine.tf
-        df = df[phrase]
+        df = (df + np.bincount(phrase, minlength=len(df)))[phrase]
         if best:
             pairs = pa.array(tf << 32 | df).dictionary_encode()
             each = [round(1 / (1 + (x >> 32) * (log((total + 1) / ((x & 0xFFFFFFFF) + 1)) + 1)), 9) for x in pairs.dictionary.to_pylist()]
@@ -209,15 +223,15 @@ def scored_phrases(docs: DataFrame, id_col: str, text_col: str, best: bool = Fal
             first = np.searchsorted(doc, np.arange(len(mine.docs)))
             order = order[np.arange(len(doc)) - first[doc] < np.maximum(mine.n * POOL, 2 * FEWEST)[doc]]
             doc, phrase, tf, df = doc[order], phrase[order], tf[order], df[order]
-        columns = [mine.docs.take(pa.array(doc)), mine.spell(phrase), pa.array(tf, pa.int64()), pa.array(df, pa.int64()), pa.array(mine.n[doc], pa.int32())]
-        return given_back(pa.table(columns, ["doc", "phrase", "tf", "df", "n"]))
+        found = pa.StructArray.from_arrays([mine.spell(phrase), pa.array(tf, pa.int64()), pa.array(df, pa.int64())], ["phrase", "tf", "df"])
+        ends = pa.array(np.searchsorted(doc, np.arange(len(mine.docs) + 1)), pa.int32())
+        return given_back(pa.table([mine.docs, pa.array(mine.n, pa.int32()), pa.ListArray.from_arrays(ends, found)], ["doc", "n", "phrases"]))
 
     name = own.schema["doc"].dataType.simpleString()
     sent = by_packet.groupBy("packet").applyInArrow(send, "packet long, part long, high binary, low binary, counts binary")
-    answers = sent.repartition(min(2 * parts, 2000), "part").groupBy("part").applyInArrow(add, "packet long, part long, totals binary")
-    rows = by_packet.groupBy("packet").cogroup(answers.groupBy("packet")).applyInArrow(score, f"doc {name}, phrase string, tf long, df long, n int")
-    score_ = 1 / (1 + F.col("tf") * (F.log((F.lit(total) + 1) / (F.col("df") + 1)) + 1))
-    return rows.select(F.col("doc").alias(id_col), "phrase", "tf", "df", F.round(score_, 9).alias("score"), "n")
+    answers = sent.repartition(min(2 * parts, 2000), "part").groupBy("part").applyInArrow(add, "packet long, part long, others binary")
+    rows = by_packet.groupBy("packet").cogroup(answers.groupBy("packet")).applyInArrow(score, f"doc {name}, n int, phrases array<struct<phrase:string,tf:long,df:long>>")
+    return rows.withColumnRenamed("doc", id_col), total
 
 
 def pool(scored: DataFrame, id_col: str) -> DataFrame:
@@ -236,9 +250,10 @@ def keyphrases(docs: DataFrame, id_col: str, text_col: str, similar: float = SIM
 
     The choice is a fold over a document's pool, which has at most ``POOL * MOST`` phrases.
     """
-    best = pool(scored_phrases(docs, id_col, text_col, best=True), id_col)
-    lists = best.groupBy(id_col).agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("rank", "phrase", "score"))).alias("pool"))
-    none = F.array().cast("array<struct<rank:int,phrase:string,score:double>>")
+    best, total = counted_phrases(docs, id_col, text_col, best=True)
+    scored = F.transform("phrases", lambda x: F.struct(score_of(x["tf"], x["df"], total).alias("score"), x["phrase"].alias("phrase")))
+    lists = best.select(id_col, "n", F.sort_array(scored).alias("pool"))
+    none = F.array().cast("array<struct<score:double,phrase:string>>")
     fresh = lambda done, x: ~F.exists(done, lambda y: similarity(y["phrase"], x["phrase"]) >= similar)
     taken = F.aggregate("pool", none, lambda done, x: F.when(fresh(done, x), F.concat(done, F.array(x))).otherwise(done))
     kept = F.filter(taken, lambda x: valid_phrase(x["phrase"], SHORTEST, list(blocked) or [""], STOPWORDS))
